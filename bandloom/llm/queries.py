@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import minhash, mixing, sharding
 from .shared import documents
 
 
@@ -12,9 +12,13 @@ def op3_golden_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op8_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+
+
 def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op3_golden_schedule, op9_hash_tree)}
+QUERIES = {f.__name__: f for f in (op3_golden_schedule, op8_fast_similarity, op9_hash_tree)}
 ORACLE_SQL: dict[str, str] = {}
