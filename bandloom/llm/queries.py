@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, sharding
+from . import minhash, mixing, sharding, substrings
 from .shared import documents
 
 
@@ -20,5 +20,9 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op3_golden_schedule, op8_fast_similarity, op9_hash_tree)}
+def op10_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(documents(spark, sf_dir), n=35)
+
+
+QUERIES = {f.__name__: f for f in (op3_golden_schedule, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
 ORACLE_SQL: dict[str, str] = {}
