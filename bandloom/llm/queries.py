@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, sharding, substrings
-from .shared import documents
+from . import minhash, mixing, sharding, substrings, toxicity
+from .shared import documents, labels
+
+
+def op2_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op3_golden_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +28,5 @@ def op10_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(documents(spark, sf_dir), n=35)
 
 
-QUERIES = {f.__name__: f for f in (op3_golden_schedule, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
+QUERIES = {f.__name__: f for f in (op2_subword_softmax, op3_golden_schedule, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
 ORACLE_SQL: dict[str, str] = {}
