@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, sharding, substrings, toxicity
+from . import minhash, mixing, packing, pii, quality, sharding, substrings, toxicity
 from .shared import documents, labels
 
 
@@ -24,6 +24,10 @@ def op6_swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op7_information_theoretic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op8_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
 
@@ -36,5 +40,5 @@ def op10_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(documents(spark, sf_dir), n=35)
 
 
-QUERIES = {f.__name__: f for f in (op2_subword_softmax, op3_golden_schedule, op5_zstd_dictionaries, op6_swap_search, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
+QUERIES = {f.__name__: f for f in (op2_subword_softmax, op3_golden_schedule, op5_zstd_dictionaries, op6_swap_search, op7_information_theoretic, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
 ORACLE_SQL: dict[str, str] = {}
