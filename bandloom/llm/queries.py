@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, pii, quality, sharding, substrings, toxicity
-from .shared import documents, labels
+from . import minhash, mixing, near_vectors, packing, pii, quality, sharding, substrings, topk, toxicity
+from .shared import documents, embeddings, labels
+
+
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicate_vectors(embeddings(spark, sf_dir), cosine=0.98)
 
 
 def op2_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,10 @@ def op3_golden_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op4_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(embeddings(spark, sf_dir), every=50, k=5)
+
+
 def op5_zstd_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -40,5 +48,5 @@ def op10_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(documents(spark, sf_dir), n=35)
 
 
-QUERIES = {f.__name__: f for f in (op2_subword_softmax, op3_golden_schedule, op5_zstd_dictionaries, op6_swap_search, op7_information_theoretic, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
+QUERIES = {f.__name__: f for f in (op1_collision_counting, op2_subword_softmax, op3_golden_schedule, op4_pivot_table, op5_zstd_dictionaries, op6_swap_search, op7_information_theoretic, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
 ORACLE_SQL: dict[str, str] = {}
