@@ -148,3 +148,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = base.drop("bands").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, and all documents that are in none.
+
+    Rows that repeat a doc_id and a text count as one document and stay once; rows without a doc_id all stay.
+    """
+    gone = durable(near_duplicates(docs, k, percent).filter("doc_id is not null and not kept").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.filter("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if ids["n"] == ids["d"]:
+        return out
+    named = out.filter("doc_id is not null").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return named.unionByName(out.filter("doc_id is null"))
