@@ -1 +1,3 @@
-"""The library's registered plans."""
+"""The library's registered queries; importing this package registers them."""
+
+from . import calibration, comparison, frames, frequencies, matrices, sessions, streams  # noqa: F401

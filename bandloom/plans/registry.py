@@ -1,4 +1,30 @@
-"""All queries of the library over the given tables, by name, and their SQL."""
+"""All queries of the library over the given tables, by name, and their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+A query is a function of (spark, sf_dir) that returns a DataFrame; ``query`` registers it, with the equivalent DuckDB SQL
+where there is one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register the decorated function under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
