@@ -1 +1,100 @@
-"""To come."""
+"""Queries on packets and bytes: conversations play packet streams, keys and names play headers and payloads."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import bits
+from ..operators import order, sessions
+from ..sources import banks
+from .registry import query, table
+
+
+@query("""with g as (select *, coalesce(sum(case when role = 'assistant' then 1 else 0 end) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) pkt from conversations)
+select conv_id, pkt::bigint pkt_no, string_agg(text, '|' order by turn) blob, min(turn) start_turn, max(turn) end_turn from g group by conv_id, pkt having bool_or(role = 'assistant')""")
+def reassemble(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    closes = F.col("role") == "assistant"
+    rows = order.group_until(turns, ["conv_id"], ["turn"], closes, "pkt_no")
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    got = rows.groupBy("conv_id", "pkt_no").agg(parts.alias("p"), F.min("turn").alias("start_turn"), F.max("turn").alias("end_turn"), F.bool_or(closes).alias("closed")).filter("closed")
+    return got.select("conv_id", "pkt_no", F.array_join(F.transform("p", lambda x: x["text"]), "|").alias("blob"), "start_turn", "end_turn")
+
+
+@query("""select l_orderkey, l_linenumber, ((w0 >> 13) & 7)::int version, ((w0 >> 12) & 1)::int packet_type, ((w0 >> 11) & 1)::int secheaderflag, (w0 & 2047)::int appid, ((w1 >> 14) & 3)::int groupflags, (w1 & 16383)::int sequence_cnt, w2::int packetlen
+from (select l_orderkey, l_linenumber, (l_orderkey * 7919) % 65536 w0, (l_partkey * 104729) % 65536 w1, (l_suppkey * 31) % 65536 w2 from lineitem)""")
+def header_bits(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    words = [((F.col(c) * m) % 65536).cast("int") for c, m in (("l_orderkey", 7919), ("l_partkey", 104729), ("l_suppkey", 31))]
+    head = F.unhex(F.concat(*[F.lpad(F.hex(w), 4, "0") for w in words]))
+    got = banks.header_fields(li.select("l_orderkey", "l_linenumber", head.alias("head")), "head")
+    return got.drop("head")
+
+
+@query("""with h as (select p_partkey, hex(encode(p_name)) h from part) select p_partkey, case when length(h) % 4 = 0 then regexp_replace(h, '(..)(..)', '\\2\\1', 'g') end swapped from h""")
+def byteswap(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.hex(bits.swap16(F.encode("p_name", "UTF-8"))).alias("swapped"))
+
+
+@query("""with h as (select p_partkey, hex(encode(p_name)) h from part) select p_partkey, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint uid from h where length(h) >= 8""")
+def uid_prefix(spark, sf_dir):
+    got = table(spark, sf_dir, "part").select("p_partkey", bits.little_endian_u32(F.encode("p_name", "UTF-8")).alias("uid"))
+    return got.filter("uid is not null")
+
+
+@query("""select l_orderkey, l_linenumber, ((((l_suppkey & 65535) << 32) + l_partkey * 1000) >> 4) / 4096.0 as seconds, round((((((l_suppkey & 65535) << 32) + l_partkey * 1000) >> 4) / 4096.0 - 100) / 86400 + 60000 + 1e-9, 6) mjd,
+l_orderkey + l_linenumber / 65536.0 telemetry_s from lineitem""")
+def mission_time(spark, sf_dir):
+    raw = bits.mission_seconds(F.col("l_suppkey"), F.col("l_partkey") * 1000)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("seconds"), F.round(bits.mjd(raw, F.lit(100.0), F.lit(60000.0)) + 1e-9, 6).alias("mjd"), bits.telemetry_seconds(F.col("l_orderkey"), F.col("l_linenumber")).alias("telemetry_s"))
+
+
+@query("""with o as (select user_id, min(ts) start, count(*) n from events group by 1) select user_id, 'session_' || lpad(user_id::varchar, 3, '0') || '_' || strftime(start, '%Y%m%d_%H%M%S') as name,
+lpad(n::varchar, 5, '0') || '_' || lpad(lower(to_hex(user_id)), 4, '0') || '.bin' file from o""")
+def session_names(spark, sf_dir):
+    o = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("start"), F.count("*").alias("n"))
+    return o.select("user_id", bits.session_name(F.col("user_id"), F.col("start")).alias("name"), bits.packet_name(F.col("n"), F.col("user_id"), F.col("n")).alias("file"))
+
+
+@query("""with o as (select user_id, count(*) n_rows, count(*) filter (event_type = 'error') n_error from events group by 1)
+select '{"manifest_schema_version":1,"n_error":' || n_error || ',"n_rows":' || n_rows || ',"user_id":' || user_id || '}' manifest from o""")
+def manifest_json(spark, sf_dir):
+    o = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("event_type") == "error").alias("n_error"))
+    return sessions.manifest(o)
+
+
+@query("""with r as (select 'bank/' || event_type || '/' || user_id path, count(*) size, max(epoch_us(ts)) / 1e6 mtime from events group by 1),
+c as (select 'bank/' || event_type || '/' || user_id path, count(*) + case when user_id % 7 = 0 then 1 else 0 end size, max(epoch_us(ts)) / 1e6 + case when user_id % 5 = 0 then 1 else 0 end mtime from events where user_id % 11 != 0 group by event_type, user_id)
+select path, case when c.size is null then 'missing' when r.size != c.size then 'size' else 'mtime' end reason from r left join c using (path) where c.size is null or r.size != c.size or abs(r.mtime - c.mtime) > 1e-3""")
+def fingerprint(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("path", F.concat_ws("/", F.lit("bank"), "event_type", "user_id"))
+    at = F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    recorded = e.groupBy("path").agg(F.count("*").alias("size"), at.alias("mtime"))
+    now = e.filter("user_id % 11 != 0").groupBy("path", "user_id").agg((F.count("*") + F.when(F.col("user_id") % 7 == 0, 1).otherwise(0)).alias("size"), (at + F.when(F.col("user_id") % 5 == 0, 1).otherwise(0)).alias("mtime"))
+    return sessions.fingerprint_mismatches(recorded, now)
+
+
+@query("""select user_id, count(*) n_warnings, string_agg(distinct props, ';' order by props) warnings from events where event_type = 'error' group by 1""")
+def warnings_by_session(spark, sf_dir):
+    got = sessions.warnings_by_session(table(spark, sf_dir, "events").filter("event_type = 'error'"), ["user_id"], "props")
+    return got.select("user_id", "n_warnings", F.array_join("warnings", ";").alias("warnings"))
+
+
+@query()
+def bank_frames(spark, sf_dir):
+    """Events framed as bank streams, one per user and type, and cut again: frames and rejects per stream."""
+    import pandas as pd
+
+    def stream(rows: pd.DataFrame) -> pd.DataFrame:
+        out = bytearray()
+        for k, r in enumerate(rows.sort_values("event_id").itertuples()):
+            body = str(r.props).encode()
+            flags = 1 if k % 3 == 2 else 0
+            head = (0x209).to_bytes(2, "big") + (flags << 14 | k % 16384).to_bytes(2, "big") + (len(body) - 1).to_bytes(2, "big")
+            crc = banks.crc16(head + body) ^ (1 if r.event_id % 50 == 0 else 0)
+            out += b"\xa5" * (k % 3) + banks.SYNC + head + body + crc.to_bytes(2, "big")
+        return pd.DataFrame({"stream_id": [str(rows["user_id"].iat[0])], "bank": ["b05"], "content": [bytes(out)]})
+
+    made = table(spark, sf_dir, "events").select("user_id", "event_id", "props").groupBy("user_id").applyInPandas(stream, "stream_id string, bank string, content binary")
+    cut = banks.frames(made)
+    return cut.groupBy("stream_id", F.coalesce("reject", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))

@@ -1 +1,146 @@
-"""To come."""
+"""Queries on matrices and linear algebra; entries are made from the keys of line items and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import linear, matrices
+from .registry import query, table
+
+#: Entries of 4x4 matrices by bucket: means of line items, so the work grows with the table.
+_M = """m as (select (l_orderkey % 50)::int k, ((l_orderkey // 50) % 4)::int a, ((l_partkey) % 4)::int b, avg(l_quantity) / 10 re, avg(l_discount) im from lineitem group by all)"""
+
+
+def _entries(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    key = [(F.col("l_orderkey") % 50).cast("int").alias("k"), (F.floor(F.col("l_orderkey") / 50) % 4).cast("int").alias("a"), (F.col("l_partkey") % 4).cast("int").alias("b")]
+    return li.groupBy(*key).agg((F.avg("l_quantity") / 10).alias("re"), F.avg("l_discount").alias("im"))
+
+
+@query(f"with {_M} select x.k, x.a, x.b, round((x.re + y.re) / 2, 6) re, round((x.im - y.im) / 2, 6) im from m x join m y on x.k = y.k and x.a = y.b and x.b = y.a")
+def hermitian(spark, sf_dir):
+    got = matrices.hermitian(_entries(spark, sf_dir), ["k"])
+    return got.select("k", "a", "b", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
+@query(f"with {_M}, d as (select x.k, max(sqrt((x.re - y.re) ** 2 + (x.im + y.im) ** 2)) ab, max(sqrt(x.re ** 2 + x.im ** 2)) s from m x join m y on x.k = y.k and x.a = y.b and x.b = y.a group by 1) select k, round(ab, 6) absolute, round(ab / s, 6) relative from d")
+def hermitian_residual(spark, sf_dir):
+    got = matrices.hermitian_residual(_entries(spark, sf_dir), ["k"])
+    return got.select("k", F.round("absolute", 6).alias("absolute"), F.round("relative", 6).alias("relative"))
+
+
+@query(f"with {_M} select k, ((b - a + 4) % 4) % 3 + case when (b - a + 4) % 4 = 3 then 1 else 0 end step, round(avg(re), 6) re, round(avg(im), 6) im from m group by all")
+def circulant(spark, sf_dir):
+    got = matrices.circulant(_entries(spark, sf_dir), ["k"])
+    return got.select("k", "step", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
+@query(f"""with {_M}, au as (select k, a, abs(re) t from m where a = b), pr as (select k, a, b, re, im from m where a < b), j as (select pr.*, x.t ta, y.t tb from pr join au x on pr.k = x.k and pr.a = x.a join au y on pr.k = y.k and pr.b = y.a)
+select k, a, a b, 'auto' part, round(t / sqrt(10.0), 6) sigma from au union all select k, a, b, 're', round(sqrt(greatest((ta * tb + (re * re - im * im)) / 20.0, 0)), 6) from j union all select k, a, b, 'im', round(sqrt(greatest((ta * tb - (re * re - im * im)) / 20.0, 0)), 6) from j""")
+def noise(spark, sf_dir):
+    m = _entries(spark, sf_dir).filter("a <= b")
+    rows = m.select("k", "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit("auto").alias("part"), F.col("re").alias("value")))).otherwise(F.array(F.struct(F.lit("re").alias("part"), F.col("re").alias("value")), F.struct(F.lit("im").alias("part"), F.col("im").alias("value"))))).alias("x")).select("k", "a", "b", "x.*")
+    got = matrices.radiometric_noise(rows, ["k"], 2.0, 5.0)
+    return got.select("k", "a", "b", "part", F.round("sigma", 6).alias("sigma"))
+
+
+@query(f"with {_M} select k, a, b, round(re * re + im * im + a * a + b * b, 6) i, round(re * re + im * im - a * a - b * b, 6) q, round(2 * (re * a + im * b), 6) u, round(2 * (im * a - re * b), 6) v from m")
+def stokes(spark, sf_dir):
+    s = matrices.stokes(F.col("re"), F.col("im"), F.col("a").cast("double"), F.col("b").cast("double"))
+    return _entries(spark, sf_dir).select("k", "a", "b", *[F.round(c, 6).alias(n) for n, c in s.items()])
+
+
+@query("""with g as (select p_partkey % 5 freq, (p_partkey * 7 % 180)::double theta, (p_partkey * 13 % 361)::double phi, p_retailprice p from part)
+select freq, round(coalesce(sum(case when theta <= 90 then p * sin(radians(theta)) * pow(radians(1), 2) end) / (4 * pi()), 0), 6) sky, round(1 - coalesce(sum(case when theta <= 90 then p * sin(radians(theta)) * pow(radians(1), 2) end) / (4 * pi()), 0), 6) ground from g where phi < 360 group by 1""")
+def sky_fraction(spark, sf_dir):
+    k = F.col("p_partkey")
+    g = table(spark, sf_dir, "part").select((k % 5).alias("freq"), (k * 7 % 180).cast("double").alias("theta_deg"), (k * 13 % 361).cast("double").alias("phi_deg"), F.col("p_retailprice").alias("p"))
+    got = matrices.sky_fraction(g, ["freq"], F.col("p"))
+    return got.select("freq", F.round("sky", 6).alias("sky"), F.round("ground", 6).alias("ground"))
+
+
+@query("""with g as (select p_partkey, (p_partkey * 15 % 360)::double phi from part), r as (select p_partkey, ((phi + 45) % 360)::double phi_deg from g) select * from r union all select p_partkey, 360.0::double from r where phi_deg = 0""")
+def rotate_phi(spark, sf_dir):
+    g = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 15 % 360).cast("double").alias("phi_deg"))
+    return matrices.rotate_phi(g, 3, 15.0)
+
+
+_X = ", ".join(f"embedding[{i + 1}]::double x{i}" for i in range(8))
+
+
+@query(f"with e as (select {_X} from embeddings) " + " union all ".join(f"select {i} i, {j} j, round(covar_samp(x{i}, x{j}), 8) c from e" for i in range(8) for j in range(8)))
+def pca_covariance(spark, sf_dir):
+    cols = [f"x{i}" for i in range(8)]
+    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    c = linear.covariance(e, cols)
+    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(8) for j in range(8)], "i int, j int, c double").withColumn("c", F.round("c", 8))
+
+
+@query(f"with e as (select {_X} from embeddings) " + " union all ".join(f"select {i} i, {j} j, round(sum(x{i} * x{j}), 6) g from e" for i in range(4) for j in range(4)))
+def gram(spark, sf_dir):
+    cols = [f"x{i}" for i in range(4)]
+    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    _, _, g = linear.gram(e, cols)
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(4) for j in range(4)], "i int, j int, g double").withColumn("g", F.round("g", 6))
+
+
+@query()
+def pca_scores(spark, sf_dir):
+    """Scores of all embeddings on their first two principal components."""
+    cols = [f"x{i}" for i in range(8)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    _, v = linear.principal_components(e, cols)
+    return linear.project(e, cols, v[:, :2], ["pc1", "pc2"]).select("vec_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
+@query("""with l as (select l_quantity x, l_extendedprice y from lineitem), s as (select count(*) n, sum(x) sx, sum(x * x) sxx, sum(y) sy, sum(x * y) sxy from l)
+select 0 i, round((sy * sxx - sx * sxy) / (n * sxx - sx * sx), 3) x from s union all select 1, round((n * sxy - sx * sy) / (n * sxx - sx * sx), 3) from s""")
+def normal_equations(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.lit(1.0).alias("one"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("y"), F.lit(1.0).alias("w"))
+    x = linear.normal_equations(li, ["one", "q"], "y", "w")
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").withColumn("x", F.round("x", 3))
+
+
+_ALM = "a as (select vec_id f, (i - 1) // 8 l, (i - 1) % 8 m, embedding[i]::double re, embedding[65 - i]::double im from embeddings, range(1, 65) r(i) where (i - 1) % 8 <= (i - 1) // 8)"
+
+
+def _alm(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("f"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = e.select("f", "x", F.posexplode("x").alias("i", "re"))
+    return rows.select("f", F.floor(F.col("i") / 8).cast("int").alias("l"), (F.col("i") % 8).alias("m"), "re", F.element_at("x", 64 - F.col("i")).alias("im")).filter("m <= l")
+
+
+@query(f"with {_ALM} select f, l::int l, round(sum((re * re + im * im) * case when m > 0 then 2 else 1 end) / (2 * l + 1), 6) c_l from a group by f, l")
+def cl_prior(spark, sf_dir):
+    return linear.power_spectrum(_alm(spark, sf_dir), ["f"]).select("f", "l", F.round("c_l", 6).alias("c_l"))
+
+
+@query(f"with {_ALM} select x.f, round(sum((x.re * y.re + x.im * y.im) * case when x.m > 0 then 2 else 1 end) / (4 * pi()), 6) mean from a x join a y on y.f = x.f + 1 and x.l = y.l and x.m = y.m group by 1")
+def alm_product(spark, sf_dir):
+    a = _alm(spark, sf_dir)
+    got = linear.mean_product(a, a.withColumn("f", F.col("f") - 1), ["f"])
+    return got.select("f", F.round("mean", 6).alias("mean"))
+
+
+@query(f"with {_ALM}, p as (select x.l, sum(case when x.m > 0 then 2 else 1 end * (x.re * y.re + x.im * y.im)) xy, sum(case when x.m > 0 then 2 else 1 end * (x.re * x.re + x.im * x.im)) xx, sum(case when x.m > 0 then 2 else 1 end * (y.re * y.re + y.im * y.im)) yy from (select l, m, avg(re) re, avg(im) im from a where f % 2 = 0 group by all) x join (select l, m, avg(re) re, avg(im) im from a where f % 2 = 1 group by all) y using (l, m) group by 1) select l::int l, round(xy / (2 * l + 1) / sqrt(xx * yy / (2 * l + 1) ** 2 + 1e-30), 6) correlation from p")
+def degree_correlation(spark, sf_dir):
+    a = _alm(spark, sf_dir)
+    half = lambda r: a.filter(F.col("f") % 2 == r).groupBy("l", "m").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    return linear.correlation_by_degree(half(0), half(1)).select("l", F.round("correlation", 6).alias("correlation"))
+
+
+@query()
+def receiver_loading(spark, sf_dir):
+    """Loaded covariance of each bucket: 4x4 solves in batches; diagonal impedances keep them well conditioned."""
+    m = _entries(spark, sf_dir)
+    c = matrices.pack(matrices.hermitian(m, ["k"]), ["k"], "c")
+    za = matrices.pack(m.withColumn("re", F.col("re") + F.when(F.col("a") == F.col("b"), 50.0).otherwise(0.0)), ["k"], "za")
+    zl = matrices.pack(matrices.diagonal(m.withColumn("re", F.lit(100.0))), ["k"], "zl")
+    got = matrices.load_covariance(matrices.loading(c.join(za, "k").join(zl, "k"), "za", "zl"), "c", "loading")
+    return matrices.unpack(got, ["k"], "loaded").select("k", "a", "b", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
+@query()
+def matrix_quality(spark, sf_dir):
+    got = matrices.matrix_quality(_entries(spark, sf_dir), ["k"])
+    return got.select("k", F.round("reciprocity", 6).alias("reciprocity"), F.round("least", 6).alias("least"), "passes")

@@ -1 +1,61 @@
-"""To come."""
+"""Queries that run as streams over the event table and return what the sink holds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.folders import shared_folder
+from ..streaming import streams
+from .registry import query, table
+
+
+def _run(stream):
+    return streams.run_once(stream, f"{shared_folder(stream.sparkSession)}/bandloom-streams")
+
+
+def _events(spark, sf_dir):
+    return streams.as_stream(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("""with w as (select time_bucket(interval '1 hour', ts) b, event_type, avg(value) mean, count(*) n from events group by all)
+select epoch_us(b) // 1000000 start_s, event_type, round(mean, 6) mean, n from w where b + interval '1 hour' <= (select max(ts) from events) - interval '10 minutes'""")
+def stream_binned_means(spark, sf_dir):
+    got = _run(streams.binned_means(_events(spark, sf_dir), "at", ["event_type"], "value", "1 hour"))
+    return got.select(F.unix_seconds("start").alias("start_s"), "event_type", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("""with h as (select *, event_type = 'signup' hello, lag(event_type = 'signup') over (partition by user_id order by ts, event_id) was from events),
+s as (select *, sum(case when was is null or (hello and not was) then 1 else 0 end) over (partition by user_id order by ts, event_id) - 1 session_no from h)
+select user_id::varchar stream, event_id id, session_no::bigint session_no from s""")
+def stream_sessions(spark, sf_dir):
+    streams.with_rocksdb(spark)
+    e = _events(spark, sf_dir)
+    rows = e.select(F.col("user_id").cast("string").alias("stream"), (F.unix_micros("at") / 1e6).alias("t"), F.col("event_id").alias("id"), (F.col("event_type") == "signup").alias("hello"))
+    return _run(streams.split_sessions_online(rows)).filter("not late").select("stream", "id", "session_no")
+
+
+@query("select distinct user_id, event_type, props from events where event_id % 2 = 0")
+def stream_distinct(spark, sf_dir):
+    kept = streams.drop_repeats(_events(spark, sf_dir).filter("event_id % 2 = 0"), "at", ["user_id", "event_type", "props"], delay="3650 days")
+    return _run(kept).select("user_id", "event_type", "props")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '6 hours' then 0 else 1 end new from events),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts) k from g), x as (select user_id, min(ts) a, max(ts) + interval '6 hours' b, count(*) n from s group by user_id, k)
+select epoch_us(a) // 1000000 start_s, user_id, n from x where b <= (select max(ts) from events) - interval '10 minutes'""")
+def stream_gap_sessions(spark, sf_dir):
+    got = _run(streams.gap_sessions(_events(spark, sf_dir), "at", ["user_id"], "6 hours"))
+    return got.select(F.unix_seconds("start").alias("start_s"), "user_id", "n")
+
+
+@query("""with st as (select user_id, epoch_us(ts) / 1e6 t, event_id sid from events where event_type = 'signup'), f as (select user_id, arg_min(sid, t) first_sid from st group by 1)
+select e.event_id, coalesce(st.sid, f.first_sid) session_id from (select *, epoch_us(ts) / 1e6 t from events where event_type = 'click') e asof left join st on e.user_id = st.user_id and e.t >= st.t left join f on e.user_id = f.user_id""")
+def stream_telemetry(spark, sf_dir):
+    starts = table(spark, sf_dir, "events").filter("event_type = 'signup'").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("start"), F.col("event_id").alias("session_id"))
+    clicks = _events(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", (F.unix_micros("at") / 1e6).alias("t"))
+    import uuid
+
+    path = f"{shared_folder(spark)}/bandloom-streams/{uuid.uuid4().hex}"
+    write = streams.assign_online(starts, f"{path}/out", ["user_id"], "t", "start", "session_id")
+    clicks.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "session_id")
