@@ -131,13 +131,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> Da
     """The mix as rows of ``docs``: a document taken once or more is there as often, and a last part of it as its first
     words; documents not taken are left out. n_chars, if there, is counted anew for such parts."""
     columns = docs.columns
-    numbered = durable(docs.withColumn("row_id", F.monotonically_increasing_id()))
-    sizes = durable(numbered.select("row_id", "doc_id", "source", word_count(F.col("text")).alias("size")))
-    taken = mix(sizes, weights)[0].filter("taken > 0").select("row_id", "size", "taken")
-    rows = numbered.join(taken, "row_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    numbered = durable(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    sizes = durable(numbered.select(F.col("_mix_row").alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size")))
+    taken = mix(sizes, weights)[0].filter("taken > 0").select(F.col("row_id").alias("_mix_row"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    size, all_ = F.col("_mix_size"), F.col("_mix_taken")
+    rows = numbered.join(taken, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(all_ / size))))
+    words = F.least(size, all_ - (F.col("_mix_copy") - 1) * size)
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    out = rows.withColumn("text", F.when(words < F.col("size"), part).otherwise(F.col("text")))
+    out = rows.withColumn("text", F.when(words < size, part).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(words < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(words < size, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

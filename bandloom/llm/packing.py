@@ -198,10 +198,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         done.append(packed.filter(full))
         left, last = packed.filter(~full), count
         count = left.count()
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("uid", "bin", "offset")
+    out = pieces.sparkSession.createDataFrame([], "uid long, bin long, offset long")
+    for d in done:
+        out = out.unionByName(d.select("uid", "bin", "offset"))
+    return out
 
 
 def pack_pieces(docs: DataFrame, name: str = "byte_bpe_50k", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
