@@ -128,13 +128,13 @@ def radiometric_noise(cov: DataFrame, keys: list[str], bandwidth_hz: float, seco
     sqrt(max(0, (|Ta Tb| +- (re^2 - im^2)) / (2 B t))). A pair without both parts or both autos gives no rows here and is
     found by ``incomplete_pairs``."""
     bt = bandwidth_hz * seconds
-    auto = cov.filter("a = b").select(*keys, "a", F.abs("value").alias("t"))
+    auto = cov.filter("a = b").select(*keys, "a", F.abs("value").alias("_t"))
     pair = cov.filter("a != b").groupBy(*keys, "a", "b").agg(F.max(F.when(F.col("part") == "re", F.col("value"))).alias("re"), F.max(F.when(F.col("part") == "im", F.col("value"))).alias("im")).filter("re is not null and im is not null")
-    pair = pair.join(auto.withColumnRenamed("t", "ta"), [*keys, "a"]).join(auto.select(*keys, F.col("a").alias("b"), F.col("t").alias("tb")), [*keys, "b"])
-    sq, common = F.col("re") * F.col("re") - F.col("im") * F.col("im"), F.col("ta") * F.col("tb")
+    pair = pair.join(auto.withColumnRenamed("_t", "_ta"), [*keys, "a"]).join(auto.select(*keys, F.col("a").alias("b"), F.col("_t").alias("_tb")), [*keys, "b"])
+    sq, common = F.col("re") * F.col("re") - F.col("im") * F.col("im"), F.col("_ta") * F.col("_tb")
     sigma = lambda s: F.sqrt(F.greatest((common + s) / (2 * bt), F.lit(0.0)))
     both = pair.select(*keys, "a", "b", F.explode(F.array(F.struct(F.lit("re").alias("part"), sigma(sq).alias("sigma")), F.struct(F.lit("im").alias("part"), sigma(-sq).alias("sigma")))).alias("x")).select(*keys, "a", "b", "x.*")
-    return auto.select(*keys, "a", F.col("a").alias("b"), F.lit("auto").alias("part"), (F.col("t") / bt**0.5).alias("sigma")).unionByName(both)
+    return auto.select(*keys, "a", F.col("a").alias("b"), F.lit("auto").alias("part"), (F.col("_t") / bt**0.5).alias("sigma")).unionByName(both)
 
 
 def incomplete_pairs(cov: DataFrame, keys: list[str]) -> DataFrame:
