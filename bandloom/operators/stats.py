@@ -51,12 +51,12 @@ def concat_sources(sources: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
-def merged_scale(constants: DataFrame) -> DataFrame:
-    """One row: the sources' common time scale: unknown if any is unknown or none known, ``conflict`` if known ones differ;
+def merged_scale(constants: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per key: the sources' common time scale: unknown if any is unknown or none known, ``conflict`` if known ones differ;
     and the first source's clock with how many values there are."""
     known = F.collect_set(F.when(F.col("time_scale") != "unknown", F.col("time_scale")))
     scale = F.when(F.size(known) > 1, "conflict").when(F.count_if(F.coalesce(F.col("time_scale") == "unknown", F.lit(True))) > 0, "unknown").otherwise(F.coalesce(known[0], F.lit("unknown")))
-    return constants.agg(scale.alias("time_scale"), F.min_by("clock_source", "start").alias("clock_source"), F.count_distinct("clock_source").alias("n_clock_sources"))
+    return constants.groupBy(*(keys or [])).agg(scale.alias("time_scale"), F.min_by("clock_source", "start").alias("clock_source"), F.count_distinct("clock_source").alias("n_clock_sources"))
 
 
 def require_scale(constants: DataFrame, assumed: str | None = None) -> str:

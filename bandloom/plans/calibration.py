@@ -16,10 +16,10 @@ def spectra(spark, sf_dir):
 _BINS = "b as (select vec_id, label product, unnest(embedding)::double as value, generate_subscripts(embedding, 1) - 1 bin from embeddings)"
 
 
-@query(f"with {_BINS} select vec_id, bin::int bin, round(value * pow(2, (label_slice - 31)), 12) restored_value from (select b.*, 20 + product label_slice from b) where bin < 8")
+@query(f"with {_BINS} select vec_id, bin::int bin, round(value * pow(2, (label_slice - 31)), 12) restored_value from (select b.*, 20 + product label_slice from b)")
 def bitslice(spark, sf_dir):
     rows = products.restore_slices(spectra(spark, sf_dir).withColumn("slice", 20 + F.col("product")), "data", "slice")
-    return products.bins(rows, "data", ["vec_id"], 0, 8).select("vec_id", "bin", F.round("value", 12).alias("restored_value"))
+    return products.bins(rows, "data", ["vec_id"]).select("vec_id", "bin", F.round("value", 12).alias("restored_value"))
 
 
 @query("with m as (select vec_id, label, [case when x > 0.25 then x end for x in embedding] d from embeddings) select vec_id, row_number() over (partition by label order by vec_id) - 1 orig_idx from m qualify len([x for x in d if x is not null]) > 0")
@@ -50,9 +50,9 @@ def mean_spectrum(spark, sf_dir):
     return got.select("product", "bin", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
-@query(f"with {_BINS} select product, (vec_id // 100) step, bin::int bin, round(avg(case when product >= 4 then value when value > 0 then log10(value + 1e-10) end), 6) level from b where bin < 16 group by all")
+@query(f"with {_BINS} select product, (vec_id // 100) step, bin::int bin, round(avg(case when product >= 4 then value when value > 0 then log10(value + 1e-10) end), 6) level from b group by all")
 def waterfall(spark, sf_dir):
-    rows = products.bins(spectra(spark, sf_dir), "data", ["vec_id", "product"], 0, 16)
+    rows = products.bins(spectra(spark, sf_dir), "data", ["vec_id", "product"])
     got = products.waterfall(rows, F.col("vec_id"), 100, ["product"], F.col("product") < 4)
     return got.select("product", "step", "bin", F.round("level", 6).alias("level"))
 
@@ -126,10 +126,10 @@ def gain_predict(spark, sf_dir):
 
 @query(f"""with {_BINS}, g as (select vec_id, bin, channel, 1.0 + channel * 0.5 + bin * 0.01 + (vec_id % 7) * 0.1 gain from (select distinct vec_id, bin from b), range(4) r(channel)),
 d as (select * from (values (0,0,0,0),(1,1,1,0),(2,2,2,0),(3,3,3,0),(4,0,1,1),(5,0,1,1),(6,0,2,1),(7,0,2,1),(8,0,3,1),(9,0,3,1)) t(product, a, b, cross_)),
-j as (select b.*, d.cross_, ga.gain ga, gb.gain gb from b join d using (product) join g ga on ga.vec_id = b.vec_id and ga.bin = b.bin and ga.channel = d.a join g gb on gb.vec_id = b.vec_id and gb.bin = b.bin and gb.channel = d.b where b.bin < 8)
+j as (select b.*, d.cross_, ga.gain ga, gb.gain gb from b join d using (product) join g ga on ga.vec_id = b.vec_id and ga.bin = b.bin and ga.channel = d.a join g gb on gb.vec_id = b.vec_id and gb.bin = b.bin and gb.channel = d.b)
 select vec_id, bin::int bin, round(case when cross_ = 1 then value / sqrt(ga * gb) when value >= 0 then value / ga end, 6) physical from j""")
 def to_physical(spark, sf_dir):
-    rows = products.bins(spectra(spark, sf_dir), "data", ["vec_id", "product"], 0, 8)
+    rows = products.bins(spectra(spark, sf_dir), "data", ["vec_id", "product"])
     gains = rows.select("vec_id", "bin").distinct().withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("gain", 1.0 + F.col("channel") * 0.5 + F.col("bin") * 0.01 + (F.col("vec_id") % 7) * 0.1)
     got = gain.convert(rows, gains, products.product_dimension(spark), ["vec_id", "bin"], psd=True)
     return got.select("vec_id", "bin", F.round("physical", 6).alias("physical"))

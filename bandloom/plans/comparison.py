@@ -51,8 +51,7 @@ def scale_merge(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     scale = F.when(F.col("n_nationkey") % 9 == 4, "unknown").when((F.col("n_regionkey") == 1) & (F.col("n_nationkey") % 2 == 0), "tai").otherwise("utc")
     c = n.select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("start"), scale.alias("time_scale"), F.concat(F.lit("clock"), F.col("n_nationkey") % 2).alias("clock_source"))
-    parts = [stats.merged_scale(c.filter(F.col("g") == r[0])).withColumn("g", F.lit(r[0])) for r in table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey").limit(10).collect()]
-    return stats.concat_sources(parts)
+    return stats.merged_scale(c, ["g"])
 
 
 @query("select distinct json_keys.k as key from (select unnest(json_keys(props)) k from events) json_keys")

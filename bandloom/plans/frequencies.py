@@ -33,13 +33,13 @@ def freq_problems(spark, sf_dir):
     return got.filter("problem is not null").select("target_idx", "problem")
 
 
-@query(f"""with {_TARGETS}, v as (select vec_id, unnest(embedding)::double as value, generate_subscripts(embedding, 1) - 1 idx from embeddings where label < 3),
-p as (select target_idx, f, floor((f - 2.0) / 0.5)::int lo, (f - 2.0) / 0.5 - floor((f - 2.0) / 0.5) alpha from t where f between 2.0 and 33.0),
+@query(f"""with {_TARGETS}, v as (select vec_id, unnest(embedding)::double as value, generate_subscripts(embedding, 1) - 1 idx from embeddings),
+p as (select target_idx, f, floor((f - 2.0) / 0.5)::int lo, (f - 2.0) / 0.5 - floor((f - 2.0) / 0.5) alpha from t where f between 2.0 and 33.5),
 q as (select target_idx, lo, case when alpha < 1e-5 then 0 else alpha end alpha from p)
 select a.vec_id, target_idx, round(case when alpha = 0 then a.value else (1 - alpha) * a.value + alpha * b.value end, 6) as value from q join v a on a.idx = q.lo join v b on b.vec_id = a.vec_id and b.idx = case when alpha = 0 then q.lo else q.lo + 1 end""")
 def freq_apply(spark, sf_dir):
-    values = table(spark, sf_dir, "embeddings").filter("label < 3").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("idx", "value"))
-    aligned = freq.plan(_targets(spark, sf_dir).filter("freq between 2.0 and 33.0"), freq.grid(spark, 2.0, 0.5, 64), policy="linear").filter("problem is null")
+    values = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("idx", "value"))
+    aligned = freq.plan(_targets(spark, sf_dir), freq.grid(spark, 2.0, 0.5, 64), policy="linear").filter("problem is null")
     got = freq.apply_plan(aligned, values, ["vec_id"])
     return got.select("vec_id", "target_idx", F.round("value", 6).alias("value"))
 
@@ -81,10 +81,10 @@ def common_range(spark, sf_dir):
     return freq.common_range(p.select(F.col("p_size").alias("freq")).distinct(), grids)
 
 
-@query("""with v as (select vec_id, label, unnest(embedding)::double as value, generate_subscripts(embedding, 1)::int - 1 i from embeddings where label < 2), k as (select k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) over () w from range(-4, 5) r(k)),
+@query("""with v as (select vec_id, label, unnest(embedding)::double as value, generate_subscripts(embedding, 1)::int - 1 i from embeddings), k as (select k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) over () w from range(-4, 5) r(k)),
 o as (select vec_id, i j, k, w, case when i + k < 0 then -1 - (i + k) when i + k > 63 then 127 - (i + k) else i + k end src from v, k)
-select o.vec_id, o.j idx, round(sum(v.value * w), 6) as value from o join v on v.vec_id = o.vec_id and v.i = o.src group by all""")
+select o.vec_id, o.j idx, round(sum(v.value * w), 6) + 0.0 as value from o join v on v.vec_id = o.vec_id and v.i = o.src group by all""")
 def smoothed(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").filter("label < 2").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("idx", "value"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("idx", "value"))
     got = freq.smooth(rows, ["vec_id"], "idx", "value", 1.0, 64)
-    return got.select("vec_id", "idx", F.round("value", 6).alias("value"))
+    return got.select("vec_id", "idx", (F.round("value", 6) + 0.0).alias("value"))

@@ -71,10 +71,9 @@ def spherical_parts(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(a, 6).alias("e_theta"), F.round(b, 6).alias("e_phi"))
 
 
-@query("""select l_orderkey, l_linenumber, round(l_extendedprice * 1e-3 / sqrt(2.0), 9) rms, case when l_suppkey - 32 between -32 and 63 then (l_suppkey - 32 + 64) % 64 end zoom from lineitem where l_suppkey <= 95""")
+@query("""select l_orderkey, l_linenumber, round(l_extendedprice * 1e-3 / sqrt(2.0), 9) rms, (l_suppkey % 96 + 32) % 64 zoom from lineitem""")
 def phasors_and_zoom(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 95")
-    return li.select("l_orderkey", "l_linenumber", F.round(grids.to_si_rms(F.col("l_extendedprice"), "mV", "peak"), 9).alias("rms"), grids.zoom_bin(F.col("l_suppkey") - 32).alias("zoom"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(grids.to_si_rms(F.col("l_extendedprice"), "mV", "peak"), 9).alias("rms"), grids.zoom_bin(F.col("l_suppkey") % 96 - 32).alias("zoom"))
 
 
 @query("""with g as (select p_size f, p_partkey % 13 * 15.0 th, p_partkey % 4 * 90.0 ph, p_retailprice r from part) select count(*) filter (th <= 90) points, count(distinct f) n_freq, count(distinct th) filter (th <= 90) n_theta, count(distinct ph) n_phi, round(max(r) filter (th > 90), 6) below from g""")
@@ -92,7 +91,7 @@ def housekeeping(spark, sf_dir):
     return sinks.housekeeping_table(hk, 0).select("session_id", "unique_packet_id", "raw_seconds", "time")
 
 
-@query("""with a as (select vec_id, generate_subscripts(embedding[1:4], 1) - 1 ch, unnest(embedding[1:4])::double v, label from embeddings) select label, ch::int ch, round(min(v), 6) lo, round(max(v), 6) hi, round(avg(v), 6) mean, round(sqrt(avg(v * v)), 6) rms from a group by all""")
+@query("""with a as (select vec_id, generate_subscripts(embedding, 1) - 1 ch, unnest(embedding)::double v, label from embeddings) select label, ch::int ch, round(min(v), 6) lo, round(max(v), 6) hi, round(avg(v), 6) mean, round(sqrt(avg(v * v)), 6) rms from a group by all""")
 def adc_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("ch", "x")).withColumn("v", F.col("x").cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("ch", "x")).withColumn("v", F.col("x").cast("double"))
     return rows.groupBy("label", "ch").agg(*[F.round(c, 6).alias(n) for n, c in (("lo", F.min("v")), ("hi", F.max("v")), ("mean", F.avg("v")), ("rms", F.sqrt(F.avg(F.col("v") * F.col("v")))))])

@@ -65,32 +65,34 @@ def rotate_phi(spark, sf_dir):
     return matrices.rotate_phi(g, 3, 15.0)
 
 
-_X = ", ".join(f"embedding[{i + 1}]::double x{i}" for i in range(8))
+BINS = [f"x{i}" for i in range(64)]
+_PAIRS = "with e as (select vec_id, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::double x from embeddings) select a.i::int i, b.i::int j, "
 
 
-@query(f"with e as (select {_X} from embeddings) " + " union all ".join(f"select {i} i, {j} j, round(covar_samp(x{i}, x{j}), 8) c from e" for i in range(8) for j in range(8)))
+def _bins(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(BINS)])
+
+
+@query(_PAIRS + "round(covar_samp(a.x, b.x), 8) + 0.0 c from e a join e b using (vec_id) group by a.i, b.i")
 def pca_covariance(spark, sf_dir):
-    cols = [f"x{i}" for i in range(8)]
-    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    c = linear.covariance(e, cols)
-    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(8) for j in range(8)], "i int, j int, c double").withColumn("c", F.round("c", 8))
+    c = linear.covariance(_bins(spark, sf_dir), BINS)
+    rows = [(i, j, float(c[i, j])) for i in range(len(BINS)) for j in range(len(BINS))]
+    return spark.createDataFrame(rows, "i int, j int, c double").withColumn("c", F.round("c", 8) + 0.0)
 
 
-@query(f"with e as (select {_X} from embeddings) " + " union all ".join(f"select {i} i, {j} j, round(sum(x{i} * x{j}), 6) g from e" for i in range(4) for j in range(4)))
+@query(_PAIRS + "round(sum(a.x * b.x), 6) + 0.0 g from e a join e b using (vec_id) group by a.i, b.i")
 def gram(spark, sf_dir):
-    cols = [f"x{i}" for i in range(4)]
-    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    _, _, g = linear.gram(e, cols)
-    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(4) for j in range(4)], "i int, j int, g double").withColumn("g", F.round("g", 6))
+    _, _, g = linear.gram(_bins(spark, sf_dir), BINS)
+    rows = [(i, j, float(g[i, j])) for i in range(len(BINS)) for j in range(len(BINS))]
+    return spark.createDataFrame(rows, "i int, j int, g double").withColumn("g", F.round("g", 6) + 0.0)
 
 
 @query()
 def pca_scores(spark, sf_dir):
     """Scores of all embeddings on their first two principal components."""
-    cols = [f"x{i}" for i in range(8)]
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    _, v = linear.principal_components(e, cols)
-    return linear.project(e, cols, v[:, :2], ["pc1", "pc2"]).select("vec_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+    e = _bins(spark, sf_dir)
+    _, v = linear.principal_components(e, BINS)
+    return linear.project(e, BINS, v[:, :2], ["pc1", "pc2"]).select("vec_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
 @query("""with l as (select l_quantity x, l_extendedprice y from lineitem), s as (select count(*) n, sum(x) sx, sum(x * x) sxx, sum(y) sy, sum(x * y) sxy from l)

@@ -34,9 +34,9 @@ def stream_sessions(spark, sf_dir):
     return _run(streams.split_sessions_online(rows)).filter("not late").select("stream", "id", "session_no")
 
 
-@query("select distinct user_id, event_type, props from events where event_id % 2 = 0")
+@query("select distinct user_id, event_type, props from events")
 def stream_distinct(spark, sf_dir):
-    kept = streams.drop_repeats(_events(spark, sf_dir).filter("event_id % 2 = 0"), "at", ["user_id", "event_type", "props"], delay="3650 days")
+    kept = streams.drop_repeats(_events(spark, sf_dir), "at", ["user_id", "event_type", "props"], delay="3650 days")
     return _run(kept).select("user_id", "event_type", "props")
 
 
