@@ -17,10 +17,10 @@ def _entries(spark, sf_dir):
     return li.groupBy(*key).agg((F.avg("l_quantity") / 10).alias("re"), F.avg("l_discount").alias("im"))
 
 
-@query(f"with {_M} select x.k, x.a, x.b, round((x.re + y.re) / 2, 6) re, round((x.im - y.im) / 2, 6) im from m x join m y on x.k = y.k and x.a = y.b and x.b = y.a")
+@query(f"with {_M} select x.k, x.a, x.b, round((x.re + y.re) / 2 + 1e-9, 6) re, round((x.im - y.im) / 2 + 1e-9, 6) im from m x join m y on x.k = y.k and x.a = y.b and x.b = y.a")
 def hermitian(spark, sf_dir):
     got = matrices.hermitian(_entries(spark, sf_dir), ["k"])
-    return got.select("k", "a", "b", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    return got.select("k", "a", "b", F.round(F.col("re") + 1e-9, 6).alias("re"), F.round(F.col("im") + 1e-9, 6).alias("im"))
 
 
 @query(f"with {_M}, d as (select x.k, max(sqrt((x.re - y.re) ** 2 + (x.im + y.im) ** 2)) ab, max(sqrt(x.re ** 2 + x.im ** 2)) s from m x join m y on x.k = y.k and x.a = y.b and x.b = y.a group by 1) select k, round(ab, 6) absolute, round(ab / s, 6) relative from d")
@@ -29,10 +29,10 @@ def hermitian_residual(spark, sf_dir):
     return got.select("k", F.round("absolute", 6).alias("absolute"), F.round("relative", 6).alias("relative"))
 
 
-@query(f"with {_M} select k, ((b - a + 4) % 4) % 3 + case when (b - a + 4) % 4 = 3 then 1 else 0 end step, round(avg(re), 6) re, round(avg(im), 6) im from m group by all")
+@query(f"with {_M} select k, ((b - a + 4) % 4) % 3 + case when (b - a + 4) % 4 = 3 then 1 else 0 end step, round(avg(re) + 1e-9, 6) re, round(avg(im) + 1e-9, 6) im from m group by all")
 def circulant(spark, sf_dir):
     got = matrices.circulant(_entries(spark, sf_dir), ["k"])
-    return got.select("k", "step", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    return got.select("k", "step", F.round(F.col("re") + 1e-9, 6).alias("re"), F.round(F.col("im") + 1e-9, 6).alias("im"))
 
 
 @query(f"""with {_M}, au as (select k, a, abs(re) t from m where a = b), pr as (select k, a, b, re, im from m where a < b), j as (select pr.*, x.t ta, y.t tb from pr join au x on pr.k = x.k and pr.a = x.a join au y on pr.k = y.k and pr.b = y.a)
