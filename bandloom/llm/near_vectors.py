@@ -27,7 +27,7 @@ from .shared import durable
 
 #: Projections, windows' half-widths in deviations, probability that a linked pair is counted, and the reach of the first
 #: projection in deviations (beyond it lies one linked pair in 150,000).
-PROJECTIONS, WIDTH, RECALL, REACH = 48, 1.0, 0.99999, 4.5
+PROJECTIONS, WIDTH, RECALL, REACH = 32, 1.0, 0.99999, 4.5
 BLOCK = 1024
 
 
