@@ -16,6 +16,8 @@ from .shared import WORD, durable, running, small, spread
 GOLDEN = 0.6180339887498949
 #: The mix has at least so many slots unless a slot would fall below one word; a slot never exceeds BLOCK_WORDS.
 LEAST_SLOTS, BLOCK_WORDS = 1 << 17, 1024
+#: Documents of one range of a source's hashed order, about, that is laid out in one task.
+BUCKET_ROWS = 2000
 #: Cells into which the unit interval is cut to find a point's source by an equi join.
 CELLS = 4096
 #: No document is taken more often than this.
@@ -94,7 +96,7 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST
     about = small(targets, n_sources)
     docs = sizes.join(about, sizes["source"].eqNullSafe(about["source"])).drop(about["source"])
     docs = docs.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id"))
-    docs = docs.withColumn("bucket", spread(F.col("h"), max(1, rows // 20_000)))
+    docs = docs.withColumn("bucket", spread(F.col("h"), max(1, rows // BUCKET_ROWS)))
     laid = running(docs, ["source_no"], "bucket", ["h", "doc_id", "row_id"], F.col("size"), "at").drop("bucket", "h")
     drawn = schedule(targets, slots, n_sources).join(small(targets.select("source_no", "source_size"), n_sources), "source_no")
     n_blocks = F.ceil(F.col("source_size") / F.lit(block))
