@@ -16,7 +16,7 @@ U = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 MIX_1, MIX_2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 #: Bytes of text worked on at once; a longer document is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
