@@ -3,7 +3,8 @@
 A text is cut into chunks of about 512 bytes, all of it. Each chunk is compressed with both dictionaries; the difference
 of the compressed sizes over the larger one says which kind of text it resembles. The mean of these over the text and
 the worst chunk enter a logistic regression, which turns them into a calibrated score: junk that fills one paragraph of
-a long text is as visible as junk throughout.
+a long text is as visible as junk throughout. So does the least compressed size by
+length, since what repeats itself is short under either dictionary.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .toxicity import is_held_out, labelled, with_scores
 
+#: Compressed size of plain text by its length, about.
+USUAL = 0.3
 #: Bytes of a chunk and of a dictionary, the compressor's level, and labelled texts used at most per class.
-CHUNK, DICTIONARY, LEVEL, SAMPLE = 512, 65536, 3, 1500
+CHUNK, DICTIONARY, LEVEL, SAMPLE = 512, 112640, 3, 1500
 
 
 def chunks(text: bytes) -> Iterator[bytes]:
@@ -41,7 +44,7 @@ def dictionary(texts: list[bytes]) -> bytes:
 
 @dataclass
 class Model:
-    """The dictionaries, and the logistic regression on (mean, worst) of the chunks' differences."""
+    """The dictionaries, and the logistic regression on what ``features`` returns."""
 
     good: bytes
     bad: bytes
@@ -55,20 +58,24 @@ class Model:
         self.good, self.bad, self.weights = state
         self._open = None
 
-    def features(self, text: bytes) -> tuple[float, float]:
+    def features(self, text: bytes) -> tuple[float, ...]:
+        """Of the chunks: mean and worst difference, and the least size under the good dictionary by its length, for chunks
+        of a usual length and from USUAL down."""
         if self._open is None:
             make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
             self._open = make(self.good).compress, make(self.bad).compress
         good, bad = self._open
-        total, worst, n = 0.0, 1.0, 0
+        total, worst, n, least = 0.0, 1.0, 0, USUAL
         for c in chunks(text):
             a, b = len(good(c)), len(bad(c))
             d = (b - a) / max(a, b)
             total, worst, n = total + d, min(worst, d), n + 1
-        return total / n, worst
+            if len(c) >= CHUNK // 2:
+                least = min(least, a / len(c))
+        return total / n, worst, least
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        x = np.array([(*self.features((t or "").encode()), 1.0) for t in texts.to_pylist()]).reshape(-1, 3)
+        x = np.array([(*self.features((t or "").encode()), 1.0) for t in texts.to_pylist()]).reshape(-1, len(self.weights))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -500, 500)))
 
 
@@ -91,10 +98,10 @@ def fit(texts: list[str], labels: np.ndarray, share_good: float | None = None) -
     data = [t.encode() for t in texts]
     if not data or labels.min() == labels.max():
         share = (float(labels.sum()) + 1) / (len(labels) + 2)
-        return Model(b"        ", b"        ", np.array([0.0, 0.0, np.log(share / (1 - share))]))
+        return Model(b"        ", b"        ", np.array([*[0.0] * 3, np.log(share / (1 - share))]))
     rest = np.arange(len(data)) % 3 == 0 if len(data) >= 60 else np.ones(len(data), bool)
     first = ~rest if len(data) >= 60 else rest
-    model = Model(*(dictionary([d for d, y, f in zip(data, labels, first, strict=True) if f and y == kind]) for kind in (1, 0)), np.zeros(3))
+    model = Model(*(dictionary([d for d, y, f in zip(data, labels, first, strict=True) if f and y == kind]) for kind in (1, 0)), np.zeros(4))
     x = np.array([(*model.features(d), 1.0) for d, r in zip(data, rest, strict=True) if r])
     y = labels[rest].astype(float)
     share = y.mean() if share_good is None else share_good
