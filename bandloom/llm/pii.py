@@ -1,11 +1,12 @@
 """Personal data: pattern spans, and terms that reveal protected values; DataFrame operations only.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers with their places. The values that occur in
-at least SUPPORT different texts are protected entities. A term beside such a value is measured on the whole corpus: of
-the information -log2 p(entity), how much does the term give away, PMI(entity; term) / -log2 p(entity)? That is 1 if the
-term occurs with the entity only. Terms from REVEALS on become spans of kind ``term``: they are generalised, or removed
-where they reveal all but nothing less than REMOVES. Counts are of documents; rare co-occurrence and mere copies prove nothing, so a
-pair counts from SUPPORT different texts on.
+at least SUPPORT different texts are protected entities. Every term of a text with such a value, however far from it, is
+measured on the whole corpus: of the information -log2 p(entity), how much does the term give away,
+PMI(entity; term) / -log2 p(entity)? That is 1 if the term occurs with the entity only. All occurrences of the terms from
+REVEALS on, in all texts, become spans of kind ``term``: they are generalised, or removed where they reveal all but nothing
+less than REMOVES. Counts are of documents; rare co-occurrence and mere copies prove nothing, so a pair counts from SUPPORT
+different texts on. Words that share a character with a pattern span are no terms.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, durable
+from .shared import durable
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns (Java). Each finds what the plain pattern finds leftmost and non-overlapping, without its backtracking:
@@ -28,11 +29,11 @@ PATTERNS = {
 #: A text without this has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP_OK = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
-#: Characters of context on each side of a value, texts that a pair needs, and shares of the entity's information.
-CONTEXT, SUPPORT, REVEALS, REMOVES = 80, 3, 0.9, 0.98
-#: Terms up to which their table is broadcast (words of at most CONTEXT characters).
-BROADCAST_TERMS = 20_000
-#: Hashes of texts (8 bytes each) up to which their table is broadcast.
+#: Texts that a pair needs, and shares of the entity's information.
+SUPPORT, REVEALS, REMOVES = 3, 0.9, 0.98
+#: Characters that separate words.
+BLANK = r"[\x20\x09-\x0D]"
+#: Hashes of texts or terms (8 bytes each) up to which their table is broadcast.
 BROADCAST_KEYS = 1 << 20
 
 
@@ -60,16 +61,13 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _row_of(kind: str):
-    """Of a match with the gaps around it, what a span needs."""
-    return lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("before"), x["value"].alias("value"),
-        F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["next"], F.lit(CONTEXT)).alias("right"), F.length(x["next"]).alias("after"),
-    )
+    """Of a match with the gap before it, what a span needs."""
+    return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("before"), x["value"].alias("value"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """The stored table of pattern spans: uid (of a row of ``docs``), doc_id, th (xxhash64 of the text), kind, start, end
-    (code points, end exclusive), value, and the text to the left and right, with whether it was cut."""
+    (code points, end exclusive) and value."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = []
     for k in KINDS:
@@ -77,9 +75,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
         has = (F.contains(text, F.lit(NEEDS[k])) & text.rlike(PATTERNS[k])) if NEEDS[k] else text.rlike(PATTERNS[k])
         found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, PATTERNS[k], -1)
         n = F.size(gaps)
-        rows = F.arrays_zip(F.slice(gaps, 1, n - 1).alias("gap"), found.alias("value"), F.slice(gaps, 2, n - 1).alias("next"))
+        rows = F.arrays_zip(F.slice(gaps, 1, n - 1).alias("gap"), found.alias("value"))
         parts.append(F.when(has, F.transform(rows, _row_of(k))))
-    none = "array<struct<kind:string,i:int,before:int,value:string,left:string,right:string,after:int>>"
+    none = "array<struct<kind:string,i:int,before:int,value:string>>"
     each = F.flatten(F.array(*[F.coalesce(p.cast(none), F.array().cast(none)) for p in parts]))
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), each.alias("all"))
     raw = durable(numbered.select("uid", "doc_id", "th", F.explode("all").alias("x")).select("uid", "doc_id", "th", "x.*"))
@@ -89,60 +87,80 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return durable(placed.filter(_valid(F.col("kind"), F.col("value"))))
 
 
-def _context_terms(spans: DataFrame) -> DataFrame:
-    """uid, doc_id, th, entity, term, start, end for the words beside each span, but for those that are cut or that touch it."""
-    blank = r"[\x20\x09-\x0D]"
-
-    def placed(side: Column) -> Column:
-        found, gaps = F.regexp_extract_all(side, F.lit(WORD), F.lit(0)), F.split(side, WORD, -1)
-        length = lambda a, i: F.aggregate(F.slice(a, 1, i), F.lit(0), lambda t, x: t + F.length(x))
-        return F.transform(found, lambda w, i: F.struct(w.alias("term"), (length(gaps, i + 1) + length(found, i)).alias("at")))
-
-    both = spans.select(
-        "uid", "doc_id", "th", "entity",
-        F.explode(F.array(
-            F.struct(F.col("left").alias("side"), (F.col("start") - F.length("left")).alias("base"), (~F.col("left").rlike(f"{blank}$")).alias("tail"), ((F.col("before") > CONTEXT) | (F.col("i") > 0)).alias("head")),
-            F.struct(F.col("right").alias("side"), F.col("end").alias("base"), (F.col("after") > F.length("right")).alias("tail"), (~F.col("right").rlike(f"^{blank}")).alias("head")),
-        )).alias("s"),
-    ).select("uid", "doc_id", "th", "entity", "s.*")
-    words = both.withColumn("w", F.explode(placed(F.col("side")))).select(
-        "uid", "doc_id", "th", "entity", F.col("w.term").alias("term"), (F.col("base") + F.col("w.at")).alias("start"),
-        (F.col("head") & (F.col("w.at") == 0)).alias("cut_head"), (F.col("tail") & (F.col("w.at") + F.length("w.term") == F.length("side"))).alias("cut_tail"),
-    )
-    return words.filter("not cut_head and not cut_tail").select("uid", "doc_id", "th", "entity", "term", "start", (F.col("start") + F.length("term")).alias("end"))
+def _terms_of(docs: DataFrame) -> DataFrame:
+    """doc_id, th, term: the distinct words of each row, blank ones at the edges as empty strings."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.split(text, f"{BLANK}+"))).alias("term"))
+
+
+def _only(terms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``terms`` that are in the stored table ``wanted``, or that share a hash with one that is; without a shuffle
+    where ``wanted`` is short."""
+    if wanted.count() > BROADCAST_KEYS:
+        return terms
+    hashes = wanted.select(F.xxhash64("term").alias("_hash")).distinct()
+    return terms.join(F.broadcast(hashes), F.xxhash64("term") == F.col("_hash"), "left_semi")
+
+
+def _at(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, th, text of the rows of ``docs`` that the stored table ``keys`` (doc_id, th) names."""
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    on = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS // 4 else keys, on, "left_semi")
+
+
+def _occurrences(docs: DataFrame, keys: DataFrame, wanted: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, th, term, start, end: where the rows named by ``keys`` have a term of ``wanted`` that meets no pattern span."""
+    parts = _at(docs, keys).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "th", F.posexplode(F.split("text", BLANK, -1)).alias("i", "term"))
+    before = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("term")).over(before), F.lit(0)) + F.col("i")
+    placed = parts.withColumn("start", start.cast("long")).filter("term != ''").select("doc_id", "th", "term", "start", (F.col("start") + F.length("term")).alias("end"))
+    words = _only(placed, wanted).join(wanted.select("term"), "term", "left_semi").distinct()
+    # A word meets a span if, of the spans that begin before its end, the farthest ends after its start.
+    none = F.lit(None).cast("string").alias("term")
+    both = words.select("doc_id", "th", "term", "start", "end", F.col("end").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("upto")).unionByName(
+        spans.join(F.broadcast(keys.select("th").distinct()) if keys.count() <= BROADCAST_KEYS else keys.select("th").distinct(), "th", "left_semi").select("doc_id", "th", none, "start", "end", F.col("start").alias("at"), F.lit(1).alias("side"), F.col("end").alias("upto"))
+    )
+    order = Window.partitionBy("doc_id", "th").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("upto", F.max("upto").over(order)).filter((F.col("side") == 0) & F.coalesce(F.col("upto") <= F.col("start"), F.lit(True))).select("doc_id", "th", "term", "start", "end")
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """uid, doc_id, th, kind (``term``), start, end, value, reveals: the words beside protected values that disclose them."""
+    """doc_id, th, kind (``term``), start, end, value, reveals: all occurrences of the words that disclose protected values."""
     named = spans.withColumn("entity", F.concat_ws(":", "kind", "value"))
     known = durable(named.groupBy("entity").agg(F.count_distinct("th").alias("n_texts"), F.count_distinct("uid").alias("n_entity")).filter(F.col("n_texts") >= SUPPORT).drop("n_texts"))
-    terms = durable(_context_terms(named.join(known.select("entity"), "entity")))
-    clear = terms.join(spans.select("uid", F.col("start").alias("_s"), F.col("end").alias("_e")), "uid").groupBy(*terms.columns).agg(F.max((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))).alias("hit")).filter("not hit").drop("hit")
-    pairs = durable(clear.groupBy("entity", "term").agg(F.count_distinct("th").alias("n_texts"), F.count_distinct("uid").alias("n_pair")).filter(F.col("n_texts") >= SUPPORT).drop("n_texts"))
-    wanted = pairs.select("term").distinct()
-    texts = docs.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))).alias("term"))
-    few = wanted.count() <= BROADCAST_TERMS
-    n_term = texts.join(F.broadcast(wanted) if few else wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(max(2, docs.count())))
+    rows = docs.count()
+    total = F.lit(float(max(2, rows)))
+    # Equal texts have equal spans and terms: one of them is looked at, and counts as often as it is there.
+    copies = spans.groupBy("th").agg(F.count_distinct("uid").alias("copies"), F.min("doc_id").alias("doc_id"))
+    held = durable(named.select("th", "entity").distinct().join(known, "entity").join(copies, "th"))
+    keys = durable(held.select("doc_id", "th").distinct())
+    seen = _terms_of(_at(docs, keys)).filter("term != ''").groupBy("term").agg(F.count_distinct("th").alias("n_texts"))
+    wanted = durable(seen.filter(F.col("n_texts") >= SUPPORT).select("term"))
+    n_term = _only(_terms_of(docs), wanted).groupBy("term").agg(F.count("*").alias("n_term"))
+    # n_pair is at most n_entity, so a term in more documents than this reveals less than REVEALS.
+    most = lambda n: total * F.pow(n / total, F.lit(REVEALS)) * (1 + 1e-9)
+    top = known.agg(F.coalesce(F.max("n_entity"), F.lit(0))).first()[0]
+    rare = durable(n_term.filter(F.col("n_term") <= most(F.lit(float(top)))).join(wanted, "term", "left_semi"))
+    clear = _occurrences(docs, keys, rare, spans).select("th", "term").distinct().join(rare, "term")
+    both = clear.join(held.select("th", "entity", "n_entity", "copies"), "th").filter(F.col("n_term") <= most(F.col("n_entity")))
+    pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_texts"), F.sum("copies").alias("n_pair")).filter(F.col("n_texts") >= SUPPORT)
     info = F.log2(total / F.col("n_entity"))
     pmi = F.log2(F.col("n_pair") * total / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
-    told = pairs.join(known, "entity").join(n_term, "term", "left").withColumn("n_term", F.coalesce("n_term", "n_pair"))
-    told = told.withColumn("reveals", F.when(info > 0, pmi / info).otherwise(0.0)).filter(F.col("reveals") >= REVEALS)
-    found = clear.join(told.select("entity", "term", "reveals"), ["entity", "term"])
-    return found.groupBy("uid", "doc_id", "th", F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")).agg(F.max("reveals").alias("reveals"))
+    told = pairs.withColumn("reveals", F.when(info > 0, pmi / info).otherwise(0.0)).filter(F.col("reveals") >= REVEALS)
+    told = durable(told.groupBy("term").agg(F.max("reveals").alias("reveals")))
+    where = durable(_only(_terms_of(docs), told).select("doc_id", "th").distinct())
+    found = _occurrences(docs, where, told, spans).join(told, "term")
+    return found.select("doc_id", "th", F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), "reveals")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """Pattern spans and disclosing terms: uid, doc_id, th, kind, start, end, value, reveals (null for patterns)."""
+    """Pattern spans and disclosing terms: doc_id, th, kind, start, end, value, reveals (null for patterns); once for the
+    rows of ``docs`` that repeat doc_id and text."""
     spans = find_spans(docs)
-    base = spans.select("uid", "doc_id", "th", "kind", "start", "end", "value", F.lit(None).cast("double").alias("reveals"))
-    return base.unionByName(disclosing_terms(docs, spans))
-
-
-def _one_row(spans: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that repeat doc_id and text have the same spans; keep those of one of them."""
     first = spans.groupBy("doc_id", "th").agg(F.min("uid").alias("uid")).select("uid")
-    return spans.join(first, "uid")
+    base = spans.join(first, "uid").select("doc_id", "th", "kind", "start", "end", "value", F.lit(None).cast("double").alias("reveals"))
+    return base.unionByName(disclosing_terms(docs, spans))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -152,7 +170,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     empty table gives no rows. Spans of different kinds may overlap, those of one kind do not.
     """
     order = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, "term")) for x in (k, i)]), F.col("kind"))
-    spans = _one_row(all_spans(docs)).withColumn("span", F.struct(order.alias("o"), "start", "end", "kind"))
+    spans = all_spans(docs).withColumn("span", F.struct(order.alias("o"), "start", "end", "kind"))
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     found = spans.groupBy("doc_id", "th").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS], F.array_sort(F.collect_list("span")).alias("all"))
     found = found.withColumn("base", text(F.filter("all", lambda x: x["kind"] != "term"))).withColumn("spans", text(F.col("all"))).drop("all")
@@ -165,13 +183,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced: patterns by their kind in brackets, terms by their shape or, where they reveal at
     least REMOVES of the entity, by nothing. Overlapping spans are replaced as one. n_chars, if there, is counted anew."""
-    spans = _one_row(all_spans(docs))
+    spans = all_spans(docs)
     shape = F.when(F.col("value").rlike("[0-9]"), "[NUMBER]").when(F.col("value").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
     put = F.when(F.col("kind") != "term", F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).when(F.col("reveals") >= REMOVES, "").otherwise(shape)
-    order = Window.partitionBy("uid").orderBy("start", F.desc("end"), "kind")
+    order = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("end"), "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.coalesce(F.col("start") >= reach, F.lit(True))).cast("int")).over(order)
-    merged = spans.withColumn("put", put).withColumn("island", island).groupBy("doc_id", "th", "uid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("put").alias("put"))
+    merged = spans.withColumn("put", put).withColumn("island", island).groupBy("doc_id", "th", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("put").alias("put"))
     found = merged.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("cuts"))
     # Texts without a span need no shuffle; where the keys of the others are few, they tell the texts apart.
     found = durable(found)

@@ -143,6 +143,20 @@ def test_disclosing_terms_and_sanitising(spark):
     assert clean[101].text == "the note about the plan number 1 is long" and clean[101].n_chars == 5
 
 
+def test_disclosing_terms_far_from_the_value_and_without_it(spark):
+    """A term discloses a value wherever in the text it stands, and is then marked in all texts."""
+    far = "the plan is long " * 20
+    data = [(i, f"quorvax {i} {far}ann@corp.example, bob{i}@corp.example {far}quorvax", 1) for i in range(60)]
+    data += [(100 + i, f"{far}{i}", 1) for i in range(400)] + [(900, "a quorvax alone", 1), (None, "a quorvax alone", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    rows = {r.doc_id: r.spans.split(",") for r in pii.personal_data(df).collect()}
+    for i, text, _ in data[:60]:
+        at = text.rindex("quorvax")
+        assert [x for x in rows[i] if x.startswith("term")] == ["term:0:7", f"term:{at}:{at + 7}"]
+    assert rows[900] == rows[None] == ["term:2:9"] and rows[100] == [""]
+    assert not [r for r in pii.sanitise(df).collect() if "quorvax" in r.text]
+
+
 def test_mix(spark, docs):
     data = corpus.rows()
     got = mixing.mix_documents(docs).collect()
