@@ -229,6 +229,17 @@ def test_pack(docs):
     assert len(bins) <= -(-total // 1024) + 1
 
 
+def test_pack_added_tokens(spark):
+    """A text that spells out an added token has the ids that the vocabulary file gives by default."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|><|endoftext|>x", "don<|endoftext|>'t  <|endoftext|>  y<|endoftext", "<|endoftext|>"]
+    rows = packing.pack_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_local_search_never_loses_and_helps():
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(300, 700, 600), rng.integers(1, 1024, 300), np.full(50, 600), np.array([1023] * 5 + [1] * 5)):
