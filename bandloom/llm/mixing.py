@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame operations only.
 
-The mix is a sequence of slots of equally many words. Slot k takes the golden-ratio point frac((k + 1) * 0.618...) and
-maps it through the sources' cumulative target shares, so after any number of slots each source is within a few slots of
-its share. A source's slots are ranked; rank r takes block r (modulo their number) of the source's documents, laid end
-to end in hashed order and cut into blocks of equally many words.
+The mix is a sequence of slots of about equally many words. Slot k takes the golden-ratio point frac((k + 1) * 0.618...)
+and maps it through the sources' cumulative target shares, so after any number of slots each source is within a few slots
+of its share. A source that is drawn too seldom for its target has further slots at the end. A source's slots are ranked
+and share its target, in whole words, equally: rank r takes the r-th part of the source's documents, laid end to end in
+hashed order and, behind the last, from the first again. So each source gives its target, however small it is.
 """
 
 from __future__ import annotations
@@ -98,19 +99,31 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST
     docs = docs.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id"))
     docs = docs.withColumn("bucket", spread(F.col("h"), max(1, rows // BUCKET_ROWS)))
     laid = running(docs, ["source_no"], "bucket", ["h", "doc_id", "row_id"], F.col("size"), "at").drop("bucket", "h")
-    drawn = schedule(targets, slots, n_sources).join(small(targets.select("source_no", "source_size"), n_sources), "source_no")
-    n_blocks = F.ceil(F.col("source_size") / F.lit(block))
-    taken = drawn.filter(F.col("rank") < n_blocks * most).select("slot", "source_no", "rank", (F.col("rank") % n_blocks).alias("block"), F.floor(F.col("rank") / n_blocks).alias("pass"))
+    drawn = durable(schedule(targets, slots, n_sources))
+    # A slot never exceeds ``block`` words, so a source needs so many.
+    due = targets.withColumn("total", F.round("target").cast("long")).filter("total > 0").join(drawn.groupBy("source_no").agg(F.count("*").alias("n_drawn")), "source_no", "left")
+    due = due.withColumn("n_drawn", F.coalesce("n_drawn", F.lit(0)))
+    due = durable(due.select("source_no", "source_size", "total", "n_drawn", F.greatest("n_drawn", F.ceil(F.col("total") / F.lit(block))).cast("long").alias("n_slots")))
+    late = due.withColumn("n_late", F.sum(F.col("n_slots") - F.col("n_drawn")).over(Window.orderBy("source_no"))).filter("n_slots > n_drawn")
+    late = late.select("source_no", "n_slots", "n_late", F.explode(F.sequence("n_drawn", F.col("n_slots") - 1)).alias("rank"))
+    late = late.select((F.lit(slots) + F.col("n_late") - F.col("n_slots") + F.col("rank")).alias("slot"), "source_no", "rank")
+    filled = drawn.select("slot", "source_no", F.col("rank").cast("long").alias("rank")).unionByName(late).join(small(due, n_sources), "source_no")
+    edge = lambda r: f"({r} * (total div n_slots) + ({r} * (total % n_slots)) div n_slots)"
+    filled = filled.withColumn("lo", F.expr(edge("rank"))).withColumn("hi", F.expr(edge("(rank + 1)"))).filter("hi > lo")
+    filled = filled.withColumn("pass", F.explode(F.expr("sequence(lo div source_size, (hi - 1) div source_size)")))
+    base = F.col("pass") * F.col("source_size")
+    filled = filled.select("slot", "source_no", "rank", "pass", (F.greatest("lo", base) - base).alias("lo"), (F.least("hi", base + F.col("source_size")) - base).alias("hi"))
+    # Slots and documents meet in stretches of ``block`` words of the source.
+    taken = filled.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     cut = laid.filter("size > 0").select(
         "row_id", "source_no", "at", "size",
-        F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"),
+        F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("stretch"),
     )
-    start = F.greatest(F.col("block") * block, F.col("at"))
-    end = F.least((F.col("block") + 1) * block, F.col("at") + F.col("size"))
-    parts = cut.select("row_id", "source_no", "block", (start - F.col("at")).alias("start"), (end - start).alias("length"))
-    blocks = parts.join(taken, ["source_no", "block"]).select("row_id", "slot", "rank", "pass", "start", "length")
-    times = taken.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    words_of = parts.join(times, ["source_no", "block"]).groupBy("row_id").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
+    start = F.greatest(F.col("stretch") * block, "at", "lo")
+    end = F.least((F.col("stretch") + 1) * block, F.col("at") + F.col("size"), "hi")
+    parts = cut.join(taken, ["source_no", "stretch"]).select("row_id", "slot", "rank", "pass", (start - F.col("at")).alias("start"), (end - start).alias("length")).filter("length > 0")
+    blocks = parts.groupBy("row_id", "slot", "rank", "pass").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    words_of = parts.groupBy("row_id").agg(F.sum("length").alias("taken"))
     out = laid.join(words_of, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return out.select("row_id", "doc_id", "source", "size", "source_size", "target", "taken"), blocks
 

@@ -188,6 +188,30 @@ def test_mix(spark, docs):
     assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
 
 
+def test_mix_gives_small_sources_their_target(spark):
+    """At the largest slots, beside a source of 200 million words."""
+    rows = [(i, i, "big", 1_000_000) for i in range(200)]
+    small = [1, 20, 300, 341, 342, 700, 1023, 1024, 1025, 1100, 2500, 5000]
+    for k, words in enumerate(small):
+        left = words
+        while left:
+            rows.append((len(rows), len(rows), f"s{k:02}", min(left, 90)))
+            left -= rows[-1][3]
+    docs, blocks = mixing.mix(mixing.durable(spark.createDataFrame(rows, "row_id long, doc_id long, source string, size long")))
+    got, slots = docs.collect(), collections.Counter()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(taken[r.source] == round(r.target) for r in got) and all(taken[f"s{k:02}"] == 3 * n for k, n in enumerate(small))
+    each = collections.Counter()
+    for r in blocks.filter("row_id >= 200").collect():
+        slots[r.slot] += r.length
+        each[r.row_id] += r.length
+        assert 0 <= r.start < r.start + r.length <= rows[r.row_id][3]
+    assert max(slots.values()) <= mixing.BLOCK_WORDS and each == {r.row_id: r.taken for r in got if r.row_id >= 200 and r.taken}
+
+
 def test_mixed_rows(docs):
     taken = collections.Counter()
     for r in mixing.mix_documents(docs).collect():
