@@ -9,9 +9,8 @@ until one group is left, so groups cost no half-empty bins.
 
 from __future__ import annotations
 
-import base64
 import functools
-import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,23 +25,47 @@ from .shared import durable
 from .words import slices
 
 CAPACITY, END = 1024, 2
-#: Pieces of one group; fills from which a bin is left as it is; rounds of the local search.
-GROUP, FULL, ROUNDS = 8192, 0.995, 6
+#: Pieces of one group, and the fill from which a bin is not dealt again into another group.
+GROUP, FULL = 8192, 0.995
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(name: str):
-    """The byte-level BPE of ``name``: its ranks and added tokens, under which this library gives the ids that ``tokenizers``
-    gives with the vocabulary file of the same name, three times as fast (a test holds them against each other). An added
-    token that a text spells out is that token."""
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """Ids of whole texts by ``tokenizers`` from the vocabulary file ``name``, nothing set on it.
+
+    A single space between two characters that are no white space always begins a token, so a text is encoded part by part
+    between such spaces, and the ids of short parts, most of which are words seen before, are kept. A test holds the ids
+    against those of the tokenizer on whole texts.
+    """
+
+    #: Characters of parts that are kept, and parts kept at most.
+    SHORT, KEPT = 32, 1 << 18
+    _between = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+
+    def __init__(self, name: str):
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
-        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self._between.split(t) if t else [] for t in texts]
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        fresh = list({p for row in parts for p in row if p not in self.known})
+        made = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
+        self.known |= made
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, row)), "<u4") for row in parts]
+        for p in fresh:
+            if len(p) > self.SHORT:
+                del self.known[p]
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(name: str) -> Encoder:
+    """The encoder of this process."""
+    return Encoder(name)
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -52,12 +75,12 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = functools.partial(encoder(name).encode, allowed_special="all")
+    encode = encoder(name)
     for batch in batches:
         for part in slices(batch):
             rows: list[tuple] = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), END], dtype="<u4")
+            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                ids = np.append(tokens, np.array([END], "<u4"))
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     piece = ids[start : start + length]
                     rows.append((doc_id, k, start, length, zlib.crc32(piece.tobytes()), piece.astype(np.int32) if with_ids else None))
@@ -91,35 +114,43 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchange pieces between underfull bins while the sum of squared fills grows.
 
     For a bin with room r, in order of fill: take a piece of size <= r from an emptier bin (move); give a piece of size s
-    and take one of size s + d, 0 < d <= r (one for one); give one of size s and take two that are d longer together
-    (two for one). Each time the largest d is taken; it moves d tokens to the fuller bin, which increases the sum.
+    and take one of size s + d, 0 < d <= r (one for one); give one of size s and take two of one bin that are d longer
+    together (two for one; the longer of the two is the longest that fits in half of what may be taken). Each time the
+    largest d is taken; it moves d tokens to the fuller bin, which increases the sum. Rounds go on until one changes
+    nothing; as the sum only grows, they end.
     """
     fill = [int(sum(lengths[i] for i in b)) for b in bins]
     size = lengths.tolist()
-    for _ in range(rounds):
+    changed = True
+    while changed:
         changed = False
         under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b])
         if len(under) < 2:
             break
         rank = {b: k for k, b in enumerate(under)}
         home: dict[int, int] = {}
-        at: dict[int, list[int]] = {}
+        # The pieces of each length, by the rank of their bin: the emptiest bins' last.
+        at: dict[int, list[tuple[int, int]]] = {}
         for b in under:
             for i in bins[b]:
                 home[i] = b
-                at.setdefault(size[i], []).append(i)
+                at.setdefault(size[i], []).append((rank[b], i))
+        for same in at.values():
+            same.sort()
         known = sorted(at)
 
-        def find(most: int, least: int, b: int) -> int | None:
-            """The longest piece of ``least`` to ``most`` tokens in a bin emptier than ``b``."""
+        def find(most: int, least: int, b: int, other: int = -1) -> int | None:
+            """The longest piece of ``least`` to ``most`` tokens, ``other`` aside, in a bin emptier than ``b``."""
             k = bisect_left(known, most + 1) - 1
             while k >= 0 and known[k] >= least:
-                for i in at[known[k]][-8:]:
-                    if rank[home[i]] > rank[b] and fill[home[i]] < fill[b]:
+                for r, i in reversed(at[known[k]]):
+                    if r <= rank[b]:
+                        break
+                    if fill[home[i]] < fill[b] and i != other:
                         return i
                 k -= 1
             return None
@@ -129,7 +160,10 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: i
             bins[to].append(i)
             fill[home[i]] -= size[i]
             fill[to] += size[i]
+            same = at[size[i]]
+            del same[bisect_left(same, (rank[home[i]], i))]
             home[i] = to
+            insort(same, (rank[to], i))
 
         for b in under:
             while (room := capacity - fill[b]) > 0 and bins[b]:
@@ -145,10 +179,7 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: i
                     if best is None or best[0] < room:
                         half = find((size[s] + room) // 2, 1, b)
                         if half is not None:
-                            pool = at[size[half]]
-                            pool.remove(half)
-                            other = find(size[s] + room - size[half], max(1, size[s] + 1 - size[half]), b)
-                            pool.append(half)
+                            other = find(size[s] + room - size[half], max(1, size[s] + 1 - size[half]), b, half)
                             if other is not None and home[other] == home[half] and size[half] + size[other] - size[s] > (best[0] if best else 0):
                                 best = (size[half] + size[other] - size[s], s, [half, other])
                 if best is None:
@@ -158,8 +189,6 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: i
                     shift(i, b)
                 shift(best[1], giver)
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
