@@ -10,7 +10,6 @@ until one group is left, so groups cost no half-empty bins.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,41 +25,110 @@ from .shared import durable
 from .words import slices
 
 CAPACITY, END = 1024, 2
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 1 << 23
 #: Pieces of one group, and the fill from which a bin is not dealt again into another group.
 GROUP, FULL = 8192, 0.995
 
 
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[s : s + n] of each start and size, end to end."""
+    upto = np.cumsum(size)
+    return pool[np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+
+
 class Encoder:
     """Ids of whole texts by ``tokenizers`` from the vocabulary file ``name``, nothing set on it.
 
-    A single space between two characters that are no white space always begins a token, so a text is encoded part by part
-    between such spaces, and the ids of short parts, most of which are words seen before, are kept. A test holds the ids
-    against those of the tokenizer on whole texts.
+    No token holds the character before a single space and that space if neither it nor the character after the space is
+    white space, nor a letter or digit and one of ``.,;:!?`` after it. So where all of a text's spaces are such, its words,
+    each with the space before it, are encoded apart from what begins with such a mark: the distinct ones of many texts,
+    one after the other as one text, told apart by the bytes that each id stands for. Words seen lately are kept. Other
+    texts are encoded as they are. A test holds the ids against those that the tokenizer gives for whole texts.
     """
 
-    #: Characters of parts that are kept, and parts kept at most.
-    SHORT, KEPT = 32, 1 << 18
-    _between = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+    #: Words that go into one call's text, and words that are kept.
+    WORDS, KEPT = 4096, 1 << 19
+    #: A word whose first and last characters are no white space, and one that ends at a mark (RE2).
+    PLAIN = r"(?s)^[\pL\pN!-~](?:.*[\pL\pN!-~])?$"
+    MARKED = r"(?s)^(?P<stem>.*?[\pL\pN])(?P<tail>[.,;:!?].*)$"
 
     def __init__(self, name: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self._between.split(t) if t else [] for t in texts]
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        fresh = list({p for row in parts for p in row if p not in self.known})
-        made = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
-        self.known |= made
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, row)), "<u4") for row in parts]
-        for p in fresh:
-            if len(p) > self.SHORT:
-                del self.known[p]
-        return out
+        # A byte is one character of a token's name; added tokens are plain text.
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
+        self.known, self.ids, self.size = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, each after a space, and of each how many."""
+        cuts = pa.array([*range(0, len(words), self.WORDS), len(words)] if len(words) else [0], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(cuts, words), pa.scalar(" ", pa.large_string())).to_pylist()
+        ids = np.concatenate([np.zeros(0, "<u4"), *self.whole([f" {t}" for t in texts])])
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0)
+
+    def _stems(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_plain``, for distinct words of which some are known; these become known, and the oldest go."""
+        at = pc.index_in(words, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        ids, size = self._plain(words.filter(pa.array(new)))
+        ids, size = np.concatenate([ids, self.ids]), np.concatenate([size, self.size])
+        pick = at.fill_null(0).to_numpy().astype(np.int64) + int(new.sum())
+        pick[new] = np.arange(int(new.sum()))
+        out = _gather(ids, (np.cumsum(size) - size)[pick], size[pick])
+        rest = np.ones(len(self.known), bool)
+        rest[pick[~new] - int(new.sum())] = False
+        rest &= np.cumsum(rest) <= max(0, self.KEPT - len(words))
+        kept = int(new.sum()) + np.flatnonzero(rest)
+        self.known = pa.concat_arrays([words, self.known.filter(pa.array(rest))])
+        self.ids = np.concatenate([out, _gather(ids, (np.cumsum(size) - size)[kept], size[kept])])
+        self.size = np.concatenate([size[pick], size[kept]])
+        return out, size[pick]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct plain words, each after a space, and where those of each begin, the end included."""
+        marked = pc.extract_regex(words, self.MARKED)
+        stem = pc.coalesce(pc.struct_field(marked, "stem"), words).dictionary_encode()
+        tail = pc.coalesce(pc.struct_field(marked, "tail"), pa.scalar("", words.type)).dictionary_encode()
+        ids, size = self._stems(stem.dictionary)
+        tails = self.whole(tail.dictionary.to_pylist())
+        ids, size = np.concatenate([ids, *tails]), np.concatenate([size, np.array([len(x) for x in tails], np.int64)])
+        both = np.stack([stem.indices.to_numpy().astype(np.int64), len(stem.dictionary) + tail.indices.to_numpy().astype(np.int64)], axis=1)
+        ids = _gather(ids, (np.cumsum(size) - size)[both].ravel(), size[both].ravel())
+        return ids, np.concatenate([[0], np.cumsum(size[both].sum(axis=1))])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of texts without nulls."""
+        if not len(texts):
+            return []
+        rows = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        ptr = rows.offsets.to_numpy().astype(np.int64)
+        words = rows.flatten().dictionary_encode()
+        code = words.indices.to_numpy().astype(np.int64)
+        plain = pc.match_substring_regex(words.dictionary, self.PLAIN).to_numpy(zero_copy_only=False)
+        easy = np.logical_and.reduceat(plain[code], ptr[:-1])
+        # The first word of a text has no space before it.
+        first = np.zeros(len(code), bool)
+        first[ptr[:-1]] = True
+        inner = np.repeat(easy, np.diff(ptr)) & ~first
+        used, at = np.unique(code[inner], return_inverse=True)
+        ids, ends = self._words(words.dictionary.take(pa.array(used)))
+        take = np.zeros(len(code), np.int64)
+        take[inner] = np.diff(ends)[at]
+        upto = np.concatenate([[0], np.cumsum(take)])
+        ids = _gather(ids, ends[:-1][at], take[inner])
+        alone = [words.dictionary[c].as_py() if e else t.as_py() for c, e, t in zip(code[ptr[:-1]].tolist(), easy.tolist(), texts, strict=True)]
+        return [np.concatenate([a, ids[i:j]]) for a, i, j in zip(self.whole(alone), upto[ptr[:-1]].tolist(), upto[ptr[1:]].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -77,9 +146,9 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(name)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=ENCODED_BYTES):
             rows: list[tuple] = []
-            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), encode(part.column("text").fill_null("")), strict=True):
                 ids = np.append(tokens, np.array([END], "<u4"))
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     piece = ids[start : start + length]

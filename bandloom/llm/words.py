@@ -81,13 +81,13 @@ class Words:
         self.hashes = window_hashes(_BYTES[data], self.starts, self.ends, BYTE_BASE)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part has at most SLICE_BYTES of text or one row."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part has at most ``limit`` bytes of text or one row."""
     col = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_string())
     ends = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 

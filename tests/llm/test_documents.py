@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -261,6 +262,8 @@ def test_pack_added_tokens(spark):
     texts = ["one <|endoftext|> two", "<|endoftext|><|endoftext|>x", "don<|endoftext|>'t  <|endoftext|>  y<|endoftext", "<|endoftext|>"]
     # Parts of a text are encoded apart: long blank runs, white space of other scripts, marks and contractions at the edges.
     texts += [" " * 1_000_000, "\n" * 1_000_000, "a " + " " * 500_000 + " b", " lead trail ", "a\u00a0b c\u3000 d \u2003e", "x \u180e y \x1c z\x1f \x85 w", "'s 't I 'll don 't", "e \u0301e \u0301 n", "_ _ 1 2 ?! ?", "漢 字 😀 😀  😀"]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("ab1 ._'|<>!?,\n\té\u0301\u3000漢😀 ") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     rows = packing.pack_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
     ids = collections.defaultdict(list)
     for r in sorted(rows, key=lambda r: r.piece):
