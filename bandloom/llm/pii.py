@@ -31,8 +31,10 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP_OK = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 #: Texts that a pair needs, and shares of the entity's information.
 SUPPORT, REVEALS, REMOVES = 3, 0.9, 0.98
-#: Characters that separate words.
-BLANK = r"[\x20\x09-\x0D]"
+#: Characters that separate words, and one that hides those of spans; a word that holds it itself is no term.
+BLANK, MASK = r"[\x20\x09-\x0D]", "\uffff"
+#: Code points of a piece in which a text is cut to be put together anew.
+PIECE = 256
 #: Hashes of texts or terms (8 bytes each) up to which their table is broadcast.
 BROADCAST_KEYS = 1 << 20
 
@@ -60,107 +62,151 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
-def _row_of(kind: str):
-    """Of a match with the gap before it, what a span needs."""
-    return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("before"), x["value"].alias("value"))
-
-
-def find_spans(docs: DataFrame) -> DataFrame:
-    """The stored table of pattern spans: uid (of a row of ``docs``), doc_id, th (xxhash64 of the text), kind, start, end
-    (code points, end exclusive) and value."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _hits(text: Column) -> Column:
+    """Of each kind that matches: kind, the text between its matches (one part more than there are matches), the matches."""
     parts = []
     for k in KINDS:
-        p = F.lit(PATTERNS[k])
-        has = (F.contains(text, F.lit(NEEDS[k])) & text.rlike(PATTERNS[k])) if NEEDS[k] else text.rlike(PATTERNS[k])
-        found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, PATTERNS[k], -1)
-        n = F.size(gaps)
-        rows = F.arrays_zip(F.slice(gaps, 1, n - 1).alias("gap"), found.alias("value"))
-        parts.append(F.when(has, F.transform(rows, _row_of(k))))
-    none = "array<struct<kind:string,i:int,before:int,value:string>>"
-    each = F.flatten(F.array(*[F.coalesce(p.cast(none), F.array().cast(none)) for p in parts]))
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), each.alias("all"))
-    raw = durable(numbered.select("uid", "doc_id", "th", F.explode("all").alias("x")).select("uid", "doc_id", "th", "x.*"))
+        p = PATTERNS[k]
+        has = (F.contains(text, F.lit(NEEDS[k])) & text.rlike(p)) if NEEDS[k] else text.rlike(p)
+        parts.append(F.when(has, F.struct(F.lit(k).alias("kind"), F.split(text, p, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("values"))))
+    return F.array_compact(F.array(*parts))
+
+
+def _matches(hit: Column) -> Column:
+    """kind, i, before (characters since the last match of the kind), value of each match."""
+    rows = F.zip_with(F.slice(hit["gaps"], 1, F.size(hit["values"])), hit["values"], lambda g, v: F.struct(F.length(g).alias("before"), v.alias("value")))
+    return F.transform(rows, lambda x, i: F.struct(hit["kind"].alias("kind"), i.alias("i"), x["before"].alias("before"), x["value"].alias("value")))
+
+
+def _masked_words(hit: Column) -> Column:
+    """The words of the text, those that share a character with a span of the kind with a MASK in them. All kinds cut the
+    text into the same words."""
+    hide = lambda v: F.when(_valid(hit["kind"], v), F.regexp_replace(v, r"[^\x20\x09-\x0D]", MASK)).otherwise(v)
+    text = F.array_join(F.zip_with(hit["gaps"], F.transform(hit["values"], hide), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    return F.split(text, f"{BLANK}+", -1)
+
+
+def _clear_words(hits: Column) -> Column:
+    """The distinct words that share no character with a span."""
+    either = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(F.contains(x, F.lit(MASK)), x).otherwise(y))
+    first = _masked_words(F.element_at(hits, 1))
+    words = F.aggregate(F.slice(hits, 2, F.size(hits)), first, lambda a, h: either(a, _masked_words(h)))
+    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~F.contains(w, F.lit(MASK))))
+
+
+def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans, rows), both stored. spans: uid (of a row of ``docs``), doc_id, th (xxhash64 of the text), kind, start, end
+    (code points, end exclusive), value. rows: uid, th and the distinct clear words of the texts with a match."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    # Generators keep what they make from being computed again by each column that uses it.
+    hit = numbered.select("uid", "doc_id", "th", F.explode(F.filter(F.array(_hits(F.col("text"))), lambda x: F.size(x) > 0)).alias("hits"))
+    raw = durable(hit.select("uid", "doc_id", "th", F.flatten(F.transform("hits", _matches)).alias("matches"), _clear_words(F.col("hits")).alias("words")))
+    each = raw.select("uid", "doc_id", "th", F.explode("matches").alias("x")).select("uid", "doc_id", "th", "x.*")
     to = Window.partitionBy("uid", "kind").orderBy("i")
     start = F.sum("before").over(to) + F.coalesce(F.sum(F.length("value")).over(to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = raw.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.length("value"))
-    return durable(placed.filter(_valid(F.col("kind"), F.col("value"))))
+    placed = each.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.length("value"))
+    return durable(placed.filter(_valid(F.col("kind"), F.col("value")))), raw.select("uid", "th", "words")
 
 
-def _terms_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th, term: the distinct words of each row, blank ones at the edges as empty strings."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.split(text, f"{BLANK}+"))).alias("term"))
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table of keys and counts, broadcast if its rows are at most BROADCAST_KEYS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def _only(terms: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Those of ``terms`` that are in the stored table ``wanted``, or that share a hash with one that is; without a shuffle
-    where ``wanted`` is short."""
+def _only(terms: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """Those of ``terms`` whose term is in the stored table ``wanted``, with its columns ``more``. A short table comes as
+    hashes, and nothing is shuffled."""
     if wanted.count() > BROADCAST_KEYS:
-        return terms
-    hashes = wanted.select(F.xxhash64("term").alias("_hash")).distinct()
-    return terms.join(F.broadcast(hashes), F.xxhash64("term") == F.col("_hash"), "left_semi")
-
-
-def _at(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc_id, th, text of the rows of ``docs`` that the stored table ``keys`` (doc_id, th) names."""
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    on = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS // 4 else keys, on, "left_semi")
-
-
-def _occurrences(docs: DataFrame, keys: DataFrame, wanted: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, th, term, start, end: where the rows named by ``keys`` have a term of ``wanted`` that meets no pattern span."""
-    parts = _at(docs, keys).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "th", F.posexplode(F.split("text", BLANK, -1)).alias("i", "term"))
-    before = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("term")).over(before), F.lit(0)) + F.col("i")
-    placed = parts.withColumn("start", start.cast("long")).filter("term != ''").select("doc_id", "th", "term", "start", (F.col("start") + F.length("term")).alias("end"))
-    words = _only(placed, wanted).join(wanted.select("term"), "term", "left_semi").distinct()
-    # A word meets a span if, of the spans that begin before its end, the farthest ends after its start.
-    none = F.lit(None).cast("string").alias("term")
-    both = words.select("doc_id", "th", "term", "start", "end", F.col("end").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("upto")).unionByName(
-        spans.join(F.broadcast(keys.select("th").distinct()) if keys.count() <= BROADCAST_KEYS else keys.select("th").distinct(), "th", "left_semi").select("doc_id", "th", none, "start", "end", F.col("start").alias("at"), F.lit(1).alias("side"), F.col("end").alias("upto"))
-    )
-    order = Window.partitionBy("doc_id", "th").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("upto", F.max("upto").over(order)).filter((F.col("side") == 0) & F.coalesce(F.col("upto") <= F.col("start"), F.lit(True))).select("doc_id", "th", "term", "start", "end")
-
-
-def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, th, kind (``term``), start, end, value, reveals: all occurrences of the words that disclose protected values."""
-    named = spans.withColumn("entity", F.concat_ws(":", "kind", "value"))
-    known = durable(named.groupBy("entity").agg(F.count_distinct("th").alias("n_texts"), F.count_distinct("uid").alias("n_entity")).filter(F.col("n_texts") >= SUPPORT).drop("n_texts"))
-    rows = docs.count()
-    total = F.lit(float(max(2, rows)))
+        return terms.join(wanted.select("term", *more), "term")
+    hashes = wanted.select(F.xxhash64("term").alias("_hash"), *more).dropDuplicates(["_hash"])
+    return terms.join(F.broadcast(hashes), F.xxhash64("term") == F.col("_hash")).drop("_hash")
+
+
+def _classes(rows: DataFrame, name: str, *same: str) -> DataFrame:
+    """``name``, rep: of the names that stand in exactly the same texts (th) and agree in ``same``, the least. They have
+    the same counts with everything, so one of them is counted for all: lists that are copied do not multiply."""
+    marks = rows.groupBy(name, *same).agg(F.expr("bit_xor(xxhash64(th))").alias("_a"), F.expr("bit_xor(xxhash64('b', th))").alias("_b"), F.count("*").alias("n_texts"))
+    marks = durable(marks.filter(F.col("n_texts") >= SUPPORT))
+    return durable(marks.join(marks.groupBy("_a", "_b", "n_texts", *same).agg(F.min(name).alias("rep")), ["_a", "_b", "n_texts", *same]).select(name, "rep"))
+
+
+def told_terms(docs: DataFrame, spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stored table of disclosing terms: term, reveals (the greatest share of a protected value's information)."""
+    entity = F.concat_ws(":", "kind", "value")
+    per_text = durable(spans.select("uid", "th", entity.alias("entity")).distinct().groupBy("entity", "th").agg(F.count("*").alias("c")))
+    known = durable(per_text.groupBy("entity").agg(F.count("*").alias("n_texts"), F.sum("c").alias("n_entity")).filter(F.col("n_texts") >= SUPPORT).drop("n_texts"))
+    total = F.lit(float(max(2, docs.count())))
+    held = durable(per_text.select("entity", "th").join(_few(known), "entity"))
     # Equal texts have equal spans and terms: one of them is looked at, and counts as often as it is there.
-    copies = spans.groupBy("th").agg(F.count_distinct("uid").alias("copies"), F.min("doc_id").alias("doc_id"))
-    held = durable(named.select("th", "entity").distinct().join(known, "entity").join(copies, "th"))
-    keys = durable(held.select("doc_id", "th").distinct())
-    seen = _terms_of(_at(docs, keys)).filter("term != ''").groupBy("term").agg(F.count_distinct("th").alias("n_texts"))
-    wanted = durable(seen.filter(F.col("n_texts") >= SUPPORT).select("term"))
-    n_term = _only(_terms_of(docs), wanted).groupBy("term").agg(F.count("*").alias("n_term"))
+    copies = rows.groupBy("th").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
+    texts = durable(held.groupBy("th").agg(F.max("n_entity").alias("top")).join(copies, "th"))
+    words = rows.drop("th").join(_few(texts), "uid").select("th", "copies", "top", F.explode("words").alias("term"))
+    wanted = durable(words.groupBy("term").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") >= SUPPORT).select("term"))
+    all_words = docs.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), f"{BLANK}+", -1))).alias("term"))
+    n_term = _only(all_words, wanted).groupBy("term").agg(F.count("*").alias("n_term"))
     # n_pair is at most n_entity, so a term in more documents than this reveals less than REVEALS.
     most = lambda n: total * F.pow(n / total, F.lit(REVEALS)) * (1 + 1e-9)
     top = known.agg(F.coalesce(F.max("n_entity"), F.lit(0))).first()[0]
     rare = durable(n_term.filter(F.col("n_term") <= most(F.lit(float(top)))).join(wanted, "term", "left_semi"))
-    clear = _occurrences(docs, keys, rare, spans).select("th", "term").distinct().join(rare, "term")
-    both = clear.join(held.select("th", "entity", "n_entity", "copies"), "th").filter(F.col("n_term") <= most(F.col("n_entity")))
+    clear = durable(_only(words, rare, "n_term").filter(F.col("n_term") <= most(F.col("top"))).select("th", "copies", "term", "n_term"))
+    of_term, of_entity = _classes(clear, "term", "n_term"), _classes(held, "entity", "n_entity")
+    one_term = clear.join(of_term.filter("term = rep").select("term"), "term")
+    one_entity = held.join(of_entity.filter("entity = rep").select("entity"), "entity")
+    both = one_term.join(one_entity, "th").filter(F.col("n_term") <= most(F.col("n_entity")))
     pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_texts"), F.sum("copies").alias("n_pair")).filter(F.col("n_texts") >= SUPPORT)
     info = F.log2(total / F.col("n_entity"))
     pmi = F.log2(F.col("n_pair") * total / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
     told = pairs.withColumn("reveals", F.when(info > 0, pmi / info).otherwise(0.0)).filter(F.col("reveals") >= REVEALS)
-    told = durable(told.groupBy("term").agg(F.max("reveals").alias("reveals")))
-    where = durable(_only(_terms_of(docs), told).select("doc_id", "th").distinct())
-    found = _occurrences(docs, where, told, spans).join(told, "term")
-    return found.select("doc_id", "th", F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), "reveals")
+    told = told.groupBy(F.col("term").alias("rep")).agg(F.max("reveals").alias("reveals"))
+    return durable(of_term.join(told, "rep").select("term", "reveals"))
+
+
+def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, th, term, reveals, start, end: every word of ``docs`` that is a term of ``told``.
+
+    Row by row and without a shuffle: a text's words go in runs of about 32 or more, each with its place, so that a word's
+    place takes the lengths of its run alone.
+    """
+    made = lambda c, *keep: docs_.select("doc_id", "th", *keep, F.explode(F.array(c)).alias("x"))
+    docs_ = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    docs_ = made(F.split("text", BLANK, -1)).withColumnRenamed("x", "w")
+    n, run = F.size("w"), F.greatest(F.lit(32), F.ceil(F.sqrt(F.size("w")) / 2)).cast("int")
+    runs = F.sequence(F.lit(0), F.floor((n - 1) / run).cast("int"))
+    part = lambda j: F.slice("w", j * run + 1, run)
+    docs_ = made(F.struct("w", F.transform(runs, lambda j: F.length(F.array_join(part(j), " "))).alias("sizes"))).select("doc_id", "th", "x.*")
+    base = lambda j: F.aggregate(F.slice("sizes", F.lit(1), j), F.lit(0).cast("long"), lambda a, x: a + x + 1)
+    docs_ = docs_.select("doc_id", "th", F.explode(F.transform(runs, lambda j: F.struct(part(j).alias("words"), base(j).alias("base")))).alias("x")).select("doc_id", "th", "x.*")
+    each = docs_.select("doc_id", "th", "words", "base", F.posexplode("words").alias("i", "term"))
+    found = _only(each, told, "reveals")
+    start = F.col("base") + F.when(F.col("i") > 0, F.length(F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")) + 1).otherwise(0)
+    found = found.select("doc_id", "th", "term", "reveals", start.alias("start"))
+    return found.withColumn("end", F.col("start") + F.length("term")).join(told.select("term"), "term", "left_semi").distinct()
+
+
+def disclosing_terms(docs: DataFrame, spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, th, kind (``term``), start, end, value, reveals: all occurrences of the words that disclose protected values
+    and share no character with a span."""
+    told = told_terms(docs, spans, rows)
+    if told.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, th long, kind string, start long, end long, value string, reveals double")
+    words = durable(occurrences(docs, told))
+    # A word meets a span if, of the spans that begin before its end, the farthest ends after its start.
+    none = lambda kind: F.lit(None).cast(kind)
+    both = words.select("doc_id", "th", "term", "reveals", "start", "end", F.col("end").alias("at"), F.lit(0).alias("side"), none("long").alias("upto")).unionByName(
+        spans.select("doc_id", "th", none("string").alias("term"), none("double").alias("reveals"), "start", "end", F.col("start").alias("at"), F.lit(1).alias("side"), F.col("end").alias("upto"))
+    )
+    order = Window.partitionBy("doc_id", "th").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clear = both.withColumn("upto", F.max("upto").over(order)).filter((F.col("side") == 0) & F.coalesce(F.col("upto") <= F.col("start"), F.lit(True)))
+    return clear.select("doc_id", "th", F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), "reveals")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """Pattern spans and disclosing terms: doc_id, th, kind, start, end, value, reveals (null for patterns); once for the
     rows of ``docs`` that repeat doc_id and text."""
-    spans = find_spans(docs)
-    first = spans.groupBy("doc_id", "th").agg(F.min("uid").alias("uid")).select("uid")
-    base = spans.join(first, "uid").select("doc_id", "th", "kind", "start", "end", "value", F.lit(None).cast("double").alias("reveals"))
-    return base.unionByName(disclosing_terms(docs, spans))
+    every, rows = find_spans(docs)
+    first = every.groupBy("doc_id", "th").agg(F.min("uid").alias("uid")).select("uid")
+    base = every.join(first, "uid").select("doc_id", "th", "kind", "start", "end", "value", F.lit(None).cast("double").alias("reveals"))
+    return base.unionByName(disclosing_terms(docs, every, rows))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -180,9 +226,23 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """The code points ``a`` to ``b``, exclusive, of the text that ``pieces`` of PIECE each make up."""
+    first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    at, to = (a % PIECE).cast("int"), (b % PIECE).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substring(piece(first), at + 1, to - at)).otherwise(F.concat(F.substring(piece(first), at + 1, F.lit(PIECE)), inner, F.substring(piece(last), F.lit(1), to)))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced: patterns by their kind in brackets, terms by their shape or, where they reveal at
-    least REMOVES of the entity, by nothing. Overlapping spans are replaced as one. n_chars, if there, is counted anew."""
+    least REMOVES of the entity, by nothing. Overlapping spans are replaced as one. n_chars, if there, is counted anew.
+
+    Null, empty and blank texts and texts without spans stay as they are; null ids and repeated rows stay, each sanitised
+    alike; other columns are kept, whatever their names; an empty table gives no rows; a text is worked through in time
+    proportional to its length and spans.
+    """
     spans = all_spans(docs)
     shape = F.when(F.col("value").rlike("[0-9]"), "[NUMBER]").when(F.col("value").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
     put = F.when(F.col("kind") != "term", F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).when(F.col("reveals") >= REMOVES, "").otherwise(shape)
@@ -200,9 +260,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     right = found.select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_key"), F.col("cuts").alias("_pii_cuts"))
     out = hit.join(right, F.col("_pii_th").eqNullSafe(F.col("_pii_key")) & F.col("doc_id").eqNullSafe(F.col("_pii_id")), "left")
     text, cuts = F.col("text"), F.col("_pii_cuts")
-    upto = F.transform(cuts, lambda x, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.element_at(cuts, F.greatest(i, F.lit(1)))["end"] + 1).cast("int"), (x["start"] - F.when(i == 0, 0).otherwise(F.element_at(cuts, F.greatest(i, F.lit(1)))["end"])).cast("int")), x["put"]))
-    rest = F.substring(text, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(text))
-    out = out.withColumn("text", F.when(cuts.isNotNull(), F.concat(F.array_join(upto, ""), rest)).otherwise(text))
+    # Pieces of equal length make the part between two places cost what it holds, wherever in the text it lies.
+    out = out.withColumn("_pii_pieces", F.explode(F.array(F.when(cuts.isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))))
+    ends = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("put"))), cuts)
+    stops = F.concat(F.transform(cuts, lambda x: x["start"]), F.array(F.length(text).cast("long")))
+    parts = F.zip_with(ends, stops, lambda x, stop: F.concat(x["put"], _between(F.col("_pii_pieces"), x["end"], stop)))
+    out = out.withColumn("text", F.when(cuts.isNotNull(), F.array_join(parts, "")).otherwise(text))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(cuts.isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     out = out.select(*columns)
