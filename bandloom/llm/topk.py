@@ -76,7 +76,7 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataF
     other columns are ignored.
     """
     spark = vectors.sparkSession
-    table = durable(quantised(vectors).withColumn("size", F.size("v")).filter("size > 0"))
+    table = durable(quantised(vectors).withColumn("size", F.size("v")).filter("size > 0").distinct())
     sizes = [r[0] for r in table.select("size").distinct().collect()]
     parts = [_of_one_size(table.filter(F.col("size") == s), every, k) for s in sizes]
     schema = "query_id long, rank int, vec_id long, score long"
@@ -86,6 +86,7 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataF
     for p in parts[1:]:
         found = found.union(p)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     out = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
