@@ -1,10 +1,10 @@
 """Quality by compression: two zstandard dictionaries, one built from good and one from bad labelled text.
 
 A text is cut into chunks of about 512 bytes, all of it. Each chunk is compressed with both dictionaries; the difference
-of the compressed sizes over the larger one says which kind of text it resembles. The mean of these over the text and
-the worst chunk enter a logistic regression, which turns them into a calibrated score: junk that fills one paragraph of
-a long text is as visible as junk throughout. So does the least compressed size by
-length, since what repeats itself is short under either dictionary.
+of the compressed sizes, normalised by the larger of them and by the chunk's length, says which kind of text it resembles:
+the first is blind to how well both do, the second is near zero for what repeats itself, which either dictionary makes
+short. The mean of these over the text and the worst chunk enter a logistic regression, which turns them into a calibrated
+score: junk that fills one paragraph of a long text is as visible as junk throughout.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .toxicity import is_held_out, labelled, with_scores
 
-#: Compressed size of plain text by its length, about.
-USUAL = 0.3
+#: Bytes that a chunk counts as at least when a difference is divided by its length.
+LEAST = 64
 #: Bytes of a chunk and of a dictionary, the compressor's level, and labelled texts used at most per class.
 CHUNK, DICTIONARY, LEVEL, SAMPLE = 512, 112640, 3, 1500
 
@@ -34,12 +34,12 @@ def chunks(text: bytes) -> Iterator[bytes]:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary from all chunks of the texts; too little text to train on is used as it is."""
+    """A dictionary from all chunks of the texts; where they are too few to train on, all of them are the dictionary."""
     samples = [c for t in texts for c in chunks(t) if c]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, threads=0).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY] or b"        "
+        return b"".join(samples) or b"        "
 
 
 @dataclass
@@ -59,20 +59,17 @@ class Model:
         self._open = None
 
     def features(self, text: bytes) -> tuple[float, ...]:
-        """Of the chunks: mean and worst difference, and the least size under the good dictionary by its length, for chunks
-        of a usual length and from USUAL down."""
+        """Of the chunks: mean and worst difference, by the larger compressed size and by the chunk's length."""
         if self._open is None:
             make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
             self._open = make(self.good).compress, make(self.bad).compress
         good, bad = self._open
-        total, worst, n, least = 0.0, 1.0, 0, USUAL
+        rows = []
         for c in chunks(text):
             a, b = len(good(c)), len(bad(c))
-            d = (b - a) / max(a, b)
-            total, worst, n = total + d, min(worst, d), n + 1
-            if len(c) >= CHUNK // 2:
-                least = min(least, a / len(c))
-        return total / n, worst, least
+            rows.append(((b - a) / max(a, b), (b - a) / max(len(c), LEAST)))
+        x = np.array(rows)
+        return (*x.mean(axis=0), *x.min(axis=0))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         x = np.array([(*self.features((t or "").encode()), 1.0) for t in texts.to_pylist()]).reshape(-1, len(self.weights))
@@ -94,14 +91,15 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray, share_good: float | None = None) -> Model:
-    """Dictionaries from two thirds of the texts, the regression from the rest, weighted to ``share_good`` of good ones."""
+    """Dictionaries from two thirds of the texts, the regression from the rest, weighted to ``share_good`` of good ones.
+    Below 60 texts all of them do both. Without both classes every text has the smoothed share of good labels."""
     data = [t.encode() for t in texts]
     if not data or labels.min() == labels.max():
         share = (float(labels.sum()) + 1) / (len(labels) + 2)
-        return Model(b"        ", b"        ", np.array([*[0.0] * 3, np.log(share / (1 - share))]))
+        return Model(b"        ", b"        ", np.array([*[0.0] * 4, np.log(share / (1 - share))]))
     rest = np.arange(len(data)) % 3 == 0 if len(data) >= 60 else np.ones(len(data), bool)
     first = ~rest if len(data) >= 60 else rest
-    model = Model(*(dictionary([d for d, y, f in zip(data, labels, first, strict=True) if f and y == kind]) for kind in (1, 0)), np.zeros(4))
+    model = Model(*(dictionary([d for d, y, f in zip(data, labels, first, strict=True) if f and y == kind]) for kind in (1, 0)), np.zeros(5))
     x = np.array([(*model.features(d), 1.0) for d, r in zip(data, rest, strict=True) if r])
     y = labels[rest].astype(float)
     share = y.mean() if share_good is None else share_good
@@ -130,7 +128,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
+    """The documents that the classifier does not reject, with all their columns, whatever their names.
+
+    Null and empty texts are kept or rejected by the score of a text on which both dictionaries do alike; null ids and
+    repeated rows stay or go by their texts; a long text is scored whole; without labels of both classes all documents go
+    by the share of good labels; an empty table gives no rows.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
