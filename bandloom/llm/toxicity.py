@@ -1,10 +1,13 @@
 """Toxicity by subword-bag embeddings under a linear softmax, trained jointly in NumPy.
 
-A word is the bag of its byte n-grams, ends marked; its vector is the average of their embeddings, and a linear softmax
-over that vector gives the word's log odds. A text is as toxic as its most toxic words: training pools log odds softly
-(log-sum-exp, sharpened epoch by epoch), scoring takes the maximum, so three words in twenty thousand still count. A
-misspelling that no label ever showed shares n-grams, and so vectors, with the words that labels did show. Embeddings
-start at zero: n-grams never trained say nothing.
+A word is the bag of its byte n-grams, ends marked; its vector is the average of their embeddings. The vectors of a text's
+words are averaged and enter a linear softmax with two classes. So do the averages of every run of WINDOW words, as three
+words in twenty thousand would vanish in the average of the text alone; the most toxic of these averages counts. Training
+pools them softly (log-sum-exp, sharpened epoch by epoch), scoring takes the maximum. Embeddings start at random and are trained together with the softmax by its gradients. A misspelling that no
+label ever showed shares n-grams, and so vectors, with the words that labels did show.
+
+As the softmax is linear, the log odds of an average of vectors are the average of the n-grams' log odds; scoring uses
+these, one number an n-gram.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .words import BYTE_BASE, U, mixed, powers, slices, window_hashes
 
 #: Fixed by design: n-gram lengths in bytes, buckets of the embedding table, size of a vector.
 GRAMS, BUCKETS, SIZE = (3, 4, 5, 6), 1 << 19, 8
+#: Words of a run.
+WINDOW = 2
 #: Labelled texts used at most, per class.
 SAMPLE = 1500
 _BYTES = mixed(np.arange(7, 263, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
@@ -91,9 +96,21 @@ def _mean(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (sums[at[1:]] - sums[at[:-1]]) / np.maximum(count, 1).reshape(-1, *[1] * (values.ndim - 1))
 
 
+def _windows(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, ends of the runs of the rows' words, the whole row as the last one, and at which run each row begins."""
+    n = np.diff(ptr)
+    runs = np.where(n > 0, np.maximum(1, n - WINDOW + 1) + 1, 0)
+    at = np.concatenate([[0], np.cumsum(runs)])
+    starts = np.arange(at[-1]) - np.repeat(at[:-1], runs) + np.repeat(ptr[:-1], runs)
+    ends = np.minimum(starts + WINDOW, np.repeat(ptr[1:], runs))
+    last = at[1:][n > 0] - 1
+    starts[last], ends[last] = ptr[:-1][n > 0], ptr[1:][n > 0]
+    return starts, ends, at
+
+
 @dataclass
 class Model:
-    """Log odds of an n-gram's own direction, and the line that turns pooled log odds into calibrated ones."""
+    """Log odds of an n-gram's vector, the softmax's bias, and the line that turns a text's log odds into calibrated ones."""
 
     gram: np.ndarray
     bias: float
@@ -102,11 +119,13 @@ class Model:
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         t = tokens(texts)
-        odds = _mean(self.gram[t.grams], t.at) + self.bias
+        odds = _mean(self.gram[t.grams], t.at)[t.word]
+        starts, ends, at = _windows(t.ptr)
+        sums = np.concatenate([[0.0], np.cumsum(odds)])
         out = np.full(len(texts), self.bias)
         full = np.flatnonzero(np.diff(t.ptr) > 0)
         if len(full):
-            out[full] = np.maximum.reduceat(odds[t.word], t.ptr[full])
+            out[full] += np.maximum.reduceat((sums[ends] - sums[starts]) / (ends - starts), at[full])
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -128,59 +147,69 @@ def line(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tu
     return float(c[0] / s), float(c[1] - c[0] * m / s)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 5, rate: float = 1.0, seed: int = 7) -> Model:
-    """Train on whole texts; a fifth of them is held back from the embeddings and calibrates the score."""
-    if not len(texts) or labels.min() == labels.max():
-        share = (float(labels.sum()) + 1) / (len(labels) + 2)
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0.15, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """(table, soft, bias): the embeddings, the two classes' weights and the bias of the log odds, by joint gradients.
+
+    Both are scaled by the roots of their summed squared gradients; the classes weigh alike.
+    """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    back = order[: len(order) // 5] if len(order) >= 50 else order
-    train = order[len(order) // 5 :] if len(order) >= 50 else order
-    table = np.zeros((BUCKETS, SIZE), np.float32)
-    grown = np.full(BUCKETS, 1e-6, np.float32)
-    soft = rng.normal(0, 1, (SIZE, 2)).astype(np.float32)
-    bias = np.array([2.0, 0.0], np.float32)
-    per = max(1, len(train) // 64 if len(train) < 4096 else 64)
-    rare = max(1e-9, float(labels[train].mean()))
+    table = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
+    soft, bias = rng.normal(0, 1, (SIZE, 2)) / np.sqrt(SIZE), np.array([1.0, -1.0])
+    grown, grown_soft, grown_bias = np.full(BUCKETS, 1e-8), np.full(soft.shape, 1e-8), 1e-8
+    per = max(1, min(64, len(texts) // 64))
+    rare = max(1e-9, float(labels.mean()))
     for epoch in range(epochs):
-        sharp = 2.0 ** min(epoch, 3)
-        for i in range(0, len(train), per):
-            at = train[i : i + per]
-            t = tokens(pa.array([texts[k] for k in at]))
-            y = labels[at].astype(np.float64)
-            vec = _mean(table[t.grams], t.at)
-            odds = vec @ (soft[:, 1] - soft[:, 0]) + (bias[1] - bias[0])
+        sharp = 2.0 ** min(epoch, 4)
+        order = rng.permutation(len(texts))
+        for k in range(0, len(order), per):
+            batch = order[k : k + per]
+            t = tokens(pa.array([texts[i] for i in batch]))
             rows = np.flatnonzero(np.diff(t.ptr) > 0)
             if not len(rows):
                 continue
-            z = odds[t.word] * sharp
-            top = np.maximum.reduceat(z, t.ptr[rows])
-            owner = np.repeat(np.arange(len(rows)), np.diff(t.ptr)[rows])
+            y = labels[batch][rows].astype(np.float64)
+            vec = _mean(table[t.grams], t.at)
+            direction = soft[:, 1] - soft[:, 0]
+            odds = (vec @ direction)[t.word]
+            starts, ends, at = _windows(t.ptr)
+            sums = np.concatenate([[0.0], np.cumsum(odds)])
+            z = (sums[ends] - sums[starts]) / (ends - starts) * sharp
+            top = np.maximum.reduceat(z, at[rows])
+            owner = np.repeat(np.arange(len(rows)), np.diff(at)[rows])
             e = np.exp(z - top[owner])
-            total = np.add.reduceat(e, t.ptr[rows])
-            share = e / total[owner]
-            pooled = np.add.reduceat(share * z, t.ptr[rows]) / sharp
-            p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
-            w = np.where(y[rows] == 1, 0.5 / rare, 0.5 / max(1e-9, 1 - rare))
-            d = (p - y[rows]) * w
-            g = np.bincount(t.word, weights=share * d[owner], minlength=len(odds))
-            moved = np.flatnonzero(np.abs(g) > 1e-7)
-            direction = (soft[:, 1] - soft[:, 0]).astype(np.float64)
-            g_soft = (vec * g[:, None]).sum(axis=0)
-            cells = np.concatenate([t.grams[t.at[m] : t.at[m + 1]] for m in moved]) if len(moved) else np.zeros(0, np.int32)
-            amount = np.repeat(g[moved] / np.maximum(1, np.diff(t.at)[moved]), np.diff(t.at)[moved])
-            u, back_ = np.unique(cells, return_inverse=True)
-            step = np.bincount(back_, weights=amount, minlength=len(u))
-            grown[u] += step**2
-            table[u] -= (rate * step / np.sqrt(grown[u]))[:, None] * direction[None, :] * 0.5
-            soft[:, 1] -= 0.01 * g_soft / len(rows)
-            soft[:, 0] += 0.01 * g_soft / len(rows)
-            bias[1] -= 0.02 * d.mean()
-            bias[0] += 0.02 * d.mean()
-        train = train[rng.permutation(len(train))]
-    model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0)
-    x = model.logits(pa.array([texts[k] for k in back]))
+            share = e / np.add.reduceat(e, at[rows])[owner]
+            logit = np.add.reduceat(share * z, at[rows]) / sharp + bias[1] - bias[0]
+            d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * np.where(y == 1, 0.5 / rare, 0.5 / max(1e-9, 1 - rare))
+            # The gradient of each word's log odds: its part of the averages that hold it.
+            edge = np.zeros(len(odds) + 1)
+            each = share * d[owner] / (ends - starts)
+            np.add.at(edge, starts, each)
+            np.subtract.at(edge, ends, each)
+            g = np.bincount(t.word, weights=np.cumsum(edge[:-1]), minlength=len(vec))
+            cells = np.bincount(t.grams, weights=np.repeat(g / np.maximum(1, np.diff(t.at)), np.diff(t.at)), minlength=BUCKETS)
+            u = np.flatnonzero(cells)
+            grown[u] += cells[u] ** 2 * (direction @ direction) / SIZE
+            table[u] -= (rate * cells[u] / np.sqrt(grown[u]))[:, None] * direction[None, :]
+            g_soft = np.stack([-(vec * g[:, None]).sum(axis=0), (vec * g[:, None]).sum(axis=0)], axis=1)
+            grown_soft += g_soft**2
+            soft -= 0.1 * g_soft / np.sqrt(grown_soft)
+            grown_bias += d.sum() ** 2
+            bias += np.array([1, -1]) * 0.1 * d.sum() / np.sqrt(grown_bias)
+    return table, soft, float(bias[1] - bias[0])
+
+
+def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+    """Train on whole texts; a fifth of them is held back from the embeddings and calibrates the score. Below 50 texts all
+    of them do both. Without both classes every text has the smoothed share of toxic labels."""
+    if not len(texts) or labels.min() == labels.max():
+        share = (float(labels.sum()) + 1) / (len(labels) + 2)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+    order = np.random.default_rng(seed).permutation(len(texts))
+    cut = len(order) // 5 if len(order) >= 50 else 0
+    table, soft, bias = train([texts[i] for i in order[cut:]], labels[order[cut:]])
+    model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), bias, 1.0, 0.0)
+    back = order[:cut] if cut else order
+    x = model.logits(pa.array([texts[i] for i in back]))
     model.slope, model.shift = line(x, labels[back].astype(float), np.ones(len(back)))
     return model
 
