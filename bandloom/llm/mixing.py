@@ -4,7 +4,8 @@ The mix is a sequence of slots of about equally many words. Slot k takes the gol
 and maps it through the sources' cumulative target shares, so after any number of slots each source is within a few slots
 of its share. A source that is drawn too seldom for its target has further slots at the end. A source's slots are ranked
 and share its target, in whole words, equally: rank r takes the r-th part of the source's documents, laid end to end in
-hashed order and, behind the last, from the first again. So each source gives its target, however small it is.
+hashed order and, behind the last, from the first again. So each source gives its target, however small it is. The mix is
+these blocks, slot after slot.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, durable, running, small, spread
 
 GOLDEN = 0.6180339887498949
-#: The mix has at least so many slots unless a slot would fall below one word; a slot never exceeds BLOCK_WORDS.
-LEAST_SLOTS, BLOCK_WORDS = 1 << 17, 1024
+#: The mix has at least so many slots, but a slot has room for at least LEAST_WORDS and never for more than BLOCK_WORDS.
+LEAST_SLOTS, LEAST_WORDS, BLOCK_WORDS = 1 << 12, 64, 1024
 #: Documents of one range of a source's hashed order, about, that is laid out in one task.
 BUCKET_ROWS = 2000
 #: Cells into which the unit interval is cut to find a point's source by an equi join.
@@ -85,13 +86,13 @@ def schedule(targets: DataFrame, slots: int, n_sources: int) -> DataFrame:
 def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST_PASSES) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks) for ``sizes``: a stored table with row_id, doc_id, source, size.
 
-    documents: row_id, doc_id, source, size, source_size, target, taken. blocks: row_id, slot, rank, pass, start, length:
-    slot by slot, which words of which document the mix takes. An empty table gives empty results; documents without
+    documents: row_id, doc_id, source, size, source_size, target, taken. blocks: row_id, slot, rank, pass, at, start, length:
+    slot by slot, which words of which document (which begins at word ``at`` of its source) the mix takes. An empty table gives empty results; documents without
     words are never taken; all orders are hashed from doc_id, so reruns agree.
     """
     rows, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_sources = sizes.select("source").distinct().count()
-    block = max(1, min(BLOCK_WORDS, words // LEAST_SLOTS))
+    block = max(LEAST_WORDS, min(BLOCK_WORDS, words // LEAST_SLOTS))
     slots = -(-words // block)
     targets = durable(source_targets(sizes, weights, most))
     about = small(targets, n_sources)
@@ -121,8 +122,8 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST
     )
     start = F.greatest(F.col("stretch") * block, "at", "lo")
     end = F.least((F.col("stretch") + 1) * block, F.col("at") + F.col("size"), "hi")
-    parts = cut.join(taken, ["source_no", "stretch"]).select("row_id", "slot", "rank", "pass", (start - F.col("at")).alias("start"), (end - start).alias("length")).filter("length > 0")
-    blocks = parts.groupBy("row_id", "slot", "rank", "pass").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    parts = cut.join(taken, ["source_no", "stretch"]).select("row_id", "slot", "rank", "pass", "at", (start - F.col("at")).alias("start"), (end - start).alias("length")).filter("length > 0")
+    blocks = parts.groupBy("row_id", "slot", "rank", "pass", "at").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
     words_of = parts.groupBy("row_id").agg(F.sum("length").alias("taken"))
     out = laid.join(words_of, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return out.select("row_id", "doc_id", "source", "size", "source_size", "target", "taken"), blocks
@@ -142,18 +143,39 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> Data
     return mix(sizes_of(docs), weights)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """The mix as rows of ``docs``: a document taken once or more is there as often, and a last part of it as its first
-    words; documents not taken are left out. n_chars, if there, is counted anew for such parts."""
+def scheduled_blocks(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The mix itself: the columns of ``docs``, and _mix_slot, _mix_place (order inside a slot), _mix_start, _mix_length.
+
+    A row is the words that one slot takes of one document; its text is the document's where it takes all of it, else these
+    words with one space between them. n_chars, if there, is counted anew for such parts.
+    """
     columns = docs.columns
     numbered = durable(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
     sizes = durable(numbered.select(F.col("_mix_row").alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size")))
-    taken = mix(sizes, weights)[0].filter("taken > 0").select(F.col("row_id").alias("_mix_row"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    size, all_ = F.col("_mix_size"), F.col("_mix_taken")
-    rows = numbered.join(taken, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(all_ / size))))
-    words = F.least(size, all_ - (F.col("_mix_copy") - 1) * size)
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    out = rows.withColumn("text", F.when(words < size, part).otherwise(F.col("text")))
+    blocks = mix(sizes, weights)[1]
+    part = F.struct(F.col("slot"), F.struct("pass", "at").alias("place"), F.col("start"), F.col("length"))
+    parts = blocks.groupBy(F.col("row_id").alias("_mix_row")).agg(F.collect_list(part).alias("_mix_parts"))
+    rows = numbered.join(parts, "_mix_row")
+    # A generator keeps the words from being found again for each part.
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    rows = rows.withColumn("_mix_words", F.explode(F.array(words)))
+    cut = lambda p: F.struct(
+        p["slot"].alias("slot"), p["place"].alias("place"), p["start"].alias("start"), p["length"].alias("length"),
+        F.when(p["length"] < F.size("_mix_words"), F.array_join(F.slice("_mix_words", (p["start"] + 1).cast("int"), p["length"].cast("int")), " ")).alias("text"),
+    )
+    rows = rows.withColumn("_mix", F.explode(F.transform("_mix_parts", cut)))
+    new = F.col("_mix")["text"]
+    out = rows.withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(words < size, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        out = out.withColumn("n_chars", F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns, *[F.col("_mix")[c].alias(f"_mix_{c}") for c in ("slot", "place", "start", "length")])
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The blocks of ``scheduled_blocks`` as rows of ``docs``, in the order of their slots.
+
+    Documents that no slot takes are left out, so those without words are; null ids and sources stay; repeated rows are
+    documents of their own; a long text is taken block by block; other columns are kept; an empty table gives no rows.
+    """
+    rows = scheduled_blocks(docs, weights)
+    return rows.repartitionByRange("_mix_slot").sortWithinPartitions("_mix_slot", "_mix_place").select(*docs.columns)

@@ -214,15 +214,35 @@ def test_mix_gives_small_sources_their_target(spark):
 
 
 def test_mixed_rows(docs):
+    """The stage's rows are the scheduled blocks, slot by slot, and each block holds the words that the schedule names."""
     taken = collections.Counter()
     for r in mixing.mix_documents(docs).collect():
         taken[r.doc_id] += r.taken
-    rows = collections.Counter()
+    texts = collections.defaultdict(list)
+    for r in corpus.rows():
+        texts[r[0]].append(WORD.findall(r[1] or ""))
+    got, rows = collections.Counter(), mixing.scheduled_blocks(docs).collect()
+    for r in rows:
+        words = WORD.findall(r.text)
+        got[r.doc_id] += len(words)
+        assert len(words) == r._mix_length <= mixing.BLOCK_WORDS and any(words == t[r._mix_start : r._mix_start + r._mix_length] for t in texts[r.doc_id])
+    assert {k: v for k, v in taken.items() if v} == dict(got)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    for r in out.collect():
-        rows[r.doc_id] += len(WORD.findall(r.text))
-    assert {k: v for k, v in taken.items() if v} == dict(rows)
+    in_order = [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r._mix_slot, r._mix_place))]
+    assert [(r.doc_id, r.text) for r in out.collect()] == in_order
+    # After any number of slots each source has about its share of the words.
+    share, total, seen = collections.Counter(), 0, collections.Counter()
+    for r in rows:
+        share[r.source] += r._mix_length
+    whole = sum(share.values())
+    slots = collections.defaultdict(collections.Counter)
+    for r in rows:
+        slots[r._mix_slot][r.source] += r._mix_length
+    for k in sorted(slots):
+        seen.update(slots[k])
+        total += sum(slots[k].values())
+        assert all(abs(seen[s] - total * share[s] / whole) <= 6 * max(sum(v.values()) for v in slots.values()) for s in share)
 
 
 def test_pack(docs):
