@@ -26,7 +26,7 @@ from .words import slices
 
 CAPACITY, END = 1024, 2
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 1 << 23
+ENCODED_BYTES = 1 << 22
 #: Pieces of one group, and the fill from which a bin is not dealt again into another group.
 GROUP, FULL = 8192, 0.995
 
