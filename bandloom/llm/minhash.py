@@ -1,7 +1,8 @@
 """Near-duplicate documents: fast similarity sketches, banding, and exact verification on full shingle sets.
 
 1. Every text becomes its set of word shingles, a sketch and band keys (one pass over the texts).
-2. Texts with equal sets form a class; only its smallest doc_id goes on.
+2. Texts with equal sets, told by a cryptographic digest of the whole sorted set, form a class; only its smallest doc_id
+   goes on.
 3. Each band bucket with several classes compares all its members with one hub, its smallest id: as many pairs as
    members. Pairs are verified on full sets and linked pairs give components.
 4. Where a bucket's other members still lie in several components, links among them may be missing. Buckets that share
@@ -11,6 +12,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable
+from .shared import durable, forget, in_batches
 from .sketches import bands, sketch
-from .words import U, Words, mixed, ragged, shingle_sets, slices
+from .words import Words, mixed, ragged, shingle_sets, slices
 
 #: Coordinates of a sketch and of a band: a pair at similarity 0.8 shares no band with a probability below 1e-7.
 COORDINATES, BAND = 128, 4
@@ -40,11 +42,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             keys = mixed(keys ^ np.arange(1, keys.shape[1] + 1, dtype=np.uint64)[None, :])
             full = [len(s) > 0 for s in sets]
             keyed = [row if f else row[:0] for row, f in zip(keys, full, strict=True)]
-            sums = np.array([[np.bitwise_xor.reduce(mixed(s)), np.add.reduce(mixed(s ^ U(0x5851F42D4C957F2D)))] for s in sets], dtype=np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64) if len(sums) else [], pa.int64()), pa.array(np.ascontiguousarray(sums[:, 1]).view(np.int64), pa.int64()), ragged(keyed)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
-            )
+            whole = [hashlib.sha256(s.tobytes()).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), ragged(keyed)], names=["doc_id", "n_shingles", "whole", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -123,17 +122,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    base = durable(docs.mapInArrow(partial(_sketched, k=k), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    base = durable(in_batches(docs, partial(_sketched, k=k), "doc_id long, n_shingles long, whole binary, bands array<long>"))
     named = base.filter("doc_id is not null and n_shingles > 0")
-    classes = durable(named.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "set_a", "set_b", "doc_id"])
+    classes = durable(named.groupBy("n_shingles", "whole").agg(F.min("doc_id").alias("rep")))
+    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "whole", "doc_id"])
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub != last").select("key", "hub")
     buckets = durable(keyed.join(hubs, "key"))
     pairs = durable(buckets.filter("doc_id != hub").select("hub", "doc_id").distinct())
     ids = durable(pairs.select("doc_id").union(pairs.select("hub")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "doc_id long, shingles array<long>")
+    sets = in_batches(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), partial(_sets, k=k), "doc_id long, shingles array<long>")
     sets = durable(sets.dropDuplicates(["doc_id"]) if base.count() != base.select("doc_id").distinct().count() else sets)
     both = pairs.join(sets.withColumnRenamed("shingles", "x"), "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("y")), "hub")
     both = both.filter(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
@@ -143,9 +142,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = durable(_rest(buckets, first, sets, percent))
     stars = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
     last = components(stars.union(rest)) if not rest.isEmpty() else first
+    for done in (buckets, pairs, ids, sets, links, rest):
+        forget(done)
     of_class = classes.join(last.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    out = base.drop("bands").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
+    of_class = of_class.select("n_shingles", "whole", F.coalesce("component", "rep").alias("component_id"))
+    out = base.drop("bands").join(of_class, ["n_shingles", "whole"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -153,7 +154,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, and all documents that are in none.
 
-    Rows that repeat a doc_id and a text count as one document and stay once; rows without a doc_id all stay.
+    Rows that repeat a doc_id and a text count as one document and stay once; rows without a doc_id all stay, and so do
+    null, empty and blank texts; a long text is compared whole; all columns are kept, whatever their names; an empty table
+    gives no rows.
     """
     gone = durable(near_duplicates(docs, k, percent).filter("doc_id is not null and not kept").select("doc_id").distinct())
     few = gone.count() <= BROADCAST_IDS

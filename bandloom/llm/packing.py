@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, in_batches
 from .words import slices
 
 CAPACITY, END = 1024, 2
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 1 << 22
+ENCODED_BYTES = 1 << 21
 #: Pieces of one group, and the fill from which a bin is not dealt again into another group.
 GROUP, FULL = 8192, 0.995
 
@@ -48,7 +48,7 @@ class Encoder:
     """
 
     #: Words that go into one call's text, and words that are kept.
-    WORDS, KEPT = 4096, 1 << 19
+    WORDS, KEPT = 4096, 1 << 18
     #: A word whose first and last characters are no white space, and one that ends at a mark (RE2).
     PLAIN = r"(?s)^[\pL\pN!-~](?:.*[\pL\pN!-~])?$"
     MARKED = r"(?s)^(?P<stem>.*?[\pL\pN])(?P<tail>[.,;:!?].*)$"
@@ -312,7 +312,7 @@ def pack_pieces(docs: DataFrame, name: str = "byte_bpe_50k", capacity: int = CAP
     A document's tokens are those of its text and then END. A null or empty text is one piece of one token; repeated rows
     are documents of their own; null ids stay; other columns are ignored; an empty table gives no rows.
     """
-    cut_ = docs.select("doc_id", "text").mapInArrow(functools.partial(_pieces, name=name, capacity=capacity, with_ids=with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    cut_ = in_batches(docs.select("doc_id", "text"), functools.partial(_pieces, name=name, capacity=capacity, with_ids=with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
     pieces = durable((cut_ if with_ids else cut_.drop("ids")).withColumn("uid", F.monotonically_increasing_id()))
     placed = place(pieces.filter(F.col("length") < capacity).select("uid", "length"), capacity)
     out = pieces.join(placed, "uid", "left")

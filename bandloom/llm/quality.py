@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .toxicity import is_held_out, labelled, with_scores
 
 #: Bytes that a chunk counts as at least when a difference is divided by its length.
@@ -144,4 +145,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
             for part in slices(batch):
                 yield part.filter(pa.array(shipped.value.scores(part.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from ..sources.folders import shared_folder
 #: Characters that separate words, as the body of a regular-expression class, and a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch of rows that goes to Python.
+BATCH_BYTES = 4 << 20
+
 #: Rows up to which a table of a few narrow columns is broadcast.
 BROADCAST_ROWS = 4096
 
@@ -25,6 +29,16 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` on batches of about BATCH_BYTES: what a task holds of its rows outside Spark's own memory. The
+    session keeps this limit unless it had a lower one."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = conf.get(name, None)
+    if had is None or not had.rstrip("bB").lstrip("-").isdigit() or not 0 < int(had.rstrip("bB")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that ``durable`` wrote and that nothing will read again."""
     spark = df.sparkSession

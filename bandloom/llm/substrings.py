@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, in_batches
 from .words import U, WORD_BASE, Words, mixed, ragged, slices, window_hashes
 
 #: Rows of hashes or keys up to which a table is broadcast (8 to 16 bytes a row).
@@ -170,8 +170,8 @@ def repeated_passages(docs: DataFrame, n: int = 35) -> tuple[DataFrame, DataFram
     """(summary, texts): uid, doc_id, th, n_words, sha, whole (all words go) of each document, and uid, gone, kept of those
     that lose some but perhaps not all words. ``th`` is xxhash64 of the text."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    scanned = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
-        partial(_scan, n=n), "uid long, doc_id long, th long, n_words long, a long, b long, sha string, place array<int>, first array<long>, right array<long>, left array<long>"
+    scanned = in_batches(
+        docs.withColumn("uid", F.monotonically_increasing_id()), partial(_scan, n=n), "uid long, doc_id long, th long, n_words long, a long, b long, sha string, place array<int>, first array<long>, right array<long>, left array<long>"
     )
     base = durable(scanned)
     copies = durable(base.filter(F.col("n_words") >= n).groupBy("n_words", "a", "b").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"))
@@ -179,11 +179,11 @@ def repeated_passages(docs: DataFrame, n: int = 35) -> tuple[DataFrame, DataFram
     classed = base.join(F.broadcast(copies) if few else copies, ["n_words", "a", "b"], "left")
     marks = _marks(classed.filter("rep is null or rep = uid"))
     marked = durable(marks.join(classed.select("uid", "doc_id", "th", F.col("rep").isNotNull().alias("whole")), "uid"))
-    full = _with_text(docs, marked).select("uid", "text", "marks").mapInArrow(partial(_full, n=n), "h long, g int, uid long, place int")
+    full = in_batches(_with_text(docs, marked).select("uid", "text", "marks"), partial(_full, n=n), "h long, g int, uid long, place int")
     once = full.groupBy("h", "g").agg(F.count("*").alias("c"), F.min("uid").alias("uid"), F.min("place").alias("place")).filter("c = 1")
     once = once.groupBy("uid").agg(F.collect_list("place").alias("once"))
     parts = durable(marked.filter("not whole").join(once, "uid", "left").drop("whole"))
-    texts = _with_text(docs, parts).select("uid", "text", "marks", "once").mapInArrow(partial(_removed, n=n), "uid long, gone long, kept string")
+    texts = in_batches(_with_text(docs, parts).select("uid", "text", "marks", "once"), partial(_removed, n=n), "uid long, gone long, kept string")
     return classed.select("uid", "doc_id", "th", "n_words", "sha", F.col("rep").isNotNull().alias("whole")), texts
 
 

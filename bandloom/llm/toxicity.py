@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, in_batches
 from .words import BYTE_BASE, U, mixed, powers, slices, window_hashes
 
 #: Fixed by design: n-gram lengths in bytes, buckets of the embedding table, size of a vector.
@@ -240,7 +240,7 @@ def with_scores(docs: DataFrame, model) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shipped.value.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
