@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable
+from .shared import durable, forget
 from .words import U, mixed
 
 #: Projections, windows' half-widths and cells' strips in deviations, and the probability that a linked pair is counted;
@@ -122,7 +122,8 @@ def _runs(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = starts[sizes == s]
         step = max(1, PAIRS // len(i))
         for k in range(0, len(first), step):
-            yield (first[k : k + step, None] + i).ravel(), (first[k : k + step, None] + j).ravel()
+            for h in range(0, len(i), PAIRS):
+                yield (first[k : k + step, None] + i[h : h + PAIRS]).ravel(), (first[k : k + step, None] + j[h : h + PAIRS]).ravel()
 
 
 def _colliding(p: np.ndarray, a: np.ndarray, b: np.ndarray, h: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +224,10 @@ def _linked(nodes: DataFrame, most: int, cosine: float) -> DataFrame:
 
     # The kind of group (side below zero or not) keeps a batch apart from a cell of the same number.
     met = small.join(made.select("node", "copies", "unit", "cells"), "node").groupBy("size", "g", "i", "j", (F.col("side") < 0).alias("batch"))
-    return durable(met.applyInArrow(run, "node long, links long, root long"))
+    found = durable(met.applyInArrow(run, "node long, links long, root long"))
+    forget(made)
+    forget(shared)
+    return found
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, forget
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns (Java). Each finds what the plain pattern finds leftmost and non-overlapping, without its backtracking:
@@ -158,7 +158,10 @@ def told_terms(docs: DataFrame, spans: DataFrame, rows: DataFrame) -> DataFrame:
     pmi = F.log2(F.col("n_pair") * total / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
     told = pairs.withColumn("reveals", F.when(info > 0, pmi / info).otherwise(0.0)).filter(F.col("reveals") >= REVEALS)
     told = told.groupBy(F.col("term").alias("rep")).agg(F.max("reveals").alias("reveals"))
-    return durable(of_term.join(told, "rep").select("term", "reveals"))
+    told = durable(of_term.join(told, "rep").select("term", "reveals"))
+    for done in (rows, per_text, known, held, texts, wanted, rare, clear, of_term, of_entity):
+        forget(done)
+    return told
 
 
 def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -177,9 +180,10 @@ def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
     base = lambda j: F.aggregate(F.slice("sizes", F.lit(1), j), F.lit(0).cast("long"), lambda a, x: a + x + 1)
     docs_ = docs_.select("doc_id", "th", F.explode(F.transform(runs, lambda j: F.struct(part(j).alias("words"), base(j).alias("base")))).alias("x")).select("doc_id", "th", "x.*")
     each = docs_.select("doc_id", "th", "words", "base", F.posexplode("words").alias("i", "term"))
-    found = _only(each, told, "reveals")
     start = F.col("base") + F.when(F.col("i") > 0, F.length(F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")) + 1).otherwise(0)
-    found = found.select("doc_id", "th", "term", "reveals", start.alias("start"))
+    placed = lambda d, *more: d.select("doc_id", "th", "term", start.alias("start"), *more)
+    # Places are worked out for the words that are found; if those must be shuffled to be found, before that, without runs.
+    found = placed(_only(each, told, "reveals"), "reveals") if told.count() <= BROADCAST_KEYS else _only(placed(each), told, "reveals")
     return found.withColumn("end", F.col("start") + F.length("term")).join(told.select("term"), "term", "left_semi").distinct()
 
 

@@ -12,16 +12,19 @@ when blocks of queries meet the other blocks of candidates, most of which then e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, forget
 
-#: Pivots (drawn by hash, so of any large table alike), rows of a block on average, and candidates evaluated at once.
+#: Pivots (drawn by hash, so of any large table alike), rows of a block on average, and candidates evaluated first.
 PIVOTS, BLOCK, QUERIES, STEP = 24, 2048, 1024, 64
+#: Lengths of vectors that one table may mix; each is searched by jobs of its own.
+MOST_SIZES = 64
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -46,16 +49,20 @@ def search(q: np.ndarray, dq: np.ndarray, least: np.ndarray, own: np.ndarray, x:
     """Per query the (score, id) of the best ``k`` candidates, of those with a score of at least ``least``; ``own`` is the
     id that a query may not return."""
     half = (x**2).sum(1) / 2
+    reach = sqrt(2 * half.max()) if len(x) else 0.0
     for row in range(len(q)):
         apart = np.abs(dx - dq[row]).max(axis=1) if len(x) else np.zeros(0)
-        # Distances carry rounding errors far below 1e-6 of their size.
-        apart = np.maximum(apart - 1e-6 * (1 + dq[row].max()), 0)
+        # Distances carry rounding errors far below 1e-6 of the vectors' sizes.
+        apart = np.maximum(apart - 1e-6 * (1 + dq[row].max() + reach), 0)
         bound = (q[row] ** 2).sum() / 2 + half - apart**2 / 2
         order = np.argsort(-bound)
         best: list[tuple[float, int]] = []
         floor_ = float(least[row])
-        for s in range(0, len(order), STEP):
-            some = order[s : s + STEP]
+        s, step = 0, STEP
+        while s < len(order):
+            some = order[s : s + step]
+            # Where bounds say little, ever more candidates are evaluated at once.
+            s, step = s + step, 2 * step
             if bound[some[0]] < floor_ - 1e-3:
                 break
             scores = x[some] @ q[row]
@@ -72,12 +79,18 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataF
     the smaller vec_id. Queries are the rows whose vec_id is divisible by ``every``.
 
     Components are floor(256 * x). Rows left out by ``quantised`` take no part; vectors meet those of their own length;
-    rows that bear a query's vec_id count as its own; fewer rows than ``k`` give as many; an empty table gives no rows;
-    other columns are ignored.
+    rows that bear a query's vec_id count as its own; rows that repeat one count once, and of rows that bear one vec_id with
+    different vectors each pair's best score counts; empty vectors have nothing to multiply and take no part; fewer rows than ``k`` give as many; an empty table gives no rows;
+    other columns are ignored. Squared lengths from 2^53 on, more than 64 different lengths raise.
     """
     spark = vectors.sparkSession
     table = durable(quantised(vectors).withColumn("size", F.size("v")).filter("size > 0").distinct())
-    sizes = [r[0] for r in table.select("size").distinct().collect()]
+    square = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    if (table.agg(F.max(square)).first()[0] or 0.0) >= 2.0**53:
+        raise ArithmeticError("inner products of these vectors exceed what doubles hold exactly")
+    sizes = [r[0] for r in table.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").limit(MOST_SIZES + 1).collect()]
+    if len(sizes) > MOST_SIZES:
+        raise ValueError(f"vectors of more than {MOST_SIZES} different lengths")
     parts = [_of_one_size(table.filter(F.col("size") == s), every, k) for s in sizes]
     schema = "query_id long, rank int, vec_id long, score long"
     if not parts:
@@ -108,6 +121,7 @@ def _of_one_size(table: DataFrame, every: int, k: int) -> DataFrame:
     # One row per pivot, so at most PIVOTS.
     placed = measured.join(F.broadcast(blocks), "pivot").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")).drop("n")
     placed = durable(placed)
+    forget(measured)
 
     def at_home(t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
