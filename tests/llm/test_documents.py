@@ -158,6 +158,58 @@ def test_disclosing_terms_far_from_the_value_and_without_it(spark):
     assert not [r for r in pii.sanitise(df).collect() if "quorvax" in r.text]
 
 
+def test_disclosing_terms_like_brute_force(spark):
+    """All pairs of values and words, counted plainly, give the same spans."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)] + ["rare1", "rare2", "x.y"]
+    values = ["ann@a.example", "bob@b.example", "10.1.2.3", "carl@c.example"]
+    data = []
+    for i in range(160):
+        w = rng.sample(vocabulary[:40], rng.randint(3, 12))
+        if i % 5 == 0:
+            w.insert(rng.randint(0, len(w)), values[i // 5 % 4])
+            w += [("rare1", "rare2", "x.y", "zz")[i // 5 % 4]] * rng.randint(1, 2)
+        if i % 17 == 0:
+            w += ["rare1" if i % 2 else "rare2,"]
+        data.append((i, (" " if i % 3 else "\t").join(w)))
+    data += [(500 + i, data[5][1]) for i in range(4)] + [(600, None), (601, "")]
+    got = {r.doc_id: sorted(x for x in r.spans.split(",") if x.startswith("term")) for r in pii.personal_data(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    held, terms = {}, {}
+    for i, t in data:
+        t = t or ""
+        spans = plain_spans(t)
+        held[i] = {f"{k}:{t[a:b]}" for k, a, b in spans}
+        terms[i] = {m.group() for m in WORD.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in spans)}
+    words = {i: set(WORD.findall(t or "")) for i, t in data}
+    text, total, told = dict(data), len(data), {}
+    for e in set().union(*held.values()):
+        has_e = [i for i in held if e in held[i]]
+        if len({text[i] for i in has_e}) < 3:
+            continue
+        for w in set().union(*(terms[i] for i in has_e)):
+            both = [i for i in has_e if w in terms[i]]
+            if len({text[i] for i in both}) < 3:
+                continue
+            n_e, n_w = len(has_e), sum(w in words[i] for i in words)
+            reveals = math.log2(len(both) * total / (n_e * n_w)) / math.log2(total / n_e)
+            if reveals >= pii.REVEALS:
+                told[w] = max(reveals, told.get(w, 0))
+    assert len(told) >= 3
+    for i, t in data:
+        spans = plain_spans(t or "")
+        want = sorted(f"term:{m.start()}:{m.end()}" for m in WORD.finditer(t or "") if m.group() in told and not any(a < m.end() and m.start() < b for _, a, b in spans))
+        assert got[i] == (want or []) or (not want and got[i] == []), i
+
+
+def test_many_addresses_in_one_text(spark):
+    """Fifty thousand addresses in one text, in three texts: linear work, all of them replaced."""
+    base = " ".join(f"u{i}@h{i}.example word{i}" for i in range(50_000))
+    df = spark.createDataFrame([(1, base), (2, base + " end"), (3, "start " + base)], "doc_id long, text string")
+    got = {r.doc_id: r.n_email for r in pii.personal_data(df).collect()}
+    assert got == {1: 50_000, 2: 50_000, 3: 50_000}
+    assert all("@" not in r.text for r in pii.sanitise(df).collect())
+
+
 def test_mix(spark, docs):
     data = corpus.rows()
     got = mixing.mix_documents(docs).collect()
@@ -319,6 +371,35 @@ def test_shards(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_like_a_plain_descent(docs):
+    """The tree walked in plain Python, hash by hash, gives the same shard with eight and with nine shards."""
+    import xxhash
+
+    def draw(key, node):
+        h = 42
+        for part in (key, node.name):
+            h = xxhash.xxh64(part.encode(), seed=h).intdigest()
+        unit = (h - 2**64 if h >= 2**63 else h) / 2**64 + 0.5
+        return -math.log(max(unit, 2.0**-64)) / node.total
+
+    def descend(key, node):
+        while node.children:
+            node = min(node.children, key=lambda c: draw(key, c)) if len(node.children) > 1 else node.children[0]
+        return node.shard
+
+    trees = sharding.planned_tree(8), sharding.planned_tree(9, 8)
+    for r in sharding.shard_documents(docs).collect():
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == tuple(descend(key, t) for t in trees)
+
+
+def test_write_shards(docs, tmp_path, spark):
+    sharding.write_shards(docs, str(tmp_path / "out"), 8)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = {(r.doc_id, r.shard) for r in sharding.shard_documents(docs).collect()}
+    assert got.count() == docs.count() and {(r.doc_id, r.shard) for r in got.select("doc_id", "shard").collect()} == want
+
+
 def test_shards_spread_and_weights_confine(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     tree = sharding.planned_tree(8)
@@ -364,6 +445,32 @@ def test_toxicity(spark):
     assert by[902].predicted == 1 and by[903].predicted == 1 and by[900].predicted == 0 and by[901].score == by[900].score
 
 
+def test_subword_embeddings(spark):
+    """The table has more than one direction, all of it trained, and misspellings that no label showed are found."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(300)]
+    rude = ["idiot", "moron", "worthless", "scumbag", "pathetic"]
+    texts, y = [], []
+    for i in range(600):
+        w = [words[k] for k in rng.integers(0, 300, rng.integers(5, 40))]
+        if i % 4 == 0:
+            w.insert(int(rng.integers(0, len(w))), rude[i // 4 % 5])
+        texts.append(" ".join(w))
+        y.append(int(i % 4 == 0))
+    table, soft, _ = toxicity.train(texts, np.array(y))
+    start = np.random.default_rng(7).uniform(-1 / toxicity.SIZE, 1 / toxicity.SIZE, table.shape).astype(np.float32)
+    moved = np.flatnonzero((table != start).any(axis=1))
+    s = np.linalg.svd(table[moved], compute_uv=False)
+    assert len(moved) > 1000 and (s > 1e-2 * s[0]).sum() == toxicity.SIZE
+    # The steps themselves do not all lie along one vector: the softmax is trained at the same time.
+    assert np.linalg.svd((table - start)[moved], compute_uv=False)[1] > 1e-3 * np.linalg.svd((table - start)[moved], compute_uv=False)[0]
+    import pyarrow as pa
+
+    model = toxicity.fit(texts, np.array(y))
+    scores = model.scores(pa.array(["you idiiot there", "what a mooron", "wortthless stuff", "scumbagg", "patheticc", "abc fgh", "hgf cab de", None]))
+    assert (scores[:5] >= 0.3).sum() >= 4 and (scores[5:] < 0.3).all()
+
+
 def test_quality(spark):
     docs, labels = labelled_corpus(spark)
     got = quality.score_quality(docs, labels).collect()

@@ -5,6 +5,7 @@ import collections
 import corpus_pipeline
 from bandloom.llm import queries
 
+from . import corpus
 from .test_documents import WORD, plain_spans
 
 
@@ -33,5 +34,17 @@ def test_stages(spark, sf):
     assert max(fills.values()) <= 1024
 
 
+def test_stages_take_awkward_rows(spark, sf):
+    """Nulls, blanks, repeated rows, very long texts and clashing columns pass through every stage, and so does no row."""
+    rows = [*corpus.rows(), (800, " " * 1_000_000, "en", "s1", 1, "r", "c", "u", "z"), (801, "mail a@b.example <|endoftext|> " * 3, None, None, None, None, None, None, None)]
+    for docs in (corpus.frame(spark, rows), corpus.empty(spark)):
+        some = docs.count() > 0
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf).cache()
+            assert name == "best_fit_packing" or out.columns == docs.columns
+            assert (out.count() > 0) == some, name
+            docs = out if name != "quality_classifier" else docs
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
