@@ -6,10 +6,10 @@ A grid has idx and freq. A plan has target_idx, lo_idx, hi_idx, alpha: the value
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .order import bracket, lerp
+from .order import around, lerp
 
 SNAP_ATOL, SNAP_RTOL = 1e-6, 1e-9
 
@@ -20,15 +20,10 @@ def grid(spark: SparkSession, start: float, step: float, n: int) -> DataFrame:
 
 
 def _neighbours(target: DataFrame, source: DataFrame) -> DataFrame:
-    """idx, freq of each target with the source points around it (lo_idx, lo_f, hi_idx, hi_f), and the one before and
-    after them that a tolerance could reach is among these two."""
-    t = target.select(F.col("freq").alias("_f"), F.struct(F.col("idx").alias("target_idx"), F.col("freq").alias("f")).alias("_row"), F.lit(None).cast("int").alias("_i"))
-    s = source.select(F.col("freq").alias("_f"), F.lit(None).alias("_row"), F.col("idx").cast("int").alias("_i"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_f")
-    upto, since = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    point = F.when(F.col("_i").isNotNull(), F.struct("_i", "_f"))
-    both = t.unionByName(s).withColumn("lo", F.last(point, ignorenulls=True).over(upto)).withColumn("hi", F.first(point, ignorenulls=True).over(since))
-    return both.filter("_row is not null").select("_row.*", F.col("lo._i").alias("lo_idx"), F.col("lo._f").alias("lo_f"), F.col("hi._i").alias("hi_idx"), F.col("hi._f").alias("hi_f"))
+    """target_idx, f of each target with the source points around it: lo_idx, lo_f, hi_idx, hi_f. Of the points that a
+    tolerance could reach, the nearest is among these two."""
+    n = around(target.select(F.col("idx").alias("target_idx"), F.col("freq").alias("f")), source, "f", [], "freq", "idx")
+    return n.select("target_idx", "f", F.col("v0").cast("int").alias("lo_idx"), F.col("t0").alias("lo_f"), F.col("v1").cast("int").alias("hi_idx"), F.col("t1").alias("hi_f"))
 
 
 def tolerance(f: Column, atol: float = SNAP_ATOL, rtol: float = SNAP_RTOL) -> Column:
@@ -83,13 +78,25 @@ def nearest_bin(df: DataFrame, freq: str, step: float, n: int, limit: float, sta
 def lookup(df: DataFrame, curve: DataFrame, x: str, keys: list[str] | None = None, out: str = "looked_up", outside: float | None = 0.0) -> DataFrame:
     """Add the curve (keys, x, y) at each row's ``x`` by linear interpolation; ``outside`` beyond its ends, or clamped if
     that is None."""
-    found = bracket(df, curve.select(*(keys or []), F.col("x").alias("_cx"), F.col("y").alias("_cy")), keys or [], x, "_cx", "_cy")
+    found = around(df, curve, x, keys or [], "x", "y")
     v = lerp(F.col(x), F.col("t0"), F.col("v0"), F.col("t1"), F.col("v1"))
     if outside is not None:
         v = F.when(F.col("v0").isNull() | F.col("v1").isNull(), F.lit(outside)).otherwise(v)
     return found.withColumn(out, v).drop("t0", "v0", "t1", "v1")
 
 
+def rescaled_curve(df: DataFrame, curve: DataFrame, x: str, place: float, width: float, depth: float, own: tuple[float, float, float] = (16.4, 14.0, 0.04), out: str = "signal") -> DataFrame:
+    """Add the curve (x, y) moved from its ``own`` place, width and depth to the given ones; 0 outside of it."""
+    at = df.withColumn("_moved", F.lit(own[0]) + (F.col(x) - place) * (own[1] / width))
+    return lookup(at, curve, "_moved", out=out).withColumn(out, F.col(out) * (depth / own[2])).drop("_moved")
+
+
+def power_law_below(df: DataFrame, freq: str, value: str, first: tuple[float, float], second: tuple[float, float], out: str) -> DataFrame:
+    """Add ``value`` as ``out``, and below the first of the two lowest points (freq, value) the power law through both."""
+    alpha = F.log(F.lit(second[1] / first[1])) / F.log(F.lit(second[0] / first[0]))
+    return df.withColumn(out, F.when(F.col(freq) < first[0], first[1] * F.pow(F.col(freq) / first[0], alpha)).otherwise(F.col(value)))
+
+
 def common_range(targets: DataFrame, grids: DataFrame) -> DataFrame:
     """Add ``inside``: whether the target lies within every grid (grid_id, freq)."""
     ends = grids.groupBy("grid_id").agg(F.min("freq").alias("lo"), F.max("freq").alias("hi")).agg(F.max("lo").alias("_lo"), F.min("hi").alias("_hi"))

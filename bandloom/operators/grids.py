@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from math import ceil, pi, sqrt
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import asof, following, previous
+
 #: Fixed factors to SI.
 VOLT, AMPERE = {"v": 1.0, "mv": 1e-3}, {"a": 1.0, "ma": 1e-3}
 
@@ -34,11 +37,10 @@ def bilinear(points: DataFrame, grid: DataFrame, theta0: float, d_theta: float,
     a, b = x - ti, y - F.floor(y)
     inside = (F.col("theta_deg") >= theta0) & (F.col("theta_deg") <= theta0 + d_theta * (n_theta - 1))
     corners = F.array(*[F.struct((ti + i).cast("int").alias("ti"), ((pj + j) % n_phi).cast("int").alias("pi"), ((a if i else 1 - a) * (b if j else 1 - b)).alias("_w")) for i in (0, 1) for j in (0, 1)])
-    cols = points.columns
-    at = points.withColumn("_id", F.struct(*cols)).withColumn("_c", F.explode(F.when(inside, corners))).select("_id", "_c.*")
-    got = at.join(grid.select("ti", "pi", *[F.col(v).alias(f"_{v}") for v in values]), ["ti", "pi"]).groupBy("_id").agg(*[F.sum(F.col("_w") * F.col(f"_{v}")).alias(v) for v in values])
-    keyed = points.withColumn("_id", F.struct(*cols))
-    return keyed.join(got, "_id", "left").drop("_id")
+    # Points that repeat a place are looked up once.
+    at = points.select("theta_deg", "phi_deg").distinct().withColumn("_c", F.explode(F.when(inside, corners))).select("theta_deg", "phi_deg", "_c.*")
+    got = at.join(grid.select("ti", "pi", *[F.col(v).alias(f"_{v}") for v in values]), ["ti", "pi"]).groupBy("theta_deg", "phi_deg").agg(*[F.sum(F.col("_w") * F.col(f"_{v}")).alias(v) for v in values])
+    return points.join(got, ["theta_deg", "phi_deg"], "left").select(*points.columns, *values)
 
 
 def to_si_rms(value: Column, unit: str, convention: str, factors: dict[str, float] = VOLT) -> Column:
@@ -93,16 +95,17 @@ def plane(alt: Column, az: Column, linear: bool = True) -> tuple[Column, Column]
     return F.sin(az) * r, F.cos(az) * r
 
 
-def coverage(track: DataFrame, passes: DataFrame, keys: list[str], n_mu: int = 10, n_phi: int = 10) -> DataFrame:
+def coverage(track: DataFrame, passes: DataFrame, keys: list[str], n_mu: int = 10, n_phi: int = 10, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Distinct (keys, mu_bin, phi_bin) that a track (keys, t, alt, az) crosses during its passes (keys, start, end); the
-    end itself is not counted."""
-    during = track.join(passes, keys).filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
+    end itself is not counted. Passes of a key do not overlap: an as-of join finds the one a row may lie in."""
+    met = asof(track.withColumn("_at", F.col("t").cast("double")), passes.withColumn("_from", F.col("start").cast("double")), keys, ["_at"], ["_from"], {"end": "_until"}, bucket(F.col("_o0")) if bucket else None)
+    during = met.filter(F.col("_at") < F.col("_until").cast("double"))
     return during.select(*keys, F.floor(F.sin("alt") * n_mu).cast("int").alias("mu_bin"), F.floor(F.col("az") / (2 * pi) * n_phi).cast("int").alias("phi_bin")).distinct()
 
 
-def prominent_peaks(df: DataFrame, keys: list[str], t: str, value: str, prominence: float, relative: bool = True) -> DataFrame:
+def prominent_peaks(df: DataFrame, keys: list[str], t: str, value: str, prominence: float, relative: bool = True, bucket: str | None = None) -> DataFrame:
     """keys, t, value, prominence of local maxima that stand out by ``prominence``, of the series over its maximum if
-    ``relative``. One series at a time, as numpy arrays; a series is one track."""
+    ``relative``. Only turning points, whose values decide all prominences, and the ends of a series reach its task."""
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{t}` {kinds[t]}", f"`{value}` double", "prominence double"])
 
@@ -110,20 +113,30 @@ def prominent_peaks(df: DataFrame, keys: list[str], t: str, value: str, prominen
         p = p.sort_values(t)
         v = p[value].to_numpy(float)
         s = v / v.max() if relative and len(v) and v.max() > 0 else v
-        top = [i for i in range(1, len(s) - 1) if s[i] > s[i - 1] and s[i] > s[i + 1]]
-        out = []
-        for i in top:
-            higher = np.flatnonzero(s[:i] > s[i])
-            left = s[(higher[-1] if len(higher) else 0) : i + 1].min()
-            higher = np.flatnonzero(s[i + 1 :] > s[i])
-            right = s[i : (i + 2 + higher[0]) if len(higher) else len(s)].min()
-            if s[i] - max(left, right) >= prominence:
-                out.append((i, s[i] - max(left, right)))
-        q = p.iloc[[i for i, _ in out]][[*keys, t]].copy()
-        q[value], q["prominence"] = v[[i for i, _ in out]], [x for _, x in out]
+        side = np.maximum(_lowest_before(s), _lowest_before(s[::-1])[::-1])
+        top = np.zeros(len(s), bool)
+        top[1:-1] = (s[1:-1] > s[:-2]) & (s[1:-1] > s[2:])
+        out = np.flatnonzero(top & (s - side >= prominence))
+        q = p.iloc[out][[*keys, t]].copy()
+        q[value], q["prominence"] = v[out], (s - side)[out]
         return q
 
-    return df.select(*keys, t, value).groupBy(*keys).applyInPandas(run, schema)
+    near = following(previous(df.select(*keys, t, value, *([bucket] if bucket else [])), keys, [t], F.col(value), "_p", bucket), keys, [t], F.col(value), "_n", bucket)
+    v = F.col(value)
+    turns = near.filter(F.col("_p").isNull() | F.col("_n").isNull() | ((v - F.col("_p")) * (F.col("_n") - v) <= 0)).select(*keys, t, value)
+    return turns.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _lowest_before(s: np.ndarray) -> np.ndarray:
+    """Of each sample, the least value between it and the latest higher one before it (or the start)."""
+    out, stack = np.empty(len(s)), []  # falling values, each with the least value since the higher one before it
+    for i, x in enumerate(s):
+        low = x
+        while stack and stack[-1][0] <= x:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((x, low))
+    return out
 
 
 def parse_range(spec: str | tuple) -> tuple[datetime, datetime]:
@@ -149,6 +162,7 @@ def time_grid(spark: SparkSession, spec: str | tuple, step_s: float) -> DataFram
 
 def frequency_grid(spark: SparkSession, config: dict) -> DataFrame:
     """idx and freq of values; start, end, step (half-open); or start, end, n (both ends). Index-based keys are refused."""
+    # Fixed names: keys of an older layout, which are refused.
     old = {"indices", "start_idx", "stop_idx", "step_idx"} & set(config)
     keys = set(config) - {"policy"}
     if old or {"step", "n"} <= keys:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import asof, over
+from ..functions.bits import session_name
+from .order import asof, over, previous, running_max
 
 
 def first_hello(df: DataFrame, keys: list[str], order: list, is_hello: Column, take: list[str]) -> DataFrame:
@@ -33,18 +36,40 @@ def in_window(t: Column, lo: Column, hi: Column) -> Column:
     return (lo.isNull() | (t >= lo)) & (hi.isNull() | (t < hi))
 
 
-def assign_telemetry(telemetry: DataFrame, sessions: DataFrame, keys: list[str], t: str, start: str, session: str) -> DataFrame:
+def assign_telemetry(telemetry: DataFrame, sessions: DataFrame, keys: list[str], t: str, start: str, session: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add the latest session that starts at or before each row; rows before the first go to the first. A null start
-    counts as 0."""
+    counts as 0. ``bucket`` makes a column that rises with the time it is given."""
     starts = sessions.withColumn("_start", F.coalesce(start, F.lit(0.0)).cast("double"))
     first = starts.groupBy(*keys).agg(F.min_by(session, "_start").alias("_first"))
-    told = asof(telemetry.withColumn("_t", F.col(t).cast("double")), starts, keys, ["_t"], ["_start"], {session: session})
+    told = asof(telemetry.withColumn("_t", F.col(t).cast("double")), starts, keys, ["_t"], ["_start"], {session: session}, bucket(F.col("_o0")) if bucket else None)
     return told.join(first, keys, "left").withColumn(session, F.coalesce(session, "_first")).drop("_first", "_t")
 
 
-def rederive(telemetry: DataFrame, windows: DataFrame, keys: list[str], t: str) -> DataFrame:
-    """Telemetry rows inside each session's window (lo, hi): an equi join on ``keys`` with the range as a filter."""
-    return telemetry.join(windows, keys).filter(in_window(F.col(t), F.col("lo"), F.col("hi")))
+def rederive(telemetry: DataFrame, windows: DataFrame, keys: list[str], t: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Telemetry rows inside a session's window, with the window's columns. The windows (lo, hi) of a key do not overlap, so
+    the one that a row may lie in is the latest that begins before it: an as-of join, no pairs of rows and windows."""
+    begin = windows.withColumn("_begin", F.col("lo").cast("double")).withColumn("_hit", F.lit(True))
+    names = [c for c in windows.columns if c not in keys]
+    met = asof(telemetry.withColumn("_at", F.col(t).cast("double")), begin, keys, ["_at"], ["_begin"], {**{n: n for n in names}, "_hit": "_hit"}, bucket(F.col("_o0")) if bucket else None)
+    return met.filter(F.col("_hit") & (F.col("hi").isNull() | (F.col("_at") < F.col("hi").cast("double")))).drop("_at", "_hit")
+
+
+def latest_time(rows: DataFrame, spectra: DataFrame, keys: list[str], order: list[str], uid: str, t: str, out: str = "t", bucket: str | None = None) -> DataFrame:
+    """Add the time of the latest spectrum whose uid is not above the greatest uid seen so far in the rows' order; 0 before
+    the first. ``bucket`` is a column of ``rows`` that rises with their order."""
+    seen = running_max(rows, keys, order, F.col(uid), "_seen", bucket)
+    best = spectra.groupBy(*keys, uid).agg(F.max(t).alias("_t"))
+    return asof(seen, best, keys, ["_seen"], [uid], {"_t": out}).withColumn(out, F.coalesce(out, F.lit(0.0))).drop("_seen")
+
+
+def by_first_time(sessions: DataFrame, first: str, number: str) -> DataFrame:
+    """Sessions in the order of their first time; one without a time counts as 0, ties go by number."""
+    return sessions.orderBy(F.coalesce(F.col(first).cast("double"), F.lit(0.0)), number)
+
+
+def named(sessions: DataFrame, number: str, start: str, namer: Callable[[Column, Column], Column] | None = None, out: str = "name") -> DataFrame:
+    """Add each session's name: the usual one, or what ``namer`` makes of its number and start."""
+    return sessions.withColumn(out, (namer or session_name)(F.col(number), F.col(start)))
 
 
 def fingerprint_mismatches(recorded: DataFrame, current: DataFrame, tolerance_s: float = 1e-3) -> DataFrame:
@@ -60,6 +85,19 @@ def manifest(summary: DataFrame, version: int = 1) -> DataFrame:
     return summary.withColumn("manifest_schema_version", F.lit(version)).select(F.to_json(F.struct(*cols)).alias("manifest"))
 
 
+def cadence(rows: DataFrame, keys: list[str], order: list, t: str, name: str = "cadence", bucket: str | None = None) -> DataFrame:
+    """keys and the median of the differences between consecutive times; 1 where that is not positive or there is none."""
+    gaps = previous(rows, keys, order, F.col(t), "_before", bucket)
+    m = F.median(F.col(t) - F.col("_before"))
+    return gaps.groupBy(*keys).agg(F.when((m > 0) & ~F.isnan(m), m).otherwise(1.0).alias(name))
+
+
+def elapsed(rows: DataFrame, keys: list[str], t: str, name: str = "elapsed") -> DataFrame:
+    """Add the time since the first of the keys' rows."""
+    first = rows.groupBy(*keys).agg(F.min(t).alias("_first"))
+    return rows.join(first, keys).withColumn(name, F.col(t) - F.col("_first")).drop("_first")
+
+
 def source_bounds(sources: DataFrame, order: list, rows: str) -> DataFrame:
     """Add start and end of each source in the concatenation of all: a running sum over one row per source."""
     w = Window.orderBy(*order)
