@@ -26,7 +26,12 @@ def coefficient_problems(rows: DataFrame) -> DataFrame:
 
 
 def packed_coefficients(rows: DataFrame) -> DataFrame:
-    """level, channel, component, model, coefficients: the nine terms in order, absent ones 0. At most 48 rows."""
+    """level, channel, component, model, coefficients: the nine terms in order, absent ones 0; 48 rows. Unknown or repeated
+    terms and missing groups raise ValueError."""
+    bad = coefficient_problems(rows)
+    some = bad.orderBy("problem", "slot").limit(5).collect()
+    if some:
+        raise ValueError(f"{bad.count()} problems in the coefficients, such as {[tuple(r) for r in some]}")
     terms = F.array(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("value"))), F.lit(0.0)) for t in C.FEATURES])
     return rows.groupBy("level", "channel", "component", "model").agg(terms.alias("coefficients"))
 
@@ -66,7 +71,10 @@ def spectral_basis(spark: SparkSession, basis: DataFrame, grid: list[float]) ->
     eig2) has 12 keys of 16 anchors, so the spline runs on the driver."""
     at = np.asarray(grid, float)
     out = []
-    for key, rows in basis.toPandas().groupby(["level", "channel"]):
+    known = basis.limit(len(LEVELS) * 4 * ANCHORS + 1).toPandas()
+    if len(known) > len(LEVELS) * 4 * ANCHORS:
+        raise ValueError(f"a basis has at most {len(LEVELS) * 4 * ANCHORS} rows")
+    for key, rows in known.groupby(["level", "channel"]):
         rows = rows.sort_values("anchor_mhz")
         cols = [spline(rows["anchor_mhz"].to_numpy(), rows[c].to_numpy(), at) for c in ("mean", "eig1", "eig2")]
         out += [(key[0], int(key[1]), i, float(at[i]), *[None if np.isnan(c[i]) else float(c[i]) for c in cols]) for i in range(len(at))]
@@ -79,6 +87,47 @@ def gain_spectra(predicted: DataFrame, basis: DataFrame) -> DataFrame:
     return out.withColumn("gain", F.col("mean") + F.col("pc1") * F.col("eig1") + F.col("pc2") * F.col("eig2")).drop("mean", "eig1", "eig2")
 
 
+def model_table(coefficients: DataFrame, basis: DataFrame, models: tuple[str, str] = ("quadratic", "quadratic")) -> DataFrame:
+    """level, channel, c1, c2 (packed coefficients of both components) and mean, eig1, eig2 (arrays over the grid): 12 rows."""
+    pick = lambda k: F.max(F.when((F.col("component") == COMPONENTS[k]) & (F.col("model") == models[k]), F.col("coefficients")))
+    part = lambda n: F.transform("_b", lambda x: x[n]).alias(n)
+    both = coefficients.groupBy("level", "channel").agg(pick(0).alias("c1"), pick(1).alias("c2"))
+    cells = F.array_sort(F.collect_list(F.struct("freq_idx", "mean", "eig1", "eig2")))
+    return both.join(basis.groupBy("level", "channel").agg(cells.alias("_b")).select("level", "channel", *map(part, ("mean", "eig1", "eig2"))), ["level", "channel"])
+
+
+def gain_arrays(telemetry: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and gains: map of channel -> gain over the grid, null without a model; of rows (keys, codes: the four channels'
+    gain codes, and the sensors therm, adc0, adc1, v8, v12, i8). ``model`` has 12 rows, one a level and channel."""
+    rows = telemetry.select(*keys, "therm", "adc0", "adc1", "v8", "v12", "i8", F.posexplode("codes").alias("channel", "_code"))
+    rows = rows.withColumn("level", C.gain_level(F.col("_code"))).withColumn("_x", C.gain_features(*[F.col(c) for c in ("channel", "therm", "adc0", "adc1", "v8", "v12", "i8")]))
+    rows = rows.join(F.broadcast(model), ["level", "channel"], "left")
+    dot = lambda c: F.aggregate(F.zip_with("_x", c, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    rows = rows.withColumn("_p1", dot("c1")).withColumn("_p2", dot("c2"))
+    gain = F.zip_with(F.zip_with("mean", "eig1", lambda m, e: m + F.col("_p1") * e), "eig2", lambda m, e: m + F.col("_p2") * e)
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("channel", gain.alias("gain")))).alias("gains"))
+
+
+def convert_spectra(spectra: DataFrame, gains: DataFrame, products: DataFrame, keys: list[str], psd: bool = False, out: str = "physical") -> DataFrame:
+    """Add ``out`` to spectra (keys, product, data): the bins of each product with the gains (keys, gains: map of channel ->
+    gain over the same bins) of its two channels. One join on the keys; ``products`` has 16 rows."""
+    rows = spectra.join(F.broadcast(products), "product").join(gains, keys, "left")
+    auto, cross = (C.nv2_auto, C.nv2_cross) if psd else (C.nv_auto, C.nv_cross)
+    of = lambda c: F.try_element_at("gains", F.col(c))
+    one = F.zip_with("data", of("a"), lambda x, g: auto(x, g))
+    two = F.zip_with("data", F.zip_with(of("a"), of("b"), lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda x, g: cross(x, g["a"], g["b"]))
+    # A channel without a gain leaves bins without a value.
+    none = F.transform("data", lambda x: F.lit(None).cast("double"))
+    return rows.withColumn(out, F.coalesce(F.when(F.col("part") == "auto", one).otherwise(two), none)).drop("gains")
+
+
+def calibrate(spectra: DataFrame, telemetry: DataFrame, coefficients: DataFrame, basis: DataFrame, products: DataFrame, keys: list[str], models: tuple[str, str] = ("quadratic", "quadratic"), psd: bool = False) -> DataFrame:
+    """Spectra (keys, product, data) with ``physical``: from the gain codes and sensors of their rows (see ``gain_arrays``),
+    the coefficients as read, and the basis on the spectra's grid (see ``spectral_basis``)."""
+    model = model_table(packed_coefficients(coefficients), basis, models)
+    return convert_spectra(spectra, gain_arrays(telemetry, model, keys), products, keys, psd)
+
+
 def convert(rows: DataFrame, gains: DataFrame, products: DataFrame, keys: list[str], psd: bool = False) -> DataFrame:
     """Add ``physical`` to rows (keys, product, value): each product with the gains (keys, channel, gain) of its two
     channels. psd: nV^2/Hz, else nV/sqrt(Hz)."""

@@ -1,3 +1,3 @@
 """The library's registered queries; importing this package registers them."""
 
-from . import calibration, comparison, frames, frequencies, grids, matrices, sessions, streams  # noqa: F401
+from . import calibration, comparison, files, frames, frequencies, grids, matrices, sessions, streams  # noqa: F401

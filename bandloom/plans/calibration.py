@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calibrate as C
-from ..operators import gain, products
+from ..operators import gain, products, stats, telemetry
 from .registry import query, table
 
 
@@ -60,14 +60,14 @@ def waterfall(spark, sf_dir):
 @query(f"with {_BINS} select product, round(min(value), 6) lowest, round(quantile_cont(value, 0.01), 6) p01, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.99), 6) p99, round(quantile_cont(value, 0.999), 6) p999, round(max(value), 6) highest from b where bin between 8 and 23 group by 1")
 def band_quantiles(spark, sf_dir):
     rows = products.bins(spectra(spark, sf_dir), "data", ["product"], 8, 16)
-    q = F.percentile("value", F.array(*map(F.lit, (0.01, 0.5, 0.99, 0.999))))
-    got = rows.groupBy("product").agg(F.min("value").alias("lowest"), q.alias("q"), F.max("value").alias("highest"))
-    return got.select("product", *[F.round(c, 6).alias(n) for c, n in ((F.col("lowest"), "lowest"), *((F.col("q")[i], n) for i, n in enumerate(("p01", "p50", "p99", "p999"))), (F.col("highest"), "highest"))])
+    names = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "p999": 0.999}
+    got = stats.distribution(rows, ["product"], "value", names)
+    return got.select("product", *[F.round(c, 6).alias(c) for c in ("lowest", *names, "highest")])
 
 
 @query("select label mode, count(*) n from embeddings group by 1 order by n desc, mode limit 1")
 def mode_top1(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("mode")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mode").limit(1)
+    return stats.mode(table(spark, sf_dir, "embeddings"), "label")
 
 
 @query("""select l_orderkey, l_linenumber, round(case when l_discount > 0 and l_quantity >= 0 then sqrt(l_quantity / l_discount) end, 6) asd, round(case when l_discount > 0 and l_quantity >= 0 then l_quantity / l_discount end, 6) psd from lineitem""")
@@ -124,14 +124,28 @@ def gain_predict(spark, sf_dir):
     return got.select("row_id", "channel", F.round(F.col("pc1") + 1e-9, 6).alias("pc1"), F.round(F.col("pc2") + 1e-9, 6).alias("pc2"))
 
 
-@query(f"""with {_BINS}, g as (select vec_id, bin, channel, 1.0 + channel * 0.5 + bin * 0.01 + (vec_id % 7) * 0.1 gain from (select distinct vec_id, bin from b), range(4) r(channel)),
-d as (select * from (values (0,0,0,0),(1,1,1,0),(2,2,2,0),(3,3,3,0),(4,0,1,1),(5,0,1,1),(6,0,2,1),(7,0,2,1),(8,0,3,1),(9,0,3,1)) t(product, a, b, cross_)),
-j as (select b.*, d.cross_, ga.gain ga, gb.gain gb from b join d using (product) join g ga on ga.vec_id = b.vec_id and ga.bin = b.bin and ga.channel = d.a join g gb on gb.vec_id = b.vec_id and gb.bin = b.bin and gb.channel = d.b)
+#: The channels of each product, as an SQL table.
+_PAIRS = "d as (select * from (values (0,0,0,0),(1,1,1,0),(2,2,2,0),(3,3,3,0),(4,0,1,1),(5,0,1,1),(6,0,2,1),(7,0,2,1),(8,0,3,1),(9,0,3,1)) t(product, a, b, cross_))"
+
+
+@query(f"""with {_BINS}, {_PAIRS}, j as (select b.vec_id, b.bin, b.value, d.cross_, 1.0 + d.a * 0.5 + bin * 0.01 + (vec_id % 7) * 0.1 ga, 1.0 + d.b * 0.5 + bin * 0.01 + (vec_id % 7) * 0.1 gb from b join d using (product))
 select vec_id, bin::int bin, round(case when cross_ = 1 then value / sqrt(ga * gb) when value >= 0 then value / ga end, 6) physical from j""")
 def to_physical(spark, sf_dir):
-    rows = products.bins(spectra(spark, sf_dir), "data", ["vec_id", "product"])
-    gains = rows.select("vec_id", "bin").distinct().withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("gain", 1.0 + F.col("channel") * 0.5 + F.col("bin") * 0.01 + (F.col("vec_id") % 7) * 0.1)
-    got = gain.convert(rows, gains, products.product_dimension(spark), ["vec_id", "bin"], psd=True)
+    """Spectra and their rows' gains as arrays: one join."""
+    rows = spectra(spark, sf_dir)
+    of = lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1.0 + c * 0.5 + i * 0.01 + (F.col("vec_id") % 7) * 0.1)
+    gains = rows.select("vec_id", F.create_map(*[x for c in range(4) for x in (F.lit(c), of(c))]).alias("gains"))
+    got = gain.convert_spectra(rows, gains, products.product_dimension(spark), ["vec_id"], psd=True)
+    return products.bins(got, "physical", ["vec_id"]).select("vec_id", "bin", F.round("value", 6).alias("physical"))
+
+
+@query(f"""with {_BINS}, g as (select vec_id, bin, channel, 1.0 + channel * 0.5 + bin * 0.01 gain from (select distinct vec_id, bin from b), range(2) r(channel))
+select b.vec_id, b.bin::int bin, round(sign(value) * sqrt(abs(value) / sqrt((1.0 + bin * 0.01) * (1.5 + bin * 0.01))), 6) physical from b where product = 4""")
+def to_physical_long(spark, sf_dir):
+    """Bins as rows, gains as rows: for products that are kept long."""
+    rows = products.bins(spectra(spark, sf_dir).filter("product = 4"), "data", ["vec_id", "product"])
+    gains = rows.select("vec_id", "bin").withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("gain", 1.0 + F.col("channel") * 0.5 + F.col("bin") * 0.01)
+    got = gain.convert(rows, gains, products.product_dimension(spark), ["vec_id", "bin"])
     return got.select("vec_id", "bin", F.round("physical", 6).alias("physical"))
 
 
@@ -140,13 +154,49 @@ def gain_levels(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", gain.level_of(F.col("l_linenumber").cast("double")).alias("level"))
 
 
-@query()
-def gain_spectra(spark, sf_dir):
-    """Gain of each part and channel at eight frequencies; the spline has no SQL form."""
+def _basis(spark, grid):
+    """A basis that is linear in frequency, so that a cubic spline through its anchors is known in closed form."""
     import numpy as np
 
-    anchors = np.linspace(0.1, 70.1, gain.ANCHORS)
-    rows = [(v, c, float(a), 30.0 + i + c - 0.01 * float(a), float(np.sin(a / 20)), float(np.cos(a / 20))) for i, v in enumerate(gain.LEVELS) for c in range(4) for a in anchors]
-    basis = gain.spectral_basis(spark, spark.createDataFrame(rows, "level string, channel int, anchor_mhz double, mean double, eig1 double, eig2 double"), [1.0, 5.0, 10.0, 20.0, 30.0, 45.0, 60.0, 70.0])
+    rows = [(v, c, float(a), 30.0 + i + c - 0.01 * float(a), 0.1 + 0.001 * float(a), 0.05 - 0.0005 * float(a)) for i, v in enumerate(gain.LEVELS) for c in range(4) for a in np.linspace(0.1, 70.1, gain.ANCHORS)]
+    return gain.spectral_basis(spark, spark.createDataFrame(rows, "level string, channel int, anchor_mhz double, mean double, eig1 double, eig2 double"), grid)
+
+
+#: Gain of a level, channel and frequency from the features x, as SQL.
+_GAIN = "30.0 + lv + channel - 0.01 * f + list_sum(list_transform(x, lambda v, i: v * (b + (i - 1) * 0.1))) * (0.1 + 0.001 * f) + list_sum(list_transform(x, lambda v, i: v * (b + 0.5 + (i - 1) * 0.1))) * (0.05 - 0.0005 * f)"
+
+
+@query(_FEATURES + f""", t as (select *, (lv + 1) * 0.01 + channel * 0.001 b, [1.0, therm, adc, 1.8, 1.2, 0.05, therm * therm, adc * adc, therm * adc] x from f),
+q as (select * from (values (0, 1.0), (1, 5.0), (2, 10.0), (3, 20.0), (4, 30.0), (5, 45.0), (6, 60.0), (7, 70.0)) v(freq_idx, f))
+select row_id, channel::int channel, freq_idx::int freq_idx, round({_GAIN}, 5) gain from t, q""")
+def gain_spectra(spark, sf_dir):
+    """Gain of each part and channel at eight frequencies."""
     predicted = gain.predict(_telemetry(spark, sf_dir), gain.packed_coefficients(_coefficients(spark))).select("row_id", "level", "channel", "pc1", "pc2")
-    return gain.gain_spectra(predicted, basis).select("row_id", "channel", "freq_idx", F.round("gain", 6).alias("gain"))
+    return gain.gain_spectra(predicted, _basis(spark, [1.0, 5.0, 10.0, 20.0, 30.0, 45.0, 60.0, 70.0])).select("row_id", "channel", "freq_idx", F.round("gain", 5).alias("gain"))
+
+
+@query(f"""with {_BINS}, {_PAIRS}, n as (select max(p_partkey) n from part), ta as (select vec_id, greatest(1, least((vec_id * 0.37 + 1)::double, n)) t from embeddings, n),
+th as (select vec_id, lo.p_size / 10.0 + (hi.p_size / 10.0 - lo.p_size / 10.0) * (t - floor(t)) therm from ta join part lo on lo.p_partkey = floor(t)::bigint join part hi on hi.p_partkey = ceil(t)::bigint),
+r as (select vec_id, channel, (vec_id + channel) % 4 lv, therm, case when channel <= 1 then therm * 0.5 else therm * 0.25 end adc from th, range(4) c(channel)),
+u as (select *, (lv + 1) * 0.01 + channel * 0.001 b, [1.0, therm, adc, 1.8, 1.2, 0.05, therm * therm, adc * adc, therm * adc] x from r),
+g as (select vec_id, channel, bin f0, case when lv < 3 then {_GAIN.replace(" f)", " (bin + 1.0))").replace("* f +", "* (bin + 1.0) +")} end gain from u, (select unnest(range(64)) bin)),
+j as (select b.vec_id, b.bin, b.value, d.cross_, ga.gain ga, gb.gain gb from b join d using (product) join g ga on ga.vec_id = b.vec_id and ga.channel = d.a and ga.f0 = b.bin join g gb on gb.vec_id = b.vec_id and gb.channel = d.b and gb.f0 = b.bin where b.vec_id % 4 = 0)
+select vec_id, bin::int bin, round(case when cross_ = 1 then sign(value) * sqrt(abs(value) / sqrt(ga * gb)) when value >= 0 then sqrt(value / ga) end, 5) physical from j""")
+def calibrate_chain(spark, sf_dir):
+    """On-demand calibration: telemetry interpolated onto the spectra's times, gain codes to levels, features, prediction,
+    gain spectra, conversion. Every fourth spectrum is asked for; a code of 3 has no level and gives null."""
+    rows = spectra(spark, sf_dir).filter("vec_id % 4 = 0")
+    times = rows.select("vec_id", F.lit(0).alias("session"), (F.col("vec_id") * 0.37 + 1).alias("t"))
+    series = table(spark, sf_dir, "part").select(F.lit(0).alias("session"), F.col("p_partkey").cast("double").alias("t"), (F.col("p_size") / 10.0).alias("value"))
+    therm = telemetry.interpolate(times, series, ["session"], "t", "t", "value", out="therm", bucket=lambda t: F.floor(t / 1000))
+    codes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: ((F.col("vec_id") + c) % 4).cast("double"))
+    sensors = therm.select("vec_id", codes.alias("codes"), "therm", (F.col("therm") * 0.5).alias("adc0"), (F.col("therm") * 0.25).alias("adc1"), F.lit(1.8).alias("v8"), F.lit(1.2).alias("v12"), F.lit(0.05).alias("i8"))
+    got = gain.calibrate(rows, sensors, _coefficients(spark), _basis(spark, [float(i + 1) for i in range(64)]), products.product_dimension(spark), ["vec_id"])
+    return products.bins(got, "physical", ["vec_id"]).select("vec_id", "bin", F.round("value", 5).alias("physical"))
+
+
+@query("select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then 'L' when 1 then 'M' when 2 then 'H' when 3 then 'H' end level from lineitem")
+def level_spec(spark, sf_dir):
+    """Levels given as one letter a channel."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 4).alias("channel"))
+    return li.join(F.broadcast(gain.level_spec(spark, "LMHH")), "channel").select("l_orderkey", "l_linenumber", "level")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import binascii
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the downlink format.
-SYNC, PADDING, HEAD, CRC_BYTES, CRC_START, CRC_POLY = b"\xec\xa0", 0xA5, 6, 2, 0xFFFF, 0x1021
+SYNC, PADDING, HEAD, CRC_BYTES, CRC_START = b"\xec\xa0", 0xA5, 6, 2, 0xFFFF
 SCIENCE_BANKS, TELEMETRY_BANK, BANK_FILE = ("b05", "b06", "b07", "b08", "b09"), "b01", "FFFFFFFE"
 
 FRAME_SCHEMA = "stream_id string, bank string, frame_idx long, head binary, payload binary, reject string"
@@ -23,25 +23,21 @@ def read_banks(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(found[0].alias("stream_id"), found[1].alias("bank"), "content").filter(F.col("bank").isin(*SCIENCE_BANKS, TELEMETRY_BANK))
 
 
-def _crc_table() -> np.ndarray:
-    out = []
-    for byte in range(256):
-        crc = byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ CRC_POLY) & 0xFFFF if crc & 0x8000 else crc << 1 & 0xFFFF
-        out.append(crc)
-    return np.array(out, dtype=np.int64)
-
-
-_TABLE = _crc_table().tolist()
-
-
 def crc16(data: bytes) -> int:
     """CRC-16 with polynomial 1021 from FFFF, high bit first."""
-    crc = CRC_START
-    for b in data:
-        crc = (crc << 8 & 0xFFFF) ^ _TABLE[(crc >> 8) ^ b]
-    return crc
+    return binascii.crc_hqx(data, CRC_START)
+
+
+def _find_sync(stream: bytes, at: int) -> int:
+    """The place behind the next sync word, between whose bytes padding may stand; -1 if there is none."""
+    while (at := stream.find(SYNC[:1], at)) >= 0:
+        at += 1
+        rest = at
+        while rest < len(stream) and stream[rest] == PADDING:
+            rest += 1
+        if stream[rest : rest + 1] == SYNC[1:]:
+            return rest + 1
+    return -1
 
 
 def cut_frames(stream: bytes) -> Iterator[tuple[bytes, bytes, str | None]]:
@@ -50,16 +46,8 @@ def cut_frames(stream: bytes) -> Iterator[tuple[bytes, bytes, str | None]]:
     A5 bytes between frames are skipped even inside the sync word; after a bad checksum the search goes on behind the
     frame, not inside it.
     """
-    at, n, seen = 0, len(stream), b""
-    while at < n:
-        byte = stream[at : at + 1]
-        at += 1
-        if byte[0] == PADDING:
-            continue
-        seen = (seen + byte)[-2:]
-        if seen != SYNC:
-            continue
-        seen = b""
+    at = 0
+    while (at := _find_sync(stream, at)) >= 0:
         head = stream[at : at + HEAD]
         size = int.from_bytes(head[4:6], "big") + 1 if len(head) == HEAD else 0
         body = stream[at + HEAD : at + HEAD + size + CRC_BYTES]

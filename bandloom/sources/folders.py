@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir. Only a session whose tasks all run in this very process may leave it unset and gets a folder of
+    this machine, as in tests; on a cluster that is an error, since executors would not see such a folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="bandloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

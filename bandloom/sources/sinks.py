@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import packet_name
-from ..operators.products import retain, slice_violations
+from ..operators.products import exactly_sized, retain, sized, slice_violations
 from ..operators.sessions import manifest
 from .tables import ContractError
 
 LAYOUT_VERSION = 3
 #: Kinds whose rows need a finite value somewhere; the others keep every row.
 RETAINED = {"spectra": "data", "tr_spectra": "data"}
+#: Fixed layouts: the columns that each kind must have, and the order of its rows inside a session.
+LAYOUTS = {
+    "spectra": (("session_id", "orig_idx", "product", "data"), ("orig_idx", "product")), "tr_spectra": (("session_id", "orig_idx", "data"), ("orig_idx",)),
+    "zoom": (("session_id", "pfb_index", "component", "data"), ("pfb_index", "component")), "grimm": (("session_id", "unique_packet_id", "data"), ("unique_packet_id",)),
+    "waveform": (("session_id", "channel", "data"), ("channel",)), "calibrator": (("session_id", "packet", "channel", "data"), ("packet", "channel")),
+    "telemetry": (("session_id", "t", "channel", "value"), ("t", "channel")), "interpolated": (("session_id", "orig_idx", "channel", "value"), ("orig_idx", "channel")),
+    "invariants": (("session_id", "key", "value"), ("key",)), "constants": (("session_id", "key", "value"), ("key",)), "housekeeping": (("session_id", "type", "raw_seconds"), ("type", "raw_seconds")),
+}
 #: Fixed fields of each housekeeping type; other types keep the base columns.
 HOUSEKEEPING = {0: ("time",), 1: ("adc_min", "adc_max", "adc_mean", "adc_rms", "actual_gain"), 2: ("time", "ok"), 3: ("checksum", "weight_ndx")}
 HK_BASE = ("session_id", "unique_packet_id", "version", "errors", "raw_seconds")
@@ -32,6 +40,17 @@ def save(df: DataFrame, folder: str, kind: str, order: list[str] | None = None,
     dealt.write.partitionBy("session_id").parquet(f"{folder}/{kind}")
 
 
+def save_kind(df: DataFrame, folder: str, kind: str, slices: int = 1, **provenance: str) -> None:
+    """Write one kind in its own layout; a kind or column that the layout does not know or lacks is refused first."""
+    if kind not in LAYOUTS:
+        raise ContractError(f"no such kind: {kind!r}")
+    need, order = LAYOUTS[kind]
+    lacking = [c for c in need if c not in df.columns]
+    if lacking:
+        raise ContractError(f"{kind} lacks {lacking}")
+    save(df, folder, kind, list(order), slices, **provenance)
+
+
 def housekeeping_table(hk: DataFrame, type_id: int, channels: list[str] | None = None) -> DataFrame:
     """Rows (base columns, type, fields map<string,double>) of one type as columns, by time. Missing numbers are 0, missing
     channels of type 2 null."""
@@ -48,10 +67,9 @@ def telemetry_channels(hk: DataFrame, prefix: str = "telemetry") -> list[str]:
     return [r["k"] for r in keys.distinct().orderBy("k").collect()]
 
 
-def metadata_columns(df: DataFrame, flat: list[str], vectors: dict[str, int], packet: str = "meta", base: str = "base") -> DataFrame:
+def metadata_columns(df: DataFrame, flat: list[str], vectors: dict[str, int], exact: dict[str, int] | None = None, packet: str = "meta", base: str = "base") -> DataFrame:
     """Fields of the packet's struct, or of the base struct where the packet lacks them, matched without regard to case;
-    vectors are cut or padded to their width."""
-    from ..operators.products import sized
+    vectors are cut or padded to their width, those in ``exact`` must have it with finite values only."""
 
     def pick(name: str) -> Column:
         found = []
@@ -61,7 +79,7 @@ def metadata_columns(df: DataFrame, flat: list[str], vectors: dict[str, int], pa
                 found.append(F.col(f"{struct}.{names[name.lower()]}"))
         return F.coalesce(*found) if found else F.lit(None)
 
-    return df.withColumns({**{n: pick(n) for n in flat}, **{n: sized(pick(n), w) for n, w in vectors.items()}})
+    return df.withColumns({**{n: pick(n) for n in flat}, **{n: sized(pick(n), w) for n, w in vectors.items()}, **{n: exactly_sized(pick(n), w) for n, w in (exact or {}).items()}})
 
 
 def write_packets(packets: DataFrame, folder: str, keys: list[str]) -> None:

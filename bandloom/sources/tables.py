@@ -17,6 +17,10 @@ RESPONSE_ALIASES = {
     "theta_re": ("re(rx_Theta)", "rx_Theta_real", "theta_real", "re(h_Theta)"),
     "theta_im": ("im(rx_Theta)", "rx_Theta_imag", "theta_imag", "im(h_Theta)"),
 }
+#: Fixed names of the sensors in coefficient files, and what features call them.
+ADC_SENSORS = ("SPE_ADC0_T", "SPE_ADC1_T")
+SENSORS = {"1": "one", "THERM_FPGA": "therm", "SPE_1VAD8_V": "v8", "VMON_1V2D": "v12", "SPE_1VAD8_C": "i8"}
+PRODUCTS = {"therm*therm": "therm2", "adc*adc": "adc2", "adc*therm": "therm_adc", "therm*adc": "therm_adc"}
 COEFFICIENT_SCHEMA = "gain_setting string, component string, model string, term string, alpha_refit double"
 
 
@@ -50,9 +54,20 @@ def read_products(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
-    """level, channel, component, model, term, value of a coefficient CSV; gain_setting is a level and a channel, as L0."""
+    """level, channel, component, model, term, value of a coefficient CSV.
+
+    gain_setting is a level and a channel, as L0. Terms are named as in FEATURES: a converter's temperature is ``adc`` for
+    the channels that read it (the first for 0 and 1, the second for 2 and 3) and an unknown term, kept as it is, for the
+    others. Products of sensors may be written in either order.
+    """
     raw = spark.read.csv(path, header=True, schema=COEFFICIENT_SCHEMA)
-    return raw.select(F.substring("gain_setting", 1, 1).alias("level"), F.substring("gain_setting", 2, 1).cast("int").alias("channel"), "component", "model", "term", F.col("alpha_refit").alias("value"))
+    key = F.upper(F.trim("gain_setting"))
+    channel = F.when(F.length(key) == 2, F.substring(key, 2, 1).try_cast("int"))
+    term = F.trim("term")
+    own = F.when(channel <= 1, F.lit(ADC_SENSORS[0])).otherwise(F.lit(ADC_SENSORS[1]))
+    plain = F.array_join(F.transform(F.array_sort(F.split(term, r"\*")), lambda x: F.coalesce(F.when(x == own, "adc"), F.try_element_at(F.create_map(*[F.lit(v) for kv in SENSORS.items() for v in kv]), x), x)), "*")
+    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in PRODUCTS.items() for v in kv]), plain), plain)
+    return raw.select(F.substring(key, 1, 1).alias("level"), channel.alias("channel"), F.trim("component").alias("component"), F.trim("model").alias("model"), name.alias("term"), F.col("alpha_refit").alias("value"))
 
 
 def resolve_aliases(columns: list[str]) -> dict[str, str]:
