@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, sums, X'X) over rows without a null: one partial matrix per partition, then a sum of K x K values."""
+    """(rows, sums, X'X) over rows without a null (others are left out, as NaN rows are in a sample covariance): one partial matrix per partition, then a sum of K x K values."""
     k = len(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,6 +62,27 @@ def chi2_from(template: np.ndarray, data: np.ndarray, values: np.ndarray, vector
     return float((r[start:] ** 2 / values[start:]).sum())
 
 
+def mode_coefficients(rows: DataFrame, keys: list[str], vectors: DataFrame, i: str = "i", value: str = "value") -> DataFrame:
+    """keys, mode, coef: dot products of vectors given as rows (keys, i, value) with the modes (i, mode, v). The modes are a
+    K x K matrix that an eigen solve on the driver has made, so they are broadcast."""
+    return rows.join(F.broadcast(vectors), i).groupBy(*keys, "mode").agg(F.sum(F.col(value) * F.col("v")).alias("coef"))
+
+
+def template_snr(coefficients: DataFrame, keys: list[str], values: DataFrame) -> DataFrame:
+    """keys and snr = sqrt(sum of coef^2 over the modes' eigenvalues); values (mode, lam) has K rows."""
+    return coefficients.join(F.broadcast(values), "mode").groupBy(*keys).agg(F.sqrt(F.sum(F.col("coef") * F.col("coef") / F.col("lam"))).alias("snr"))
+
+
+def chi2_table(data: DataFrame, templates: DataFrame, values: DataFrame, start: int) -> DataFrame:
+    """data_id, template_id, chi2: of each datum and template (data_id or template_id, mode, coef) the squared residual over
+    the modes from ``start`` on, each over its eigenvalue. Data meet all templates in their modes; templates are a stated
+    set and are broadcast if counted to be at most 100,000 rows."""
+    t = templates.filter(F.col("mode") >= start).join(F.broadcast(values), "mode").select("mode", "template_id", F.col("coef").alias("_t"), "lam")
+    few = F.broadcast(t) if t.count() <= 100_000 else t
+    r = F.col("coef") - F.col("_t")
+    return data.filter(F.col("mode") >= start).join(few, "mode").groupBy("data_id", "template_id").agg(F.sum(r * r / F.col("lam")).alias("chi2"))
+
+
 def normal_equations(df: DataFrame, design: list[str], data: str, weight: str, prior: np.ndarray | None = None) -> np.ndarray:
     """Solution of (J' N^-1 J + S^-1) x = J' N^-1 d for rows of the design J, data d, and inverse noise variance."""
     root = F.sqrt(F.col(weight))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .products import covariance_labels
+
 #: Fixed value: Boltzmann's constant, J/K.
 K_B = 1.380649e-23
 
@@ -106,6 +108,41 @@ def load_covariance(packed: DataFrame, covariance: str, m: str, out: str = "load
     return packed.mapInPandas(run, schema)
 
 
+def product_channels(m: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the 16 real channels of a Hermitian matrix, in the covariance's order (00R, 01R, 01I, ...); absent is 0."""
+    value = lambda label: F.coalesce(F.max(F.when((F.col("a") == int(label[0])) & (F.col("b") == int(label[1])), F.col("re" if label[2] == "R" else "im"))), F.lit(0.0))
+    return m.filter("a <= b").groupBy(*keys).agg(F.array(*[value(x) for x in covariance_labels()]).alias("channels"))
+
+
+def from_product_channels(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The full Hermitian matrix (keys, a, b, re, im) of 16 real channels."""
+    labels = covariance_labels()
+    at = {x: k for k, x in enumerate(labels)}
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("channels")[at[f"{a}{b}R"]].alias("re"), (F.lit(0.0) if a == b else F.col("channels")[at[f"{a}{b}I"]]).alias("im")) for a in range(4) for b in range(a, 4)]
+    return assemble(df.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*"), keys)
+
+
+def closure(parts: list[DataFrame], whole: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the greatest |sum of the parts - whole| over the greatest |whole|, entry by entry."""
+    signed = whole.select(*keys, "a", "b", (-F.col("re")).alias("re"), (-F.col("im")).alias("im"), F.hypot("re", "im").alias("_s"))
+    for part in parts:
+        signed = signed.unionByName(part.select(*keys, "a", "b", "re", "im", F.lit(None).cast("double").alias("_s")))
+    cell = signed.groupBy(*keys, "a", "b").agg(F.hypot(F.sum("re"), F.sum("im")).alias("_d"), F.max("_s").alias("_s"))
+    return cell.groupBy(*keys).agg((F.max("_d") / F.max("_s")).alias("closure"))
+
+
+def passivity(m: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the greatest singular value of each matrix: a passive scattering matrix has none above 1."""
+    packed = pack(m, keys)
+    schema = _with(packed.drop("m"), greatest="double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p.drop(columns="m").assign(greatest=np.linalg.norm(to_complex(p["m"]), ord=2, axis=(1, 2)))
+
+    return packed.mapInPandas(run, schema)
+
+
 def matrix_quality(m: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
     """keys, reciprocity (greatest |M - M^T| over greatest |M|), least eigenvalue of the Hermitian part of Re M, pass."""
     t = m.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), F.col("re").alias("_re"), F.col("im").alias("_im"))
@@ -149,6 +186,23 @@ def stokes(re_t: Column, im_t: Column, re_p: Column, im_p: Column) -> dict[str,
     }
 
 
+def pair_stokes(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b (a <= b) and re and im of I, Q, U, V of each pair of ports, of rows (keys, port, t_re, t_im, p_re, p_im):
+    products of one port's field with the other's conjugate. For a port with itself they are its own Stokes parameters.
+    One grouping per key, whose ports are few."""
+    field = F.struct("port", "t_re", "t_im", "p_re", "p_im")
+    ports = fields.groupBy(*keys).agg(F.array_sort(F.collect_list(field)).alias("_f"))
+    one = ports.select(*keys, "_f", F.explode("_f").alias("x"))
+    both = one.select(*keys, "x", F.explode(F.filter("_f", lambda y: y["port"] >= F.col("x")["port"])).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    re = lambda p, q: x[f"{p}_re"] * y[f"{q}_re"] + x[f"{p}_im"] * y[f"{q}_im"]
+    im = lambda p, q: x[f"{p}_im"] * y[f"{q}_re"] - x[f"{p}_re"] * y[f"{q}_im"]
+    return both.select(
+        *keys, x["port"].alias("a"), y["port"].alias("b"), (re("t", "t") + re("p", "p")).alias("i_re"), (im("t", "t") + im("p", "p")).alias("i_im"), (re("t", "t") - re("p", "p")).alias("q_re"), (im("t", "t") - im("p", "p")).alias("q_im"),
+        (re("t", "p") + re("p", "t")).alias("u_re"), (im("t", "p") + im("p", "t")).alias("u_im"), (im("t", "p") - im("p", "t")).alias("v_re"), (re("p", "t") - re("t", "p")).alias("v_im"),
+    )
+
+
 def sky_fraction(grid: DataFrame, keys: list[str], power: Column, theta: str = "theta_deg", phi: str = "phi_deg", step_deg: float = 1.0) -> DataFrame:
     """Share of the sphere's integral of ``power`` over directions above the horizon, and below; the repeated last phi bin
     is left out."""

@@ -47,6 +47,15 @@ def classify(packets: DataFrame, classes: DataFrame) -> DataFrame:
     return packets.join(F.broadcast(classes), "appid", "left").filter("uid_class is null or uid_class != 'dropped'")
 
 
+def route(decoded: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products, rejects) of decoded packets (appid, error, ...): each with the kind that ``kinds`` (appid, kind) gives its
+    id; what failed to decode or has no kind is a reject with its reason. ``kinds`` has at most 2048 rows."""
+    found = decoded.join(F.broadcast(kinds), "appid", "left")
+    reason = F.when(F.col("error").isNotNull(), F.concat(F.lit("decode: "), F.col("error"))).when(F.col("kind").isNull(), F.lit("unknown appid"))
+    found = found.withColumn("reason", reason)
+    return found.filter("reason is null").drop("reason", "error"), found.filter("reason is not null").drop("kind")
+
+
 def identify(packets: DataFrame, order: list, typed_uid: Callable[[Column, Column], Column] | None = None, keys: tuple[str, ...] = ("stream_id",), bucket: str | None = None) -> DataFrame:
     """Add unique_packet_id: of prefixed packets from their first bytes, of typed ones from ``typed_uid(appid, blob)``, of
     derived ones from the latest packet before them that has one; packets without any go. ``order`` is the read order

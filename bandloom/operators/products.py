@@ -119,6 +119,18 @@ def sized(array: Column, size: int, fill=0.0) -> Column:
     return F.slice(F.concat(F.coalesce(array, F.array().cast("array<double>")).cast("array<double>"), F.array_repeat(F.lit(float(fill)), size)), 1, size)
 
 
+def exactly_sized(array: Column, size: int) -> Column:
+    """The array if it has ``size`` finite values; any other raises when the row is read."""
+    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf"))
+    return F.when(F.coalesce((F.size(array) == size) & ~F.exists(array, bad), F.lit(False)), array).otherwise(F.raise_error(F.lit(f"not {size} finite values")))
+
+
+def max_inner_shape(df: DataFrame, data: str) -> DataFrame:
+    """One row: the greatest outer and inner length of the nested arrays ``data``; 0 where there are none."""
+    inner = F.aggregate(F.coalesce(data, F.array().cast("array<array<double>>")), F.lit(0), lambda m, x: F.greatest(m, F.coalesce(F.size(x), F.lit(0))))
+    return df.agg(F.coalesce(F.max(F.size(data)), F.lit(0)).alias("outer"), F.coalesce(F.max(inner), F.lit(0)).alias("inner"))
+
+
 def common_keys(rows: DataFrame, attributes: str) -> DataFrame:
     """Keys of the map column ``attributes`` that every row has."""
     total = rows.select(F.count("*").alias("total"))

@@ -74,6 +74,40 @@ def keys_in_all(keys: DataFrame, rows: DataFrame, key: str, row: str) -> DataFra
     return keys.groupBy(key).agg(F.count_distinct(row).alias("_n")).crossJoin(F.broadcast(total)).filter("_n = _total").select(key)
 
 
+def key_union(rows: DataFrame, keys: Column, key: str = "key", without: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct names in the arrays ``keys`` of all rows, but for those in ``without``."""
+    return rows.select(F.explode(keys).alias(key)).distinct().filter(~F.col(key).isin(*without))
+
+
+def sides(a: DataFrame, b: DataFrame, name_a: str, both: str = "both") -> DataFrame:
+    """Distinct rows of both tables, and those of the first alone, with the side they are on."""
+    return a.intersect(b).withColumn("side", F.lit(both)).unionByName(a.subtract(b).withColumn("side", F.lit(name_a)))
+
+
+def mode(rows: DataFrame, column: str, name: str = "mode") -> DataFrame:
+    """One row: the commonest value and its count; ties to the least value."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(name)).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), name).limit(1)
+
+
+def distribution(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """keys, lowest, the named quantiles (exact, linear between samples), highest."""
+    q = F.percentile(value, F.array(*map(F.lit, quantiles.values())))
+    got = rows.groupBy(*keys).agg(F.min(value).alias("lowest"), q.alias("_q"), F.max(value).alias("highest"))
+    return got.select(*keys, "lowest", *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)], "highest")
+
+
+def channel_stats(rows: DataFrame, keys: list[str], values: str, channel: str = "channel") -> DataFrame:
+    """keys, channel, lo, hi, mean, rms of array values, one channel an element."""
+    each = rows.select(*keys, F.posexplode(values).alias(channel, "_x")).withColumn("_v", F.col("_x").cast("double"))
+    return each.groupBy(*keys, channel).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.avg("_v").alias("mean"), F.sqrt(F.avg(F.col("_v") * F.col("_v"))).alias("rms"))
+
+
+def mean_over(rows: DataFrame, keys: list, value: str, name: str = "mean") -> DataFrame:
+    """Mean per ``keys`` over all other axes; nulls are left out."""
+    return rows.groupBy(*keys).agg(F.avg(value).alias(name))
+
+
 def missing_required(spark: SparkSession, required: list[str], present: DataFrame, name: str) -> DataFrame:
     """Names of ``required`` that ``present`` lacks."""
     return spark.createDataFrame([(r,) for r in required], f"{name} string").join(present.select(name), name, "left_anti")
@@ -96,8 +130,10 @@ def preferred_paths(files: DataFrame, formats: list[str]) -> DataFrame:
 
 
 def content_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count and order-free checksum of the rows."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    """Count and order-free checksum of the rows: the sum of the first 48 bits of their digests, so any engine agrees."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    bits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"))
 
 
 def angular_separation(alt_a: Column, az_a: Column, alt_b: Column, az_b: Column) -> Column:

@@ -45,18 +45,18 @@ def concat_sessions(spark, sf_dir):
     return stats.concat_sources(parts)
 
 
-@query("""with c as (select r_regionkey g, n_nationkey start, case when n_nationkey % 9 = 4 then 'unknown' when n_regionkey = 1 and n_nationkey % 2 = 0 then 'tai' else 'utc' end scale, 'clock' || (n_nationkey % 2) clock from nation join region on n_regionkey = r_regionkey)
+@query("""with c as (select user_id g, event_id start, case when event_id % 49 = 4 then 'unknown' when user_id % 3 = 1 and event_id % 2 = 0 then 'tai' else 'utc' end scale, 'clock' || (event_id % 2) clock from events)
 select g, case when count(distinct scale) filter (scale != 'unknown') > 1 then 'conflict' when count(*) filter (scale = 'unknown') > 0 then 'unknown' else coalesce(max(scale) filter (scale != 'unknown'), 'unknown') end time_scale, arg_min(clock, start) clock_source, count(distinct clock) n_clock_sources from c group by g""")
 def scale_merge(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    scale = F.when(F.col("n_nationkey") % 9 == 4, "unknown").when((F.col("n_regionkey") == 1) & (F.col("n_nationkey") % 2 == 0), "tai").otherwise("utc")
-    c = n.select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("start"), scale.alias("time_scale"), F.concat(F.lit("clock"), F.col("n_nationkey") % 2).alias("clock_source"))
+    n = table(spark, sf_dir, "events")
+    scale = F.when(F.col("event_id") % 49 == 4, "unknown").when((F.col("user_id") % 3 == 1) & (F.col("event_id") % 2 == 0), "tai").otherwise("utc")
+    c = n.select(F.col("user_id").alias("g"), F.col("event_id").alias("start"), scale.alias("time_scale"), F.concat(F.lit("clock"), F.col("event_id") % 2).alias("clock_source"))
     return stats.merged_scale(c, ["g"])
 
 
 @query("select distinct json_keys.k as key from (select unnest(json_keys(props)) k from events) json_keys")
 def key_union(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key")).distinct()
+    return stats.key_union(table(spark, sf_dir, "events"), F.json_object_keys("props"))
 
 
 @query("with k as (select event_id, unnest(json_keys(props)) as key from events) select key from k group by key having count(distinct event_id) = (select count(distinct event_id) from events)")
@@ -70,7 +70,7 @@ def key_in_all(spark, sf_dir):
 def common_only(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     a, b = (e.filter(F.col("event_type") == k).select("user_id") for k in ("purchase", "error"))
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("purchase")))
+    return stats.sides(a, b, "purchase")
 
 
 @query("select w.event_type from (values ('click'), ('view'), ('heartbeat'), ('hello')) w(event_type) where w.event_type not in (select event_type from events)")
@@ -100,11 +100,12 @@ def angular_separation(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(sep, 4).alias("separation"))
 
 
-@query()
+@query("select count(*) n, sum(('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 12))::bigint)::varchar checksum from lineitem")
 def content_fingerprint(spark, sf_dir):
-    return stats.content_fingerprint(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    return stats.content_fingerprint(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query("""select l_orderkey % 10 grp, l_linenumber, round(avg(l_quantity), 6) mean_by_line from lineitem group by all""")
 def mean_over_axis(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 10).alias("grp"), "l_linenumber").agg(F.round(F.avg("l_quantity"), 6).alias("mean_by_line"))
+    got = stats.mean_over(table(spark, sf_dir, "lineitem"), [(F.col("l_orderkey") % 10).alias("grp"), "l_linenumber"], "l_quantity")
+    return got.select("grp", "l_linenumber", F.round("mean", 6).alias("mean_by_line"))

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..operators import order, sessions
+from ..operators import order, packets, sessions
 from ..sources import banks
 from .registry import query, table
 
 
 @query("""with g as (select *, coalesce(sum(case when role = 'assistant' then 1 else 0 end) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) pkt from conversations)
-select conv_id, pkt::bigint pkt_no, string_agg(text, '|' order by turn) blob, min(turn) start_turn, max(turn) end_turn from g group by conv_id, pkt having bool_or(role = 'assistant')""")
+select conv_id::varchar stream_id, pkt::bigint pkt_no, string_agg(text, '' order by turn) blob, arg_min(turn % 16384, turn)::int start_seq, arg_max(turn % 16384, turn)::int seq, min(turn)::bigint pkt_idx, count(*) = 1 single_packet from g group by conv_id, pkt having bool_or(role = 'assistant')""")
 def reassemble(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    """Conversations as streams of frames: an answer ends a packet, one without a question is a packet of its own."""
+    t = table(spark, sf_dir, "conversations")
     closes = F.col("role") == "assistant"
-    rows = order.group_until(turns, ["conv_id"], ["turn"], closes, "pkt_no")
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    got = rows.groupBy("conv_id", "pkt_no").agg(parts.alias("p"), F.min("turn").alias("start_turn"), F.max("turn").alias("end_turn"), F.bool_or(closes).alias("closed")).filter("closed")
-    return got.select("conv_id", "pkt_no", F.array_join(F.transform("p", lambda x: x["text"]), "|").alias("blob"), "start_turn", "end_turn")
+    rows = order.previous(t, ["conv_id"], ["turn"], F.col("role"), "_was")
+    flags = F.when(~closes, 0).when(F.coalesce(F.col("_was") == "assistant", F.lit(True)), packets.SINGLE).otherwise(packets.LAST)
+    frames = rows.select(F.col("conv_id").cast("string").alias("stream_id"), F.lit(banks.TELEMETRY_BANK).alias("bank"), F.col("turn").cast("long").alias("frame_idx"), F.lit(0x314).alias("appid"), flags.alias("groupflags"), (F.col("turn") % 16384).cast("int").alias("sequence_cnt"), F.col("text").cast("binary").alias("payload"))
+    got, _ = packets.reassemble(frames)
+    return got.select("stream_id", "pkt_no", F.col("blob").cast("string").alias("blob"), "start_seq", "seq", "pkt_idx", "single_packet")
 
 
 @query("""select l_orderkey, l_linenumber, ((w0 >> 13) & 7)::int version, ((w0 >> 12) & 1)::int packet_type, ((w0 >> 11) & 1)::int secheaderflag, (w0 & 2047)::int appid, ((w1 >> 14) & 3)::int groupflags, (w1 & 16383)::int sequence_cnt, w2::int packetlen
@@ -80,9 +82,9 @@ def warnings_by_session(spark, sf_dir):
     return got.select("user_id", "n_warnings", F.array_join("warnings", ";").alias("warnings"))
 
 
-@query()
+@query("""select user_id || '-' || (event_id // 4096) stream_id, case when event_id % 50 = 0 then 'crc' else 'good' end kind, count(*) n, sum(length(props))::bigint bytes from events group by all""")
 def bank_frames(spark, sf_dir):
-    """Events framed as bank streams, one per user and type, and cut again: frames and rejects per stream."""
+    """Events framed as bank files, each a bounded part of a user's, and cut again: frames and rejects per file."""
     import pandas as pd
 
     def stream(rows: pd.DataFrame) -> pd.DataFrame:
@@ -93,8 +95,30 @@ def bank_frames(spark, sf_dir):
             head = (0x209).to_bytes(2, "big") + (flags << 14 | k % 16384).to_bytes(2, "big") + (len(body) - 1).to_bytes(2, "big")
             crc = banks.crc16(head + body) ^ (1 if r.event_id % 50 == 0 else 0)
             out += b"\xa5" * (k % 3) + banks.SYNC + head + body + crc.to_bytes(2, "big")
-        return pd.DataFrame({"stream_id": [str(rows["user_id"].iat[0])], "bank": ["b05"], "content": [bytes(out)]})
-
-    made = table(spark, sf_dir, "events").select("user_id", "event_id", "props").groupBy("user_id").applyInPandas(stream, "stream_id string, bank string, content binary")
-    cut = banks.frames(made)
-    return cut.groupBy("stream_id", F.coalesce("reject", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
+        return pd.DataFrame({"stream_id": [f"{rows['user_id'].iat[0]}-{rows['part'].iat[0]}"], "bank": ["b05"], "content": [bytes(out)]})
+
+    part = F.floor(F.col("event_id") / 4096).alias("part")
+    made = table(spark, sf_dir, "events").select("user_id", part, "event_id", "props").groupBy("user_id", "part").applyInPandas(stream, "stream_id string, bank string, content binary")
+    return banks.frames(made).groupBy("stream_id", F.coalesce("reject", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
+
+
+@query("""select event_id, event_type, value from events where event_type not in ('error', 'signup') union all select event_id, case when event_type = 'error' then 'decode: broken' else 'unknown appid' end, value from events where event_type in ('error', 'signup')""")
+def route_products(spark, sf_dir):
+    """Decoded packets to their kinds; those that failed or have no kind to the rejects, with the reason."""
+    e = table(spark, sf_dir, "events")
+    ids = {"view": 1, "click": 2, "purchase": 3, "error": 1, "signup": 9}
+    appid = F.element_at(F.create_map(*[F.lit(x) for kv in ids.items() for x in kv]), F.col("event_type"))
+    decoded = e.select("event_id", "value", appid.alias("appid"), F.when(F.col("event_type") == "error", "broken").alias("error"))
+    good, bad = packets.route(decoded, spark.createDataFrame([(1, "view"), (2, "click"), (3, "purchase")], "appid int, kind string"))
+    return good.select("event_id", F.col("kind").alias("event_type"), "value").unionByName(bad.select("event_id", F.col("reason").alias("event_type"), "value"))
+
+
+@query("""with p as (select user_id, event_id, value, event_type from events where event_type != 'error') select event_id, row_number() over (order by user_id, event_type, event_id) - 1 place from p""")
+def packet_order(spark, sf_dir):
+    """Packets by uid, sequence and order of reading: the order is checked by numbering the sorted rows of each uid."""
+    e = table(spark, sf_dir, "events").filter("event_type != 'error'").select(F.col("user_id").alias("unique_packet_id"), F.col("event_type").alias("seq"), "event_id")
+    before = e.groupBy("unique_packet_id").count()
+    base = order.running_sum(before.withColumn("_b", F.floor(F.col("unique_packet_id") / 100)).withColumn("_k", F.lit(0)), ["_k"], ["unique_packet_id"], F.col("count"), "base", "_b", order.BEFORE).select("unique_packet_id", "base")
+    in_order = packets.canonical_order(e, "event_id")
+    placed = order.running_sum(in_order, ["unique_packet_id"], ["seq", "event_id"], F.lit(1), "place", frame=order.BEFORE).join(base, "unique_packet_id")
+    return placed.select("event_id", (F.col("place") + F.col("base")).cast("long").alias("place"))

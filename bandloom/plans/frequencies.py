@@ -15,21 +15,30 @@ def _targets(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_size").distinct().select(F.col("p_size").alias("idx"), f.alias("freq"))
 
 
+def _part_targets(spark, sf_dir):
+    """The same, for every part."""
+    f = F.col("p_size") + F.when(F.col("p_size") % 3 == 0, 0.25).when(F.col("p_size") % 5 == 0, 5e-7).otherwise(0.0)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), f.alias("freq"))
+
+
 _TARGETS = "t as (select p_size target_idx, p_size + case when p_size % 3 = 0 then 0.25 when p_size % 5 = 0 then 5e-7 else 0 end f from (select distinct p_size from part)), s as (select i idx, 2.0 + i * 0.5 freq from range(90) r(i))"
 
 
-@query(f"""with {_TARGETS}, n as (select target_idx, f, (select max(idx) from s where freq <= f) lo, (select min(idx) from s where freq >= f) hi from t),
+_PARTS = _TARGETS.replace("p_size target_idx", "p_partkey target_idx").replace("(select distinct p_size from part)", "part")
+
+
+@query(f"""with {_PARTS}, n as (select target_idx, f, (select max(idx) from s where freq <= f) lo, (select min(idx) from s where freq >= f) hi from t),
 m as (select *, 2.0 + lo * 0.5 lf, 2.0 + hi * 0.5 hf from n), k as (select *, case when f - lf <= 1e-6 + 1e-9 * lf and (hf is null or not hf - f <= 1e-6 + 1e-9 * hf or f - lf <= hf - f) then lo when hf - f <= 1e-6 + 1e-9 * hf then hi end snap from m)
 select target_idx, coalesce(snap, lo)::int lo_idx, coalesce(snap, hi)::int hi_idx, round(case when snap is not null then 0 else (f - lf) / (hf - lf) end, 6)::double alpha from k where snap is not null or (lo is not null and hi is not null)""")
 def freq_align(spark, sf_dir):
-    got = freq.plan(_targets(spark, sf_dir), freq.grid(spark, 2.0, 0.5, 90), policy="linear").filter("problem is null")
+    got = freq.plan(_part_targets(spark, sf_dir), freq.grid(spark, 2.0, 0.5, 90), policy="linear").filter("problem is null")
     return got.select("target_idx", "lo_idx", "hi_idx", F.round("alpha", 6).alias("alpha"))
 
 
-@query(f"""with {_TARGETS}, n as (select target_idx, f, (select max(idx) from s where freq <= f + 1e-6) lo, (select min(idx) from s where freq >= f - 1e-6) hi from t)
+@query(f"""with {_PARTS}, n as (select target_idx, f, (select max(idx) from s where freq <= f + 1e-6) lo, (select min(idx) from s where freq >= f - 1e-6) hi from t)
 select target_idx, case when lo is null or hi is null then 'range' else 'grid' end problem from n where lo is distinct from hi""")
 def freq_problems(spark, sf_dir):
-    got = freq.plan(_targets(spark, sf_dir), freq.grid(spark, 2.0, 0.5, 90), policy="exact")
+    got = freq.plan(_part_targets(spark, sf_dir), freq.grid(spark, 2.0, 0.5, 90), policy="exact")
     return got.filter("problem is not null").select("target_idx", "problem")
 
 
@@ -88,3 +97,12 @@ def smoothed(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("idx", "value"))
     got = freq.smooth(rows, ["vec_id"], "idx", "value", 1.0, 64)
     return got.select("vec_id", "idx", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query(f"""with {_TARGETS}, p as (select target_idx, floor((f - 2.0) / 0.5)::int lo, (f - 2.0) / 0.5 - floor((f - 2.0) / 0.5) alpha from t where f between 2.0 and 33.5),
+q as (select lo idx from p union select lo + 1 from p where alpha >= 1e-5) select idx::int idx, count(*) n from q join (select generate_subscripts(embedding, 1) - 1 idx from embeddings) using (idx) group by 1""")
+def used_bins(spark, sf_dir):
+    """The bins that a plan reads, with how many values they hold."""
+    aligned = freq.plan(_targets(spark, sf_dir), freq.grid(spark, 2.0, 0.5, 64), policy="linear").filter("problem is null")
+    values = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("idx", "value"))
+    return values.join(F.broadcast(freq.used_sources(aligned)), "idx").groupBy("idx").agg(F.count("*").alias("n"))

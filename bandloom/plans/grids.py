@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grids, order
+from ..operators import freq, grids, matrices, order, stats
 from ..sources import sinks, tables
 from .registry import query, table
 
@@ -37,7 +37,11 @@ def track_coverage(spark, sf_dir):
     return grids.coverage(e, order.passes(e, ["user_id"], "t", F.col("alt") > 0), ["user_id"])
 
 
-@query()
+@query("""with e as (select user_id, event_id, value v, max(value) over (partition by user_id) top from events), w as (select *, lag(v) over o p, lead(v) over o n from e window o as (partition by user_id order by event_id)),
+p as (select user_id, event_id, v, top from w where v > p and v > n),
+l as (select p.user_id, p.event_id, p.v, p.top, max(x.event_id) filter (x.v > p.v and x.event_id < p.event_id) lb, min(x.event_id) filter (x.v > p.v and x.event_id > p.event_id) rb from p join e x using (user_id) group by all),
+m as (select l.user_id, l.event_id, l.v, l.top, min(x.v) filter (x.event_id <= l.event_id and x.event_id >= coalesce(lb, -1)) le, min(x.v) filter (x.event_id >= l.event_id and x.event_id <= coalesce(rb, 1000000000)) ri from l join e x using (user_id) group by all)
+select user_id, event_id, round((v - greatest(le, ri)) / top, 6) prominence from m where (v - greatest(le, ri)) / top >= 0.01""")
 def prominent_peaks(spark, sf_dir):
     """Peaks of each user's values that stand out by a hundredth of their maximum."""
     got = grids.prominent_peaks(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 0.01)
@@ -93,5 +97,36 @@ def housekeeping(spark, sf_dir):
 
 @query("""with a as (select vec_id, generate_subscripts(embedding, 1) - 1 ch, unnest(embedding)::double v, label from embeddings) select label, ch::int ch, round(min(v), 6) lo, round(max(v), 6) hi, round(avg(v), 6) mean, round(sqrt(avg(v * v)), 6) rms from a group by all""")
 def adc_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("ch", "x")).withColumn("v", F.col("x").cast("double"))
-    return rows.groupBy("label", "ch").agg(*[F.round(c, 6).alias(n) for n, c in (("lo", F.min("v")), ("hi", F.max("v")), ("mean", F.avg("v")), ("rms", F.sqrt(F.avg(F.col("v") * F.col("v")))))])
+    got = stats.channel_stats(table(spark, sf_dir, "embeddings"), ["label"], "embedding", "ch")
+    return got.select("label", "ch", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "mean", "rms")])
+
+
+@query("""with p as (select p_partkey, p_size * 1.0 x, p_retailprice % 40 y from part), c as (select i * 2.0 x, (i % 7) * 0.01 - 0.02 y from range(26) r(i)),
+m as (select p_partkey, 16.4 + (x - 20.0) * (14.0 / 10.0) z from p)
+select p_partkey, round(case when z < 0 or z > 50 then 0 else (a.y + (b.y - a.y) * (z - a.x) / 2.0) * 2 end, 9) + 0.0 signal from m left join c a on a.x = least(floor(z / 2.0) * 2, 48) left join c b on b.x = a.x + 2""")
+def rescaled_signal(spark, sf_dir):
+    """A tabulated trough moved to 20 MHz, made narrower and twice as deep."""
+    curve = spark.range(26).select((F.col("id") * 2.0).alias("x"), ((F.col("id") % 7) * 0.01 - 0.02).alias("y"))
+    got = freq.rescaled_curve(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 1.0).alias("x")), curve, "x", place=20.0, width=10.0, depth=0.08)
+    return got.select("p_partkey", (F.round("signal", 9) + 0.0).alias("signal"))
+
+
+@query("select p_partkey, round(case when p_size < 10 then 3.0 * pow(p_size / 10.0, ln(1.5 / 3.0) / ln(20.0 / 10.0)) else p_retailprice end, 6) z from part")
+def power_law_extension(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return freq.power_law_below(p, "p_size", "p_retailprice", (10.0, 3.0), (20.0, 1.5), "z").select("p_partkey", F.round("z", 6).alias("z"))
+
+
+@query("select p_partkey, round(1 - pow(atan((radians(p_size * 3.6) - pi() / 2) / 0.2) / pi() + 0.5, 2), 6) taper, round(exp(-(pow(p_size - 25, 2) + pow(p_retailprice % 50 - 20, 2)) / (2 * 100.0)), 9) beam, round(4 * 1.380649e-23 * p_retailprice * pow(p_size / 50.0, 2) * 1e21, 6) v2 from part")
+def beam_shapes(spark, sf_dir):
+    """Horizon taper, Gaussian beam, and temperature to squared voltage."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size").cast("double")
+    return p.select("p_partkey", F.round(matrices.horizon_taper(F.radians(size * 3.6), 0.2), 6).alias("taper"), F.round(matrices.gaussian_beam(size, F.col("p_retailprice") % 50, 25.0, 20.0, 10.0), 9).alias("beam"), F.round(grids.temperature_to_v2(F.col("p_retailprice"), size / 50.0) * 1e21, 6).alias("v2"))
+
+
+@query("""with g as (select p_partkey % 3 freq, p_partkey % 4 port, (p_partkey * 30 % 360) * 1.0 phi, p_retailprice v from part) select freq, ((phi - 90 * port + 360) % 360)::double phi_deg, round(avg(v), 6) v from g group by all""")
+def four_ports(spark, sf_dir):
+    """Mean over four ports, each turned back by its quarter turns."""
+    k = F.col("p_partkey")
+    g = table(spark, sf_dir, "part").select((k % 3).alias("freq"), (k % 4).alias("port"), (k * 30 % 360).cast("double").alias("phi_deg"), F.col("p_retailprice").alias("v"))
+    return matrices.c4_mean(g, ["freq"], ["v"]).select("freq", "phi_deg", F.round("v", 6).alias("v"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import linear, matrices
 from .registry import query, table
 
-#: Entries of 4x4 matrices by bucket: means of line items, so the work grows with the table.
-_M = """m as (select (l_orderkey % 50)::int k, ((l_orderkey // 50) % 4)::int a, ((l_partkey) % 4)::int b, avg(l_quantity) / 10 re, avg(l_discount) im from lineitem group by all)"""
+#: Entries of 4x4 matrices by block of orders: means of line items; there are the more matrices the larger the table.
+_M = """m as (select (l_orderkey // 400)::int k, ((l_orderkey // 50) % 4)::int a, ((l_partkey) % 4)::int b, avg(l_quantity) / 10 re, avg(l_discount) im from lineitem group by all)"""
 
 
 def _entries(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    key = [(F.col("l_orderkey") % 50).cast("int").alias("k"), (F.floor(F.col("l_orderkey") / 50) % 4).cast("int").alias("a"), (F.col("l_partkey") % 4).cast("int").alias("b")]
+    key = [F.floor(F.col("l_orderkey") / 400).cast("int").alias("k"), (F.floor(F.col("l_orderkey") / 50) % 4).cast("int").alias("a"), (F.col("l_partkey") % 4).cast("int").alias("b")]
     return li.groupBy(*key).agg((F.avg("l_quantity") / 10).alias("re"), F.avg("l_discount").alias("im"))
 
 
@@ -142,6 +142,94 @@ def receiver_loading(spark, sf_dir):
     return matrices.unpack(got, ["k"], "loaded").select("k", "a", "b", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
+@query(f"with {_M}, c as (select 4 * 1.380649e-23 * re r, a, b, k, re, im from m) select k, a, b, round((1.380649e-23 * re + 4 * 1.380649e-23 * 100 * (re + 1) + 4 * 1.380649e-23 * 30 * im) * 1e21, 6) re, round((1.380649e-23 * im + 4 * 1.380649e-23 * 100 * im) * 1e21, 6) im from m")
+def open_covariance(spark, sf_dir):
+    """Sky, ground and loss parts of an open-circuit covariance."""
+    m = _entries(spark, sf_dir).withColumnRenamed("k", "freq_idx")
+    moon, loss = m.withColumn("re", F.col("re") + 1), m.select("freq_idx", "a", "b", F.col("im").alias("re"), F.lit(0.0).alias("im"))
+    got = matrices.open_covariance(m.withColumn("time_idx", F.lit(0)), moon, loss, 100.0, 30.0)
+    return got.select(F.col("freq_idx").alias("k"), "a", "b", F.round(F.col("re") * 1e21, 6).alias("re"), F.round(F.col("im") * 1e21, 6).alias("im"))
+
+
+#: Matrices of single orders: as many as there are orders.
+_O = "o as (select o_orderkey k, a::int a, b::int b, (o_totalprice::double % (7 + a * 4 + b)) / 10 re, case when a = b then 0 else (o_totalprice::double % (5 + a + b * 3)) / 10 end im from orders, range(4) x(a), range(4) y(b))"
+
+
+def _orders(spark, sf_dir):
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col("o_totalprice") % (7 + a * 4 + b) / 10).alias("re"), ((F.col("o_totalprice") % (5 + a + b * 3) / 10) if a != b else F.lit(0.0)).alias("im")) for a in range(4) for b in range(4)]))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), cells.alias("c")).select("k", "c.*")
+
+
+@query(f"with {_O} select k, a, b, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from o where a <= b union all select k, b, a, round(re, 6) + 0.0, round(-im, 6) + 0.0 from o where a < b")
+def covariance_channels(spark, sf_dir):
+    """The upper half of each matrix as 16 real channels, and the full matrix again from these."""
+    packed = matrices.product_channels(_orders(spark, sf_dir), ["k"])
+    return matrices.from_product_channels(packed, ["k"]).select("k", "a", "b", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+
+
+@query(f"""with {_O}, f as (select k, a port, re t_re, im t_im, lead(re) over w p_re, lead(im) over w p_im, b from o window w as (partition by k, a order by b)), g as (select * from f where b = 0)
+select x.k, x.port a, y.port b, round(x.t_re * y.t_re + x.t_im * y.t_im + x.p_re * y.p_re + x.p_im * y.p_im, 7) i_re, round((x.t_im * y.p_re - x.t_re * y.p_im) - (x.p_im * y.t_re - x.p_re * y.t_im), 7) + 0.0 v_re from g x join g y on x.k = y.k and x.port <= y.port""")
+def pair_stokes(spark, sf_dir):
+    """Stokes parameters of pairs of ports."""
+    m = _orders(spark, sf_dir)
+    at = lambda b, c: F.max(F.when(F.col("b") == b, F.col(c)))
+    fields = m.filter("b < 2").groupBy("k", F.col("a").alias("port")).agg(at(0, "re").alias("t_re"), at(0, "im").alias("t_im"), at(1, "re").alias("p_re"), at(1, "im").alias("p_im"))
+    got = matrices.pair_stokes(fields, ["k"])
+    return got.select("k", "a", "b", F.round("i_re", 7).alias("i_re"), (F.round("v_re", 7) + 0.0).alias("v_re"))
+
+
+@query(f"with {_O} select k, round(max(sqrt(re * re + im * im)) * 0.1 / max(sqrt(re * re + im * im)), 6) closure from o group by k")
+def matrix_closure(spark, sf_dir):
+    """Two parts that make up nine tenths of each matrix."""
+    m = _orders(spark, sf_dir)
+    part = lambda f: m.withColumn("re", F.col("re") * f).withColumn("im", F.col("im") * f)
+    return matrices.closure([part(0.4), part(0.5)], m, ["k"]).select("k", F.round("closure", 6).alias("closure"))
+
+
+@query(f"with {_O} select k, round(sqrt(max(re * re + im * im)), 6) greatest from o where a = b group by k")
+def matrix_passivity(spark, sf_dir):
+    """The greatest singular value of the matrices' diagonals."""
+    got = matrices.passivity(matrices.diagonal(_orders(spark, sf_dir)), ["k"])
+    return got.select("k", F.round("greatest", 6).alias("greatest"))
+
+
+@query(f"with {_ALM}, c as (select f, l, sum((re * re + im * im) * case when m > 0 then 2 else 1 end) / (2 * l + 1) c_l from a group by f, l) select a.f, a.l::int l, a.m::int m, round(case when c_l > 0 then 1 / c_l else 0 end, 5) prior from a join c on a.f = c.f and a.l = c.l where a.f % 5 = 0")
+def prior_per_mode(spark, sf_dir):
+    a = _alm(spark, sf_dir).filter("f % 5 = 0")
+    return linear.inverse_prior(a, ["f"]).select("f", "l", "m", F.round("prior", 5).alias("prior"))
+
+
+_MODES = """e as (select vec_id, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::double x from embeddings), v as (select i, mode, ((i * mode) % 5 - 2) / 8.0 v from range(64) a(i), range(6) b(mode)),
+c as (select vec_id, mode, sum(x * v) coef from e join v using (i) group by all), t as (select t, mode, sum(((i + t) % 3) / 10.0 * v) coef from v, range(3) z(t) group by all)"""
+
+
+def _modes(spark):
+    grid = spark.range(64).select(F.col("id").cast("int").alias("i")).withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return grid.withColumn("v", ((F.col("i") * F.col("mode")) % 5 - 2) / 8.0), spark.range(6).select(F.col("id").cast("int").alias("mode"), (F.col("id") + 1.0).alias("lam"))
+
+
+@query(f"with {_MODES} select c.vec_id data_id, t.t template_id, round(sum(pow(c.coef - t.coef, 2) / (mode + 1)), 6) chi2 from c join t using (mode) where mode >= 2 group by all")
+def template_chi2(spark, sf_dir):
+    """Squared residual of every spectrum and template over the modes from the third on."""
+    modes, values = _modes(spark)
+    data = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("data_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "value"))
+    templates = spark.range(3).select(F.col("id").alias("template_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).withColumn("value", ((F.col("i") + F.col("template_id")) % 3) / 10.0)
+    got = linear.chi2_table(linear.mode_coefficients(data, ["data_id"], modes), linear.mode_coefficients(templates, ["template_id"], modes), values, 2)
+    return got.select("data_id", "template_id", F.round("chi2", 6).alias("chi2"))
+
+
+@query(f"with {_MODES} select vec_id, round(sqrt(sum(coef * coef / (mode + 1))), 6) snr from c group by 1")
+def signal_snr(spark, sf_dir):
+    modes, values = _modes(spark)
+    data = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "value"))
+    return linear.template_snr(linear.mode_coefficients(data, ["vec_id"], modes), ["vec_id"], values).select("vec_id", F.round("snr", 6).alias("snr"))
+
+
+@query(f"with {_M} select x.k, round(max(sqrt((x.re - y.re) ** 2 + (x.im - y.im) ** 2)) / max(sqrt(x.re ** 2 + x.im ** 2)), 6) reciprocity from m x join m y on x.k = y.k and x.a = y.b and x.b = y.a group by 1")
+def matrix_reciprocity(spark, sf_dir):
+    return matrices.matrix_quality(_entries(spark, sf_dir), ["k"]).select("k", F.round("reciprocity", 6).alias("reciprocity"))
+
+
 @query()
 def matrix_quality(spark, sf_dir):
     got = matrices.matrix_quality(_entries(spark, sf_dir), ["k"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import order, sessions, telemetry
+from ..operators import order, products, sessions, telemetry
 from .registry import query, table
 
 ORDER = ["ts", "event_id"]
@@ -132,17 +132,15 @@ def session_summary(spark, sf_dir):
 
 @query(_SPLIT + f"select event_id, round({_T} - first_value({_T}) over (partition by user_id, session_no order by ts, event_id), 6) elapsed, row_number() over (partition by user_id, session_no order by ts, event_id) - 1 orig_idx from s")
 def elapsed(spark, sf_dir):
-    w = order.over(["user_id", "session_no"], ORDER)
-    return seconds(split(spark, sf_dir)).select("event_id", F.round(F.col("t") - F.first("t").over(w), 6).alias("elapsed"), (F.row_number().over(w) - 1).cast("long").alias("orig_idx"))
+    rows = products.number_rows(seconds(split(spark, sf_dir)), ["user_id", "session_no"], ORDER)
+    return sessions.elapsed(rows, ["user_id", "session_no"], "t").select("event_id", F.round("elapsed", 6).alias("elapsed"), "orig_idx")
 
 
 @query(f"""with d as (select user_id, {_T} - lag({_T}) over (partition by user_id order by ts, event_id) d from events)
 select user_id, round(case when median(d) > 0 then median(d) else 1.0 end, 6) cadence from d group by 1""")
 def cadence_median(spark, sf_dir):
-    w = order.over(["user_id"], ORDER)
-    gaps = seconds(events(spark, sf_dir)).withColumn("d", F.col("t") - F.lag("t").over(w))
-    m = F.median("d")
-    return gaps.groupBy("user_id").agg(F.round(F.when(m > 0, m).otherwise(1.0), 6).alias("cadence"))
+    e = seconds(events(spark, sf_dir)).withColumn("part", F.floor(F.col("t") / 86400))
+    return sessions.cadence(e, ["user_id"], ORDER, "t", bucket="part").select("user_id", F.round("cadence", 6).alias("cadence"))
 
 
 @query("""with n as (select event_type source, count(*) n from events group by 1) select source, n, coalesce(sum(n) over (order by source rows between unbounded preceding and 1 preceding), 0)::bigint start,
@@ -183,3 +181,37 @@ def nearest_event(spark, sf_dir):
     e = seconds(events(spark, sf_dir))
     got = order.nearest(e.filter("event_type = 'click'").select("user_id", "event_id", "t"), e.filter("event_type = 'purchase'").select("user_id", F.col("t").alias("pt")), ["user_id"], "t", "pt")
     return got.select("user_id", "event_id", "match", F.round("delta", 6).alias("delta"))
+
+
+@query(f"""with z as (select user_id, event_id, max((event_id * 37) % 1000) over (partition by user_id order by event_id) m from events where event_type = 'click'),
+s as (select user_id, (event_id * 37) % 1000 uid, max({_T}) t from events where event_type = 'view' group by all)
+select z.user_id, event_id, round(coalesce(s.t, 0), 6) zoom_t from z asof left join s on z.user_id = s.user_id and z.m >= s.uid""")
+def zoom_times(spark, sf_dir):
+    """Zoom rows take the time of the latest spectrum by uid; uids may jump back, so the greatest seen so far counts."""
+    e = seconds(events(spark, sf_dir)).withColumn("uid", F.col("event_id") * 37 % 1000).withColumn("part", F.floor(F.col("event_id") / 1000))
+    rows, views = (e.filter(F.col("event_type") == k) for k in ("click", "view"))
+    got = sessions.latest_time(rows.select("user_id", "event_id", "uid", "part"), views.select("user_id", "uid", "t"), ["user_id"], ["event_id"], "uid", "t", "zoom_t", "part")
+    return got.select("user_id", "event_id", F.round("zoom_t", 6).alias("zoom_t"))
+
+
+@query(f"with f as (select user_id, min({_T}) filter (event_type = 'view') t from events group by 1) select user_id, 's' || user_id || '-' || coalesce(floor(t)::bigint::varchar, 'none') name from f")
+def session_namer(spark, sf_dir):
+    """Sessions in the order of their first time, with names of the caller's own making."""
+    e = seconds(events(spark, sf_dir))
+    first = e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "view", F.col("t"))).alias("t"))
+    own = lambda n, t: F.concat(F.lit("s"), n.cast("string"), F.lit("-"), F.coalesce(F.floor(t).cast("string"), F.lit("none")))
+    return sessions.named(sessions.by_first_time(first, "t", "user_id"), "user_id", "t", own).select("user_id", "name")
+
+
+@query("with s as (select user_id, event_type, list(value) v from events group by all) select max(n)::int as outer, max(i)::int as inner from (select user_id, count(*) n, max(len(v)) i from s group by 1)")
+def largest_shape(spark, sf_dir):
+    """Greatest outer and inner length of ragged arrays: a user's values by type."""
+    lists = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.collect_list("value").alias("v")).groupBy("user_id").agg(F.collect_list("v").alias("data"))
+    return products.max_inner_shape(lists, "data")
+
+
+@query("select user_id, event_type, round(avg(value), 6) v from events where event_type in ('click', 'view') group by all")
+def wide_channels(spark, sf_dir):
+    """Dynamic channels as columns and back."""
+    wide = products.widen(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", ["click", "view"])
+    return wide.unpivot("user_id", ["click", "view"], "event_type", "v").filter("v is not null").select("user_id", "event_type", F.round("v", 6).alias("v"))

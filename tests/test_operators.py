@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import bits
 from bandloom.functions import calibrate as C
-from bandloom.operators import freq, gain, linear, matrices, order, packets, products, sessions, stats, telemetry
-from bandloom.sources import banks
+from bandloom.operators import freq, gain, grids, linear, matrices, order, packets, products, sessions, stats, telemetry
+from bandloom.sources import banks, tables
 from bandloom.streaming import streams
 
 
@@ -229,3 +229,130 @@ def test_linear_like_numpy(spark):
 def test_smoothing_keeps_a_constant(spark):
     df = spark.createDataFrame([("a", i, 2.0) for i in range(20)], "k string, i int, v double")
     assert np.allclose([r.v for r in freq.smooth(df, ["k"], "i", "v", 1.5, 20).collect()], 2.0)
+
+
+def test_coefficient_file_of_the_real_layout(spark, tmp_path):
+    """Terms go by the sensor that a channel reads; a gain follows from them, and problems are refused."""
+    rows = ["gain_setting,component,model,term,alpha_refit"]
+    for v in "LMH":
+        for c in range(4):
+            adc = "SPE_ADC0_T" if c <= 1 else "SPE_ADC1_T"
+            for p in ("PC1", "PC2"):
+                rows += [f"{v}{c},{p},linear,1,0.5", f"{v}{c},{p},linear,{adc},2.0", f"{v}{c},{p},quadratic,1,1.0", f"{v}{c},{p},quadratic,THERM_FPGA*{adc},0.25", f"{v}{c},{p},quadratic,{adc}*{adc},0.125"]
+    (tmp_path / "a.csv").write_text("\n".join(rows))
+    got = tables.read_coefficients(spark, str(tmp_path / "a.csv"))
+    packed = gain.packed_coefficients(got)
+    assert packed.count() == 48
+    tel = spark.createDataFrame([("H", c, 30.0, 20.0, 10.0) for c in range(4)], "level string, channel int, therm double, adc0 double, adc1 double")
+    tel = tel.withColumn("features", C.gain_features(F.col("channel"), F.col("therm"), F.col("adc0"), F.col("adc1"), F.lit(1.8), F.lit(1.2), F.lit(0.05)))
+    quad = {r.channel: r.pc1 for r in gain.predict(tel, packed).collect()}
+    line = {r.channel: r.pc1 for r in gain.predict(tel, packed, ("linear", "linear")).collect()}
+    assert quad == {c: 1.0 + 0.25 * 30 * a + 0.125 * a * a for c, a in ((0, 20.0), (1, 20.0), (2, 10.0), (3, 10.0))} and line == {0: 40.5, 1: 40.5, 2: 20.5, 3: 20.5}
+    for bad in ("L0,PC1,linear,SPE_ADC1_T,1.0", "L0,PC1,linear,1,0.7", "X0,PC1,linear,1,0.7", "L0,PC3,linear,1,1"):
+        (tmp_path / "b.csv").write_text("\n".join([*rows, bad]))
+        with pytest.raises(ValueError):
+            gain.packed_coefficients(tables.read_coefficients(spark, str(tmp_path / "b.csv")))
+    (tmp_path / "c.csv").write_text("\n".join(r for r in rows if not r.startswith("M2,PC2,linear")))
+    with pytest.raises(ValueError):
+        gain.packed_coefficients(tables.read_coefficients(spark, str(tmp_path / "c.csv")))
+
+
+def test_bilinear_with_repeated_points(spark):
+    grid = spark.createDataFrame([(t, p, float(t + p)) for t in range(4) for p in range(8)], "ti int, pi int, v double")
+    points = spark.createDataFrame([(1, 15.0, 45.0), (2, 15.0, 45.0), (2, 15.0, 45.0), (3, 30.0, 359.0), (4, 99.0, 0.0)], "i int, theta_deg double, phi_deg double")
+    got = sorted((r.i, r.v) for r in grids.bilinear(points, grid, 0.0, 10.0, 4, 45.0, ["v"]).collect() if r.v is not None)
+    y = 359 / 45 - 7
+    assert np.allclose([v for _, v in got], [2.5, 2.5, 2.5, 3 + (1 - y) * 7 + y * 0]) and [i for i, _ in got] == [1, 2, 2, 3]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_around_and_bracket_agree(spark, monkeypatch, many):
+    """Curves by cells like windows over all rows: ends, exact hits, uneven steps, keys without points."""
+    if many:
+        monkeypatch.setattr(order, "CURVE_POINTS", 0)
+    rng = np.random.default_rng(5)
+    curve = [(k, float(x), float(rng.normal())) for k in "ab" for x in np.unique(np.round(rng.exponential(3, 40), 2))] + [("c", 1.0, 7.0)]
+    asked = [(k, float(x)) for k in "abcd" for x in [*np.round(rng.uniform(-1, 20, 60), 2), curve[3][1], curve[0][1], 1.0]]
+    left, right = spark.createDataFrame(asked, "k string, x double"), spark.createDataFrame(curve, "k string, p double, v double")
+    cols = ("k", "x", "t0", "v0", "t1", "v1")
+    want = sorted(map(tuple, order.bracket(left, right, ["k"], "x", "p", "v").select(*cols).collect()), key=str)
+    cut = sorted(map(tuple, order.bracket(left, right, ["k"], "x", "p", "v", bucket=lambda t: F.floor(t / 2)).select(*cols).collect()), key=str)
+    got = sorted(map(tuple, order.around(left, right, "x", ["k"], "p", "v").select(*cols).collect()), key=str)
+    assert got == want == cut
+    plain = {x: [p for k, p, _ in curve if k == "a"] for _, x in asked}
+    assert all(t0 == max((p for p in plain[x] if p <= x), default=None) and t1 == min((p for p in plain[x] if p >= x), default=None) for k, x, t0, _, t1, _ in got if k == "a")
+
+
+def test_buckets_of_runs_and_neighbours(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), i, i // 9, rng.randint(-3, 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, bucket int, v int")
+    for f in (
+        lambda b: order.islands(df, ["k"], ["t"], F.col("v") > 0, b), lambda b: order.passes(df, ["k"], "t", F.col("v") > 0, b), lambda b: order.local_maxima(df, ["k"], "t", "v", b),
+        lambda b: order.running_max(df, ["k"], ["t"], F.col("v"), "m", b), lambda b: order.following(df, ["k"], ["t"], F.col("v"), "n", b), lambda b: grids.prominent_peaks(df.withColumn("v", F.col("v").cast("double")), ["k"], "t", "v", 0.1, bucket=b),
+    ):
+        plain, cut = (sorted((tuple(sorted(r.asDict().items(), key=str)) for r in f(b).collect()), key=str) for b in (None, "bucket"))
+        assert plain == cut and plain
+
+
+def test_prominence_like_its_definition(spark):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.uniform(0, 1, 400), 2)
+    got = {r.t: r.prominence for r in grids.prominent_peaks(spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "k string, t int, v double"), ["k"], "t", "v", 0.05, relative=False).collect()}
+    want = {}
+    for i in range(1, len(v) - 1):
+        if v[i] > v[i - 1] and v[i] > v[i + 1]:
+            a = max((j for j in range(i) if v[j] > v[i]), default=0)
+            b = min((j for j in range(i + 1, len(v)) if v[j] > v[i]), default=len(v) - 1)
+            p = v[i] - max(v[a : i + 1].min(), v[i : b + 1].min())
+            if p >= 0.05:
+                want[i] = p
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_rederive_and_coverage_take_one_window(spark):
+    w = spark.createDataFrame([("a", 0, None, 10.0), ("a", 1, 10.0, 20.0), ("a", 2, 25.0, None), ("b", 0, 5.0, 6.0)], "k string, n int, lo double, hi double")
+    t = spark.createDataFrame([(k, x) for k in "abc" for x in (-1.0, 5.0, 10.0, 19.9, 20.0, 24.0, 25.0, 99.0)], "k string, t double")
+    for bucket in (None, lambda c: F.floor(c / 7)):
+        got = {(r.k, r.t): r.n for r in sessions.rederive(t, w, ["k"], "t", bucket).collect()}
+        assert got == {("a", -1.0): 0, ("a", 5.0): 0, ("a", 10.0): 1, ("a", 19.9): 1, ("a", 25.0): 2, ("a", 99.0): 2, ("b", 5.0): 0}
+
+
+def test_uids_that_jump_back(spark):
+    z = spark.createDataFrame([("s", i, u) for i, u in enumerate([1, 7, 3, 12, 5])], "k string, i int, uid int")
+    s = spark.createDataFrame([("s", 2, 20.0), ("s", 6, 60.0), ("s", 10, 100.0)], "k string, uid int, t double")
+    got = [r.when for r in sessions.latest_time(z, s, ["k"], ["i"], "uid", "t", "when").orderBy("i").collect()]
+    assert got == [0.0, 60.0, 60.0, 100.0, 100.0]
+
+
+def test_exact_widths_and_shapes(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>")
+    assert df.limit(1).select(products.exactly_sized(F.col("v"), 2)).first()[0] == [1.0, 2.0]
+    with pytest.raises(Exception, match="not 2 finite values"):
+        df.select(products.exactly_sized(F.col("v"), 2)).collect()
+    nested = spark.createDataFrame([([[1.0], [2.0, 3.0, 4.0]],), ([],), (None,)], "d array<array<double>>")
+    assert tuple(products.max_inner_shape(nested, "d").first()) == (2, 3)
+
+
+def test_sync_word_with_padding():
+    stream = b"\xec" + b"\xa5" * 1000 + b"\xa0" + frame(5, 3, 3, b"cdef")[2:] + b"\xec\xec\xec" + frame(6, 3, 4, b"z")
+    assert [p for _, p, r in banks.cut_frames(stream) if r is None] == [b"cdef", b"z"]
+
+
+def test_folder_is_never_machine_local_on_a_cluster():
+    from bandloom.sources.folders import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())

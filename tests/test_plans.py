@@ -55,8 +55,10 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
 
 def test_windows_are_partitioned(spark, sf):
-    for name in ("session_split", "session_split_bucketed", "uid_carry", "telemetry_lerp", "islands"):
-        assert "SinglePartition" not in plan_of(registry.QUERIES[name](spark, sf)), name
+    # Curves and grids are broadcast; what has an order is cut by key.
+    for name in ("curve_lookup", "freq_align", "telemetry_rederived", "track_coverage", "prominent_peaks", "telemetry_asof", "zoom_times", "session_split", "session_split_bucketed", "uid_carry", "telemetry_lerp", "islands"):
+        plan = plan_of(registry.QUERIES[name](spark, sf))
+        assert "SinglePartition" not in plan.split("BroadcastExchange")[0], name
 
 
 def test_dimensions_are_broadcast(spark, sf):
