@@ -3,6 +3,9 @@ sources to target weights, and pack what is left into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+Every stage works on any ``docs``: null ids, texts and sources, empty and very long texts, ties, repeated rows, an empty
+table, and further columns, whatever their names, have the result that its operator's docstring states.
 """
 
 from __future__ import annotations
