@@ -57,6 +57,28 @@ def divide(re: Column, im: Column, dre: Column, dim: Column) -> tuple[Column, Co
     return ok(re * dre + im * dim), ok(im * dre - re * dim)
 
 
+def per_current(fields: DataFrame, currents: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Fields (keys, <v>_re, <v>_im) over the normalisation currents (keys, i_re, i_im) of their frequency and port, both in
+    SI RMS; a current of 0 raises. Currents are one row a frequency and port: counted, they are broadcast up to 100,000."""
+    if not currents.filter((F.col("i_re") == 0) & (F.col("i_im") == 0)).isEmpty():
+        raise ValueError("a normalisation current is 0")
+    met = fields.join(F.broadcast(currents) if currents.count() <= 100_000 else currents, keys)
+    parts = {v: divide(F.col(f"{v}_re"), F.col(f"{v}_im"), F.col("i_re"), F.col("i_im")) for v in values}
+    return met.withColumns({f"{v}_{n}": c for v, both in parts.items() for n, c in zip(("re", "im"), both, strict=True)}).drop("i_re", "i_im")
+
+
+#: Speed of light in m/s, impedance of the vacuum in ohm.
+LIGHT, VACUUM = 299792458.0, 376.730313668
+
+
+def effective_length(re: Column, im: Column, freq_mhz: Column, unit: str = "v/a") -> tuple[Column, Column]:
+    """Metres from a far field times distance per current (V/A or mV/A): times -4 pi / (j k Z0)."""
+    if unit.lower() not in ("v/a", "mv/a"):
+        raise ValueError(f"not a field per current: {unit!r}")
+    scale = (1.0 if unit.lower() == "v/a" else 1e-3) * 4 * pi / ((2 * pi * freq_mhz * 1e6 / LIGHT) * VACUUM)
+    return -im * scale, re * scale
+
+
 def spherical_parts(ex: Column, ey: Column, ez: Column, theta: Column, phi: Column) -> tuple[Column, Column]:
     """Theta and phi components of a Cartesian field."""
     ct, st, cp, sp = F.cos(theta), F.sin(theta), F.cos(phi), F.sin(phi)

@@ -130,3 +130,17 @@ def four_ports(spark, sf_dir):
     k = F.col("p_partkey")
     g = table(spark, sf_dir, "part").select((k % 3).alias("freq"), (k % 4).alias("port"), (k * 30 % 360).cast("double").alias("phi_deg"), F.col("p_retailprice").alias("v"))
     return matrices.c4_mean(g, ["freq"], ["v"]).select("freq", "phi_deg", F.round("v", 6).alias("v"))
+
+
+@query("""with f as (select l_orderkey, l_linenumber, l_suppkey % 4 port, l_quantity freq, l_extendedprice * 1e-3 / sqrt(2.0) re, l_tax * 1e-3 / sqrt(2.0) im from lineitem), c as (select *, (1.0 + port) ir, 0.5 ii from f),
+q as (select *, (re * ir + im * ii) / (ir * ir + ii * ii) qr, (im * ir - re * ii) / (ir * ir + ii * ii) qi, 4 * pi() / ((2 * pi() * freq * 1e6 / 299792458.0::double) * 376.730313668::double) s from c)
+select l_orderkey, l_linenumber, round(-qi * s, 6) + 0.0 h_re, round(qr * s, 6) + 0.0 h_im from q""")
+def effective_lengths(spark, sf_dir):
+    """Far fields in millivolts, peak, to effective lengths by their port's current."""
+    li = table(spark, sf_dir, "lineitem")
+    rms = lambda c: grids.to_si_rms(F.col(c), "mV", "peak")
+    fields = li.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 4).alias("port"), F.col("l_quantity").alias("freq"), rms("l_extendedprice").alias("e_re"), rms("l_tax").alias("e_im"))
+    currents = spark.range(4).select(F.col("id").alias("port"), (F.col("id") + 1.0).alias("i_re"), F.lit(0.5).alias("i_im"))
+    got = grids.per_current(fields, currents, ["port"], ["e"])
+    h_re, h_im = grids.effective_length(F.col("e_re"), F.col("e_im"), F.col("freq"))
+    return got.select("l_orderkey", "l_linenumber", (F.round(h_re, 6) + 0.0).alias("h_re"), (F.round(h_im, 6) + 0.0).alias("h_im"))
