@@ -15,13 +15,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable, in_batches
+from .shared import durable, give_back, in_batches
 from .words import slices
 
 CAPACITY, END = 1024, 2
@@ -47,8 +46,8 @@ class Encoder:
     texts are encoded as they are. A test holds the ids against those that the tokenizer gives for whole texts.
     """
 
-    #: Words that go into one call's text, and words that are kept.
-    WORDS, KEPT = 4096, 1 << 18
+    #: Words that go into one text, texts that go into one call, and words that are kept.
+    WORDS, TEXTS, KEPT = 1024, 16, 1 << 18
     #: A word whose first and last characters are no white space, and one that ends at a mark (RE2).
     PLAIN = r"(?s)^[\pL\pN!-~](?:.*[\pL\pN!-~])?$"
     MARKED = r"(?s)^(?P<stem>.*?[\pL\pN])(?P<tail>[.,;:!?].*)$"
@@ -67,7 +66,11 @@ class Encoder:
         self.known, self.ids, self.size = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text, a few texts at a time: an encoding holds far more than ids."""
+        out = []
+        for k in range(0, len(texts), self.TEXTS):
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[k : k + self.TEXTS], add_special_tokens=False)]
+        return out
 
     def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of plain words, each after a space, and of each how many."""
@@ -147,6 +150,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int, with_id
     encode = encoder(name)
     for batch in batches:
         for part in slices(batch, limit=ENCODED_BYTES):
+            give_back()
             rows: list[tuple] = []
             for doc_id, tokens in zip(part.column("doc_id").to_pylist(), encode(part.column("text").fill_null("")), strict=True):
                 ids = np.append(tokens, np.array([END], "<u4"))
@@ -266,33 +270,30 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return improve(best_fit(lengths, capacity), lengths, capacity)
 
 
-def _pack_group(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    frame = frame.sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    lengths = frame["length"].to_numpy()
-    seq, offset, fill = (np.zeros(len(frame), np.int64) for _ in range(3))
-    for b in pack(lengths, capacity):
-        first = int(frame["uid"].iat[b[0]])
-        total = int(lengths[b].sum())
-        at = 0
-        for i in b:
-            seq[i], offset[i], fill[i] = first, at, total
-            at += int(lengths[i])
-    return pd.DataFrame({"uid": frame["uid"], "length": lengths, "bin": seq, "offset": offset, "fill": fill})
+def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
+    uid, length = (table.column(c).to_numpy() for c in ("uid", "length"))
+    order = np.lexsort((uid, -length))
+    uid, length = uid[order], length[order]
+    seq, offset, fill = (np.zeros(len(uid), np.int64) for _ in range(3))
+    for b in pack(length, capacity):
+        seq[b], fill[b] = uid[b[0]], length[b].sum()
+        offset[b] = np.cumsum(length[b]) - length[b]
+    return pa.table({"uid": uid, "length": length, "bin": seq, "offset": offset, "fill": fill})
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(uid, bin, offset) for ``pieces`` (uid, length), each shorter than ``capacity``. A bin bears the uid of one of its
     pieces."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _pack_group(frame, capacity)
+    def run(table: pa.Table) -> pa.Table:
+        return _pack_group(table, capacity)
 
     done: list[DataFrame] = []
     left, count, last = pieces, pieces.count(), None
     while count:
         groups = -(-count // GROUP)
         dealt = left.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(len(done))), F.lit(groups)).alias("group"))
-        packed = durable(dealt.groupBy("group").applyInPandas(run, "uid long, length long, bin long, offset long, fill long"))
+        packed = durable(dealt.groupBy("group").applyInArrow(run, "uid long, length long, bin long, offset long, fill long"))
         if groups == 1 or count == last:
             done.append(packed)
             break

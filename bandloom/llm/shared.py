@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,19 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.lru_cache(maxsize=1)
+def _system() -> Callable[[int], int] | None:
+    """Arrow on the system's allocator in this process, and the call that gives free memory back, where there is one."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine: what one batch of texts needed must not stay with each Python worker."""
+    if (trim := _system()) is not None:
+        trim(0)
+
+
 def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` on batches of about BATCH_BYTES: what a task holds of its rows outside Spark's own memory. The
     session keeps this limit unless it had a lower one."""
@@ -36,7 +52,13 @@ def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     had = conf.get(name, None)
     if had is None or not had.rstrip("bB").lstrip("-").isdigit() or not 0 < int(had.rstrip("bB")) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            give_back()
+
+    return df.mapInArrow(lambda batches: run(lean(batches)), schema)
 
 
 def forget(df: DataFrame) -> None:
