@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, near_vectors, packing, pii, quality, sharding, substrings, topk, toxicity
+from . import alignment, credentials, minhash, mixing, near_vectors, negatives, packing, pii, quality, sharding, substrings, topk, toxicity
 from .shared import documents, embeddings, labels
 
 
@@ -48,7 +49,21 @@ def op10_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(documents(spark, sf_dir), n=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_counting, op2_subword_softmax, op3_golden_schedule, op4_pivot_table, op5_zstd_dictionaries, op6_swap_search, op7_information_theoretic, op8_fast_similarity, op9_hash_tree, op10_level_doubling)}
+def op11_multipart_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.secret_spans(documents(spark, sf_dir))
+
+
+def op12_identity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(documents(spark, sf_dir), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+def op13_slot_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, sevenths = embeddings(spark, sf_dir), F.col("vec_id") % 7 == 0
+    moved = e.withColumn("label", F.when(sevenths, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, every=100, positives=5, k=10, low=30, high=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_collision_counting, op2_subword_softmax, op3_golden_schedule, op4_pivot_table, op5_zstd_dictionaries, op6_swap_search, op7_information_theoretic, op8_fast_similarity, op9_hash_tree, op10_level_doubling, op11_multipart_linking, op12_identity_map, op13_slot_selection)}
 #: Components of ``links`` (a, b) over ``nodes`` (id): the smallest id that each reaches.
 _COMPONENTS = """
 edges as (select a, b from links union select b, a from links),
@@ -85,4 +100,10 @@ word as (select doc_id, unnest(w) x, generate_subscripts(w, 1) j from d),
 seen as (select word.*, max(hit.i) over (partition by word.doc_id order by j rows between 34 preceding and current row) is not null gone from word left join hit on hit.doc_id = word.doc_id and hit.i = j),
 kept as (select doc_id, count(*) filter (gone) n_removed, string_agg(x, ' ' order by j) filter (not gone) t from seen group by doc_id)
 select d.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)""",
+    "op13_slot_selection": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double)::bigint for x in embedding] v from embeddings where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select q.vec_id anchor_id, q.label = c.label as same, c.vec_id, list_inner_product([x::double for x in q.v], [x::double for x in c.v])::bigint score from v q join v c on q.vec_id != c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id negative_id, s.score negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
 }
