@@ -99,7 +99,7 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST
     docs = sizes.join(about, sizes["source"].eqNullSafe(about["source"])).drop(about["source"])
     docs = docs.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id"))
     docs = docs.withColumn("bucket", spread(F.col("h"), max(1, rows // BUCKET_ROWS)))
-    laid = running(docs, ["source_no"], "bucket", ["h", "doc_id", "row_id"], F.col("size"), "at").drop("bucket", "h")
+    laid = running(docs, ["source_no"], "bucket", ["h", "doc_id", "size", "row_id"], F.col("size"), "at").drop("bucket", "h")
     drawn = durable(schedule(targets, slots, n_sources))
     # A slot never exceeds ``block`` words, so a source needs so many.
     due = targets.withColumn("total", F.round("target").cast("long")).filter("total > 0").join(drawn.groupBy("source_no").agg(F.count("*").alias("n_drawn")), "source_no", "left")
@@ -143,39 +143,55 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> Data
     return mix(sizes_of(docs), weights)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
-def scheduled_blocks(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """The mix itself: the columns of ``docs``, and _mix_slot, _mix_place (order inside a slot), _mix_start, _mix_length.
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it no column of ``docs``; case does not tell names apart."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    A row is the words that one slot takes of one document; its text is the document's where it takes all of it, else these
-    words with one space between them. n_chars, if there, is counted anew for such parts.
-    """
-    columns = docs.columns
-    numbered = durable(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
-    sizes = durable(numbered.select(F.col("_mix_row").alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size")))
+
+def _taken_parts(docs: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """row (the columns of ``docs``, the text being what the slot takes), slot, place, start, length."""
+    # The user's columns travel in one, so no name of theirs can meet one of ours.
+    numbered = durable(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")))
+    sizes = durable(numbered.select("row_id", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count(F.col("row.text")).alias("size")))
     blocks = mix(sizes, weights)[1]
     part = F.struct(F.col("slot"), F.struct("pass", "at").alias("place"), F.col("start"), F.col("length"))
-    parts = blocks.groupBy(F.col("row_id").alias("_mix_row")).agg(F.collect_list(part).alias("_mix_parts"))
-    rows = numbered.join(parts, "_mix_row")
+    parts = blocks.groupBy("row_id").agg(F.collect_list(part).alias("parts"))
     # A generator keeps the words from being found again for each part.
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    rows = rows.withColumn("_mix_words", F.explode(F.array(words)))
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
+    rows = numbered.join(parts, "row_id").withColumn("words", F.explode(F.array(words)))
     cut = lambda p: F.struct(
         p["slot"].alias("slot"), p["place"].alias("place"), p["start"].alias("start"), p["length"].alias("length"),
-        F.when(p["length"] < F.size("_mix_words"), F.array_join(F.slice("_mix_words", (p["start"] + 1).cast("int"), p["length"].cast("int")), " ")).alias("text"),
+        F.when(p["length"] < F.size("words"), F.array_join(F.slice("words", (p["start"] + 1).cast("int"), p["length"].cast("int")), " ")).alias("text"),
     )
-    rows = rows.withColumn("_mix", F.explode(F.transform("_mix_parts", cut)))
-    new = F.col("_mix")["text"]
-    out = rows.withColumn("text", F.coalesce(new, "text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns, *[F.col("_mix")[c].alias(f"_mix_{c}") for c in ("slot", "place", "start", "length")])
+    rows = rows.withColumn("part", F.explode(F.transform("parts", cut)))
+    new, row = F.col("part")["text"], F.col("row")
+    put = {"text": F.coalesce(new, row["text"])}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(new.isNotNull(), F.length(new)).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    made = F.struct(*[put.get(c, row[c]).alias(c) for c in docs.columns])
+    return rows.select(made.alias("row"), *[F.col("part")[c].alias(c) for c in ("slot", "place", "start", "length")])
+
+
+def scheduled_blocks(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The mix itself: the columns of ``docs``, and _mix_slot, _mix_place (order inside a slot), _mix_start, _mix_length, with
+    further underscores behind such a name if ``docs`` has it.
+
+    A row is the words that one slot takes of one document; its text is the document's where it takes all of it, else these
+    words with one space between them. n_chars, if there, is counted anew for such parts.
+    """
+    own = {c: _free(docs, f"_mix_{c}") for c in ("slot", "place", "start", "length")}
+    return _taken_parts(docs, weights).select("row.*", *[F.col(c).alias(n) for c, n in own.items()])
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """The blocks of ``scheduled_blocks`` as rows of ``docs``, in the order of their slots.
 
     Documents that no slot takes are left out, so those without words are; null ids and sources stay; repeated rows are
-    documents of their own; a long text is taken block by block; other columns are kept; an empty table gives no rows.
+    documents of their own; a long text is taken block by block; other columns are kept, whatever their names; an empty table
+    gives no rows.
     """
-    rows = scheduled_blocks(docs, weights)
-    return rows.repartitionByRange("_mix_slot").sortWithinPartitions("_mix_slot", "_mix_place").select(*docs.columns)
+    rows = _taken_parts(docs, weights)
+    return rows.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("row.*")

@@ -4,7 +4,7 @@ Documents become pieces of at most ``capacity`` tokens. Full pieces fill sequenc
 hash into groups of bounded size; each group is packed best fit, longest first, then improved: documents move, or are
 exchanged one for one or two for one, between underfull bins whenever that increases the sum of squared fills, until
 nothing helps; bins that empty disappear. What still lies in bins that are not full is dealt again, into fewer groups,
-until one group is left, so groups cost no half-empty bins.
+until one group is left or a round fills no bin.
 """
 
 from __future__ import annotations

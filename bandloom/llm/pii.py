@@ -257,20 +257,22 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = merged.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("cuts"))
     # Texts without a span need no shuffle; where the keys of the others are few, they tell the texts apart.
     found = durable(found)
-    columns, hashed = docs.columns, docs.withColumn("_pii_th", F.xxhash64("text"))
+    # The user's columns travel in one, so no name of theirs can meet one of ours.
+    hashed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("th"))
     few = found.count() <= BROADCAST_KEYS
-    keys = F.broadcast(found.select(F.col("th").alias("_pii_key")).distinct())
-    hit = hashed.join(keys, F.col("_pii_th") == F.col("_pii_key"), "left_semi") if few else hashed
-    right = found.select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_key"), F.col("cuts").alias("_pii_cuts"))
-    out = hit.join(right, F.col("_pii_th").eqNullSafe(F.col("_pii_key")) & F.col("doc_id").eqNullSafe(F.col("_pii_id")), "left")
-    text, cuts = F.col("text"), F.col("_pii_cuts")
+    keys = F.broadcast(found.select("th").distinct())
+    hit = hashed.join(keys, "th", "left_semi") if few else hashed
+    right = found.select(F.col("doc_id").alias("id"), F.col("th").alias("key"), "cuts")
+    out = hit.join(right, F.col("th").eqNullSafe(F.col("key")) & F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    row, text, cuts = F.col("row"), F.col("row.text"), F.col("cuts")
     # Pieces of equal length make the part between two places cost what it holds, wherever in the text it lies.
-    out = out.withColumn("_pii_pieces", F.explode(F.array(F.when(cuts.isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))))
+    out = out.withColumn("pieces", F.explode(F.array(F.when(cuts.isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))))
     ends = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("put"))), cuts)
     stops = F.concat(F.transform(cuts, lambda x: x["start"]), F.array(F.length(text).cast("long")))
-    parts = F.zip_with(ends, stops, lambda x, stop: F.concat(x["put"], _between(F.col("_pii_pieces"), x["end"], stop)))
-    out = out.withColumn("text", F.when(cuts.isNotNull(), F.array_join(parts, "")).otherwise(text))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(cuts.isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    out = out.select(*columns)
-    return out.unionByName(hashed.join(keys, F.col("_pii_th") == F.col("_pii_key"), "left_anti").select(*columns)) if few else out
+    parts = F.zip_with(ends, stops, lambda x, stop: F.concat(x["put"], _between(F.col("pieces"), x["end"], stop)))
+    out = out.select("row", "cuts", F.when(cuts.isNotNull(), F.array_join(parts, "")).otherwise(text).alias("new"))
+    put = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(cuts.isNotNull(), F.length("new")).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    out = out.select(*[put.get(c, row[c]).alias(c) for c in docs.columns])
+    return out.unionByName(hashed.join(keys, "th", "left_anti").select("row.*")) if few else out

@@ -495,3 +495,49 @@ def test_empty_tables(spark):
     for f in (minhash.near_duplicates, minhash.drop_near_duplicates, substrings.remove_repeated, pii.personal_data, pii.sanitise, mixing.mix_documents, mixing.mixed_documents, packing.pack_documents, sharding.shard_documents):
         assert f(none).count() == 0, f.__name__
     assert toxicity.score_toxicity(none, labels).count() == 0 and quality.score_quality(none, labels).count() == 0
+
+
+NAMES = ["_th", "th", "row", "whole", "key", "_pii_cuts", "_pii_th", "cuts", "_mix_row", "_mix_words", "_mix_slot", "words", "part", "slot", "new", "id", "node", "gone", "pieces", "place", "kept"]
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    """Every name that an operator uses, or used, inside, as a column of the user's."""
+    from pyspark.sql import functions as F
+
+    docs = corpus.frame(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in NAMES])
+    for stage in (minhash.drop_near_duplicates, pii.sanitise, mixing.mixed_documents, mixing.scheduled_blocks):
+        out = stage(docs)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.collect()
+        assert len(rows) > 30 and all(r[n] == (None if r.doc_id is None else f"{n} of {r.doc_id}") for r in rows for n in NAMES)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_duplicates_of_repeated_ids(spark, turned):
+    """One doc_id with different texts: each text is a document, and no link of either is lost."""
+    rng = random.Random(8)
+    a, b, c = (corpus.words(rng, 90) for _ in range(3))
+    near = lambda w, k: [*w[:k], "changed", *w[k + 1 :]]
+    texts = [(1, a), (1, b), (2, near(a, 40)), (3, near(b, 50)), (4, c), (0, near(c, 10)), (4, a), (5, near(near(b, 50), 20)), (6, corpus.words(rng, 50)), (6, corpus.words(rng, 50))]
+    data = [(i, " ".join(w), "en", "s", 1, "r", "c", "u", "z") for i, w in texts]
+    docs = corpus.frame(spark, data[::-1] if turned else data)
+    sets = {k: shingles(" ".join(w), 4) for k, (_, w) in enumerate(texts)}
+    want = collections.Counter()
+    smallest = components_of(sets)
+    groups = collections.defaultdict(list)
+    for k, root in smallest.items():
+        groups[root].append(texts[k][0])
+    for k, (i, _) in enumerate(texts):
+        want[(i, min(groups[smallest[k]]))] += 1
+    assert collections.Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, k=4).collect()) == want
+    kept = minhash.drop_near_duplicates(docs, k=4).collect()
+    of_text = {" ".join(w): smallest[k] for k, (_, w) in enumerate(texts)}
+    assert sorted(of_text[r.text] for r in kept) == sorted(groups)
+    assert all(r.doc_id == min(groups[of_text[r.text]]) for r in kept)
+
+
+def test_the_mix_of_repeated_ids_is_the_same_in_any_order(spark):
+    rng = random.Random(3)
+    data = [(7 if k % 2 else k, " ".join(corpus.words(rng, rng.randint(1, 60))), "en", f"s{k % 3}", 1, "r", "c", "u", "z") for k in range(118)]
+    got = [collections.Counter(map(tuple, mixing.mix_documents(corpus.frame(spark, rows).repartition(n)).collect())) for rows, n in ((data, 3), (data[::-1], 5))]
+    assert got[0] == got[1]
