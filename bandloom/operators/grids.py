@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .order import asof, following, previous
+from .order import asof
+from .peaks import cut_peaks, higher_before, turning_points
 
 #: Fixed factors to SI.
 VOLT, AMPERE = {"v": 1.0, "mv": 1e-3}, {"a": 1.0, "ma": 1e-3}
@@ -127,7 +128,10 @@ def coverage(track: DataFrame, passes: DataFrame, keys: list[str], n_mu: int = 1
 
 def prominent_peaks(df: DataFrame, keys: list[str], t: str, value: str, prominence: float, relative: bool = True, bucket: str | None = None) -> DataFrame:
     """keys, t, value, prominence of local maxima that stand out by ``prominence``, of the series over its maximum if
-    ``relative``. Only turning points, whose values decide all prominences, and the ends of a series reach its task."""
+    ``relative``. With ``bucket``, a whole number that rises with ``t``, a series is cut and its buckets are worked on apart;
+    without, the turning points of a series are one task."""
+    if bucket:
+        return cut_peaks(df, keys, t, value, bucket, prominence, relative)
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{t}` {kinds[t]}", f"`{value}` double", "prominence double"])
 
@@ -135,30 +139,13 @@ def prominent_peaks(df: DataFrame, keys: list[str], t: str, value: str, prominen
         p = p.sort_values(t)
         v = p[value].to_numpy(float)
         s = v / v.max() if relative and len(v) and v.max() > 0 else v
-        side = np.maximum(_lowest_before(s), _lowest_before(s[::-1])[::-1])
-        top = np.zeros(len(s), bool)
-        top[1:-1] = (s[1:-1] > s[:-2]) & (s[1:-1] > s[2:])
-        out = np.flatnonzero(top & (s - side >= prominence))
+        side = np.maximum(higher_before(s)[1], higher_before(s[::-1])[1][::-1])
+        out = np.flatnonzero(p["_top"].to_numpy(bool) & (s - side >= prominence))
         q = p.iloc[out][[*keys, t]].copy()
         q[value], q["prominence"] = v[out], (s - side)[out]
         return q
 
-    near = following(previous(df.select(*keys, t, value, *([bucket] if bucket else [])), keys, [t], F.col(value), "_p", bucket), keys, [t], F.col(value), "_n", bucket)
-    v = F.col(value)
-    turns = near.filter(F.col("_p").isNull() | F.col("_n").isNull() | ((v - F.col("_p")) * (F.col("_n") - v) <= 0)).select(*keys, t, value)
-    return turns.groupBy(*keys).applyInPandas(run, schema)
-
-
-def _lowest_before(s: np.ndarray) -> np.ndarray:
-    """Of each sample, the least value between it and the latest higher one before it (or the start)."""
-    out, stack = np.empty(len(s)), []  # falling values, each with the least value since the higher one before it
-    for i, x in enumerate(s):
-        low = x
-        while stack and stack[-1][0] <= x:
-            low = min(low, stack.pop()[1])
-        out[i] = low
-        stack.append((x, low))
-    return out
+    return turning_points(df.select(*keys, t, value), keys, t, value).groupBy(*keys).applyInPandas(run, schema)
 
 
 def parse_range(spec: str | tuple) -> tuple[datetime, datetime]:

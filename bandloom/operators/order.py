@@ -1,12 +1,14 @@
 """Operators that depend on an order: carry-forward, as-of and bracket joins, sessions, islands, extrema.
 
 All of them are windows over a key. A key that holds too many rows for one task is cut along its order by a ``bucket``
-column that rises with the order: windows then run inside buckets, and only one row per bucket meets in the key.
+column that rises with the order: windows then run inside buckets, and only one row per bucket meets in the key. Rows with
+null keys or null places stay in both forms: null keys are one key, and null places come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,13 @@ def over(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def attach(df: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the columns of ``base`` (one row per ``keys``) to the rows of the same keys. Every row stays; nulls are equal."""
+    named = base.withColumnsRenamed({k: f"_at_{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{i}")) for i, k in enumerate(keys)]) if keys else F.lit(True)
+    return df.join(named, on, "left").drop(*[f"_at_{i}" for i in range(len(keys))])
+
+
 def carry_last(df: DataFrame, keys: list[str], order: list, values: dict[str, Column], bucket: str | None = None) -> DataFrame:
     """Add, for each name, the last value that is not null up to and with each row."""
     inner = over(keys + ([bucket] if bucket else []), order).rowsBetween(*UP_TO_HERE)
@@ -29,7 +38,7 @@ def carry_last(df: DataFrame, keys: list[str], order: list, values: dict[str, Co
     ends = df.groupBy(*keys, bucket).agg(*[F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_{n}") for n, v in values.items()])
     before = over(keys, [bucket]).rowsBetween(*BEFORE)
     base = ends.select(*keys, bucket, *[F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_base_{n}") for n in values])
-    return out.join(base, [*keys, bucket]).withColumns({n: F.coalesce(n, f"_base_{n}") for n in values}).drop(*[f"_base_{n}" for n in values])
+    return attach(out, base, [*keys, bucket]).withColumns({n: F.coalesce(n, f"_base_{n}") for n in values}).drop(*[f"_base_{n}" for n in values])
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, name: str, bucket: str | None = None, frame: tuple = UP_TO_HERE) -> DataFrame:
@@ -40,7 +49,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, name
         return out
     ends = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
     base = ends.select(*keys, bucket, F.coalesce(F.sum("_sum").over(over(keys, [bucket]).rowsBetween(*BEFORE)), F.lit(0)).alias("_base"))
-    return out.join(base, [*keys, bucket]).withColumn(name, F.col(name) + F.col("_base")).drop("_base")
+    return attach(out, base, [*keys, bucket]).withColumn(name, F.col(name) + F.col("_base")).drop("_base")
 
 
 def previous(df: DataFrame, keys: list[str], order: list, value: Column, name: str, bucket: str | None = None) -> DataFrame:
@@ -51,7 +60,7 @@ def previous(df: DataFrame, keys: list[str], order: list, value: Column, name: s
     if bucket:
         ends = df.groupBy(*keys, bucket).agg(F.max_by(boxed, F.struct(*order)).alias("_end"))
         base = ends.select(*keys, bucket, F.lag("_end").over(over(keys, [bucket])).alias("_base"))
-        out = out.join(base, [*keys, bucket]).withColumn(name, F.coalesce(name, "_base")).drop("_base")
+        out = attach(out, base, [*keys, bucket]).withColumn(name, F.coalesce(name, "_base")).drop("_base")
     return out.withColumn(name, F.col(name)["v"])
 
 
@@ -62,7 +71,7 @@ def following(df: DataFrame, keys: list[str], order: list, value: Column, name:
     if bucket:
         starts = df.groupBy(*keys, bucket).agg(F.min_by(boxed, F.struct(*order)).alias("_start"))
         base = starts.select(*keys, bucket, F.lead("_start").over(over(keys, [bucket])).alias("_base"))
-        out = out.join(base, [*keys, bucket]).withColumn(name, F.coalesce(name, "_base")).drop("_base")
+        out = attach(out, base, [*keys, bucket]).withColumn(name, F.coalesce(name, "_base")).drop("_base")
     return out.withColumn(name, F.col(name)["v"])
 
 
@@ -73,7 +82,7 @@ def running_max(df: DataFrame, keys: list[str], order: list, value: Column, name
         return out
     tops = df.groupBy(*keys, bucket).agg(F.max(value).alias("_top"))
     base = tops.select(*keys, bucket, F.max("_top").over(over(keys, [bucket]).rowsBetween(*BEFORE)).alias("_base"))
-    return out.join(base, [*keys, bucket]).withColumn(name, F.greatest(name, "_base")).drop("_base")
+    return attach(out, base, [*keys, bucket]).withColumn(name, F.greatest(name, "_base")).drop("_base")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str], take: dict[str, str], bucket: Column | None = None) -> DataFrame:
@@ -93,7 +102,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[st
 def bracket(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add t0, v0 (the latest right sample not after the row) and t1, v1 (the earliest not before it); null outside.
 
-    ``bucket`` makes a column that rises with the time it is given; keys then must not be null.
+    ``bucket`` makes a column that rises with the time it is given.
     """
     columns = left.columns
     a = left.select(*keys, F.col(left_t).cast("double").alias("_t"), F.struct(*columns).alias("_row"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_v"))
@@ -177,7 +186,7 @@ def passes(df: DataFrame, keys: list[str], t: str, inside: Column, bucket: str |
     """(keys, run_no, start, end) of each run of ``inside``; a run that is still open at the last row is not reported."""
     last = df.groupBy(*keys).agg(F.max(t).alias("_last"))
     runs = islands(df, keys, [t], inside, bucket).groupBy(*keys, "run_no").agg(F.min(t).alias("start"), F.max(t).alias("end"))
-    return runs.join(last, keys).filter(F.col("end") < F.col("_last")).drop("_last")
+    return attach(runs, last, keys).filter(F.col("end") < F.col("_last")).drop("_last")
 
 
 def local_maxima(df: DataFrame, keys: list[str], t: str, value: str, bucket: str | None = None) -> DataFrame:

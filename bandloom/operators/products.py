@@ -119,10 +119,21 @@ def sized(array: Column, size: int, fill=0.0) -> Column:
     return F.slice(F.concat(F.coalesce(array, F.array().cast("array<double>")).cast("array<double>"), F.array_repeat(F.lit(float(fill)), size)), 1, size)
 
 
-def exactly_sized(array: Column, size: int) -> Column:
-    """The array if it has ``size`` finite values; any other raises when the row is read."""
+def _fits(array: Column, size: int) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf"))
-    return F.when(F.coalesce((F.size(array) == size) & ~F.exists(array, bad), F.lit(False)), array).otherwise(F.raise_error(F.lit(f"not {size} finite values")))
+    return F.coalesce((F.size(array) == size) & ~F.exists(array, bad), F.lit(False))
+
+
+def exactly_sized(array: Column, size: int) -> Column:
+    """The array if it has ``size`` finite values, else null."""
+    return F.when(_fits(array, size), array)
+
+
+def size_violations(df: DataFrame, arrays: dict[str, tuple[Column, int]]) -> DataFrame:
+    """name and n: how many rows have no array of exactly so many finite values in each of ``arrays``; only where there are."""
+    counts = df.agg(*[F.count_if(~_fits(c, n)).alias(name) for name, (c, n) in arrays.items()])
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in arrays])
+    return counts.select(F.inline(each)).filter("n > 0")
 
 
 def max_inner_shape(df: DataFrame, data: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import session_name
-from .order import asof, over, previous, running_max
+from .order import asof, attach, over, previous, running_max
+from .select import quantiles
 
 
 def first_hello(df: DataFrame, keys: list[str], order: list, is_hello: Column, take: list[str]) -> DataFrame:
@@ -42,7 +43,7 @@ def assign_telemetry(telemetry: DataFrame, sessions: DataFrame, keys: list[str],
     starts = sessions.withColumn("_start", F.coalesce(start, F.lit(0.0)).cast("double"))
     first = starts.groupBy(*keys).agg(F.min_by(session, "_start").alias("_first"))
     told = asof(telemetry.withColumn("_t", F.col(t).cast("double")), starts, keys, ["_t"], ["_start"], {session: session}, bucket(F.col("_o0")) if bucket else None)
-    return told.join(first, keys, "left").withColumn(session, F.coalesce(session, "_first")).drop("_first", "_t")
+    return attach(told, first, keys).withColumn(session, F.coalesce(session, "_first")).drop("_first", "_t")
 
 
 def rederive(telemetry: DataFrame, windows: DataFrame, keys: list[str], t: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -86,10 +87,11 @@ def manifest(summary: DataFrame, version: int = 1) -> DataFrame:
 
 
 def cadence(rows: DataFrame, keys: list[str], order: list, t: str, name: str = "cadence", bucket: str | None = None) -> DataFrame:
-    """keys and the median of the differences between consecutive times; 1 where that is not positive or there is none."""
-    gaps = previous(rows, keys, order, F.col(t), "_before", bucket)
-    m = F.median(F.col(t) - F.col("_before"))
-    return gaps.groupBy(*keys).agg(F.when((m > 0) & ~F.isnan(m), m).otherwise(1.0).alias(name))
+    """keys and the median of the differences between consecutive times; 1 where that is not positive or there is none. The
+    median is selected by counting, so no task holds a key's differences."""
+    gaps = previous(rows, keys, order, F.col(t), "_before", bucket).select(*keys, (F.col(t) - F.col("_before")).alias("_gap"))
+    m = F.col("_m")
+    return quantiles(gaps, keys, "_gap", {"_m": 0.5}).select(*keys, F.when(m > 0, m).otherwise(1.0).alias(name))
 
 
 def elapsed(rows: DataFrame, keys: list[str], t: str, name: str = "elapsed") -> DataFrame:

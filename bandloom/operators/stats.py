@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import select
+
 
 def compare(new: DataFrame, ref: DataFrame, keys: list[str], row: str, value: str, atol: float, rtol: float) -> DataFrame:
     """keys, max_abs, max_rel, status of two versions, row by row.
@@ -91,10 +93,8 @@ def mode(rows: DataFrame, column: str, name: str = "mode") -> DataFrame:
 
 
 def distribution(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """keys, lowest, the named quantiles (exact, linear between samples), highest."""
-    q = F.percentile(value, F.array(*map(F.lit, quantiles.values())))
-    got = rows.groupBy(*keys).agg(F.min(value).alias("lowest"), q.alias("_q"), F.max(value).alias("highest"))
-    return got.select(*keys, "lowest", *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)], "highest")
+    """keys, lowest, the named quantiles (exact, linear between samples), highest; nulls and NaN are left out."""
+    return select.quantiles(rows, keys, value, quantiles, "lowest", "highest").select(*keys, "lowest", *quantiles, "highest")
 
 
 def channel_stats(rows: DataFrame, keys: list[str], values: str, channel: str = "channel") -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..operators import order, packets, sessions
-from ..sources import banks
+from ..sources import banks, growing, ranges, sinks
+from ..sources.folders import shared_folder
+from ..streaming import ordered, streams
 from .registry import query, table
 
 
@@ -82,24 +87,49 @@ def warnings_by_session(spark, sf_dir):
     return got.select("user_id", "n_warnings", F.array_join("warnings", ";").alias("warnings"))
 
 
+def _bank(rows: pd.DataFrame) -> pd.DataFrame:
+    """The bank file that a part of a user's events make; every fiftieth event has a bad checksum."""
+    out = bytearray()
+    for k, r in enumerate(rows.sort_values("event_id").itertuples()):
+        body = str(r.props).encode()
+        flags = 1 if k % 3 == 2 else 0
+        head = (0x209).to_bytes(2, "big") + (flags << 14 | k % 16384).to_bytes(2, "big") + (len(body) - 1).to_bytes(2, "big")
+        crc = banks.crc16(head + body) ^ (1 if r.event_id % 50 == 0 else 0)
+        out += b"\xa5" * (k % 3) + banks.SYNC + head + body + crc.to_bytes(2, "big")
+    return pd.DataFrame({"stream_id": [f"{rows['user_id'].iat[0]}-{rows['part'].iat[0]}"], "bank": ["b05"], "content": [bytes(out)]})
+
+
+def _banks(spark, sf_dir):
+    """Events framed as bank files, each a bounded part of a user's."""
+    part = F.floor(F.col("event_id") / 4096).alias("part")
+    return table(spark, sf_dir, "events").select("user_id", part, "event_id", "props").groupBy("user_id", "part").applyInPandas(_bank, "stream_id string, bank string, content binary")
+
+
 @query("""select user_id || '-' || (event_id // 4096) stream_id, case when event_id % 50 = 0 then 'crc' else 'good' end kind, count(*) n, sum(length(props))::bigint bytes from events group by all""")
 def bank_frames(spark, sf_dir):
-    """Events framed as bank files, each a bounded part of a user's, and cut again: frames and rejects per file."""
-    import pandas as pd
-
-    def stream(rows: pd.DataFrame) -> pd.DataFrame:
-        out = bytearray()
-        for k, r in enumerate(rows.sort_values("event_id").itertuples()):
-            body = str(r.props).encode()
-            flags = 1 if k % 3 == 2 else 0
-            head = (0x209).to_bytes(2, "big") + (flags << 14 | k % 16384).to_bytes(2, "big") + (len(body) - 1).to_bytes(2, "big")
-            crc = banks.crc16(head + body) ^ (1 if r.event_id % 50 == 0 else 0)
-            out += b"\xa5" * (k % 3) + banks.SYNC + head + body + crc.to_bytes(2, "big")
-        return pd.DataFrame({"stream_id": [f"{rows['user_id'].iat[0]}-{rows['part'].iat[0]}"], "bank": ["b05"], "content": [bytes(out)]})
+    """Bank files cut again, a whole one a task: frames and rejects per file."""
+    return banks.frames(_banks(spark, sf_dir)).groupBy("stream_id", F.coalesce("reject", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
 
-    part = F.floor(F.col("event_id") / 4096).alias("part")
-    made = table(spark, sf_dir, "events").select("user_id", part, "event_id", "props").groupBy("user_id", "part").applyInPandas(stream, "stream_id string, bank string, content binary")
-    return banks.frames(made).groupBy("stream_id", F.coalesce("reject", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
+
+_FRAMES = """select user_id || '-' || (event_id // 4096) stream_id, row_number() over (partition by user_id, event_id // 4096 order by event_id) - 1 frame_idx, props payload, case when event_id % 50 = 0 then 'crc' end reject from events"""
+
+
+@query(_FRAMES)
+def ranged_frames(spark, sf_dir):
+    """The same files, written, and read in byte ranges that cut through frames."""
+    folder = f"{shared_folder(spark)}/bandloom/{uuid.uuid4().hex}"
+    sinks.write_banks(_banks(spark, sf_dir), folder)
+    return ranges.range_frames(ranges.bank_ranges(spark, folder, 700)).select("stream_id", "frame_idx", F.col("payload").cast("string").alias("payload"), "reject")
+
+
+@query(_FRAMES)
+def growing_banks(spark, sf_dir):
+    """The same files as a stream of bytes, in chunks that cut through frames."""
+    folder = f"{shared_folder(spark)}/bandloom/{uuid.uuid4().hex}"
+    sinks.write_banks(_banks(spark, sf_dir), folder)
+    streams.with_rocksdb(spark)
+    got = streams.run_once(ordered.growing_frames(growing.bank_bytes(spark, folder, 900)), f"{shared_folder(spark)}/bandloom-streams")
+    return got.select("stream_id", "frame_idx", F.col("payload").cast("string").alias("payload"), "reject")
 
 
 @query("""select event_id, event_type, value from events where event_type not in ('error', 'signup') union all select event_id, case when event_type = 'error' then 'decode: broken' else 'unknown appid' end, value from events where event_type in ('error', 'signup')""")

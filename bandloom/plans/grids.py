@@ -48,6 +48,18 @@ def prominent_peaks(spark, sf_dir):
     return got.select("user_id", "event_id", F.round("prominence", 6).alias("prominence"))
 
 
+@query("""with e as (select event_id, value v, max(value) over () top from events), w as (select *, lag(v) over (order by event_id) p, lead(v) over (order by event_id) n from e),
+p as (select * from w where v > p and v > n), l as (select p.event_id, p.v, p.top, max(x.event_id) filter (x.event_id < p.event_id) lb, min(x.event_id) filter (x.event_id > p.event_id) rb from p left join e x on x.v > p.v group by all),
+m as (select l.event_id, l.v, l.top, min(x.v) filter (x.event_id <= l.event_id) le, min(x.v) filter (x.event_id >= l.event_id) ri from l join e x on x.event_id between coalesce(lb, -1) and coalesce(rb, 1000000000) group by all)
+select event_id, round((v - greatest(le, ri)) / top, 6) prominence from m where (v - greatest(le, ri)) / top >= 0.2""")
+def peaks_of_one_series(spark, sf_dir):
+    """All values as one series, cut into buckets of two hundred."""
+    e = table(spark, sf_dir, "events").select("event_id", "value", F.floor(F.col("event_id") / 200).alias("part"))
+    got = grids.prominent_peaks(e, [], "event_id", "value", 0.2, bucket="part")
+    return got.select("event_id", F.round("prominence", 6).alias("prominence"))
+
+
+
 @query("""with c as (select c_custkey, radians(c_custkey % 90) alt, radians(c_custkey * 7 % 360) az from customer) select c_custkey, round(sin(az) * (1 - alt / (pi() / 2)), 6) + 0.0 x, round(cos(az) * (1 - alt / (pi() / 2)), 6) + 0.0 y, round(sin(az) * cos(alt), 6) + 0.0 ox, round(cos(az) * cos(alt), 6) + 0.0 oy from c""")
 def plane_projection(spark, sf_dir):
     k = F.col("c_custkey")

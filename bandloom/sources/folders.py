@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="bandloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what follows neither repeats it nor loses it with an
+    executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/bandloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import packet_name
-from ..operators.products import exactly_sized, retain, sized, slice_violations
+from ..operators.products import exactly_sized, retain, size_violations, sized, slice_violations
 from ..operators.sessions import manifest
 from .tables import ContractError
 
@@ -69,7 +73,8 @@ def telemetry_channels(hk: DataFrame, prefix: str = "telemetry") -> list[str]:
 
 def metadata_columns(df: DataFrame, flat: list[str], vectors: dict[str, int], exact: dict[str, int] | None = None, packet: str = "meta", base: str = "base") -> DataFrame:
     """Fields of the packet's struct, or of the base struct where the packet lacks them, matched without regard to case;
-    vectors are cut or padded to their width, those in ``exact`` must have it with finite values only."""
+    vectors are cut or padded to their width. Those in ``exact`` must have it with finite values only: all rows are looked
+    at first, and any that has not raises before anything is made of them."""
 
     def pick(name: str) -> Column:
         found = []
@@ -79,6 +84,9 @@ def metadata_columns(df: DataFrame, flat: list[str], vectors: dict[str, int], ex
                 found.append(F.col(f"{struct}.{names[name.lower()]}"))
         return F.coalesce(*found) if found else F.lit(None)
 
+    wrong = size_violations(df, {n: (pick(n), w) for n, w in exact.items()}).collect() if exact else []
+    if wrong:
+        raise ContractError("; ".join(f"{r['n']} rows without exactly {exact[r['name']]} finite values in {r['name']}" for r in wrong))
     return df.withColumns({**{n: pick(n) for n in flat}, **{n: sized(pick(n), w) for n, w in vectors.items()}, **{n: exactly_sized(pick(n), w) for n, w in (exact or {}).items()}})
 
 
@@ -93,3 +101,24 @@ def write_packets(packets: DataFrame, folder: str, keys: list[str]) -> None:
 
 def write_manifest(summary: DataFrame, path: str) -> None:
     manifest(summary).write.text(path)
+
+
+def write_banks(banks: DataFrame, folder: str) -> None:
+    """Write stream_id, bank, content as bank files, <stream>/<bank>/FFFFFFFE below ``folder``. A file appears whole or not at
+    all, and a task that runs again writes the same one."""
+    from .banks import BANK_FILE
+    from .ranges import located
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = located(folder)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                place = f"{top}/{r.stream_id}/{r.bank}"
+                system.create_dir(place, recursive=True)
+                part = f"{place}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(bytes(r.content))
+                system.move(part, f"{place}/{BANK_FILE}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    banks.select("stream_id", "bank", "content").mapInPandas(put, "n long").write.format("noop").mode("overwrite").save()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bandloom.functions import bits
 from bandloom.functions import calibrate as C
 from bandloom.operators import freq, gain, grids, linear, matrices, order, packets, products, sessions, stats, telemetry
-from bandloom.sources import banks, tables
+from bandloom.sources import banks, sinks, tables
 from bandloom.streaming import streams
 
 
@@ -326,10 +326,13 @@ def test_uids_that_jump_back(spark):
 
 
 def test_exact_widths_and_shapes(spark):
-    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>")
-    assert df.limit(1).select(products.exactly_sized(F.col("v"), 2)).first()[0] == [1.0, 2.0]
-    with pytest.raises(Exception, match="not 2 finite values"):
-        df.select(products.exactly_sized(F.col("v"), 2)).collect()
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), ([1.0, float("nan")],), (None,)], "v array<double>")
+    assert [r[0] for r in df.select(products.exactly_sized(F.col("v"), 2)).collect()] == [[1.0, 2.0], None, None, None]
+    assert [tuple(r) for r in products.size_violations(df, {"a": (F.col("v"), 2), "b": (F.coalesce("v", F.array(F.lit(0.0))), 9)}).orderBy("name").collect()] == [("a", 3), ("b", 4)]
+    meta = df.select(F.struct("v").alias("meta"))
+    with pytest.raises(tables.ContractError, match="3 rows without exactly 2 finite values in v"):
+        sinks.metadata_columns(meta, [], {}, {"v": 2})
+    assert sinks.metadata_columns(meta.limit(1), [], {}, {"v": 2}).first().v == [1.0, 2.0]
     nested = spark.createDataFrame([([[1.0], [2.0, 3.0, 4.0]],), ([],), (None,)], "d array<array<double>>")
     assert tuple(products.max_inner_shape(nested, "d").first()) == (2, 3)
 
@@ -356,3 +359,63 @@ def test_folder_is_never_machine_local_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_buckets_keep_rows_with_null_keys_and_places(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i, rng.choice([None, 1, 2, 3])) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, v int").withColumn("b", F.floor(F.col("t") / 7))
+    at = ["t", "id"]
+    forms = {
+        "carry": lambda b: order.carry_last(df, ["k"], at, {"x": F.col("v")}, b),
+        "sum": lambda b: order.running_sum(df, ["k"], at, F.col("v"), "x", b),
+        "before": lambda b: order.previous(df, ["k"], at, F.col("v"), "x", b),
+        "after": lambda b: order.following(df, ["k"], at, F.col("v"), "x", b),
+        "max": lambda b: order.running_max(df, ["k"], at, F.col("v"), "x", b),
+        "sessions": lambda b: order.split_sessions(df, ["k"], at, F.coalesce(F.col("v") == 1, F.lit(False)), "x", b),
+    }
+    for name, f in forms.items():
+        plain, cut = ({r.id: r.x for r in f(b).collect()} for b in (None, "b"))
+        assert len(plain) == len(rows) and plain == cut, name
+    s = spark.createDataFrame([("a", 5.0, 1), ("a", 20.0, 2), (None, 11.0, 3), (None, None, 4)], "k string, start double, session int")
+    plain, cut = ({r.id: r.session for r in sessions.assign_telemetry(df.drop("b"), s, ["k"], "t", "start", "session", b).collect()} for b in (None, lambda c: F.floor(c / 7)))
+    assert len(plain) == len(rows) and plain == cut and all(plain[i] for k, t, i, _ in rows if k is None and t is not None)
+
+
+@pytest.mark.parametrize("bins, few", [(256, 4096), (4, 3), (2, 1)])
+def test_quantiles_by_counting(spark, bins, few):
+    from bandloom.operators import select
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=700), "b": np.repeat([1.0, 2.0, 7.0], 50), "c": np.array([5.0]), "d": 10.0 ** rng.uniform(-300, 300, 200), "e": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]), None: rng.integers(0, 9, 90) * 1.0}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan")), ("none", None)]
+    shares = {"q0": 0.0, "q1": 0.01, "mid": 0.5, "q9": 0.999, "q10": 1.0}
+    got = select.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares, "lowest", "highest", bins, few)
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    got = {r.k: r for r in got.collect()}
+    assert got.keys() == {*values, "none"} and got["none"].mid is None and got["none"].lowest is None
+    for k, v in values.items():
+        with np.errstate(invalid="ignore"):
+            want = np.quantile(v, list(shares.values()))
+        if k == "e":
+            want = [-np.inf, np.nan, 2.0, np.inf, np.inf]
+            assert [got[k][n] for n in ("q0", "mid", "q9", "q10")] == [-np.inf, 2.0, np.inf, np.inf]
+        else:
+            np.testing.assert_allclose([got[k][n] for n in shares], want, rtol=1e-9)
+        assert (got[k].lowest, got[k].highest) == (v.min(), v.max())
+    whole = select.quantiles(spark.createDataFrame(rows, "k string, v double").filter("k in ('a', 'b')"), [], "v", {"mid": 0.5}, bins=bins, few=few).collect()
+    assert len(whole) == 1 and abs(whole[0].mid - np.median(np.concatenate([values["a"], values["b"]]))) < 1e-12
+    assert select.quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", shares).collect() == []
+
+
+@pytest.mark.parametrize("width", [3, 17, 1000])
+@pytest.mark.parametrize("shape", ["steps", "rising", "falling"])
+def test_prominence_across_buckets(spark, width, shape):
+    rng = np.random.default_rng(5)
+    n = 300
+    v = {"steps": np.round(rng.uniform(0, 1, n), 1), "rising": np.arange(n) * 0.01 + rng.uniform(0, 0.5, n), "falling": 9 - np.arange(n) * 0.01 + rng.uniform(0, 0.5, n)}[shape]
+    rows = [(k, i, float(x)) for k, s in (("a", v), ("b", v[::-1]), (None, v[:40])) for i, x in enumerate(s)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").withColumn("b", F.floor(F.col("t") / width))
+    show = lambda d: {(r.k, r.t): (r.v, round(r.prominence, 9)) for r in d.collect()}
+    want = show(grids.prominent_peaks(df.drop("b"), ["k"], "t", "v", 0.02))
+    assert show(grids.prominent_peaks(df, ["k"], "t", "v", 0.02, bucket="b")) == want and len(want) > 20
