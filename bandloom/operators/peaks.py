@@ -83,7 +83,7 @@ def cut_peaks(df: DataFrame, keys: list[str], t: str, value: str, bucket: str, p
     turns = stored(turning_points(whole, k, "_t", "_v", "_b"))
     ends = turns.groupBy(*k, "_b").agg(F.max("_v").alias("_most"), F.min("_v").alias("_least"))
     of_key = ends.groupBy(*k).agg(F.collect_list(F.struct("_b", "_most", "_least")).alias("_all"), F.max("_most").alias("_max"))
-    each = attach(ends.select(*k, "_b"), of_key.select(*k, "_all"), k)
+    each = stored(attach(ends.select(*k, "_b"), of_key.select(*k, "_all"), k))
     kinds = dict(turns.dtypes)
     key_schema = "".join(f"{c} {kinds[c]}, " for c in k)
 

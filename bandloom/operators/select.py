@@ -20,13 +20,21 @@ from ..sources.folders import stored
 BINS, FEW = 256, 4096
 
 
-def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """A bin that rises with the value; different bounds are in different bins. Halves keep differences finite."""
+def _bin(v: Column, lo: Column, hi: Column, bins: int, turn: int) -> Column:
+    """A bin that rises with the value; different bounds are in different bins. Bounds of one sign that are far apart are cut
+    by magnitude, bounds of both signs at first evenly and from the second turn on by sign and magnitude, so values of all
+    orders take a few passes. Halves keep differences finite."""
     width = hi / 2 - lo / 2
-    part = F.when(width > 0, (v / 2 - lo / 2) / width).otherwise(F.when(v > lo, 1.0).otherwise(0.0))
-    inner = F.least(F.lit(bins - 1), F.floor(F.greatest(F.lit(0.0), part) * bins)).cast("int")
+    even = lambda x: F.when(width > 0, (x / 2 - lo / 2) / width).otherwise(F.when(x > lo, 1.0).otherwise(0.0))
+    size = lambda x: F.log2(F.abs(x))
+    # Doubles reach from 2 ** -1074 to 2 ** 1024.
+    signed = lambda x: F.when(x > 0, 0.5 + (size(x) + 1075) / 4200).when(x < 0, 0.5 - (size(x) + 1075) / 4200).otherwise(0.5)
+    whole = lambda part: F.least(F.lit(bins - 1), F.floor(F.greatest(F.lit(0.0), part) * bins)).cast("int")
+    part = F.when((lo > 0) & (hi / 1024 > lo), (size(v) - size(lo)) / (size(hi) - size(lo))).when((hi < 0) & (lo / 1024 < hi), (size(lo) - size(v)) / (size(lo) - size(hi)))
+    if turn:
+        part = part.when((lo <= 0) & (hi >= 0) & (whole(signed(lo)) != whole(signed(hi))), signed(v))
     inf = float("inf")
-    return F.when(v == inf, bins).when(v == -inf, -1).otherwise(inner)
+    return F.when(v == inf, bins).when(v == -inf, -1).otherwise(whole(part.otherwise(even(v))))
 
 
 def _same(keys: list[str], left: str = "", right: str = "_r") -> Column:
@@ -49,7 +57,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in wanted.values()])))
     searched = whole.filter("_n > 0").select(*k, F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), F.coalesce("_flo", F.lit(0.0)).alias("_a"), F.coalesce("_fhi", F.lit(0.0)).alias("_b"))
-    open_, done = stored(searched), []
+    open_, done, turn = stored(searched), [], 0
     while True:
         done.append(open_.filter("_lo = _hi or _in <= {0}".format(few)))
         open_ = open_.filter(f"not (_lo = _hi or _in <= {few})")
@@ -57,7 +65,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
             break
         # Searches of one key share their bounds or have bounds that do not overlap.
         bounds = open_.select(*k, "_below", "_lo", "_hi", "_a", "_b").distinct()
-        each = _inside(data, bounds, k).groupBy(*k, "_below", _bin(F.col("_v"), F.col("_a"), F.col("_b"), bins).alias("_bin"))
+        each = _inside(data, bounds, k).groupBy(*k, "_below", _bin(F.col("_v"), F.col("_a"), F.col("_b"), bins, turn).alias("_bin"))
+        turn += 1
         cells = each.agg(F.count("*").alias("_c"), F.min("_v").alias("_clo"), F.max("_v").alias("_chi"))
         before = F.sum("_c").over(Window.partitionBy(*k, "_below").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
         cells = cells.withColumn("_from", F.col("_below") + F.coalesce(before, F.lit(0))).withColumnsRenamed({**{c: f"_r{c}" for c in k}, "_below": "_rbelow"})

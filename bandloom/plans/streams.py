@@ -76,7 +76,7 @@ def stream_sessions_in_order(spark, sf_dir):
     return _run(ordered.sessions_in_order(rows)).filter("not late").select("stream", "id", "session_no")
 
 
-@query(f"""with e as (select *, epoch_us(ts) t from events where {_PAST}), st as (select user_id, t, event_id sid from e where event_type = 'signup'), f as (select user_id, arg_min(sid, t) first_sid from st group by 1)
+@query("""with e as (select *, epoch_us(ts) t from events where epoch_us(ts) // 1000 <= (select max(epoch_us(ts)) // 1000 - 600000 from events where event_type in ('click', 'signup'))), st as (select user_id, t, event_id sid from e where event_type = 'signup'), f as (select user_id, arg_min(sid, t) first_sid from st group by 1)
 select c.event_id, coalesce(st.sid, f.first_sid) session_id from (select * from e where event_type = 'click') c asof left join st on c.user_id = st.user_id and c.t >= st.t join f on c.user_id = f.user_id""")
 def stream_telemetry_in_order(spark, sf_dir):
     """Sessions and telemetry both as streams."""
@@ -90,7 +90,7 @@ def stream_telemetry_in_order(spark, sf_dir):
 o as (select *, lag(t) over w pt, lag(closes) over w pc, row_number() over w rn from f window w as (partition by user_id order by t, event_id)),
 g as (select *, sum(case when pt is null or pc or t - pt > 86400000000 then 1 else 0 end) over (partition by user_id order by rn) grp from o),
 x as (select *, max(rn) filter (odd) over (partition by user_id, grp) last_odd from g),
-p as (select user_id, max(rn) rn, arg_min(event_id, rn) pkt_idx, arg_min(event_type, rn) kind, string_agg(regexp_replace(h, '(..)(..)', '\2\1', 'g'), '' order by rn) blob from x where last_odd is null or rn > last_odd group by user_id, grp having bool_or(closes)),
+p as (select user_id, max(rn) rn, arg_min(event_id, rn) pkt_idx, arg_min(event_type, rn) kind, string_agg(regexp_replace(h, '(..)(..)', '\\2\\1', 'g'), '' order by rn) blob from x where last_odd is null or rn > last_odd group by user_id, grp having bool_or(closes)),
 u as (select *, case when kind != 'click' then ('0x' || substr(blob, 7, 2) || substr(blob, 5, 2) || substr(blob, 3, 2) || substr(blob, 1, 2))::bigint end own from p where kind != 'error'),
 c as (select *, coalesce(own, last_value(own ignore nulls) over (partition by user_id order by rn)) uid, kind = 'signup' hello from u),
 s as (select *, lag(hello, 1, true) over (partition by user_id order by rn) was from c where uid is not null)

@@ -382,12 +382,12 @@ def test_buckets_keep_rows_with_null_keys_and_places(spark):
     assert len(plain) == len(rows) and plain == cut and all(plain[i] for k, t, i, _ in rows if k is None and t is not None)
 
 
-@pytest.mark.parametrize("bins, few", [(256, 4096), (4, 3), (2, 1)])
+@pytest.mark.parametrize("bins, few", [(256, 4096), (16, 3)])
 def test_quantiles_by_counting(spark, bins, few):
     from bandloom.operators import select
 
     rng = np.random.default_rng(3)
-    values = {"a": rng.normal(size=700), "b": np.repeat([1.0, 2.0, 7.0], 50), "c": np.array([5.0]), "d": 10.0 ** rng.uniform(-300, 300, 200), "e": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]), None: rng.integers(0, 9, 90) * 1.0}
+    values = {"a": rng.normal(size=700), "b": np.repeat([1.0, 2.0, 7.0], 50), "c": np.array([5.0]), "d": 10.0 ** rng.uniform(-300, 300, 60), "e": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]), None: rng.integers(0, 9, 90) * 1.0}
     rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan")), ("none", None)]
     shares = {"q0": 0.0, "q1": 0.01, "mid": 0.5, "q9": 0.999, "q10": 1.0}
     got = select.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares, "lowest", "highest", bins, few)
@@ -408,14 +408,14 @@ def test_quantiles_by_counting(spark, bins, few):
     assert select.quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", shares).collect() == []
 
 
-@pytest.mark.parametrize("width", [3, 17, 1000])
-@pytest.mark.parametrize("shape", ["steps", "rising", "falling"])
-def test_prominence_across_buckets(spark, width, shape):
+@pytest.mark.parametrize("width", [3, 40])
+def test_prominence_across_buckets(spark, width):
     rng = np.random.default_rng(5)
-    n = 300
-    v = {"steps": np.round(rng.uniform(0, 1, n), 1), "rising": np.arange(n) * 0.01 + rng.uniform(0, 0.5, n), "falling": 9 - np.arange(n) * 0.01 + rng.uniform(0, 0.5, n)}[shape]
-    rows = [(k, i, float(x)) for k, s in (("a", v), ("b", v[::-1]), (None, v[:40])) for i, x in enumerate(s)]
+    n = 250
+    steps, saw = np.round(rng.uniform(0, 1, n), 1), rng.uniform(0, 0.5, n)
+    series = {"steps": steps, "rising": np.arange(n) * 0.01 + saw, "falling": 9 - np.arange(n) * 0.01 + saw, None: steps[:40], "low": -1 - saw}
+    rows = [(k, i, float(x)) for k, s in series.items() for i, x in enumerate(s)]
     df = spark.createDataFrame(rows, "k string, t int, v double").withColumn("b", F.floor(F.col("t") / width))
     show = lambda d: {(r.k, r.t): (r.v, round(r.prominence, 9)) for r in d.collect()}
     want = show(grids.prominent_peaks(df.drop("b"), ["k"], "t", "v", 0.02))
-    assert show(grids.prominent_peaks(df, ["k"], "t", "v", 0.02, bucket="b")) == want and len(want) > 20
+    assert show(grids.prominent_peaks(df, ["k"], "t", "v", 0.02, bucket="b")) == want and len(want) > 100

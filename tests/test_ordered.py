@@ -44,10 +44,8 @@ def events(seed=5, n=240):
 def test_sessions_of_shuffled_rows(spark, tmp_path):
     rows = events()
     end = rows[-1][0] + 10_000
-    batches = [*arrivals(rows, 4, 500), [(end, "u0", 9999, False)]]
-    # These come when the watermark has passed them and later rows of their streams have gone on.
-    batches[-2:-2] = [[(0.5, "u1", 5000, True), (0.6, "u0", 5001, True)]]
-    batches = [*batches[:2], *batches[3:-1], batches[-1], batches[2]]
+    # The last rows come when the watermark has passed them and later rows of their streams have gone on.
+    batches = [*arrivals(rows, 3, 500), [(end, "u0", 9999, False)], [(0.5, "u1", 5000, True), (0.6, "u0", 5001, True)]]
     got = play(spark, tmp_path, batches, "s double, stream string, id long, hello boolean", lambda s: ordered.sessions_in_order(s, delay="600 seconds")).collect()
     told = {r.id: r.session_no for r in got if not r.late}
     want = order.split_sessions(spark.createDataFrame(rows, "s double, stream string, id long, hello boolean"), ["stream"], ["s", "id"], F.col("hello"))
@@ -57,7 +55,7 @@ def test_sessions_of_shuffled_rows(spark, tmp_path):
 
 def test_as_of_of_two_streams(spark, tmp_path):
     rows = events(9)
-    batches = [*arrivals(rows, 4, 500, 3), [(rows[-1][0] + 10_000, u, 9990, False) for u in ("u0", "u1", "u2", "u3")]]
+    batches = [*arrivals(rows, 2, 500, 3), [(rows[-1][0] + 10_000, u, 9990, False) for u in ("u0", "u1", "u2", "u3")]]
 
     def make(s):
         return ordered.asof_in_order(s.filter("not hello").select("stream", "at", "id"), s.filter("hello").select("stream", "at", "id"), delay="600 seconds")
@@ -80,7 +78,7 @@ def test_downlink_against_tables(spark, tmp_path, ttl):
         bank = rng.choice(["b01", "b05"])
         rows.append((round(k * 7.3, 3), f"u{rng.randrange(2)}", bank, k, rng.choice([1, 2, 3, 4]), rng.choice([0, 0, 1, 3]), k, bytes(rng.randrange(256) for _ in range(rng.choice([2, 4, 6, 6, 3])))))
     last = rows[-1][0] + 1e7
-    batches = [*arrivals(rows, 4, 200, 2), [(last, f"u{k}", "b01", 1000 + k, 4, 3, 0, b"end") for k in range(2)], [(last + 1e5, "u9", "b01", 2000, 4, 3, 0, b"end")]]
+    batches = [*arrivals(rows, 2, 200, 2), [(last, f"u{k}", "b01", 1000 + k, 4, 3, 0, b"end") for k in range(2)], [(last + 1e5, "u9", "b01", 2000, 4, 3, 0, b"end")]]
     got = play(spark, tmp_path, batches, schema, lambda s: ordered.downlink(s, ttl, {2: "derived", 4: "dropped"}, {3}, delay="600 seconds"))
     got = got.filter("pkt_idx < 1000").collect()
     # The batch path, for which a group that expires is one that a gap ends.
