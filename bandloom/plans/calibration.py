@@ -139,12 +139,12 @@ def to_physical(spark, sf_dir):
     return products.bins(got, "physical", ["vec_id"]).select("vec_id", "bin", F.round("value", 6).alias("physical"))
 
 
-@query(f"""with {_BINS}, g as (select vec_id, bin, channel, 1.0 + channel * 0.5 + bin * 0.01 gain from (select distinct vec_id, bin from b), range(2) r(channel))
-select b.vec_id, b.bin::int bin, round(sign(value) * sqrt(abs(value) / sqrt((1.0 + bin * 0.01) * (1.5 + bin * 0.01))), 6) physical from b where product = 4""")
+@query(f"""with {_BINS}, {_PAIRS}, j as (select b.vec_id, b.bin, b.value, d.cross_, 1.0 + d.a * 0.5 + bin * 0.01 ga, 1.0 + d.b * 0.5 + bin * 0.01 gb from b join d using (product))
+select vec_id, bin::int bin, round(case when cross_ = 1 then sign(value) * sqrt(abs(value) / sqrt(ga * gb)) when value >= 0 then sqrt(value / ga) end, 6) physical from j""")
 def to_physical_long(spark, sf_dir):
     """Bins as rows, gains as rows: for products that are kept long."""
-    rows = products.bins(spectra(spark, sf_dir).filter("product = 4"), "data", ["vec_id", "product"])
-    gains = rows.select("vec_id", "bin").withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("gain", 1.0 + F.col("channel") * 0.5 + F.col("bin") * 0.01)
+    rows = products.bins(spectra(spark, sf_dir), "data", ["vec_id", "product"])
+    gains = rows.select("vec_id", "bin").withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("gain", 1.0 + F.col("channel") * 0.5 + F.col("bin") * 0.01)
     got = gain.convert(rows, gains, products.product_dimension(spark), ["vec_id", "bin"])
     return got.select("vec_id", "bin", F.round("physical", 6).alias("physical"))
 
@@ -180,12 +180,12 @@ th as (select vec_id, lo.p_size / 10.0 + (hi.p_size / 10.0 - lo.p_size / 10.0) *
 r as (select vec_id, channel, (vec_id + channel) % 4 lv, therm, case when channel <= 1 then therm * 0.5 else therm * 0.25 end adc from th, range(4) c(channel)),
 u as (select *, (lv + 1) * 0.01 + channel * 0.001 b, [1.0, therm, adc, 1.8, 1.2, 0.05, therm * therm, adc * adc, therm * adc] x from r),
 g as (select vec_id, channel, bin f0, case when lv < 3 then {_GAIN.replace(" f)", " (bin + 1.0))").replace("* f +", "* (bin + 1.0) +")} end gain from u, (select unnest(range(64)) bin)),
-j as (select b.vec_id, b.bin, b.value, d.cross_, ga.gain ga, gb.gain gb from b join d using (product) join g ga on ga.vec_id = b.vec_id and ga.channel = d.a and ga.f0 = b.bin join g gb on gb.vec_id = b.vec_id and gb.channel = d.b and gb.f0 = b.bin where b.vec_id % 4 = 0)
+j as (select b.vec_id, b.bin, b.value, d.cross_, ga.gain ga, gb.gain gb from b join d using (product) join g ga on ga.vec_id = b.vec_id and ga.channel = d.a and ga.f0 = b.bin join g gb on gb.vec_id = b.vec_id and gb.channel = d.b and gb.f0 = b.bin)
 select vec_id, bin::int bin, round(case when cross_ = 1 then sign(value) * sqrt(abs(value) / sqrt(ga * gb)) when value >= 0 then sqrt(value / ga) end, 5) physical from j""")
 def calibrate_chain(spark, sf_dir):
     """On-demand calibration: telemetry interpolated onto the spectra's times, gain codes to levels, features, prediction,
-    gain spectra, conversion. Every fourth spectrum is asked for; a code of 3 has no level and gives null."""
-    rows = spectra(spark, sf_dir).filter("vec_id % 4 = 0")
+    gain spectra, conversion. A code of 3 has no level and gives null."""
+    rows = spectra(spark, sf_dir)
     times = rows.select("vec_id", F.lit(0).alias("session"), (F.col("vec_id") * 0.37 + 1).alias("t"))
     series = table(spark, sf_dir, "part").select(F.lit(0).alias("session"), F.col("p_partkey").cast("double").alias("t"), (F.col("p_size") / 10.0).alias("value"))
     therm = telemetry.interpolate(times, series, ["session"], "t", "t", "value", out="therm", bucket=lambda t: F.floor(t / 1000))

@@ -78,13 +78,15 @@ def load_impedance(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(re, 6).alias("re"), F.round(im, 5).alias("im"), F.round(cap, 5).alias("cap"), F.round(gamma, 6).alias("gamma"))
 
 
-@query("""with v as (select vec_id, [embedding[1], embedding[2], embedding[3]] e, radians(vec_id % 90) th, radians(vec_id % 360) ph from embeddings)
-select vec_id, round(e[1]::double * cos(th) * cos(ph) + e[2]::double * cos(th) * sin(ph) - e[3]::double * sin(th), 6) e_theta, round(-e[1]::double * sin(ph) + e[2]::double * cos(ph), 6) e_phi from v""")
+@query("""with v as (select vec_id, k::int k, [embedding[3 * k + 1], embedding[3 * k + 2], embedding[3 * k + 3]] e, radians((vec_id + k) % 90) th, radians((vec_id + k) % 360) ph from embeddings, range(21) r(k))
+select vec_id, k, round(e[1]::double * cos(th) * cos(ph) + e[2]::double * cos(th) * sin(ph) - e[3]::double * sin(th), 6) e_theta, round(-e[1]::double * sin(ph) + e[2]::double * cos(ph), 6) e_phi from v""")
 def spherical_parts(spark, sf_dir):
-    x = [F.col("embedding")[i].cast("double") for i in range(3)]
-    th, ph = (F.radians((F.col("vec_id") % n).cast("double")) for n in (90, 360))
+    """Triples of a vector's components as fields in directions of their own."""
+    fields = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
+    x = [F.get("embedding", F.col("k") * 3 + i).cast("double") for i in range(3)]
+    th, ph = (F.radians(((F.col("vec_id") + F.col("k")) % n).cast("double")) for n in (90, 360))
     a, b = grids.spherical_parts(*x, th, ph)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(a, 6).alias("e_theta"), F.round(b, 6).alias("e_phi"))
+    return fields.select("vec_id", "k", F.round(a, 6).alias("e_theta"), F.round(b, 6).alias("e_phi"))
 
 
 @query("""select l_orderkey, l_linenumber, round(l_extendedprice * 1e-3 / sqrt(2.0), 9) rms, (l_suppkey % 96 + 32) % 64 zoom from lineitem""")

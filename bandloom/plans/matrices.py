@@ -193,10 +193,9 @@ def matrix_passivity(spark, sf_dir):
     return got.select("k", F.round("greatest", 6).alias("greatest"))
 
 
-@query(f"with {_ALM}, c as (select f, l, sum((re * re + im * im) * case when m > 0 then 2 else 1 end) / (2 * l + 1) c_l from a group by f, l) select a.f, a.l::int l, a.m::int m, round(case when c_l > 0 then 1 / c_l else 0 end, 5) prior from a join c on a.f = c.f and a.l = c.l where a.f % 5 = 0")
+@query(f"with {_ALM}, c as (select f, l, sum((re * re + im * im) * case when m > 0 then 2 else 1 end) / (2 * l + 1) c_l from a group by f, l) select a.f, a.l::int l, a.m::int m, round(case when c_l > 0 then 1 / c_l else 0 end, 5) prior from a join c on a.f = c.f and a.l = c.l")
 def prior_per_mode(spark, sf_dir):
-    a = _alm(spark, sf_dir).filter("f % 5 = 0")
-    return linear.inverse_prior(a, ["f"]).select("f", "l", "m", F.round("prior", 5).alias("prior"))
+    return linear.inverse_prior(_alm(spark, sf_dir), ["f"]).select("f", "l", "m", F.round("prior", 5).alias("prior"))
 
 
 _MODES = """e as (select vec_id, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::double x from embeddings), v as (select i, mode, ((i * mode) % 5 - 2) / 8.0 v from range(64) a(i), range(6) b(mode)),

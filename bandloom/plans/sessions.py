@@ -210,8 +210,9 @@ def largest_shape(spark, sf_dir):
     return products.max_inner_shape(lists, "data")
 
 
-@query("select user_id, event_type, round(avg(value), 6) v from events where event_type in ('click', 'view') group by all")
+@query("select user_id, event_type, round(avg(value), 6) v from events group by all")
 def wide_channels(spark, sf_dir):
     """Dynamic channels as columns and back."""
-    wide = products.widen(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", ["click", "view"])
-    return wide.unpivot("user_id", ["click", "view"], "event_type", "v").filter("v is not null").select("user_id", "event_type", F.round("v", 6).alias("v"))
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    wide = products.widen(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", kinds)
+    return wide.unpivot("user_id", kinds, "event_type", "v").filter("v is not null").select("user_id", "event_type", F.round("v", 6).alias("v"))
