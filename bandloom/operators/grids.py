@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .order import asof
+from .order import around, asof
 from .peaks import cut_peaks, higher_before, turning_points
 
 #: Fixed factors to SI.
@@ -44,6 +44,31 @@ def bilinear(points: DataFrame, grid: DataFrame, theta0: float, d_theta: float,
     return points.join(got, ["theta_deg", "phi_deg"], "left").select(*points.columns, *values)
 
 
+def bilinear_axes(points: DataFrame, grid: DataFrame, values: list[str], theta: str = "theta_deg", phi: str = "phi_deg") -> DataFrame:
+    """As ``bilinear`` on axes of any spacing: ``grid`` is a row a cell (theta, phi in [0, 360), values). A place finds the
+    segment of each axis that it lies in by ``around``, phi's last one closing the circle, and its four corners by equi joins.
+
+    Cells that repeat count as their mean. Points outside theta's range, with a null angle, or at a corner that the grid
+    lacks get null; every point stays.
+    """
+    cells = grid.groupBy(F.col(theta).cast("double").alias("_gt"), F.col(phi).cast("double").alias("_gp")).agg(*[F.avg(v).alias(f"_{v}") for v in values])
+    turned = cells.select("_gp").distinct().select("_gp", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).alias("_turn")).select((F.col("_gp") + F.col("_turn")).alias("_at"), "_gp")
+    places = points.select(F.col(theta).alias("_pt"), F.col(phi).alias("_pp")).distinct().filter("_pt is not null and _pp is not null")
+    at = places.withColumn("_x", F.col("_pt").cast("double")).withColumn("_y", F.pmod(F.col("_pp").cast("double"), F.lit(360.0)))
+    at = around(at, cells.select("_gt").distinct().withColumn("_v", F.col("_gt")), "_x", [], "_gt", "_v").filter("t0 is not null and t1 is not null")
+    at = at.select("_pt", "_pp", "_y", F.col("v0").alias("_t0"), F.col("v1").alias("_t1"), F.when(F.col("t1") > F.col("t0"), (F.col("_x") - F.col("t0")) / (F.col("t1") - F.col("t0"))).otherwise(0.0).alias("_a"))
+    at = around(at, turned, "_y", [], "_at", "_gp").filter("t0 is not null and t1 is not null")
+    at = at.withColumn("_b", F.when(F.col("t1") > F.col("t0"), (F.col("_y") - F.col("t0")) / (F.col("t1") - F.col("t0"))).otherwise(0.0))
+    corner = lambda t, p, w: F.struct(F.col(t).alias("_gt"), F.col(p).alias("_gp"), w.alias("_w"))
+    a, b = F.col("_a"), F.col("_b")
+    corners = F.array(corner("_t0", "v0", (1 - a) * (1 - b)), corner("_t0", "v1", (1 - a) * b), corner("_t1", "v0", a * (1 - b)), corner("_t1", "v1", a * b))
+    met = at.select("_pt", "_pp", F.explode(F.filter(corners, lambda c: c["_w"] > 0)).alias("_c")).select("_pt", "_pp", "_c.*").join(cells, ["_gt", "_gp"])
+    whole = F.abs(F.sum("_w") - 1) < 1e-9
+    got = met.groupBy("_pt", "_pp").agg(*[F.when(whole & (F.count(f"_{v}") == F.count("*")), F.sum(F.col("_w") * F.col(f"_{v}"))).alias(f"_got_{v}") for v in values])
+    out = points.join(got, (F.col(theta) == F.col("_pt")) & (F.col(phi) == F.col("_pp")), "left")
+    return out.select(*[points[c] for c in points.columns], *[F.col(f"_got_{v}").alias(v) for v in values])
+
+
 def to_si_rms(value: Column, unit: str, convention: str, factors: dict[str, float] = VOLT) -> Column:
     """A phasor in SI units and RMS convention."""
     if unit.lower() not in factors or convention.lower() not in ("rms", "peak"):

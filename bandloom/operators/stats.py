@@ -121,9 +121,10 @@ def time_axis(kinds: DataFrame, ladder: list[str], preferred: str | None = None)
     return kinds.filter((F.col("n") > 0) & (rank > 0)).groupBy("source").agg(F.min_by("kind", rank).alias("axis"))
 
 
-def preferred_paths(files: DataFrame, formats: list[str]) -> DataFrame:
-    """One path per (root, stem): the format that comes first."""
-    stem, suffix = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), F.regexp_extract("path", r"\.([^./]+)$", 1)
+def preferred_paths(files: DataFrame, formats: list[str], stem: Column | None = None) -> DataFrame:
+    """One path per (root, stem): the format that comes first. The stem is the file's name without suffix if not given."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1) if stem is None else stem
+    suffix = F.regexp_extract("path", r"\.([^./]+)$", 1)
     rank = F.array_position(F.array(*map(F.lit, formats)), suffix)
     best = Window.partitionBy("root", "stem").orderBy("_rank", "path")
     return files.withColumn("stem", stem).withColumn("_rank", rank).filter("_rank > 0").withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_rank", "_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats
+from ..sources import bundles, tables
 from .registry import query, table
 
 _CMP = """with n as (select o_orderkey k, o_totalprice v from orders), r as (select l_orderkey k, sum(l_extendedprice * (1 - l_discount)) v from lineitem group by 1),
@@ -37,12 +38,14 @@ def first_failures(spark, sf_dir):
     return stats.first_failures(_compared(spark, sf_dir), ["k"])[0].select("k", F.round("max_rel", 6).alias("max_rel"))
 
 
-@query("""with e as (select event_type source, event_id, user_id, case when event_type = 'click' then value end gain, case when event_type = 'view' then value end slice from events where event_type in ('click', 'view', 'purchase'))
-select source, event_id, user_id, gain, slice from e""")
+@query("""select event_type source, event_id, user_id, case when event_type = 'click' then value end gain, case when event_type = 'view' then value end slice from events""")
 def concat_sessions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), "event_id", "user_id", "value")
-    parts = [e.filter("source = 'click'").withColumnRenamed("value", "gain"), e.filter("source = 'view'").withColumnRenamed("value", "slice"), e.filter("source = 'purchase'").drop("value")]
-    return stats.concat_sources(parts)
+    """Five sources: columns that one of them has are null in the others, and a column that one lacks is left out."""
+    e = table(spark, sf_dir, "events").withColumn("mjd", F.col("event_id") / 86400.0)
+    of = lambda kind, *columns: e.filter(F.col("event_type") == kind).select("event_id", "user_id", *columns)
+    gains = tables.with_terms(of("click", "mjd", F.col("value").alias("gain")), "gain", units="dB")
+    sources = {"click": gains, "view": of("view", "mjd", F.col("value").alias("slice")), "purchase": of("purchase"), "signup": of("signup", "mjd"), "error": of("error", "mjd")}
+    return bundles.combine(sources, everywhere=["mjd"])
 
 
 @query("""with c as (select user_id g, event_id start, case when event_id % 49 = 4 then 'unknown' when user_id % 3 = 1 and event_id % 2 = 0 then 'tai' else 'utc' end scale, 'clock' || (event_id % 2) clock from events)

@@ -28,6 +28,22 @@ def bilinear_sampling(spark, sf_dir):
     return got.select("c_custkey", F.round("v", 6).alias("v"))
 
 
+@query("""with g as (select pow(p_partkey % 7, 2) * 2.5 th, pow((p_partkey // 7) % 19, 2)::double ph, avg(p_retailprice) / 100 v from part group by all),
+p as (select l_orderkey, l_linenumber, l_quantity * 2.0 th, ((floor(l_extendedprice)::bigint * 13) % 3600) / 10.0::double ph from lineitem),
+t as (select a.th t0, b.th t1 from (select th, lead(th) over (order by th) nx from (select distinct th from g)) a join (select distinct th from g) b on b.th = a.nx),
+f as (select p0, case when nx is null then 0 else nx end p1, coalesce(nx, 360) hi from (select ph p0, lead(ph) over (order by ph) nx from (select distinct ph from g))),
+c as (select q.*, t0, t1, p0, p1, (th - t0) / (t1 - t0) a, (ph - p0) / (hi - p0) b from (select distinct th, ph from p) q join t on th >= t0 and (th < t1 or (th = t1 and t1 = 90)) join f on ph >= p0 and ph < hi),
+w as (select c.th, c.ph, (1 - a) * (1 - b) * x00.v + (1 - a) * b * x01.v + a * (1 - b) * x10.v + a * b * x11.v v from c join g x00 on x00.th = t0 and x00.ph = p0 join g x01 on x01.th = t0 and x01.ph = p1 join g x10 on x10.th = t1 and x10.ph = p0 join g x11 on x11.th = t1 and x11.ph = p1)
+select l_orderkey, l_linenumber, round(w.v, 6) v from p left join w using (th, ph)""")
+def irregular_sampling(spark, sf_dir):
+    """Line items as places on a grid whose axes are squares, phi closing the circle; some lie beyond theta's last."""
+    k = F.col("p_partkey")
+    grid = table(spark, sf_dir, "part").groupBy((F.pow(k % 7, F.lit(2)) * 2.5).alias("theta_deg"), F.pow(F.floor(k / 7) % 19, F.lit(2)).alias("phi_deg")).agg((F.avg("p_retailprice") / 100).alias("v"))
+    phi = (F.floor("l_extendedprice") * 13 % 3600) / 10.0
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2.0).alias("theta_deg"), phi.alias("phi_deg"))
+    return grids.bilinear_axes(points, grid, ["v"]).select("l_orderkey", "l_linenumber", F.round("v", 6).alias("v"))
+
+
 @query("""with t as (select user_id, event_id t, (value - 50) / 100 alt, (event_id * 37 % 360) * pi() / 180 az from events), f as (select *, alt > 0 up, max(t) over (partition by user_id) last from t),
 r as (select *, sum(case when up and not coalesce(was, false) then 1 else 0 end) over (partition by user_id order by t) k from (select *, lag(up) over (partition by user_id order by t) was from f)),
 p as (select user_id, k, max(t) e from r where up group by user_id, k, last having max(t) < last)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import packet_name
 from ..operators.products import exactly_sized, retain, size_violations, sized, slice_violations
 from ..operators.sessions import manifest
-from .tables import ContractError
+from .tables import ContractError, with_terms
 
 LAYOUT_VERSION = 3
 #: Kinds whose rows need a finite value somewhere; the others keep every row.
@@ -32,12 +32,15 @@ HK_BASE = ("session_id", "unique_packet_id", "version", "errors", "raw_seconds")
 
 def save(df: DataFrame, folder: str, kind: str, order: list[str] | None = None, slices: int = 1, **provenance: str) -> None:
     """Write one kind. Spectra with wrong bit slices are refused before anything is created; ``slices`` files a session
-    keep a session that holds most rows from landing in one task."""
+    keep a session that holds most rows from landing in one task. ``provenance`` is said on every row and in the metadata of
+    ``data``."""
     if kind == "spectra" and "actual_bitslice" in df.columns and not slice_violations(df, "actual_bitslice").isEmpty():
         raise ContractError("bit slices must be 16 whole numbers from 0 to 31")
     if kind in RETAINED and dict(df.dtypes).get(RETAINED[kind], "").startswith("array<") and "array<array" not in dict(df.dtypes)[RETAINED[kind]]:
         df = retain(df, RETAINED[kind])
     df = df.withColumns({k: F.lit(v) for k, v in {"layout_version": LAYOUT_VERSION, **provenance}.items()})
+    if provenance and "data" in df.columns:
+        df = with_terms(df, "data", **provenance)
     dealt = df.repartition(F.col("session_id"), F.pmod(F.xxhash64(*[c for c in df.columns if not dict(df.dtypes)[c].startswith("map")]), F.lit(slices)))
     if order:
         dealt = dealt.sortWithinPartitions("session_id", *order)

@@ -28,6 +28,16 @@ class ContractError(ValueError):
     """Stored data break what their layout promises."""
 
 
+def with_terms(df: DataFrame, column: str, **terms: str) -> DataFrame:
+    """``df`` that says in the metadata of ``column`` what its values are (units, representation, frame). Parquet files
+    carry it in their schema."""
+    return df.withMetadata(column, {**(df.schema[column].metadata or {}), "terms": terms})
+
+
+def terms_of(df: DataFrame, column: str) -> dict[str, str]:
+    return dict((df.schema[column].metadata or {}).get("terms", {}))
+
+
 def read_products(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """One kind of product of all sessions (folder/kind, partitioned by session_id).
 
