@@ -125,6 +125,18 @@ def housekeeping(spark, sf_dir):
     return sinks.housekeeping_table(hk, 0).select("session_id", "unique_packet_id", "raw_seconds", "time")
 
 
+@query("""with f as (select event_type, row_number() over (order by min({'u': user_id, 'e': event_id}))::int place from events group by 1)
+select user_id session_id, event_id unique_packet_id, place, event_type channel, value from events join f using (event_type)""")
+def housekeeping_channels(spark, sf_dir):
+    """Dynamic channels found in all rows, as columns in the order in which they were first seen."""
+    fields = F.create_map(F.concat(F.lit("telemetry_"), "event_type"), "value", F.lit("ok"), F.lit(1.0))
+    hk = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("unique_packet_id"), F.lit(1).alias("version"), F.lit(0).alias("errors"), F.col("event_id").alias("raw_seconds"), F.lit(2).alias("type"), fields.alias("fields"))
+    names = sinks.telemetry_channels(hk)
+    long = sinks.housekeeping_table(hk, 2, names).unpivot(["session_id", "unique_packet_id"], names, "name", "value").filter("value is not null")
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("name")).cast("int")
+    return long.select("session_id", "unique_packet_id", place.alias("place"), F.substring_index("name", "_", -1).alias("channel"), "value")
+
+
 @query("""with a as (select vec_id, generate_subscripts(embedding, 1) - 1 ch, unnest(embedding)::double v, label from embeddings) select label, ch::int ch, round(min(v), 6) lo, round(max(v), 6) hi, round(avg(v), 6) mean, round(sqrt(avg(v * v)), 6) rms from a group by all""")
 def adc_stats(spark, sf_dir):
     got = stats.channel_stats(table(spark, sf_dir, "embeddings"), ["label"], "embedding", "ch")

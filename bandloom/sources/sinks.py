@@ -69,9 +69,11 @@ def housekeeping_table(hk: DataFrame, type_id: int, channels: list[str] | None =
 
 
 def telemetry_channels(hk: DataFrame, prefix: str = "telemetry") -> list[str]:
-    """Names of the dynamic channels over all rows; there are as many as an instrument has sensors."""
-    keys = hk.select(F.explode(F.map_keys(F.map_filter("fields", lambda k, _: k.startswith(prefix)))).alias("k"))
-    return [r["k"] for r in keys.distinct().orderBy("k").collect()]
+    """Names of the dynamic channels over all rows, in the order of their first packets and places there; there are as many as
+    an instrument has sensors."""
+    row = F.struct("session_id", "unique_packet_id")
+    keys = hk.select(row.alias("row"), F.posexplode(F.map_keys(F.map_filter("fields", lambda k, _: k.startswith(prefix)))).alias("place", "k"))
+    return [r["k"] for r in keys.groupBy("k").agg(F.min(F.struct("row", "place")).alias("first")).orderBy("first", "k").collect()]
 
 
 def metadata_columns(df: DataFrame, flat: list[str], vectors: dict[str, int], exact: dict[str, int] | None = None, packet: str = "meta", base: str = "base") -> DataFrame:

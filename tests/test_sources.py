@@ -79,6 +79,8 @@ def test_housekeeping_and_metadata(spark):
     names = sinks.telemetry_channels(hk)
     got = sinks.housekeeping_table(hk, 2, names).collect()
     assert names == ["telemetry_a", "telemetry_b"] and [(r.raw_seconds, r.time, r.ok, r.telemetry_a, r.telemetry_b) for r in got] == [(4.0, 0.0, 0.0, None, 7.0), (5.0, 0.0, 1.0, 3.0, None)]
+    later = hk.withColumn("fields", F.when(F.col("unique_packet_id") == 1, F.create_map(F.lit("telemetry_z"), F.lit(1.0), F.lit("telemetry_c"), F.lit(2.0))).otherwise(F.col("fields")))
+    assert sinks.telemetry_channels(later) == ["telemetry_z", "telemetry_c", "telemetry_b"]
     meta = spark.createDataFrame([((None, [1.0]), (5, None))], "meta struct<Navgf:int,adc_min:array<double>>, base struct<navgf:int,adc_min:array<double>>")
     r = sinks.metadata_columns(meta, ["navgf", "absent"], {"adc_min": 4}).first()
     assert (r.navgf, r.absent, r.adc_min) == (5, None, [1.0, 0.0, 0.0, 0.0])
