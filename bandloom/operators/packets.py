@@ -56,9 +56,9 @@ def route(decoded: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.filter("reason is null").drop("reason", "error"), found.filter("reason is not null").drop("kind")
 
 
-def identify(packets: DataFrame, order: list, typed_uid: Callable[[Column, Column], Column] | None = None, keys: tuple[str, ...] = ("stream_id",), bucket: str | None = None) -> DataFrame:
+def with_identity(packets: DataFrame, order: list, typed_uid: Callable[[Column, Column], Column] | None = None, keys: tuple[str, ...] = ("stream_id",), bucket: str | None = None) -> DataFrame:
     """Add unique_packet_id: of prefixed packets from their first bytes, of typed ones from ``typed_uid(appid, blob)``, of
-    derived ones from the latest packet before them that has one; packets without any go. ``order`` is the read order
+    derived ones from the latest packet before them that has one; null for packets without any. ``order`` is the read order
     over all banks of a stream."""
     kind = F.col("uid_class")
     own = F.when(kind == "prefixed", little_endian_u32(F.col("blob")))
@@ -67,7 +67,12 @@ def identify(packets: DataFrame, order: list, typed_uid: Callable[[Column, Colum
     packets = packets.withColumn("_own", own)
     out = carry_last(packets, list(keys), order, {"_carried": F.col("_own")}, bucket)
     uid = F.when(kind == "derived", F.col("_carried")).otherwise(F.col("_own"))
-    return out.withColumn("unique_packet_id", uid).filter("unique_packet_id is not null").drop("_own", "_carried")
+    return out.withColumn("unique_packet_id", uid).drop("_own", "_carried")
+
+
+def identify(packets: DataFrame, order: list, typed_uid: Callable[[Column, Column], Column] | None = None, keys: tuple[str, ...] = ("stream_id",), bucket: str | None = None) -> DataFrame:
+    """The packets that ``with_identity`` gives a unique_packet_id; those without any go."""
+    return with_identity(packets, order, typed_uid, keys, bucket).filter("unique_packet_id is not null")
 
 
 def canonical_order(packets: DataFrame, read_order: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.products import restore_slices
 
@@ -38,13 +39,15 @@ def terms_of(df: DataFrame, column: str) -> dict[str, str]:
     return dict((df.schema[column].metadata or {}).get("terms", {}))
 
 
-def read_products(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """One kind of product of all sessions (folder/kind, partitioned by session_id).
+def read_products(spark: SparkSession, folder: str, kind: str, paths: list[str] | None = None, schema: StructType | None = None) -> DataFrame:
+    """One kind of product of all sessions (folder/kind, partitioned by session_id), or of ``paths`` below ``folder`` with a
+    schema that is known.
 
     Spectra must say their layout: version 3 needs the attributes units and representation on every row; version 2 is
     restored here with its bit slices; anything else, or a mixture that lacks them, raises.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{kind}")
+    reader = spark.read.option("mergeSchema", "true")
+    df = spark.read.schema(schema).option("basePath", folder).parquet(*paths) if paths else reader.parquet(f"{folder}/{kind}")
     if kind != "spectra":
         return df
     need = {"layout_version", "bit_slice", "data"} - set(df.columns)
