@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linear, matrices
+from ..operators import linear, matrices, normal, wide
 from .registry import query, table
 
 #: Entries of 4x4 matrices by block of orders: means of line items; there are the more matrices the larger the table.
@@ -233,3 +233,35 @@ def matrix_reciprocity(spark, sf_dir):
 def matrix_quality(spark, sf_dir):
     got = matrices.matrix_quality(_entries(spark, sf_dir), ["k"])
     return got.select("k", F.round("reciprocity", 6).alias("reciprocity"), F.round("least", 6).alias("least"), "passes")
+
+
+_SKY = """e as (select (ascii(l_returnflag) % 3)::bigint k, l_orderkey as row, l_partkey c, l_quantity v from lineitem), d as (select distinct k, row, o_totalprice d, case when o_orderkey % 2 = 0 then 2.0 else 1.0 end w from e join orders on row = o_orderkey)"""
+
+
+@query(f"with {_SKY} select k, c, round(sum(v * w * d), 2) as value from e join d using (k, row) group by all")
+def sky_solution(spark, sf_dir):
+    """A sky with as many pixels as there are parts, for each of three channels, from all orders: the solution put back
+    into the equations gives their right side."""
+    li = table(spark, sf_dir, "lineitem")
+    e = li.select((F.ascii("l_returnflag") % 3).cast("long").alias("k"), F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("c"), F.col("l_quantity").alias("v"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("d"), F.when(F.col("o_orderkey") % 2 == 0, 2.0).otherwise(1.0).alias("w"))
+    d = e.select("k", "row").distinct().join(o, "row").select("k", "row", "d", "w")
+    parts = table(spark, sf_dir, "part")
+    channels = spark.range(3).withColumnRenamed("id", "k")
+    sizes = F.broadcast(parts.agg((F.max("p_partkey") + 1).alias("n"))).crossJoin(channels).select("k", "n")
+    prior = parts.select(F.col("p_partkey").alias("c"), (F.col("p_size") * 20000.0).alias("prior"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("k"))
+    x = normal.solve(e, d, sizes, prior, 1e-12)
+    told = e.select("k", "c").distinct()
+    return normal.apply(e, d, x, prior).join(told, ["k", "c"], "left_semi").select("k", "c", F.round("ax", 2).alias("value"))
+
+
+@query("""with w as (select vec_id, s * 64 + i col, (x * (1 + s * (i % 3) / 10.0))::double v from (select vec_id, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::double x from embeddings), range(16) r(s)),
+m as (select col, avg(v) mu from w group by 1) select vec_id, round(sum((v - mu) ** 2), 5) power from w join m using (col) group by 1""")
+def wide_components(spark, sf_dir):
+    """Sixteen spectra a row side by side, 1,024 columns that 64 components span: the squares of a row's coordinates add up
+    to its distance from the mean."""
+    side = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda s: F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * (1 + s * (i % 3) / 10.0))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", side.alias("x"))
+    mean, _, vectors = wide.principal_components(rows, "x", 1024, 64)
+    got = wide.scores(rows, "x", mean, vectors)
+    return got.select("vec_id", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x), 5).alias("power"))
