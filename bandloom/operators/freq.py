@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .grids import zoom_bin
 from .order import around, lerp
 
 SNAP_ATOL, SNAP_RTOL = 1e-6, 1e-9
@@ -85,6 +86,20 @@ def lookup(df: DataFrame, curve: DataFrame, x: str, keys: list[str] | None = Non
     return found.withColumn(out, v).drop("t0", "v0", "t1", "v1")
 
 
+def keyed_response(df: DataFrame, curves: DataFrame, offset: str, key: str, wrap: bool = False, out: str = "response") -> DataFrame:
+    """Add the response at each row's ``offset`` from the curve of its ``key``: ``curves`` (key, x, y), linear between its
+    points and 0 outside. With ``wrap`` keys are zoom bins of -32 to 63, the negative ones being those from 32 on. A key
+    without a curve raises, before anything is looked up; a null key or offset gives null."""
+    own = zoom_bin(F.col(key)) if wrap else F.col(key)
+    told = df.withColumn("_key", own)
+    asked = told.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), "_key").distinct()
+    lacking = [r["key"] for r in asked.join(curves.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").orderBy("key").limit(10).collect()]
+    if lacking:
+        raise ValueError(f"no response for {key} {lacking}")
+    got = lookup(told, curves.withColumnRenamed("key", "_key"), offset, ["_key"], out)
+    return got.withColumn(out, F.when(F.col("_key").isNotNull() & F.col(offset).isNotNull(), F.col(out))).drop("_key")
+
+
 def rescaled_curve(df: DataFrame, curve: DataFrame, x: str, place: float, width: float, depth: float, own: tuple[float, float, float] = (16.4, 14.0, 0.04), out: str = "signal") -> DataFrame:
     """Add the curve (x, y) moved from its ``own`` place, width and depth to the given ones; 0 outside of it."""
     at = df.withColumn("_moved", F.lit(own[0]) + (F.col(x) - place) * (own[1] / width))

@@ -235,3 +235,53 @@ def horizon_taper(theta_rad: Column, width: float) -> Column:
 
 def gaussian_beam(theta: Column, phi: Column, theta0: float, phi0: float, sigma: float) -> Column:
     return F.exp(-(F.pow(theta - theta0, F.lit(2.0)) + F.pow(phi - phi0, F.lit(2.0))) / (2 * sigma**2))
+
+
+def response_verdict(za: DataFrame, resistances: dict[str, DataFrame], keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """One row a key with all that a response's matrices must satisfy, and whether they do: ``condition`` of the impedance;
+    ``reciprocity`` |Z - Z^T|, over the greatest |Z|; ``least`` and ``passive``, the least eigenvalue of its dissipative half
+    (Z + Z^H) / 2; ``closure`` |sum of the resistances - that half|, over the greatest of any of these; and of each
+    resistance R ``<name>_hermitian`` |R - R^H| over the greatest |R| and ``<name>_least``, its least eigenvalue.
+
+    Residuals may be ``tolerance``, eigenvalues may be below 0 by that share of their matrix's greatest entry. Entries that
+    are absent are 0, and so is a resistance that a key lacks; keys without an impedance have no row. One grouping packs all
+    matrices of a key, which are few; each batch is one call of every NumPy routine.
+    """
+    names = list(resistances)
+    told = za.select(*keys, "a", "b", "re", "im", F.lit(0).alias("_m"))
+    for i, name in enumerate(names):
+        told = told.unionByName(resistances[name].select(*keys, "a", "b", "re", "im", F.lit(i + 1).alias("_m")))
+    n = len(names) + 1
+    cell = F.struct((F.col("_m") * 16 + F.col("a") * 4 + F.col("b")).alias("k"), "re", "im")
+    packed = told.groupBy(*keys).agg(F.collect_list(cell).alias("_c"), F.max(F.col("_m") == 0).alias("_z")).filter("_z")
+    packed = packed.select(*keys, F.transform("_c", lambda x: x["k"]).alias("_k"), F.transform("_c", lambda x: x["re"]).alias("_re"), F.transform("_c", lambda x: x["im"]).alias("_im"))
+    more = {"condition": "double", "reciprocity": "double", "least": "double", "closure": "double", **{f"{m}_{w}": "double" for m in names for w in ("hermitian", "least")}, "passive": "double", "passes": "double"}
+    schema = _with(packed.drop("_k", "_re", "_im"), **more)
+
+    def greatest(x: np.ndarray) -> np.ndarray:
+        return np.abs(x).max(axis=(1, 2))
+
+    def share(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.divide(x, of, out=np.zeros_like(x), where=of > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            m = np.zeros((len(p), n * 16), complex)
+            for i, (k, re, im) in enumerate(zip(p["_k"], p["_re"], p["_im"], strict=True)):
+                m[i, k] = np.asarray(re, float) + 1j * np.asarray(im, float)
+            m = m.reshape(len(p), n, 4, 4)
+            adjoint = np.conj(np.swapaxes(m, 2, 3))
+            half = (m + adjoint) / 2
+            z, lost = m[:, 0], half[:, 0]
+            scales = [greatest(m[:, i]) for i in range(1, n)]
+            out = {"condition": np.linalg.cond(z), "reciprocity": share(greatest(z - np.swapaxes(z, 1, 2)), greatest(z)), "least": np.linalg.eigvalsh(lost)[:, 0]}
+            out["closure"] = share(greatest(m[:, 1:].sum(axis=1) - lost), np.maximum.reduce([greatest(lost), *scales]))
+            passive = out["least"] >= -tolerance * greatest(lost)
+            good = passive & (out["reciprocity"] <= tolerance) & (out["closure"] <= tolerance)
+            for i, name in enumerate(names):
+                out[f"{name}_hermitian"] = share(greatest(m[:, i + 1] - adjoint[:, i + 1]), scales[i])
+                out[f"{name}_least"] = np.linalg.eigvalsh(half[:, i + 1])[:, 0]
+                good &= (out[f"{name}_hermitian"] <= tolerance) & (out[f"{name}_least"] >= -tolerance * scales[i])
+            yield p.drop(columns=["_k", "_re", "_im"]).assign(**out, passive=passive.astype(float), passes=good.astype(float))
+
+    return packed.mapInPandas(run, schema).withColumns({"passive": F.col("passive") == 1, "passes": F.col("passes") == 1})

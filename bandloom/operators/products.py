@@ -152,3 +152,23 @@ def common_keys(rows: DataFrame, attributes: str) -> DataFrame:
 def widen(long: DataFrame, keys: list[str], channel: str, value: str, names: list[str]) -> DataFrame:
     """Dynamic channels as columns, of the given names: the mean where a key has several values."""
     return long.groupBy(*keys).pivot(channel, names).agg(F.avg(value))
+
+
+def cube(rows: DataFrame, keys: list[str], data: str, product: str = "product", n: int = 16) -> DataFrame:
+    """keys and ``cube``, n products by the greatest number of averages by the greatest length that the key's nested arrays
+    ``data`` have; what a product lacks is null. Products outside the axis go; of rows with the same product the greatest
+    array stands; a key without any product has no row. At most n rows of a key meet, since repeats go first."""
+    good = rows.filter(F.col(product).between(0, n - 1) & F.col(data).isNotNull())
+    one = good.groupBy(*keys, product).agg(F.max(data).alias("_d"))
+    inner = F.aggregate("_d", F.lit(0), lambda m, x: F.greatest(m, F.coalesce(F.size(x), F.lit(0))))
+    g = one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(product, "_d"))).alias("_by"), F.max(F.size("_d")).alias("_n"), F.max(inner).alias("_m"))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda p: F.transform(upto("_n"), lambda i: F.transform(upto("_m"), lambda j: F.get(F.get(F.try_element_at("_by", p), i), j)))
+    return g.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell).alias("cube"))
+
+
+def fixed_cube(data: Column, n: int = 16, size: int = 2048) -> Column:
+    """n arrays of ``size`` values of a nested array: longer ones are cut, what is lacking is null. A flat spectrum is given
+    as an array that holds it alone."""
+    fill = F.array_repeat(F.lit(None).cast("double"), size)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.slice(F.concat(F.coalesce(F.get(data, p), F.array().cast("array<double>")), fill), 1, size))

@@ -106,3 +106,16 @@ def used_bins(spark, sf_dir):
     aligned = freq.plan(_targets(spark, sf_dir), freq.grid(spark, 2.0, 0.5, 64), policy="linear").filter("problem is null")
     values = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("idx", "value"))
     return values.join(F.broadcast(freq.used_sources(aligned)), "idx").groupBy("idx").agg(F.count("*").alias("n"))
+
+
+@query("""with l as (select l_orderkey, l_linenumber, l_extendedprice::double % 200 - 100 x, [0, 4, 16, 64][(l_linenumber % 4 + 1)::int] notch, (l_suppkey % 96 - 32)::int zoom from lineitem)
+select l_orderkey, l_linenumber, round(greatest(0, 1 - abs(x) / (80 - notch)) / (80 - notch) + 3.3e-13, 9) at_notch, round(greatest(0, 1 - abs(x) / (20 + (zoom + 64) % 64)) / (20 + (zoom + 64) % 64) + 3.3e-13, 9) at_zoom from l""")
+def response_at_offset(spark, sf_dir):
+    """Responses of a spectrometer at offsets, by notch and by zoom bin: triangles whose area is 1."""
+    li = table(spark, sf_dir, "lineitem")
+    notch = F.element_at(F.array(*map(F.lit, (0, 4, 16, 64))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    rows = li.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") % 200 - 100).alias("x"), notch.alias("notch"), (F.col("l_suppkey") % 96 - 32).cast("int").alias("zoom"))
+    triangles = lambda widths: spark.createDataFrame([(k, x, y) for k, w in widths for x, y in ((-float(w), 0.0), (0.0, 1.0 / w), (float(w), 0.0))], "key int, x double, y double")
+    got = freq.keyed_response(rows, triangles([(k, 80 - k) for k in (0, 4, 16, 64)]), "x", "notch", out="at_notch")
+    got = freq.keyed_response(got, triangles([(k, 20 + k) for k in range(64)]), "x", "zoom", wrap=True, out="at_zoom")
+    return got.select("l_orderkey", "l_linenumber", F.round(F.col("at_notch") + 3.3e-13, 9).alias("at_notch"), F.round(F.col("at_zoom") + 3.3e-13, 9).alias("at_zoom"))

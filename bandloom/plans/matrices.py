@@ -265,3 +265,26 @@ def wide_components(spark, sf_dir):
     mean, _, vectors = wide.principal_components(rows, "x", 1024, 64)
     got = wide.scores(rows, "x", mean, vectors)
     return got.select("vec_id", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x), 5).alias("power"))
+
+
+_RESPONSE = """o as (select o_orderkey k, p, (o_totalprice % (11 + p)) + 1 + case when o_orderkey % 13 = 0 and p = 2 then -20 else 0 end r, o_totalprice % 3 + 1 x from orders, range(4) q(p)),
+g as (select k, min(r) least, max(abs(r)) top, max(greatest(sqrt(r * r), x)) z, max(x) x from o group by k)"""
+
+
+@query(f"""with {_RESPONSE} select k, round(case when k % 5 = 0 then 2 * x / greatest(z, x) else 0 end, 6) reciprocity, round(least, 6) least, (case when k % 7 = 0 then 0.1 else 0 end)::double closure, round(least * 0.5, 6) sky_least, least >= -1e-9 * top passive, k % 5 != 0 and k % 7 != 0 and least >= 0 passes from g""")
+def response_verdict(spark, sf_dir):
+    """Impedances of orders, with resistances that add up, but for some that do not, that are not reciprocal or not passive."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("t"))
+    r = lambda p: F.col("t") % (11 + p) + 1 + (F.when(F.col("k") % 13 == 0, -20).otherwise(0) if p == 2 else 0)
+    x = F.col("t") % 3 + 1
+    cell = lambda a, b, re, im: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (re * 1.0).alias("re"), (im * 1.0).alias("im"))
+    diagonal = [cell(p, p, r(p), F.lit(0)) for p in range(4)]
+    # Both leave the dissipative half diagonal: equal reactances, and opposite resistances, which are not reciprocal.
+    reactance = [cell(0, 1, F.lit(0), x), cell(1, 0, F.lit(0), x)]
+    odd = [cell(0, 1, x, F.lit(0)), cell(1, 0, -x, F.lit(0))]
+    cells = F.when(F.col("k") % 5 == 0, F.array(*diagonal, *odd)).otherwise(F.array(*diagonal, *reactance))
+    za = o.select("k", F.explode(cells).alias("c")).select("k", "c.*")
+    part = lambda f: o.select("k", F.explode(F.array(*[cell(p, p, r(p) * f, F.lit(0)) for p in range(4)])).alias("c")).select("k", "c.*")
+    loss = F.when(F.col("k") % 7 == 0, 0.1).otherwise(0.2)
+    got = matrices.response_verdict(za, {"sky": part(0.5), "moon": part(0.3), "loss": part(loss)}, ["k"])
+    return got.select("k", *[(F.round(c, 6) + 0.0).alias(c) for c in ("reciprocity", "least", "closure", "sky_least")], "passive", "passes")

@@ -216,3 +216,16 @@ def wide_channels(spark, sf_dir):
     kinds = ["click", "error", "purchase", "signup", "view"]
     wide = products.widen(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", kinds)
     return wide.unpivot("user_id", kinds, "event_type", "v").filter("v is not null").select("user_id", "event_type", F.round("v", 6).alias("v"))
+
+
+@query("""with e as (select vec_id // 20 k, (vec_id % 20)::int product, vec_id % 3 + 1 n, vec_id % 5 + 4 m, embedding d from embeddings where vec_id % 20 < 16 and vec_id % 7 != 3),
+g as (select k, max(n) n, max(m) m from e group by k), c as (select k, p::int product, i::int average, j::int bin from g, range(16) a(p), range(3) b(i), range(8) c(j) where i < n and j < m)
+select c.k, c.product, average, bin, case when average < e.n and bin < e.m then d[(average * e.m + bin + 1)::int]::double end as value from c left join e on c.k = e.k and c.product = e.product""")
+def spectrum_cubes(spark, sf_dir):
+    """Time-resolved spectra of the products of a row as one cube: what a product lacks is null."""
+    e = table(spark, sf_dir, "embeddings").filter("vec_id % 7 != 3")
+    m, n = F.col("vec_id") % 5 + 4, F.col("vec_id") % 3
+    data = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.slice(F.col("embedding").cast("array<double>"), (i * m + 1).cast("int"), m.cast("int")))
+    rows = e.select(F.floor(F.col("vec_id") / 20).alias("k"), (F.col("vec_id") % 20).cast("int").alias("product"), data.alias("data"))
+    each = products.cube(rows, ["k"], "data").select("k", F.posexplode("cube").alias("product", "x")).select("k", "product", F.posexplode("x").alias("average", "y"))
+    return each.select("k", "product", "average", F.posexplode("y").alias("bin", "value"))
