@@ -71,16 +71,26 @@ def _searched(rows: pd.DataFrame, buckets: list, bucket, turned: bool) -> tuple[
     return low, goes
 
 
+def evened(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """``turns`` with the buckets ``_b`` of a series run together: one takes whole buckets in their order, as many as begin
+    within the square root of the series' turning points, so a series has at most about as many buckets as that root."""
+    each = turns.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    new = F.floor(ahead / F.sqrt(F.sum("_n").over(Window.partitionBy(*keys)).cast("double")))
+    return attach(turns, each.select(*keys, "_b", new.alias("_new")), [*keys, "_b"]).withColumn("_b", F.col("_new")).drop("_new")
+
+
 def cut_peaks(df: DataFrame, keys: list[str], t: str, value: str, bucket: str, prominence: float, relative: bool = True) -> DataFrame:
     """keys, t, value, prominence of local maxima that stand out by ``prominence``, of the series over its maximum if
     ``relative`` and that is positive. ``bucket`` is a whole number that rises with ``t``; times of a series differ.
 
-    A task holds the turning points of one bucket and one row for each bucket of its series: with buckets of about the square
-    root of a series' length both are small. Null keys are a key; rows with a null value or time are left out.
+    A task holds the turning points of one bucket and one row for each bucket of its series. Buckets are run together to about
+    the square root of a series' turning points, so both are small however finely it was cut, and what all tasks of a series
+    hold is in proportion to its length. A bucket of more rows than that stays as it is. Null keys are a key; rows with a null value or time are left out.
     """
     k = [f"_k{i}" for i in range(len(keys))]
     whole = df.filter(F.col(value).isNotNull() & F.col(t).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), F.col(bucket).cast("long").alias("_b"))
-    turns = stored(turning_points(whole, k, "_t", "_v", "_b"))
+    turns = stored(evened(stored(turning_points(whole, k, "_t", "_v", "_b")), k))
     ends = turns.groupBy(*k, "_b").agg(F.max("_v").alias("_most"), F.min("_v").alias("_least"))
     of_key = ends.groupBy(*k).agg(F.collect_list(F.struct("_b", "_most", "_least")).alias("_all"), F.max("_most").alias("_max"))
     each = stored(attach(ends.select(*k, "_b"), of_key.select(*k, "_all"), k))
