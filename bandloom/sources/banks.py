@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 SYNC, PADDING, HEAD, CRC_BYTES, CRC_START = b"\xec\xa0", 0xA5, 6, 2, 0xFFFF
 SCIENCE_BANKS, TELEMETRY_BANK, BANK_FILE = ("b05", "b06", "b07", "b08", "b09"), "b01", "FFFFFFFE"
 
+#: Bytes of payload and rows of a batch of frames.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+
 FRAME_SCHEMA = "stream_id string, bank string, frame_idx long, head binary, payload binary, reject string"
 
 
@@ -60,11 +63,19 @@ def cut_frames(stream: bytes) -> Iterator[tuple[bytes, bytes, str | None]]:
 
 
 def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of all banks, in batches of their own: a small bank does not cost one, and a large one is several."""
     names = ["stream_id", "bank", "frame_idx", "head", "payload", "reject"]
+    rows, held = [], 0
     for batch in batches:
         for stream, bank, content in batch[["stream_id", "bank", "content"]].itertuples(index=False):
-            rows = [(stream, bank, k, *f) for k, f in enumerate(cut_frames(bytes(content or b"")))]
-            yield pd.DataFrame(rows, columns=names)
+            for k, f in enumerate(cut_frames(bytes(content or b""))):
+                rows.append((stream, bank, k, *f))
+                held += len(f[1])
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def frames(banks: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """What must not grow faster than its input: buckets, files, tasks and calls per key."""
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from bandloom.operators import grids, peaks
+from bandloom.sources import banks
 
 
 def test_buckets_of_a_long_series_are_run_together(spark):
@@ -24,3 +26,14 @@ def test_names_of_wide_numbers_are_as_in_sql(spark, tmp_path):
     got = sorted(map(tuple, __spark_entry__.queries()["session_names"](spark, str(tmp_path)).collect()), key=str)
     sql = __spark_entry__.oracle_sql()["session_names"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(duckdb.connect().sql(sql).fetchall(), key=str) and len(got) == 5
+
+
+def test_small_banks_share_batches(monkeypatch):
+    """A thousand banks are one batch of frames; a large one is cut into several, numbered through."""
+    bank = lambda n: b"".join(banks.SYNC + (h := (0x209).to_bytes(2, "big") + b"\xc0\x00\x00\x03") + b"abcd" + banks.crc16(h + b"abcd").to_bytes(2, "big") for _ in range(n))
+    frame = lambda contents: pd.DataFrame({"stream_id": [str(k) for k in range(len(contents))], "bank": "b05", "content": contents})
+    got = list(banks._frames(iter([frame([bank(2)] * 500), frame([bank(2)] * 500)])))
+    assert [len(g) for g in got] == [2000] and got[0]["reject"].isna().all()
+    monkeypatch.setattr(banks, "BATCH_ROWS", 10)
+    got = list(banks._frames(iter([frame([bank(25)])])))
+    assert [len(g) for g in got] == [10, 10, 5] and [i for g in got for i in g["frame_idx"]] == list(range(25))
