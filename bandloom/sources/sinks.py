@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -133,3 +134,28 @@ def write_banks(banks: DataFrame, folder: str) -> None:
             yield pd.DataFrame({"n": [len(batch)]})
 
     banks.select("stream_id", "bank", "content").mapInPandas(put, "n long").write.format("noop").mode("overwrite").save()
+
+
+def write_packed_banks(banks: DataFrame, folder: str) -> None:
+    """Write stream_id, bank, content as a few large files below ``folder``/bytes and a table of them, ``folder``/index
+    (stream_id, bank, at, path, start, size): ``size`` bytes of a bank, from its byte ``at`` on, stand at ``start`` of the file
+    ``path``. Banks of a few bytes then cost their bytes and not a file each. A task writes a file of its own, and what the
+    index, which is committed as a whole, does not name is not there."""
+    from .ranges import INDEX, located
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = located(folder)
+        name, start = uuid.uuid4().hex, 0
+        system.create_dir(f"{top}/bytes", recursive=True)
+        with system.open_output_stream(f"{top}/bytes/{name}") as f:
+            for batch in batches:
+                starts, sizes = [], []
+                for content in batch["content"].to_pylist():
+                    f.write(content or b"")
+                    starts.append(start)
+                    sizes.append(len(content or b""))
+                    start += sizes[-1]
+                n = len(batch)
+                yield pa.RecordBatch.from_arrays([batch["stream_id"], batch["bank"], pa.array([0] * n, pa.int64()), pa.array([f"{folder}/bytes/{name}"] * n), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["stream_id", "bank", "at", "path", "start", "size"])
+
+    banks.select("stream_id", "bank", "content").mapInArrow(put, INDEX).write.parquet(f"{folder}/index")

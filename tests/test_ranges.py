@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.sources import banks, growing, ranges
+from bandloom.sources import banks, growing, ranges, sinks
 from bandloom.streaming import ordered, streams
 
 
@@ -68,3 +68,14 @@ def test_banks_that_grow(spark, tmp_path):
         q.awaitTermination()
     want = sorted((s, k, h, p, r) for s, c in whole.items() for k, (h, p, r) in enumerate(banks.cut_frames(c)) if r != "tail")
     assert rows(spark.read.parquet(str(out))) == want
+
+
+@pytest.mark.parametrize("size", [90, 1 << 20])
+def test_packed_banks_give_the_frames_of_whole_banks(spark, tmp_path, size):
+    """Many banks are few files, read in ranges as if each were one."""
+    contents = {f"s{k}": stream(k, 12) for k in range(40)} | {"empty": b"", "open": b"\xec" + b"\xa5" * 200, "inside": frame(frame(b"abc") * 40) + frame(b"last")}
+    made = spark.createDataFrame([(s, "b05", bytearray(c)) for s, c in contents.items()], "stream_id string, bank string, content binary").coalesce(2)
+    sinks.write_packed_banks(made, str(tmp_path))
+    assert len(list((tmp_path / "bytes").iterdir())) == 2
+    want = sorted((s, k, h, p, r) for s, c in contents.items() for k, (h, p, r) in enumerate(banks.cut_frames(c)))
+    assert rows(ranges.range_frames(ranges.packed_ranges(spark, str(tmp_path), size))) == want
