@@ -11,6 +11,7 @@ so that they arrive and can be told.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.packets import LAST, SINGLE
-from ..sources.banks import CRC_BYTES, HEAD, TELEMETRY_BANK, crc16
+from ..sources.banks import BATCH_ROWS, CRC_BYTES, HEAD, TELEMETRY_BANK, crc16
 from ..sources.ranges import OPEN_WORD, SYNC_WORD
 
 ORDER = ["t", "side", "id"]
+#: Slots into which keys are dealt; the number is part of a stream's state.
+SLOTS = 1024
 
 
 class InOrder(StatefulProcessor):
@@ -103,6 +106,11 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def slot(keys: list[str]) -> Column:
+    """The slot of a key, by which Spark groups."""
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+
+
 def in_order(rows: DataFrame, keys: list[str], at: str, delay: str, processor: InOrder, side: Column | None = None, order: str = "id") -> DataFrame:
     """Run ``processor`` over a stream of rows with the timestamp ``at``; t is in microseconds. Needs the RocksDB store."""
     marked = rows.withWatermark(at, delay)
@@ -274,36 +282,44 @@ def downlink(frames: DataFrame, ttl_s: float, classes: dict[int, str] | None = N
 
 
 class _Cutter(StatefulProcessor):
-    """Frames of a bank that grows: what does not make a frame yet stays in state."""
+    """Frames of the banks of a slot that grow: what does not make a frame yet stays in state, an entry a bank."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "frames long, content binary")
+        self.rest = handle.getMapState("rest", "stream_id string, bank string", "frames long, content binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, rest = self.rest.get() if self.rest.exists() else (0, b"")
-        rest, out = bytes(rest), []
-        for content in pd.concat(list(rows), ignore_index=True).sort_values("at")["content"]:
-            data, at = rest + bytes(content), 0
-            while found := SYNC_WORD.search(data, at):
-                head = data[found.end() : found.end() + HEAD]
-                size = int.from_bytes(head[4:6], "big") + 1 + CRC_BYTES if len(head) == HEAD else 0
-                body = data[found.end() + HEAD : found.end() + HEAD + size]
-                if len(head) < HEAD or len(body) < size:
-                    break
-                good = crc16(head + body[:-CRC_BYTES]) == int.from_bytes(body[-CRC_BYTES:], "big")
-                out.append((*key, n, head, body[:-CRC_BYTES], None if good else "crc"))
-                n, at = n + 1, found.end() + HEAD + size
-            cut = found or OPEN_WORD.search(data, at)
-            rest = data[cut.start() :] if cut else b""
-        self.rest.update((n, rest))
-        yield pd.DataFrame(out, columns=["stream_id", "bank", "frame_idx", "head", "payload", "reject"])
+        names = ["stream_id", "bank", "frame_idx", "head", "payload", "reject"]
+        chunks = [r for chunk in rows for r in chunk[["stream_id", "bank", "at", "content"]].itertuples(index=False, name=None)]
+        out = []
+        for bank, some in itertools.groupby(sorted(chunks, key=lambda r: r[:3]), lambda r: r[:2]):
+            n, rest = self.rest.getValue(bank) or (0, b"")
+            rest = bytes(rest)
+            for *_, content in some:
+                data, at = rest + bytes(content), 0
+                while found := SYNC_WORD.search(data, at):
+                    head = data[found.end() : found.end() + HEAD]
+                    size = int.from_bytes(head[4:6], "big") + 1 + CRC_BYTES if len(head) == HEAD else 0
+                    body = data[found.end() + HEAD : found.end() + HEAD + size]
+                    if len(head) < HEAD or len(body) < size:
+                        break
+                    good = crc16(head + body[:-CRC_BYTES]) == int.from_bytes(body[-CRC_BYTES:], "big")
+                    out.append((*bank, n, head, body[:-CRC_BYTES], None if good else "crc"))
+                    n, at = n + 1, found.end() + HEAD + size
+                cut = found or OPEN_WORD.search(data, at)
+                rest = data[cut.start() :] if cut else b""
+            self.rest.updateValue(bank, (n, rest))
+            if len(out) >= BATCH_ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
 
 
 def growing_frames(chunks: DataFrame) -> DataFrame:
-    """stream_id, bank, frame_idx, head, payload, reject of a stream of bytes as ``bank_bytes`` gives it: frames of banks that
-    are still being written, numbered through. A batch of a bank is held by one task; read what is there already with
-    ``range_frames`` if it is much."""
-    return chunks.groupBy("stream_id", "bank").transformWithStateInPandas(_Cutter(), "stream_id string, bank string, frame_idx long, head binary, payload binary, reject string", "append", "none")
+    """stream_id, bank, frame_idx, head, payload, reject of a stream of bytes as ``bank_bytes`` and ``packed_bytes`` give it:
+    frames of banks that are still being written, numbered through. A batch of a slot of banks is held by one task; read what
+    is there already with ``range_frames`` if it is much."""
+    keys = ["stream_id", "bank"]
+    return chunks.withColumn("_slot", slot(keys)).groupBy("_slot").transformWithStateInPandas(_Cutter(), "stream_id string, bank string, frame_idx long, head binary, payload binary, reject string", "append", "none")

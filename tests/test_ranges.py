@@ -79,3 +79,28 @@ def test_packed_banks_give_the_frames_of_whole_banks(spark, tmp_path, size):
     assert len(list((tmp_path / "bytes").iterdir())) == 2
     want = sorted((s, k, h, p, r) for s, c in contents.items() for k, (h, p, r) in enumerate(banks.cut_frames(c)))
     assert rows(ranges.range_frames(ranges.packed_ranges(spark, str(tmp_path), size))) == want
+
+
+def test_packed_banks_that_grow(spark, tmp_path):
+    """Stretches are added to many banks between runs; chunks cut through frames."""
+    streams.with_rocksdb(spark)
+    whole = {f"s{k}": stream(2 * k + 2, 9) for k in range(30)}
+    for lo, hi in ((0.0, 0.4), (0.4, 1.0)):
+        part = [(s, "b05", int(len(c) * lo), bytearray(c[int(len(c) * lo) : int(len(c) * hi)])) for s, c in whole.items()]
+        folder = tmp_path / f"part{lo}"
+        sinks.write_packed_banks(spark.createDataFrame(part, "stream_id string, bank string, at long, content binary").coalesce(1), str(folder))
+        at = spark.createDataFrame([p[:3] for p in part], "stream_id string, bank string, at long")
+        spark.read.parquet(str(folder / "index")).drop("at").join(at, ["stream_id", "bank"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "index"))
+        q = ordered.growing_frames(growing.packed_bytes(spark, str(tmp_path), 100)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    want = sorted((s, k, h, p, r) for s, c in whole.items() for k, (h, p, r) in enumerate(banks.cut_frames(c)) if r != "tail")
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
+def test_small_chunks_share_an_input_partition(tmp_path):
+    """A thousand banks of a few bytes were a thousand tasks."""
+    write(tmp_path, {f"s{k}": b"abcdefgh" for k in range(1000)})
+    reader = growing.BankReader(str(tmp_path), 3)
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) == 1 and len(parts[0].value) == 3000
+    assert sorted(b for p in parts for *_, b in reader.read(p)) == sorted([b"abc", b"def", b"gh"] * 1000)
