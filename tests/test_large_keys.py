@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from bandloom.operators import grids, peaks
 from bandloom.sources import banks
+from bandloom.streaming import ordered
 
 
 def test_buckets_of_a_long_series_are_run_together(spark):
@@ -37,3 +38,9 @@ def test_small_banks_share_batches(monkeypatch):
     monkeypatch.setattr(banks, "BATCH_ROWS", 10)
     got = list(banks._frames(iter([frame([bank(25)])])))
     assert [len(g) for g in got] == [10, 10, 5] and [i for g in got for i in g["frame_idx"]] == list(range(25))
+
+
+def test_keys_share_slots_and_timers(spark):
+    """However many streams there are, Spark sees no more groups, and so timers and calls, than slots."""
+    got = spark.range(20000).select(ordered.slot(["id"]).alias("slot"))
+    assert got.distinct().count() == ordered.SLOTS
