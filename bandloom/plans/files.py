@@ -103,10 +103,10 @@ def stored_covariance(spark, sf_dir):
 
 @query("select user_id::varchar session_id, printf('%05d_%04x.bin', row_number() over (partition by user_id order by event_id % 97, event_type, event_id) - 1, (event_id % 2048)::int) file from events")
 def packet_files(spark, sf_dir):
-    """Packets written session by session under their file names."""
+    """Packets written session by session under their file names, many sessions a file."""
     folder = fresh(spark)
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") % 97).alias("unique_packet_id"), F.col("event_type").alias("seq"), F.col("event_id").alias("pkt_idx"), (F.col("event_id") % 2048).cast("int").alias("appid"))
-    sinks.write_packets(e, folder, ["session_id"])
+    sinks.write_packets(e, folder, ["session_id"], apart=False)
     return spark.read.schema("session_id string, file string").parquet(f"{folder}/packets")
 
 

@@ -102,13 +102,15 @@ def metadata_columns(df: DataFrame, flat: list[str], vectors: dict[str, int], ex
     return df.withColumns({**{n: pick(n) for n in flat}, **{n: sized(pick(n), w) for n, w in vectors.items()}, **{n: exactly_sized(pick(n), w) for n, w in (exact or {}).items()}})
 
 
-def write_packets(packets: DataFrame, folder: str, keys: list[str]) -> None:
-    """Packets with their file names, NNNNN_XXXX.bin in the order of each session, partitioned by session."""
+def write_packets(packets: DataFrame, folder: str, keys: list[str], apart: bool = True) -> None:
+    """Packets with their file names, NNNNN_XXXX.bin in the order of each session, partitioned by session. Not ``apart``, a file
+    holds many sessions, one after the other, and their keys as columns: for so many sessions that a folder each is too much."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys)
     named = packets.withColumn("_i", F.row_number().over(w.orderBy("unique_packet_id", "seq", "pkt_idx")) - 1).withColumn("_n", F.count("*").over(w))
-    named.withColumn("file", packet_name(F.col("_i"), F.col("appid"), F.col("_n"))).drop("_i", "_n").write.partitionBy(*keys).parquet(f"{folder}/packets")
+    named = named.withColumn("file", packet_name(F.col("_i"), F.col("appid"), F.col("_n"))).drop("_i", "_n")
+    (named.write.partitionBy(*keys) if apart else named.sortWithinPartitions(*keys, "unique_packet_id", "seq", "pkt_idx").write).parquet(f"{folder}/packets")
 
 
 def write_manifest(summary: DataFrame, path: str) -> None:

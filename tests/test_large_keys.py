@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from bandloom.operators import grids, peaks
-from bandloom.sources import banks
+from bandloom.sources import banks, sinks
 from bandloom.streaming import ordered
 
 
@@ -44,3 +44,11 @@ def test_keys_share_slots_and_timers(spark):
     """However many streams there are, Spark sees no more groups, and so timers and calls, than slots."""
     got = spark.range(20000).select(ordered.slot(["id"]).alias("slot"))
     assert got.distinct().count() == ordered.SLOTS
+
+
+def test_packets_of_many_sessions_share_files(spark, tmp_path):
+    p = spark.range(2000).select((F.col("id") % 500).alias("session_id"), F.col("id").alias("unique_packet_id"), F.lit(0).alias("seq"), F.col("id").alias("pkt_idx"), F.lit(7).alias("appid"))
+    sinks.write_packets(p, str(tmp_path), ["session_id"], apart=False)
+    assert len(list((tmp_path / "packets").glob("**/*.parquet"))) <= 4
+    got = spark.read.parquet(str(tmp_path / "packets")).groupBy("session_id").agg(F.sort_array(F.collect_list("file")).alias("f")).collect()
+    assert len(got) == 500 and all(r["f"] == [f"0000{k}_0007.bin" for k in range(4)] for r in got)
