@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from bandloom.operators import normal, wide
 
@@ -41,6 +42,34 @@ def test_edges(spark):
     assert normal.solve(entries.limit(0), data.limit(0), sizes.limit(0)).count() == 0
 
 
+def test_no_row_holds_a_whole_vector(spark, monkeypatch):
+    seen, stored = [], normal.stored
+    monkeypatch.setattr(normal, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    # Most rows lie in one cell of the ranges, and neighbours are coupled across the pieces.
+    n = 2 * normal.PIECE + 3
+    at = range(normal.PIECE - 3, n - 1)
+    entries = spark.createDataFrame([(0, r, c, v) for r in at for c, v in ((r, 4.0), (r + 1, 0.1))] + [(0, 1 << 40, 5, 1.0)], "k long, row long, c int, v double")
+    data = spark.createDataFrame([(0, r, 1.0 + r % 3, 1.0) for r in (*at, 1 << 40)], "k long, row long, d double, w double")
+    prior = spark.createDataFrame([(0, c, 1.0) for c in range(n)], "k long, c int, prior double")
+    got = np.array([r.x for r in normal.solve(entries, data, spark.createDataFrame([(0, n)], "k long, n long"), prior, 1e-6, entries_of=4000).orderBy("c").collect()])
+    back = np.array([r.ax for r in normal.apply(entries, data, spark.createDataFrame(pd.DataFrame({"k": 0, "c": np.arange(n), "x": got})), prior).orderBy("c").collect()])
+    d = np.array([1.0 + r % 3 for r in at])
+    want = np.zeros(n)
+    want[at.start : n - 1] += 4 * d
+    want[at.start + 1 : n] += 0.1 * d
+    want[5] += 1.0 + (1 << 40) % 3
+    assert len(got) == n and np.allclose(back, want, atol=1e-4) and np.isclose(got[5], want[5] / 2)
+    for df in seen:
+        sizes = [F.max(F.size(f.name)) if f.dataType.typeName() == "array" else F.max(F.length(f.name) / 8) for f in df.schema if f.dataType.typeName() in ("array", "binary")]
+        assert not sizes or max(x or 0 for x in df.agg(*sizes).first()) <= normal.PIECE
+
+
+def test_an_entry_beyond_the_unknowns(spark):
+    entries, data, sizes, prior = as_tables(spark, *system(3))
+    with pytest.raises(Exception, match="beyond the unknowns"):
+        normal.solve(entries, data, sizes.withColumn("n", F.lit(2)), prior)
+
+
 def test_not_solved_in_time(spark):
     with pytest.raises(ValueError, match="not solved"):
         normal.solve(*as_tables(spark, *system(2)), steps=2)
