@@ -122,12 +122,22 @@ def from_product_channels(df: DataFrame, keys: list[str]) -> DataFrame:
     return assemble(df.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*"), keys)
 
 
-def closure(parts: list[DataFrame], whole: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the greatest |sum of the parts - whole| over the greatest |whole|, entry by entry."""
-    signed = whole.select(*keys, "a", "b", (-F.col("re")).alias("re"), (-F.col("im")).alias("im"), F.hypot("re", "im").alias("_s"))
+def closure(parts: list[DataFrame | tuple[Column, Column]], whole: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the greatest |sum of the parts - whole| over the greatest |whole|, entry by entry.
+
+    A part is a table of its own, or (re, im) of columns that stand beside the whole's, whose cells are then one row each.
+    With such columns alone a key's cells become two numbers before anything is shuffled; tables meet in one shuffle.
+    """
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+    beside = [p for p in parts if isinstance(p, tuple)]
+    less = [sum((value(p[i]) for p in beside), -F.col(c)) for i, c in enumerate(("re", "im"))]
+    signed = whole.select(*keys, "a", "b", less[0].alias("re"), less[1].alias("im"), F.hypot("re", "im").alias("_s"))
+    if len(beside) == len(parts):
+        return signed.groupBy(*keys).agg((F.max(F.hypot("re", "im")) / F.max("_s")).alias("closure"))
     for part in parts:
-        signed = signed.unionByName(part.select(*keys, "a", "b", "re", "im", F.lit(None).cast("double").alias("_s")))
-    cell = signed.groupBy(*keys, "a", "b").agg(F.hypot(F.sum("re"), F.sum("im")).alias("_d"), F.max("_s").alias("_s"))
+        if not isinstance(part, tuple):
+            signed = signed.unionByName(part.select(*keys, "a", "b", "re", "im", F.lit(None).cast("double").alias("_s")))
+    cell = signed.repartition(*keys).groupBy(*keys, "a", "b").agg(F.hypot(F.sum("re"), F.sum("im")).alias("_d"), F.max("_s").alias("_s"))
     return cell.groupBy(*keys).agg((F.max("_d") / F.max("_s")).alias("closure"))
 
 

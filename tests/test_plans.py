@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from bandloom.operators import matrices
 from bandloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,3 +65,20 @@ def test_windows_are_partitioned(spark, sf):
 
 def test_dimensions_are_broadcast(spark, sf):
     assert "BroadcastHashJoin" in plan_of(registry.QUERIES["gain_predict"](spark, sf))
+
+
+def test_closure_shuffles_a_row_a_key(spark, sf):
+    plan = plan_of(registry.QUERIES["matrix_closure"](spark, sf))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan and "partial_max" in plan
+
+
+def test_closure_of_columns_and_of_tables(spark):
+    rows = [(k, a, b, 1.0 + k + a * b, 0.5 * a - b) for k in range(5) for a in range(4) for b in range(4) if (k, a, b) != (1, 2, 3)]
+    m = spark.createDataFrame(rows, "k int, a int, b int, re double, im double")
+    beside = lambda f: (F.col("re") * f, F.col("im") * (f + F.col("a") * 0.125))
+    apart = lambda f: m.select("k", "a", "b", beside(f)[0].alias("re"), beside(f)[1].alias("im"))
+    want = {k: max(abs(complex(re * -0.25, im * (a * 0.25 - 0.25))) for q, a, _, re, im in rows if q == k) / max(abs(complex(re, im)) for q, _, _, re, im in rows if q == k) for k in range(5)}
+    for parts in ([beside(0.25), beside(0.5)], [apart(0.25), apart(0.5)], [beside(0.25), apart(0.5)]):
+        got = matrices.closure(parts, m, ["k"])
+        assert {r.k: r.closure for r in got.collect()} == pytest.approx(want)
+    assert plan_of(matrices.closure([apart(0.25), apart(0.5)], m, ["k"])).count("Exchange hashpartitioning") == 1
