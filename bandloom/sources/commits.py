@@ -3,11 +3,14 @@
 Data of a commit lie in ``_data/<kind>/commit_id=<id>`` below the folder, where readers of the folder do not look by
 themselves. The last thing that a commit writes is its record, ``_commits/<name>.json``, one small file that appears whole;
 it names the data and how many rows each kind has. Readers take what the records name, so what a lost driver leaves behind
-is never seen, and a commit of the same name, as after a repeated ingest, takes the place of the one before.
+is never seen, and a commit of the same name, as after a repeated ingest, takes the place of the one before. A file of a
+commit holds many sessions, one after the other, with their ids as a column; commits of before have a folder a session, and
+are read as they are.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
@@ -47,7 +50,7 @@ class Commit:
         """One kind in its own layout, checked as ``sinks.save_kind`` does."""
         seen = Observation()
         path = self._begin(kind)
-        wrote = sinks.save_kind(df, path, kind, slices, name="", counted=seen, **provenance)
+        wrote = sinks.save_kind(df, path, kind, slices, name="", counted=seen, apart=False, **provenance)
         self.rows[kind], self.schemas[kind] = seen.get["rows"], wrote.schema.json()
 
     def table(self, df: DataFrame, kind: str, counts: dict | None = None) -> None:
@@ -68,7 +71,7 @@ class Commit:
             return
         system.create_dir(f"{top}/{RECORDS}", recursive=True)
         part = f"{top}/{RECORDS}/.{self.id}"
-        said = {"name": self.name, "id": self.id, "rows": self.rows, "counts": self.counts, "schemas": self.schemas}
+        said = {"name": self.name, "id": self.id, "rows": self.rows, "counts": self.counts, "schemas": self.schemas, "apart": False}
         with system.open_output_stream(part) as f:
             f.write(json.dumps(said, sort_keys=True).encode())
         system.move(part, f"{top}/{RECORDS}/{self.name}.json")
@@ -112,8 +115,10 @@ def read_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
             if fields.setdefault(f.name, f).dataType != f.dataType:
                 raise ContractError(f"{kind} was committed with {f.name} of different types")
     schema = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in fields.values()])
-    full = [f"{top}/commit_id={r['id']}" for r in found if r["rows"][kind]]
-    return read_products(spark, top, kind, full, schema).drop("commit_id") if full else spark.createDataFrame([], schema)
+    # Folders of sessions and files of many are not read as one.
+    full = [[f"{top}/commit_id={r['id']}" for r in found if r["rows"][kind] and r.get("apart", True) == apart] for apart in (True, False)]
+    read = [read_products(spark, top, kind, paths, schema).drop("commit_id") for paths in full if paths]
+    return functools.reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], schema)
 
 
 def sweep(folder: str) -> int:

@@ -84,15 +84,15 @@ def session_table(packets: DataFrame, formats: Formats) -> DataFrame:
     return session_windows(every, ["stream_id"], "start", "session_no").withColumn("session_id", session_id(F.col("stream_id"), F.col("session_no")))
 
 
-def ingest(spark: SparkSession, folder: str, out: str, formats: Formats, name: str, range_bytes: int = ranges.RANGE, slices: int = 1) -> Commit:
+def ingest(spark: SparkSession, folder: str, out: str, formats: Formats, name: str, range_bytes: int = ranges.RANGE, slices: int = 1, packed: bool = False) -> Commit:
     """Read the banks below ``folder`` and commit to ``out`` under ``name``: each kind in its layout, ``rejects`` and
-    ``manifests`` (session_id, manifest). All are seen or none; the same name again takes the earlier one's place.
+    ``manifests`` (session_id, manifest). ``packed``, the banks are those of ``sinks.write_packed_banks``. All are seen or none; the same name again takes the earlier one's place.
 
     The commit that is returned tells the rows of each kind and the rejects of each reason, counted by the tasks that wrote
     them. A folder without banks commits empty tables. Telemetry goes to the latest session that started at or before it,
     and to a stream's first one before that; of a stream without any session it is a reject.
     """
-    frames = stored(ranges.range_frames(ranges.bank_ranges(spark, folder, range_bytes)))
+    frames = stored(ranges.range_frames((ranges.packed_ranges if packed else ranges.bank_ranges)(spark, folder, range_bytes)))
     packets, telemetry, rejects = identified(frames, formats)
     packets = stored(packets.withColumn("session_id", session_id(F.col("stream_id"), F.col("session_no"))))
     sessions = stored(session_table(packets, formats))

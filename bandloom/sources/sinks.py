@@ -31,11 +31,12 @@ HOUSEKEEPING = {0: ("time",), 1: ("adc_min", "adc_max", "adc_mean", "adc_rms", "
 HK_BASE = ("session_id", "unique_packet_id", "version", "errors", "raw_seconds")
 
 
-def save(df: DataFrame, folder: str, kind: str, order: list[str] | None = None, slices: int = 1, name: str | None = None, counted: Observation | None = None, **provenance: str) -> DataFrame:
+def save(df: DataFrame, folder: str, kind: str, order: list[str] | None = None, slices: int = 1, name: str | None = None, counted: Observation | None = None, apart: bool = True, **provenance: str) -> DataFrame:
     """Write one kind and return the rows as written. Spectra with wrong bit slices are refused before anything is created;
     ``slices`` files a session keep a session that holds most rows from landing in one task. ``provenance`` is said on every
     row and in the metadata of ``data``. The folder is named by the kind, or by ``name``; the tasks that write tell
-    ``counted`` their rows."""
+    ``counted`` their rows. Not ``apart``, a file holds many sessions, one after the other, and their ids as a column, so that
+    many small sessions cost their rows and not a folder each."""
     if kind == "spectra" and "actual_bitslice" in df.columns and not slice_violations(df, "actual_bitslice").isEmpty():
         raise ContractError("bit slices must be 16 whole numbers from 0 to 31")
     if kind in RETAINED and dict(df.dtypes).get(RETAINED[kind], "").startswith("array<") and "array<array" not in dict(df.dtypes)[RETAINED[kind]]:
@@ -50,11 +51,11 @@ def save(df: DataFrame, folder: str, kind: str, order: list[str] | None = None,
         # Behind the shuffle: a task that writes is counted once, one that is repeated for a lost executor is not.
         dealt = dealt.observe(counted, F.count(F.lit(1)).alias("rows"))
     path = "/".join(filter(None, [folder, kind if name is None else name]))
-    dealt.write.partitionBy("session_id").parquet(path)
+    (dealt.write.partitionBy("session_id") if apart else dealt.write).parquet(path)
     return dealt
 
 
-def save_kind(df: DataFrame, folder: str, kind: str, slices: int = 1, name: str | None = None, counted: Observation | None = None, **provenance: str) -> DataFrame:
+def save_kind(df: DataFrame, folder: str, kind: str, slices: int = 1, name: str | None = None, counted: Observation | None = None, apart: bool = True, **provenance: str) -> DataFrame:
     """Write one kind in its own layout; a kind or column that the layout does not know or lacks is refused first."""
     if kind not in LAYOUTS:
         raise ContractError(f"no such kind: {kind!r}")
@@ -62,7 +63,7 @@ def save_kind(df: DataFrame, folder: str, kind: str, slices: int = 1, name: str
     lacking = [c for c in need if c not in df.columns]
     if lacking:
         raise ContractError(f"{kind} lacks {lacking}")
-    return save(df, folder, kind, list(order), slices, name, counted, **provenance)
+    return save(df, folder, kind, list(order), slices, name, counted, apart, **provenance)
 
 
 def housekeeping_table(hk: DataFrame, type_id: int, channels: list[str] | None = None) -> DataFrame:

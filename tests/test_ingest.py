@@ -57,6 +57,23 @@ def test_a_name_is_committed_again(spark, tmp_path):
     assert commits.sweep(out) == 1 and commits.sweep(out) == 0 and commits.read_kind(spark, out, "zoom").count() == 5
 
 
+def test_many_sessions_share_files_and_older_commits_are_read(spark, tmp_path, monkeypatch):
+    out = str(tmp_path)
+    rows = spark.range(300).select(F.format_string("%03d", "id").alias("session_id"), F.col("id").alias("t"), F.lit("c").alias("channel"), F.lit(1.0).alias("value"))
+    with commits.Commit(spark, out, "new") as c:
+        c.save_kind(rows, "telemetry")
+    assert sum(f.endswith(".parquet") for _, _, fs in os.walk(out) for f in fs) <= 4
+    # A commit of before: a folder a session, and a record that says nothing of it.
+    save = sinks.save_kind
+    monkeypatch.setattr(sinks, "save_kind", lambda *a, apart, **more: save(*a, apart=True, **more))
+    with commits.Commit(spark, out, "old") as c:
+        c.save_kind(rows.limit(3).withColumn("more", F.lit(1)), "telemetry")
+    record = tmp_path / commits.RECORDS / "old.json"
+    record.write_text(json.dumps({k: v for k, v in json.loads(record.read_text()).items() if k != "apart"}))
+    got = commits.read_kind(spark, out, "telemetry")
+    assert got.count() == 303 and got.filter("more = 1").count() == 3 and got.filter("session_id = '007'").count() == 1
+
+
 def test_what_is_refused(spark, tmp_path):
     df = of_every_kind(spark)["zoom"]
     for bad in ("", "a/b", ".hidden", "_x"):
