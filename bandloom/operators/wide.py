@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of a piece of a partial result.
-PIECE = 512
+from ..sources.folders import stored
+
+#: Columns of a piece of a partial result, bytes of a stored block of rows, and blocks that are multiplied at once.
+PIECE, BLOCK, TOGETHER = 512, 1 << 17, 32
 _PART = "piece long, part array<double>"
 
 
@@ -30,26 +32,38 @@ def _total(parts: DataFrame, cut: int) -> np.ndarray:
     return np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(cut)
 
 
-def _products(df: DataFrame, data: str, k: int, basis: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """[X'X basis, column sums, number of rows] of the rows less ``centre``: one pass; a task holds one k x q matrix."""
+def _held(df: DataFrame, data: str, k: int) -> DataFrame:
+    """The rows as stored blocks of their bytes, made once however many passes read them."""
+    step = max(1, BLOCK // (8 * k))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch[data].to_numpy()
+            yield pd.DataFrame({"x": [np.stack(rows[i : i + step]).astype("<f8").tobytes() for i in range(0, len(rows), step)]})
+
+    return stored(df.select(data).mapInPandas(run, "x binary"))
+
+
+def _products(blocks: DataFrame, k: int, basis: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """[X'X basis, column sums, number of rows] of stored rows less ``centre``: one pass; a task holds one k x q matrix."""
     q = basis.shape[1]
-    sent = df.sparkSession.sparkContext.broadcast((basis, centre))
+    sent = blocks.sparkSession.sparkContext.broadcast((basis, centre))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, mid = sent.value
         total = np.zeros((k, q + 2))
         seen = False
         for batch in batches:
-            if len(batch):
+            for i in range(0, len(batch), TOGETHER):
                 seen = True
-                x = np.stack(batch[data].to_numpy()).astype(float) - mid
+                x = np.frombuffer(b"".join(batch["x"].iloc[i : i + TOGETHER]), "<f8").reshape(-1, k) - mid
                 total[:, :q] += x.T @ (x @ base)
                 total[:, q] += x.sum(axis=0)
                 total[:, q + 1] += len(x)
         if seen:
             yield pd.DataFrame({"piece": range(-(-k // PIECE)), "part": [total[i : i + PIECE].ravel() for i in range(0, k, PIECE)]})
 
-    out = _total(df.select(data).mapInPandas(run, _PART), k * (q + 2)).reshape(k, q + 2)
+    out = _total(blocks.mapInPandas(run, _PART), k * (q + 2)).reshape(k, q + 2)
     sent.unpersist()
     return out
 
@@ -66,23 +80,25 @@ def principal_components(df: DataFrame, data: str, k: int, count: int, weights:
     entry positive.
 
     A random basis of ``count + more`` vectors is sent through the covariance ``rounds`` times and once more to read the
-    values off; each time is one pass over the rows. A task and the driver hold k x (count + more) numbers, never k x k.
+    values off; each time is one pass over the rows, which are stored once as doubles. A task and the driver hold k x (count + more) numbers, never k x k.
     Exact where that many vectors span the data; otherwise the error falls by the ratio of the first value left out to
     the last one kept, with each round twice. Fewer than two rows raise.
     """
     q = min(k, count + more)
-    rows = usable(df, data, k)
+    if k < 1:
+        raise ValueError("rows without columns have no covariance")
+    rows = _held(usable(df, data, k), data, k)
     w = np.ones(k) if weights is None else np.asarray(weights, float)
     extra = np.zeros(k) if noise is None else (np.asarray(noise, float) * w) ** 2
-    first = _products(rows, data, k, np.zeros((k, 1)), np.zeros(k))
-    n = int(first[0, -1]) if k else 0
+    first = _products(rows, k, np.zeros((k, 1)), np.zeros(k))
+    n = int(first[0, -1])
     if n < 2:
         raise ValueError(f"{n} usable rows have no covariance")
     mean = first[:, 1] / n
 
     def times(basis: np.ndarray) -> np.ndarray:
         # Rows are centred before the product, so nothing cancels; the weights stand outside of the sum.
-        got = _products(rows, data, k, w[:, None] * basis, mean)[:, :q]
+        got = _products(rows, k, w[:, None] * basis, mean)[:, :q]
         return w[:, None] * got / (n - 1) + extra[:, None] * basis
 
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, q)))[0]

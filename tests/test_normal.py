@@ -101,6 +101,20 @@ def test_sixteen_wide_spectra(spark):
     assert np.allclose(e, s[:5] ** 2 / 59) and np.allclose(np.linalg.svd(vt[:5] @ v)[1], 1, atol=1e-8)
 
 
+def test_wide_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    x, df = spectra(spark, 60, 700, 3)
+    once = df.withColumn("x", F.udf(counted, "array<double>")("x"))
+    _, e, _ = wide.principal_components(once, "x", 700, 3)
+    # The filter of usable rows may make them a second time; the passes do not.
+    assert made.value <= 180 and np.allclose(e, np.linalg.svd(x - x.mean(axis=0), compute_uv=False)[:3] ** 2 / 59)
+
+
 def test_wide_rows_that_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (2, None), (3, [1.0]), (4, [nan, 1.0]), (5, [None, 1.0])]
