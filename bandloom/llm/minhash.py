@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable, forget, in_batches
+from .shared import durable, forget, in_batches, unsent
 from .sketches import bands, sketch
 from .words import Words, mixed, ragged, shingle_sets, slices
 
@@ -32,7 +32,13 @@ COORDINATES, BAND = 128, 4
 #: Blocks compare sketches first; a pair at the threshold has an estimate this far below it with a probability of 1e-5.
 MARGIN = 4.2
 #: Documents of a block of a cluster, on average, and rows up to which ids or classes (at most 48 bytes each) are broadcast.
-BLOCK, BROADCAST_IDS = 256, 1 << 18
+#: The driver holds some 150 bytes a row of these, whatever the size of the table.
+BLOCK, BROADCAST_IDS = 256, 1 << 16
+
+
+def _put(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join with texts or sets, which are not sorted for it: few ``rows`` are broadcast, others are hashed apart."""
+    return F.broadcast(df) if rows < BROADCAST_IDS else df.hint("shuffle_hash")
 
 
 def _digests(sets: list[np.ndarray]) -> pa.Array:
@@ -96,16 +102,17 @@ def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _rest(buckets: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that step 3 may have missed, as (a, b)."""
-    member = buckets.filter("node != hub").join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _rest(buckets: DataFrame, first: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links that step 3 may have missed, as (a, b). ``n``: the members of all buckets."""
+    member = buckets.filter("node != hub").join(unsent(first.withColumnRenamed("id", "node"), n), "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = durable(member.select("key", "node", "component"))
     mixed_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("a")).filter("lo != hi")
-    open_ = durable(member.join(mixed_.select("key", "a"), "key").select("a", F.col("node").alias("b"), "component"))
+    open_ = durable(member.join(unsent(mixed_.select("key", "a"), n), "key").select("a", F.col("node").alias("b"), "component"))
     clusters = components(open_.select("a", "b")).withColumnRenamed("component", "cluster")
-    docs = durable(open_.select(F.col("b").alias("id"), "component").distinct().join(clusters, "id"))
-    counts = docs.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
-    dealt = docs.join(counts, "cluster").withColumn("block", F.pmod(F.hash("id"), F.col("n")))
+    docs = durable(open_.select(F.col("b").alias("id"), "component").distinct().join(unsent(clusters, n), "id"))
+    counts = durable(docs.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n")).filter("n > 1"))
+    # Clusters of several blocks are few; a large one must not meet in a task.
+    dealt = docs.join(_put(counts, counts.count()), "cluster", "left").fillna(1, "n").withColumn("block", F.pmod(F.hash("id"), F.col("n")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(
         F.col("id").alias("node"), "component", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
@@ -115,7 +122,8 @@ def _rest(buckets: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
     def compare(table: pa.Table) -> pa.Table:
         return _compare_blocks(table, percent)
 
-    return dealt.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    # The rows of a cluster here are its blocks times its members, which no estimate from files tells.
+    return unsent(dealt).join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -125,33 +133,33 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     base = durable(in_batches(docs, partial(_sketched, k=k), "doc_id long, th long, n_shingles long, whole binary, bands array<long>"))
     named = base.filter("doc_id is not null and n_shingles > 0")
     classes = durable(named.groupBy("n_shingles", "whole").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "whole", "doc_id"])
+    reps = named.join(unsent(classes.withColumnRenamed("rep", "doc_id")), ["n_shingles", "whole", "doc_id"])
     keyed = reps.select("node", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("key", "hub")
-    buckets = durable(keyed.join(hubs, "key"))
+    buckets = durable(keyed.join(unsent(hubs), "key"))
     pairs = durable(buckets.filter("node != hub").select("hub", "node").distinct())
     ids = pairs.select("node").union(pairs.select("hub")).distinct()
-    ids = durable(ids.join(classes.select("node", F.col("rep").alias("doc_id"), "whole"), "node"))
-    put = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
-    sets = in_batches(docs.select("doc_id", "text").join(put(ids.select("doc_id").distinct()), "doc_id", "left_semi"), partial(_sets, k=k), "doc_id long, whole binary, shingles array<long>")
-    sets = sets.join(put(ids), ["doc_id", "whole"]).select("node", "shingles")
+    ids = durable(ids.join(unsent(classes.select("node", F.col("rep").alias("doc_id"), "whole")), "node"))
+    n = ids.count()
+    sets = in_batches(docs.select("doc_id", "text").join(_put(ids.select("doc_id").distinct(), n), "doc_id", "left_semi"), partial(_sets, k=k), "doc_id long, whole binary, shingles array<long>")
+    sets = sets.join(_put(ids, n), ["doc_id", "whole"]).select("node", "shingles")
     # Rows that repeat an id and a set have it once.
     sets = durable(sets.dropDuplicates(["node"]) if base.count() != base.select("doc_id").distinct().count() else sets)
-    both = pairs.join(sets.withColumnRenamed("shingles", "x"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y")), "hub")
+    both = _put(pairs, 32 * n).join(sets.withColumnRenamed("shingles", "x"), "node").join(unsent(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y")), n), "hub")
     both = both.filter(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     links = durable(both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     first = durable(components(links))
-    rest = durable(_rest(buckets, first, sets, percent))
+    rest = durable(_rest(buckets, first, sets, percent, n))
     stars = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
     last = components(stars.union(rest)) if not rest.isEmpty() else first
-    last = durable(last.withColumnRenamed("id", "node").join(classes.select("node", "rep"), "node"))
+    last = durable(last.withColumnRenamed("id", "node").join(unsent(classes.select("node", "rep")), "node"))
     for done in (buckets, pairs, ids, sets, links, rest):
         forget(done)
     least = last.groupBy("component").agg(F.min("rep").alias("least"))
-    of_class = classes.join(last.join(least, "component").select("node", "component", "least"), "node", "left")
+    of_class = classes.join(unsent(last.join(unsent(least, n), "component").select("node", "component", "least"), n), "node", "left")
     of_class = of_class.select("n_shingles", "whole", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("component_id"))
-    out = base.drop("bands").join(of_class, ["n_shingles", "whole"], "left")
+    out = base.drop("bands").join(unsent(of_class), ["n_shingles", "whole"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "th", "n_shingles", "group", alone.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -177,11 +185,11 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     """
     told = durable(_classified(docs, k, percent).filter("doc_id is not null"))
     first = told.filter("kept and n_shingles > 0").groupBy("group").agg(F.min("th").alias("first"))
-    gone = told.filter("n_shingles > 0").join(first, "group", "left").filter(~F.col("kept") | (F.col("th") != F.col("first")))
+    gone = told.filter("n_shingles > 0").join(unsent(first), "group", "left").filter(~F.col("kept") | (F.col("th") != F.col("first")))
     gone = durable(gone.select("doc_id", "th").distinct())
     # The user's columns travel in one, so no name of theirs can meet one of ours.
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("th"))
-    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["doc_id", "th"], "left_anti")
+    out = rows.join(_put(gone, gone.count()), ["doc_id", "th"], "left_anti")
     n, d = told.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n != d:
         out = out.filter("doc_id is not null").dropDuplicates(["doc_id", "th"]).unionByName(out.filter("doc_id is null"))

@@ -22,6 +22,9 @@ BATCH_BYTES = 4 << 20
 #: Rows up to which a table of a few narrow columns is broadcast.
 BROADCAST_ROWS = 4096
 
+#: Rows up to which Spark may choose to broadcast a table of a few narrow columns by itself.
+OWN_CHOICE_ROWS = 1 << 14
+
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: later work neither repeats it nor loses it with an
@@ -76,6 +79,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def unsent(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` for a join that shuffles both sides. By the size of its files Spark would broadcast ``df``, and so hold it in
+    the driver, where hashed rows of a few numbers take ten times the room of their files. Few ``rows`` are left to Spark."""
+    return df if rows is not None and rows < OWN_CHOICE_ROWS else df.hint("merge")
+
+
 def spread(h: Column, buckets: int) -> Column:
     """The bucket, 0 to ``buckets`` - 1, of a signed 64-bit hash; it rises with the hash."""
     unit = (h.cast("double") / F.lit(2.0**64)) + F.lit(0.5)

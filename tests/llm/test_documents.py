@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from bandloom.llm import minhash, mixing, packing, pii, quality, sharding, substrings, toxicity
+from bandloom.llm import minhash, mixing, packing, pii, quality, sharding, shared, substrings, toxicity
 
 from . import corpus
 
@@ -70,6 +70,32 @@ def test_near_duplicates_chain(spark):
     assert {r.doc_id: r.component_id for r in got} == want and set(want.values()) == {0}
 
 
+@pytest.mark.parametrize("drop", [False, True])
+def test_near_duplicates_broadcasts_nothing_that_grows(spark, monkeypatch, drop):
+    """As soon as tables count as large, none is held by the driver, even if its files are small enough for Spark."""
+    w = [f"w{i}" for i in range(400)]
+    data = [(i, " ".join(w[8 * i : 8 * i + 120])) for i in range(30)]
+    data += [(100 + i, " ".join(corpus.words(random.Random(i // 3), 80))) for i in range(9)]
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(shared, "OWN_CHOICE_ROWS", 0, raising=False)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = components_of({i: shingles(t, 4) for i, t in data})
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty(30_000)
+        every = store.executionsList()
+        return {every.apply(i).executionId(): every.apply(i).physicalPlanDescription() for i in range(every.size())}
+
+    before = executions()
+    if drop:
+        assert sorted(r.doc_id for r in minhash.drop_near_duplicates(docs, k=4).collect()) == sorted(set(want.values()))
+    else:
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=4).collect()} == want
+    ran = [plan for k, plan in executions().items() if k not in before]
+    assert len(ran) > 10 and [plan for plan in ran if "BroadcastExchange" in plan] == []
+
+
 def test_drop_near_duplicates_keeps_one_and_all_without_copies(docs):
     got = minhash.drop_near_duplicates(docs, k=5)
     assert got.columns == docs.columns
